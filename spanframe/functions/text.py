@@ -19,6 +19,7 @@ CUE_END = r"[。！？!?；;]$"
 MARKUP = r"<[^>]+>|\{\\[^}]+\}"
 HIDDEN_STATE = r"(?i)早就知道|心里|内心|动机|believ|secretly knew|intends? to"
 REPLAY_LABEL = r"(?i)(\breplay\b|重放|回放)"
+SEP = "\u0001"  # never part of a caption: removed as white space or control
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # White space as the reference counts it: ASCII plus the Unicode separators.
 SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
@@ -94,34 +95,34 @@ def split_caption(c, max_chars: int) -> Column:
         F.transform(F.split(squeeze(c), SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: s != ""
     )
 
+    # the tail that holds one visible unit more than the limit; cuts go on while
+    # the rest still reaches into it
+    tail = r"[^\s](?:\s*[^\s]){%d}\s*$" % max_chars
+
     def hard_cut(s):
-        # number of leading cuts: the rest after k cuts has its own visible length
-        steps = F.sequence(F.lit(0), F.ceil(F.length(s) / max_chars).cast("int"))
-        k = F.aggregate(
-            steps,
-            F.lit(0),
-            lambda acc, i: F.when(
-                visible_units(F.substring(s, acc * max_chars + 1, F.length(s))) > max_chars, acc + 1
-            ).otherwise(acc),
+        too_long = F.regexp_extract(s, tail, 0)
+        k = F.when(too_long == "", F.lit(0)).otherwise(
+            F.floor((F.length(s) - F.length(too_long)) / max_chars).cast("int") + 1
         )
         heads = F.when(
             k > 0,
-            F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.trim(F.substring(s, i * max_chars + 1, F.lit(max_chars)))),
-        ).otherwise(F.array().cast("array<string>"))
+            F.array_join(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.trim(F.substring(s, i * max_chars + 1, F.lit(max_chars)))), SEP),
+        ).otherwise(F.lit(""))
         return heads, F.substring(s, k * max_chars + 1, F.length(s))
 
     def step(acc, s):
         joined = F.concat(acc["open"], s)
         fits = visible_units(joined) <= max_chars
-        flushed = F.when(acc["open"] != "", F.array_append(acc["done"], F.trim(acc["open"]))).otherwise(acc["done"])
         heads, rest = hard_cut(s)
+        done = F.concat_ws(SEP, acc["done"], F.trim(acc["open"]), heads)
         return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(
-            F.struct(F.concat(flushed, heads).alias("done"), rest.alias("open"))
+            F.struct(done.alias("done"), rest.alias("open"))
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    out = F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], F.trim(acc["open"]))).otherwise(acc["done"]))
-    return F.filter(out, lambda s: s != "")
+    # finished chunks are kept as one string: a growing array would be copied deeply
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    out = F.aggregate(pieces, start, step, lambda acc: F.concat_ws(SEP, acc["done"], F.trim(acc["open"])))
+    return F.filter(F.split(out, SEP), lambda s: s != "")
 
 
 def reading_limits(text, duration_us, max_lines, max_line, max_cps, count_spaces=False):

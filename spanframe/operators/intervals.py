@@ -393,8 +393,8 @@ def chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> tuple[Da
             "id", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("h2").alias("head")
         )
         state = cut_lineage(state.where("head is not null").unionByName(step))
-        if state.where("head is null").count() == open_rows and _ > 40:
-            break
+        if state.where("head is null").count() == open_rows:
+            break  # no progress: only cycles are left
     done = state.where("head is not null").select(F.col("head").alias("chain_id"), "id", F.col("dist").alias("pos"))
     return done, bad
 

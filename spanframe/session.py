@@ -18,6 +18,7 @@ def local_session(cpus: str | int | None = None, partitions: int = 8) -> SparkSe
         .config("spark.driver.memory", "10g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )

@@ -35,8 +35,8 @@ CTE = {
     "units": """SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS unit_id, doc_id*1000000 AS start_us,
         doc_id*1000000 + 4000000 + (doc_id*7919) % 12000000 AS end_us, text, (doc_id*37) % 100 AS motion,
         (doc_id*53) % 100 AS speech, lang FROM documents""",
-    "beats": """SELECT CAST(item_id % 5 AS VARCHAR) AS work_id, CAST(item_id AS VARCHAR) AS beat_id, item_id AS ord, text FROM benchmark""",
-    "beat_spans": """SELECT CAST(item_id % 5 AS VARCHAR) AS work_id, CAST(item_id AS VARCHAR) AS beat_id, 'src' || (item_id % 20) AS source_id,
+    "beats": """SELECT CAST(item_id // 10 AS VARCHAR) AS work_id, CAST(item_id AS VARCHAR) AS beat_id, item_id AS ord, text FROM benchmark""",
+    "beat_spans": """SELECT CAST(item_id // 10 AS VARCHAR) AS work_id, CAST(item_id AS VARCHAR) AS beat_id, 'src' || (item_id % 20) AS source_id,
         item_id*10000000 AS start_us, item_id*10000000 + 60000000 AS end_us FROM benchmark""",
     "candidates": """SELECT CAST(user_id AS VARCHAR) AS work_id, CAST(event_id AS VARCHAR) AS highlight_id, event_id AS ord,
         CAST(event_id % 3 AS VARCHAR) AS source_id, CAST(floor(epoch_us(ts)/60000000) AS BIGINT) AS start_us,

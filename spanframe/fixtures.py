@@ -166,7 +166,7 @@ def units(spark, d) -> DataFrame:
 def beats(spark, d) -> DataFrame:
     i = F.col("item_id")
     return table(spark, d, "benchmark").select(
-        (i % 5).cast("string").alias("work_id"),
+        F.floor(i / 10).cast("string").alias("work_id"),
         i.cast("string").alias("beat_id"),
         i.alias("ord"),
         F.col("text"),
@@ -177,7 +177,7 @@ def beat_spans(spark, d) -> DataFrame:
     """Source ranges of the events behind each beat."""
     i = F.col("item_id")
     return table(spark, d, "benchmark").select(
-        (i % 5).cast("string").alias("work_id"),
+        F.floor(i / 10).cast("string").alias("work_id"),
         i.cast("string").alias("beat_id"),
         F.concat(F.lit("src"), i % 20).alias("source_id"),
         (i * 10_000_000).cast("bigint").alias("start_us"),

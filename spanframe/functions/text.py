@@ -85,9 +85,9 @@ def asserts_hidden_state(c) -> Column:
 def split_caption(c, max_chars: int) -> Column:
     """Pack sentences into chunks of at most ``max_chars`` visible units.
 
-    A fold over one caption's sentences: the state is (finished chunks, open chunk).
-    Sentences that alone exceed the limit are cut every ``max_chars`` code points
-    while the rest is still too long.
+    Each sentence is measured once; one that alone exceeds the limit is cut every
+    ``max_chars`` code points while the rest is still too long.  The packing is a fold
+    over the sentences of one caption: (finished chunks, open chunk, its size).
     """
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
@@ -95,33 +95,47 @@ def split_caption(c, max_chars: int) -> Column:
         F.transform(F.split(squeeze(c), SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: s != ""
     )
 
-    # the tail that holds one visible unit more than the limit; cuts go on while
-    # the rest still reaches into it
-    tail = r"[^\s](?:\s*[^\s]){%d}\s*$" % max_chars
-
-    def hard_cut(s):
-        too_long = F.regexp_extract(s, tail, 0)
-        k = F.when(too_long == "", F.lit(0)).otherwise(
-            F.floor((F.length(s) - F.length(too_long)) / max_chars).cast("int") + 1
-        )
-        heads = F.when(
-            k > 0,
-            F.array_join(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.trim(F.substring(s, i * max_chars + 1, F.lit(max_chars)))), SEP),
-        ).otherwise(F.lit(""))
-        return heads, F.substring(s, k * max_chars + 1, F.length(s))
-
-    def step(acc, s):
-        joined = F.concat(acc["open"], s)
-        fits = visible_units(joined) <= max_chars
-        heads, rest = hard_cut(s)
-        done = F.concat_ws(SEP, acc["done"], F.trim(acc["open"]), heads)
-        return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(
-            F.struct(done.alias("done"), rest.alias("open"))
-        )
+    def measured(head, rest, units):
+        return F.struct(head.alias("h"), rest.alias("r"), units.cast("int").alias("u"))
+
+    def long_sentence(chars):
+        # after squeezing the only white space is a single blank
+        seen = F.filter(F.transform(chars, lambda ch, i: F.when(ch != " ", i)), lambda i: i.isNotNull())
+
+        def cut(pos):
+            k = F.floor(F.element_at(pos, -(max_chars + 1)) / max_chars).cast("int") + 1
+            return F.transform(
+                F.array(k),
+                lambda n: measured(
+                    F.array_join(
+                        F.transform(
+                            F.sequence(F.lit(0), n - 1),
+                            lambda i: F.trim(F.array_join(F.slice(chars, i * max_chars + 1, F.lit(max_chars)), "")),
+                        ),
+                        SEP,
+                    ),
+                    F.array_join(F.slice(chars, n * max_chars + 1, F.greatest(F.size(chars) - n * max_chars, F.lit(0))), ""),
+                    F.size(F.filter(pos, lambda p: p >= n * max_chars)),
+                ),
+            )[0]
+
+        return F.transform(F.array(seen), cut)[0]
+
+    def measure(s):
+        units = F.length(F.replace(s, F.lit(" "), F.lit("")))
+        chars = F.filter(F.split(s, ""), lambda ch: ch != "")
+        return F.when(units <= max_chars, measured(F.lit(""), s, units)).otherwise(F.transform(F.array(chars), long_sentence)[0])
+
+    def step(acc, x):
+        fits = (x["h"] == "") & (acc["n"] + x["u"] <= max_chars)
+        done = F.concat_ws(SEP, acc["done"], F.trim(acc["open"]), x["h"])
+        return F.when(
+            fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], x["r"]).alias("open"), (acc["n"] + x["u"]).alias("n"))
+        ).otherwise(F.struct(done.alias("done"), x["r"].alias("open"), x["u"].alias("n")))
 
     # finished chunks are kept as one string: a growing array would be copied deeply
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
-    out = F.aggregate(pieces, start, step, lambda acc: F.concat_ws(SEP, acc["done"], F.trim(acc["open"])))
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    out = F.aggregate(F.transform(pieces, measure), start, step, lambda acc: F.concat_ws(SEP, acc["done"], F.trim(acc["open"])))
     return F.filter(F.split(out, SEP), lambda s: s != "")
 
 

@@ -424,3 +424,26 @@ def timed_rows_to_spans(rows: DataFrame, keys: list[str], block_us: int = MERGE_
     end = F.when(F.col("dur_us") > 0, F.col("t_us") + F.col("dur_us")).otherwise(F.col("__next"))
     spans = r.select(*keys, F.col("t_us").alias("start_us"), end.alias("end_us")).where("end_us > start_us")
     return merge_spans(spans, keys, 0, block_us)
+
+
+def chains_from(jump: DataFrame, keys: list[str], at: str, to: str, first: int, max_rounds: int = 64) -> DataFrame:
+    """All positions reached from ``first`` by following ``at -> to`` (always forward).
+
+    Reached sets double each round: with jumps of length 2^k from every position,
+    the set {first} grows to all heads in a logarithmic number of rounds.
+    """
+    hop = jump.where(F.col(to).isNotNull()).select(*keys, F.col(at).alias("a"), F.col(to).alias("b"))
+    hop = cut_lineage(hop)
+    got = jump.where(F.col(at) == first).select(*keys, F.col(at).alias("a"))
+    got = cut_lineage(got)
+    size = got.count()
+    for _ in range(max_rounds):
+        more = got.join(hop, [*keys, "a"]).select(*keys, F.col("b").alias("a"))
+        got = cut_lineage(got.unionByName(more).distinct())
+        new = got.count()
+        if new == size:
+            break
+        size = new
+        nxt = hop.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"))
+        hop = cut_lineage(hop.join(nxt, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b")))
+    return got.select(*keys, F.col("a").alias(at))

@@ -17,13 +17,21 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c)
 
 
+def _factor(f) -> Column:
+    return F.lit(f).cast("bigint") if isinstance(f, int) else col(f)
+
+
 def wide(*factors) -> Column:
-    """Product of integer factors as DECIMAL(38,0)."""
-    out = None
+    """Product of integer factors as DECIMAL(38,0).
+
+    The product is taken in BIGINT and only recomputed in DECIMAL where that overflows.
+    """
+    exact, quick = None, None
     for f in factors:
-        c = col(f).cast(WIDE)
-        out = c if out is None else (out * c).cast(WIDE)
-    return out
+        c = _factor(f)
+        exact = c.cast(WIDE) if exact is None else (exact * c.cast(WIDE)).cast(WIDE)
+        quick = c if quick is None else F.try_multiply(quick, c)
+    return exact if len(factors) == 1 else F.coalesce(quick.cast(WIDE), exact)
 
 
 def idiv(n, d) -> Column:
@@ -38,13 +46,22 @@ def floor_div(n, d) -> Column:
 
 
 def half_even(n, d) -> Column:
-    """Nearest integer to n/d, ties to even; d > 0."""
+    """Nearest integer to n/d, ties to even; d > 0.
+
+    The half-up quotient, less one where it is odd and the division is an exact tie.
+    """
     n, d = wide(n), wide(d)
-    r = F.pmod(n, d)
-    q = idiv((n - r).cast(WIDE), d)
-    twice = (r + r).cast(WIDE)
-    up = (twice > d) | ((twice == d) & (F.pmod(q, F.lit(2)) == 1))
-    return (q + up.cast("bigint")).cast("bigint")
+
+    def nearest(n, d, t):
+        a, b = (n + n + d).cast(t), (d + d).cast(t)
+        m = F.pmod(a, b)
+        q = idiv((a - m).cast(t), b)
+        return q - ((m == 0) & (F.pmod(q, F.lit(2)) == 1)).cast("bigint")
+
+    # almost every value fits BIGINT, where the arithmetic is several times cheaper
+    small, limit = [x.try_cast("bigint") for x in (n, d)], F.lit(2**60).cast("bigint")
+    fits = (small[0] < limit) & (small[0] > -limit) & (small[1] < limit)
+    return F.when(fits, nearest(*small, "bigint")).otherwise(nearest(n, d, WIDE))
 
 
 def half_up(n, d) -> Column:

@@ -25,6 +25,11 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
 
 
+def strip(c) -> Column:
+    """Text without leading and trailing white space (``trim`` only drops blanks)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACE, " "))
 

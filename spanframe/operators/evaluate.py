@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import fixed
+from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 
 # metric -> (eligibility column or None, score column)
@@ -75,7 +76,7 @@ def check_results(runs: DataFrame, scores: DataFrame, roster: DataFrame) -> Data
     a = fd.checks(
         j,
         [
-            ("SCORE_BOUND_TO_MISSING_OR_DIFFERENT_RUN", F.col("__run").isNull() | (F.col("__run") != F.col("run_id"))), ("NAMED_REVIEWER_REQUIRED", F.trim("reviewer") == ""),
+            ("SCORE_BOUND_TO_MISSING_OR_DIFFERENT_RUN", F.col("__run").isNull() | (F.col("__run") != F.col("run_id"))), ("NAMED_REVIEWER_REQUIRED", tx.strip("reviewer") == ""),
             ("UNEXECUTED_CASE_CANNOT_EARN_PASSES", F.col("status").isin("NOT_RUN", "DEPENDENCY_MISSING") & any_pass),
             ("FAILED_RUN_CANNOT_COUNT", (F.col("status") == "FAILED") & (yes("execution_accepted") | yes("production_usable"))),
             ("REFUSAL_IS_NOT_USABLE", (F.col("status") == "EXPECTED_REFUSAL") & yes("production_usable")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.operators.versions import reach
+from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 
 # Fixed patterns of the recognised reference forms.
@@ -35,11 +36,15 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     vals = F.transform(raw, lambda v: F.regexp_replace(v, r"""^["']|["']$""", ""))
     pairs = F.zip_with(names, vals, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
     plain = F.transform(F.filter(pairs, lambda p: p["n"] != "srcset"), lambda p: p["v"])
-    sets = F.flatten(F.transform(F.filter(pairs, lambda p: p["n"] == "srcset"), lambda p: F.transform(F.split(p["v"], ","), lambda s: F.regexp_extract(F.trim(s), r"^\S+", 0))))
+    sets = F.flatten(F.transform(F.filter(pairs, lambda p: p["n"] == "srcset"), lambda p: F.transform(F.split(p["v"], ","), lambda s: F.regexp_extract(tx.strip(s), r"^\S+", 0))))
     css = F.flatten(F.transform(styles, lambda s: _found(s, CSS, 2)))
     js = F.flatten(F.transform(scripts, lambda s: _found(s, JS_STATIC, 1)))
     kinds = [("attribute", plain), ("srcset", sets), ("css", css), ("import", js)]
-    all_ = F.flatten(F.array(*[F.transform(c, lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("ref"))) for k, c in kinds]))
+
+    def tagged(kind, refs):
+        return F.transform(refs, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("ref")))
+
+    all_ = F.flatten(F.array(*[tagged(k, c) for k, c in kinds]))
     rows = pages.select(F.col(id_col), F.explode(F.array_distinct(all_)).alias("x")).select(id_col, "x.kind", "x.ref")
     return rows.where((F.col("ref") != "") & ~F.startswith("ref", F.lit("#")) & ~F.startswith("ref", F.lit("data:")))
 
@@ -60,7 +65,7 @@ def classify_links(links: DataFrame, declared: DataFrame, id_col: str = "page_id
         j,
         [
             ("RESOURCE_EDGE_SET_MISMATCH", F.col("__s").isNull() | F.col("decision").isNull()), ("RESOURCE_DECISION_REQUIRED", F.col("decision").isNotNull() & ~known),
-            ("RESOURCE_REASON_REQUIRED", known & (F.col("decision") != "bundle") & (F.trim(F.coalesce("reason", F.lit(""))) == "")),
+            ("RESOURCE_REASON_REQUIRED", known & (F.col("decision") != "bundle") & (tx.strip(F.coalesce("reason", F.lit(""))) == "")),
             ("REMOTE_RESOURCE_MUST_BE_EXTERNAL", is_remote(F.col("ref")) & (F.col("decision") != "external")),
         ],
         work=id_col, entity="ref",

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from spanframe.functions.clock import half_even, overlap_us, wide
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join, prefixed
-from spanframe.plans.ordered import BLOCK_US, by_time, positions, scan
+from spanframe.plans.ordered import BLOCK_US, by_time, pinned, positions, scan
 from spanframe.plans.rounds import cut_lineage
 
 MERGE_BLOCK_US = 12 * 3_600_000_000
@@ -74,7 +74,7 @@ def merge_spans(spans: DataFrame, keys: list[str], tol_us: int = 0, block_us: in
     local = starts.groupBy(*keys, "__b", "__g").agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_spans").alias("n_spans")
     )
-    blocks = local.groupBy(*keys, "__b").agg(F.max("start_us").alias("__last"), F.max("end_us").alias("__end"))
+    blocks = pinned(local).groupBy(*keys, "__b").agg(F.max("start_us").alias("__last"), F.max("end_us").alias("__end"))
     wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__reach", F.max("__end").over(wb))
     own = F.when(F.col("__reach").isNull() | (F.col("__last") > F.col("__reach") + tol_us), F.col("__last"))

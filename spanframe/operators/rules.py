@@ -14,6 +14,7 @@ from spanframe.operators import intervals as iv
 from spanframe.operators.select import hook_eligibility
 from spanframe.operators.text import RELIABLE, adjacent_similarity
 from spanframe.operators.timeline import consume_visuals, first_use, nominal_timeline, segment_durations
+from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join
 from spanframe.plans.ordered import by_rows, scan
@@ -131,7 +132,7 @@ def rule_voice(segments: DataFrame, visuals: DataFrame, has_audio: str = "has_au
     s = segment_durations(segments, visuals).where("mode = 'voiceover'")
     no_audio = ~F.col(has_audio)
     v = F.coalesce("voice_us", F.lit(0))
-    a = fd.finding(s, "EMPTY_SEGMENT_TEXT", F.trim("text") == "", F.col("segment_id"))
+    a = fd.finding(s, "EMPTY_SEGMENT_TEXT", tx.strip("text") == "", F.col("segment_id"))
     b = fd.checks(
         s,
         [("MISSING_TTS_AUDIO", no_audio), ("INVALID_TTS_DURATION", ~no_audio & (v <= 0)), ("VISUAL_SHORTER_THAN_TTS", (v > 0) & (F.col("visual_us") + 1000 < v))],
@@ -185,7 +186,7 @@ def rule_dialogue_boundary(segments: DataFrame, visuals: DataFrame, cues: DataFr
     first = first.withColumn("vid", F.concat_ws("/", *WORK_SEG))
     snap = iv.snap_nearest(first, cues, ["source_id"], max_us, "vid")
     talk = F.col("audio_owner") == "original_dialogue"
-    spoken = cues.where(F.trim("text") != "")
+    spoken = cues.where(tx.strip("text") != "")
 
     def cut(side):
         p = first.select("source_id", "vid", F.col(side).alias("t_us"))
@@ -328,7 +329,7 @@ def rule_subtitles(file_cues: DataFrame, expected: DataFrame, works: DataFrame,
     Both cue tables: work_id, pos (1-based), start_us, end_us, text.  ``works``: work_id,
     duration_us, has_file, burn_required, burn_applied, n_estimated.
     """
-    e = expected.select("work_id", "pos", F.col("start_us").alias("e0"), F.col("end_us").alias("e1"), F.trim("text").alias("et"))
+    e = expected.select("work_id", "pos", F.col("start_us").alias("e0"), F.col("end_us").alias("e1"), tx.strip("text").alias("et"))
     j = file_cues.select("work_id", "pos", "start_us", "end_us", "text").join(e, ["work_id", "pos"], "full")
     j = j.join(works.where("has_file").select("work_id", "duration_us"), "work_id")
     miss = F.col("e0").isNull() | F.col("start_us").isNull() | (F.abs(F.col("start_us") - F.col("e0")) > 2000) | (F.abs(F.col("end_us") - F.col("e1")) > 2000) | (F.col("text") != F.col("et"))
@@ -473,7 +474,7 @@ def readiness(cases: DataFrame, gold: DataFrame, reviewers: DataFrame, keep: Dat
     ``cases``: case_id, material_sha (NULL = missing).  ``gold``: case_id, source_sha256,
     duration_us, n_facts, has_reveal.  ``keep``: case_id, start_us, end_us, reason.
     """
-    r = reviewers.where(F.trim("name") != "").groupBy("case_id").agg(F.count_distinct("name").alias("n_rev"))
+    r = reviewers.where(tx.strip("name") != "").groupBy("case_id").agg(F.count_distinct("name").alias("n_rev"))
     k = keep.join(gold.select("case_id", F.col("duration_us").alias("gd")), "case_id")
     bad = (F.col("start_us") < 0) | (F.col("start_us") >= F.col("end_us")) | (F.col("end_us") > F.col("gd"))
     k = k.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_keep"), F.bool_or(F.coalesce(bad, F.lit(True))).alias("bad"), F.bool_or(F.coalesce("reason", F.lit("")) == "").alias("bare"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanframe.functions.clock import half_even, overlap_us, wide
+from spanframe.functions import text as tx
 from spanframe.plans.bins import BIN_US, interval_join
 from spanframe.plans.ordered import by_rows, by_time, positions, scan
 
@@ -68,7 +69,7 @@ def scene_index(units: DataFrame, cues: DataFrame, shots: DataFrame, detected: b
     """SG4: text, speech and shot density, continuity and window-only flag per unit."""
     keys = ["source_id", "unit"]
     u = units.select(*keys, "start_us", "end_us", "n_shots")
-    c = cues.select("source_id", F.col("ord").alias("c_ord"), F.trim("text").alias("c_text"), F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    c = cues.select("source_id", F.col("ord").alias("c_ord"), tx.strip("text").alias("c_text"), F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
     p = interval_join(u, c, ["source_id"], bin_us=bin_us)
     t = p.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("c_text") != "", F.struct("c_ord", "c_text")))), lambda x: x["c_text"]), " ").alias("text"),

@@ -52,9 +52,9 @@ def group_words(words: DataFrame, keys: list[str], max_chars: int, long_us: int
     All groups here hold the words of one segment.
     """
     item = F.struct(
-        F.col("ord").alias("o"), F.col("start_us").alias("s"), F.greatest(F.col("dur_us"), F.lit(floor_us).cast("bigint")).alias("d"), F.trim("text").alias("t")
+        F.col("ord").alias("o"), F.col("start_us").alias("s"), F.greatest(F.col("dur_us"), F.lit(floor_us).cast("bigint")).alias("d"), tx.strip("text").alias("t")
     )
-    rows = words.where(F.trim("text") != "").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("w"), F.max("audio_us").alias("audio_us"))
+    rows = words.where(tx.strip("text") != "").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("w"), F.max("audio_us").alias("audio_us"))
 
     def step(acc, x):
         """State: one 0/1 mark per word (1 opens a cue), start and size of the open cue."""
@@ -79,7 +79,7 @@ def group_words(words: DataFrame, keys: list[str], max_chars: int, long_us: int
     )
     end = F.least(F.col("audio_us"), F.greatest(F.col("e"), F.col("s") + min_us))
     end = F.least(end, F.lead("s").over(by_seg.orderBy("n")))
-    return g.select(*keys, (F.col("n") - 1).cast("bigint").alias("ord"), F.col("s").alias("start_us"), end.alias("end_us"), F.trim("text").alias("text")).where(
+    return g.select(*keys, (F.col("n") - 1).cast("bigint").alias("ord"), F.col("s").alias("start_us"), end.alias("end_us"), tx.strip("text").alias("text")).where(
         "end_us > start_us and text <> ''"
     )
 
@@ -127,7 +127,7 @@ def original_cues(segments: DataFrame, visuals: DataFrame, cues: DataFrame, word
     both = p.where(whole).select(*ident, "text", "start_us", "end_us", F.lit(False).alias("partial")).unionByName(part.withColumn("partial", F.lit(True)))
     lo = F.col("local_us") + F.greatest(F.lit(0), F.col("start_us") - F.col("v_start_us"))
     hi = F.col("local_us") + F.least("v_end_us", "end_us") - F.col("v_start_us")
-    return both.where(F.trim("text") != "").select("work_id", "segment_id", "cue_id", "v_ord", lo.alias("start_us"), hi.alias("end_us"), "text", "partial")
+    return both.where(tx.strip("text") != "").select("work_id", "segment_id", "cue_id", "v_ord", lo.alias("start_us"), hi.alias("end_us"), "text", "partial")
 
 
 def wrap(c, line_chars: int):
@@ -254,10 +254,10 @@ def compare_text(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     a = side("reference", "r").join(side("observed", "o"), [key, "token"])
     w = Window.partitionBy(key).orderBy("r")
     before = F.max("o").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("o").over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = F.min("o").over(Window.partitionBy(key).orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, -1))
     a = a.withColumn("__b", before).withColumn("__a", after)
     a = a.where((F.col("__b").isNull() | (F.col("o") > F.col("__b"))) & (F.col("__a").isNull() | (F.col("o") < F.col("__a")))).select(key, "r", "o")
-    size = pairs.select(key, F.size(F.split(F.trim("reference"), r"\s+")).alias("r"), F.size(F.split(F.trim("observed"), r"\s+")).alias("o"))
+    size = pairs.select(key, F.size(F.split(tx.strip("reference"), r"\s+")).alias("r"), F.size(F.split(tx.strip("observed"), r"\s+")).alias("o"))
     m = a.unionByName(size)
     r0 = F.coalesce(F.lag("r").over(w), F.lit(-1)) + 1
     o0 = F.coalesce(F.lag("o").over(w), F.lit(-1)) + 1
@@ -321,7 +321,7 @@ def genre_profile(works: DataFrame, col: str = "genres", default: str = "drama")
 def normalized_types(c):
     """TX19 as a column: aliases mapped, unknown dropped, first occurrence order."""
     table = F.create_map(*[F.lit(x) for kv in fixed.TYPE_ALIASES.items() for x in kv])
-    named = F.transform(c, lambda v: F.replace(F.lower(F.trim(v)), F.lit(" "), F.lit("_")))
+    named = F.transform(c, lambda v: F.replace(F.lower(tx.strip(v)), F.lit(" "), F.lit("_")))
     mapped = F.transform(named, lambda v: F.coalesce(F.try_element_at(table, v), v))
     kept = F.array_distinct(F.filter(mapped, lambda v: v.isin(fixed.HIGHLIGHT_TYPES)))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(fixed.DEFAULT_TYPE)))
@@ -358,7 +358,7 @@ def check_citations(citations: DataFrame, sources: DataFrame, as_of) -> DataFram
         .when(F.col("__d") > F.lit(as_of).cast("date"), "SOURCE_AFTER_CUTOFF")
         .when(~ok_range, "LINE_RANGE")
         .when(body != F.col("quote"), "QUOTE_MISMATCH")
-        .when(F.trim("quote") == "", "EMPTY_QUOTE")
+        .when(tx.strip("quote") == "", "EMPTY_QUOTE")
     )
     return j.withColumn("rule_id", rule).where("rule_id is not null").select("citation_id", "source_id", "rule_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.fingerprint import canonical, row_digest
+from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join
 from spanframe.plans.ordered import by_rows, scan
@@ -444,7 +445,7 @@ def narration_plan(segments: DataFrame, visuals: DataFrame, edits: DataFrame) ->
     bad = fd.checks(
         j,
         [
-            ("NARRATION_TARGET_UNKNOWN", F.col("mode").isNull()), ("NARRATION_NONEMPTY_TEXT_REQUIRED", F.trim("new_text") == ""),
+            ("NARRATION_TARGET_UNKNOWN", F.col("mode").isNull()), ("NARRATION_NONEMPTY_TEXT_REQUIRED", tx.strip("new_text") == ""),
             ("NARRATION_VOICEOVER_TARGET_REQUIRED", F.col("mode") != "voiceover"), ("NARRATION_TEXT_UNCHANGED", F.col("new_text") == F.col("old_text")),
         ],
         entity="segment_id",

@@ -3,8 +3,9 @@
 A plain window ``partitionBy(key)`` sends every row of a key to one task, which
 fails when one key holds a large share of the table.  ``scan`` splits each key into
 ordered *blocks*, runs the window inside ``(key, block)`` and adds what the blocks
-before (or after) contribute.  The block summary has one row per block, is built
-with map-side partial aggregation and only its ordered pass is per key.
+before (or after) contribute.  Rows are shuffled once by ``(key, block)``; the block
+summary (one row per block) is aggregated from that same shuffle, and only its ordered
+pass is per key.
 
 ``block`` must be a column that never decreases in the scan order, for example
 ``pos div 4096`` or ``start_us div 3600000000``.
@@ -30,6 +31,17 @@ def by_time(t_us, width_us: int = BLOCK_US) -> Column:
     return floor_div(col(t_us).cast("bigint"), F.lit(width_us).cast("bigint"))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` with all its columns kept: a branch of a plan that must stay equal to its
+    sibling, so that both read one shuffle instead of computing their input twice.
+
+    The condition always holds (the first part does); the second makes the optimizer
+    leave it where it is.
+    """
+    low = F.lit(-(2**63)).cast("bigint")
+    return df.where((F.xxhash64(*df.columns) >= low) | (F.spark_partition_id() < -1))
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -52,15 +64,17 @@ def scan(
     sums, maxes, mins_after = sums or {}, maxes or {}, mins_after or {}
     lags, leads = lags or {}, leads or {}
     blk = "__block"
-    src = df.withColumn(blk, block)
+    src = df.withColumn(blk, block).repartition(*keys, blk)
     inner = Window.partitionBy(*keys, blk).orderBy(*order)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    after = inner.rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at the last row is quadratic in Spark, so look back in reverse
+    reverse = Window.partitionBy(*keys, blk).orderBy(*[F.col(o).desc() for o in order])
+    after = reverse.rowsBetween(Window.unboundedPreceding, -1)
     local, summary, carry = [], [], []
     across = Window.partitionBy(*keys).orderBy(blk)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     out = {}
     rank = F.struct(*[F.col(o) for o in order])
     zero = F.lit(0).cast("bigint")
@@ -91,7 +105,7 @@ def scan(
         summary.append(F.min_by(boxed, rank).alias(f"__s_{n}"))
         carry.append(F.lead(f"__s_{n}").over(across).alias(f"__c_{n}"))
         out[n] = F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}"))["v"]
-    blocks = src.groupBy(*keys, blk).agg(*summary, F.count(F.lit(1)).alias("__n"))
+    blocks = pinned(src).groupBy(*keys, blk).agg(*summary)
     # keys with a single block need no carry row; this keeps the join side tiny
     carried = (
         blocks.select(*keys, blk, *carry, F.lag(blk).over(across).alias("__p"), F.lead(blk).over(across).alias("__q"))

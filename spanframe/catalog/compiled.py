@@ -10,12 +10,14 @@ from spanframe.catalog.registry import query
 from spanframe.catalog.timeline import PLACED, he
 from spanframe.operators import compile as cp
 from spanframe.operators import timeline as tl
+from spanframe.plans.rounds import cut_lineage
 
 TWO = ["entity_id", "rule_id"]
 
 
 def placed(spark, d):
-    return tl.place_clips(fx.clips(spark, d))
+    """The compiled timeline as a table of its own: the compilers read it several times."""
+    return cut_lineage(tl.place_clips(fx.clips(spark, d)))
 
 
 def layers(spark, d):
@@ -248,7 +250,12 @@ EVID = (
 
 def _mapped(spark, d):
     u, oc, ca = _evidence(spark, d)
-    return cp.evidence_map(u, oc, ca, placed(spark, d), retime=True)
+    mapped, bad = cp.evidence_map(u, oc, ca, placed(spark, d), retime=True)
+    return mapped, bad
+
+
+def _mapped_table(spark, d):
+    return cut_lineage(_mapped(spark, d)[0])
 
 
 query("evidence_map", sql(EVID + " SELECT work_id, occurrence_id, unit_id, out_start_us, out_end_us, 1 AS n_parts FROM mapped", "clips"))(lambda s, d: _mapped(s, d)[0])
@@ -277,7 +284,7 @@ def dependency_checks(spark, d):
     prev = F.concat(F.lit("u"), "work_id", F.lit("c"), F.col("ord") - 1)
     rq = c.select("work_id", F.concat(F.lit("u"), "clip_id").alias("unit_id"), prev.alias("dep_unit_id"), F.when(F.col("ord") % 2 == 0, "prerequisite").otherwise("context").alias("relation"))
     dp = c.where("ord % 5 <> 0").select("work_id", F.concat(F.lit("o"), "clip_id").alias("occurrence_id"), prev.alias("dep_unit_id"), F.concat(F.lit("o"), "work_id", F.lit("c"), F.col("ord") - F.when(F.col("ord") % 7 == 3, 2).otherwise(1)).alias("dep_occurrence_id"))
-    return cp.check_dependencies(_mapped(spark, d)[0], rq, dp).select(*TWO)
+    return cp.check_dependencies(_mapped_table(spark, d), rq, dp).select(*TWO)
 
 
 @query("missing_required", sql("SELECT work_id, 'u' || clip_id AS unit_id FROM clips WHERE ord % 3 = 0 AND NOT EXISTS (SELECT 1 FROM clips q WHERE q.clip_id = clips.clip_id AND q.gain_db < -4)", "clips"))
@@ -294,7 +301,7 @@ CHAP = EVID + """, mb AS (SELECT work_id, 'k' || ((ord - 1) // 2) AS chapter_id,
 def _chapters(spark, d):
     k = F.expr("(ord - 1) div 2")
     mb = fx.clips(spark, d).where("ord % 7 <> 6").select("work_id", F.concat(F.lit("k"), k).alias("chapter_id"), k.alias("ord"), F.concat(F.lit("o"), "clip_id").alias("occurrence_id"))
-    return cp.chapters(mb, _mapped(spark, d)[0])
+    return cp.chapters(mb, _mapped_table(spark, d))
 
 
 query("chapters", sql(CHAP + " SELECT * FROM cg", "clips"))(lambda s, d: _chapters(s, d)[0])
@@ -315,7 +322,7 @@ query(
 )
 def layer_hits(spark, d):
     y = cp.normalize_layers(layers(spark, d), placed(spark, d), canvas(spark, d))[0].where("start_frame >= 0")
-    return cp.layer_hits(_mapped(spark, d)[0], y, fx.FPS_NUM, fx.FPS_DEN).withColumn("layer_ids", F.array_join("layer_ids", ","))
+    return cp.layer_hits(_mapped_table(spark, d), y, fx.FPS_NUM, fx.FPS_DEN).withColumn("layer_ids", F.array_join("layer_ids", ","))
 
 
 def _events(spark, d):
@@ -323,7 +330,7 @@ def _events(spark, d):
     e = F.expr("(ord - 1) div 3")
     ro = c.where("ord % 10 <> 9").select("work_id", F.concat(F.lit("e"), e).alias("event_id"), F.element_at(F.array(*[F.lit(x) for x in cp.PHASES]), ((F.col("ord") - 1) % 3 + 1).cast("int")).alias("role"), F.concat(F.lit("o"), "clip_id").alias("occurrence_id"))
     ev = c.select("work_id", e.alias("k")).distinct().select("work_id", F.concat(F.lit("e"), "k").alias("event_id"), F.col("k").alias("ord"), F.when(F.col("k") == 1, "replay").when(F.col("k") == 2, "open").otherwise("complete").alias("mode"), F.when(F.col("k") == 1, "e0").when(F.col("k") == 3, "e0").alias("replay_of"))
-    return cp.event_map(ev, ro, _mapped(spark, d)[0])
+    return cp.event_map(ev, ro, _mapped_table(spark, d))
 
 
 EVENTS = EVID + """, ro AS (SELECT work_id, (ord - 1) // 3 AS k, (ord - 1) % 3 AS r, 'o' || clip_id AS occurrence_id FROM clips WHERE ord % 10 <> 9), ev AS (SELECT DISTINCT work_id, (ord - 1) // 3 AS k FROM clips),

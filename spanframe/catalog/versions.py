@@ -10,6 +10,7 @@ from spanframe.catalog.registry import query
 from spanframe.catalog.timeline import PLACED
 from spanframe.operators import timeline as tl
 from spanframe.operators import versions as vr
+from spanframe.plans.rounds import cut_lineage
 
 TWO = ["entity_id", "rule_id"]
 
@@ -55,7 +56,7 @@ TWO_LINES = PLACED + ", " + CAND + ", " + PLACED.replace("FROM clips)", "FROM ca
 )
 def frozen_checks(spark, d):
     c = fx.clips(spark, d)
-    a, b = tl.place_clips(c), tl.place_clips(cand(spark, d))
+    a, b = cut_lineage(tl.place_clips(c)), cut_lineage(tl.place_clips(cand(spark, d)))
     dur = c.where(F.col("work_id").cast("bigint") % 3 == 0).select("work_id").distinct()
     return vr.check_frozen(a, b, c.where("ord = 8").select("work_id", "clip_id"), c.where("ord = 3").select("work_id", "clip_id"), dur).select(*TWO)
 
@@ -68,7 +69,7 @@ COVER = """, it AS (SELECT work_id, clip_id AS item_id, out_start_us AS a, out_s
 
 @query("affected_items", sql(TWO_LINES + COVER, "clips"))
 def affected_items(spark, d):
-    a, b = tl.place_clips(fx.clips(spark, d)), tl.place_clips(cand(spark, d))
+    a, b = cut_lineage(tl.place_clips(fx.clips(spark, d))), cut_lineage(tl.place_clips(cand(spark, d)))
     items = a.select("work_id", F.col("clip_id").alias("item_id"), F.col("out_start_us").alias("start_us"), (F.col("out_start_us") + 2_000_000).alias("end_us"))
     return vr.affected(items, a, items, b)
 

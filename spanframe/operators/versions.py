@@ -9,7 +9,7 @@ from spanframe.functions.fingerprint import canonical, row_digest
 from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join
-from spanframe.plans.ordered import by_rows, scan
+from spanframe.plans.ordered import by_rows, by_time, positions, scan
 from spanframe.plans.rounds import cut_lineage
 
 
@@ -55,8 +55,8 @@ def check_frozen(a: DataFrame, b: DataFrame, scope: DataFrame, positions: DataFr
     return fd.union([one, two, three])
 
 
-def source_cover(items: DataFrame, timeline: DataFrame, bin_us: int = BIN_US) -> DataFrame:
-    """Source ranges under output spans: one digest per item (work_id, item_id)."""
+def source_parts(items: DataFrame, timeline: DataFrame, bin_us: int = BIN_US) -> DataFrame:
+    """Source ranges under output spans, numbered per item in output order."""
     t = timeline.select("work_id", "source_id", F.col("start_us").alias("c0"), "eff_source_end_us", "speed_num", "speed_den", F.col("out_start_us").alias("b_start_us"), F.col("out_end_us").alias("b_end_us"))
     p = interval_join(items.select("work_id", "item_id", "start_us", "end_us"), t, ["work_id"], bin_us=bin_us)
 
@@ -65,16 +65,22 @@ def source_cover(items: DataFrame, timeline: DataFrame, bin_us: int = BIN_US) ->
 
     lo = back(F.greatest("start_us", "b_start_us"))
     hi = F.least(F.col("eff_source_end_us"), back(F.least("end_us", "b_end_us")))
-    part = F.struct(F.col("b_start_us").alias("o"), F.concat_ws(":", "source_id", lo, hi).alias("t"))
-    g = p.groupBy("work_id", "item_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "|"), 256).alias("cover"))
-    return items.select("work_id", "item_id").join(g, ["work_id", "item_id"], "left").withColumn("cover", F.coalesce("cover", F.lit("")))
+    p = p.select("work_id", "item_id", "b_start_us", "source_id", lo.alias("lo"), hi.alias("hi"))
+    return positions(p, ["work_id", "item_id"], ["b_start_us", "source_id", "lo"], by_time("b_start_us"), "pos").drop("b_start_us")
 
 
 def affected(items_a: DataFrame, timeline_a: DataFrame, items_b: DataFrame, timeline_b: DataFrame) -> DataFrame:
-    """VR5: captions, tracks or layers of both revisions whose source cover changed."""
-    a = source_cover(items_a, timeline_a).withColumnRenamed("cover", "before")
-    b = source_cover(items_b, timeline_b).withColumnRenamed("cover", "after")
-    return a.join(b, ["work_id", "item_id"]).where("before <> after").select("work_id", "item_id")
+    """VR5: captions, tracks or layers of both revisions whose source cover changed.
+
+    The ordered parts are compared one by one, so an item over a whole long work is
+    never gathered.
+    """
+    key = ["work_id", "item_id"]
+    part = lambda n: F.struct("source_id", "lo", "hi").alias(n)
+    a = source_parts(items_a, timeline_a).select(*key, "pos", part("a"))
+    b = source_parts(items_b, timeline_b).select(*key, "pos", part("b"))
+    moved = a.join(b, [*key, "pos"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*key).distinct()
+    return moved.join(items_a.select(*key), key, "left_semi").join(items_b.select(*key), key, "left_semi")
 
 
 def invalidations(changes: DataFrame) -> DataFrame:
@@ -462,14 +468,13 @@ def stable_ids(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     explicit_id on the new side.
     """
     key = ["work_id", "segment_id"]
-
-    def whole(t):
-        return t.groupBy(*key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "visual_sha"))), lambda x: x["visual_sha"]), "|"), 256).alias("all"))
-
-    o = whole(old).withColumnRenamed("all", "o_all")
-    n = new.join(whole(new), key).join(o, key, "left").join(old.select(*key, "ord", "instance_id"), [*key, "ord"], "left")
+    at = [*key, "ord"]
+    before, after = old.select(*at, F.col("visual_sha").alias("v0")), new.select(*at, F.col("visual_sha").alias("v1"))
+    moved = before.join(after, at, "full").where(~F.col("v0").eqNullSafe(F.col("v1"))).select(*key).distinct().withColumn("__moved", F.lit(True))
+    known = old.select(*key).distinct().withColumn("__known", F.lit(True))
+    n = new.join(known, key, "left").join(moved, key, "left").join(old.select(*at, "instance_id"), at, "left")
     fresh = F.sha2(F.concat_ws("|", "work_id", "segment_id", "ord"), 256)
-    pick = F.coalesce("explicit_id", F.when(F.col("o_all") == F.col("all"), F.col("instance_id")).when(F.col("o_all").isNull(), fresh))
+    pick = F.coalesce("explicit_id", F.when(F.col("__known").isNull(), fresh).when(F.col("__moved").isNull(), F.col("instance_id")))
     n = n.withColumn("instance", pick)
     dup = n.where("instance is not null").groupBy("work_id", "instance").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bad = fd.finding(n, "LEGACY_VISUAL_IDENTITY_AMBIGUOUS", F.col("instance").isNull(), F.concat_ws("/", "segment_id", "ord"))

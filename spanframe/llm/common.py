@@ -48,14 +48,14 @@ def arrow_map(df: DataFrame, schema: str | T.StructType, step: Callable[[Iterato
     return df.mapInArrow(run, kind)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the cluster's shared folder and read it back.
 
     Later readers share the files, and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..catalog.registry import query
 from .common import crc_rest
 from .language import identify_language
 from .leaks import find_leaks
+from .packing import pack_transcripts
 from .rights import scan_rights
 
 
@@ -48,3 +50,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(cues).select(
         F.col("cue_id").alias("doc_id"), (crc_rest("cue_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected",
     )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packed pieces of documents, with a checksum of their ids."""
+    pieces, places = pack_transcripts(docs.select(F.col("doc_id").alias("source_id"), "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("row_no", F.col("source_id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")).join(places, ["row_no", "piece"]).drop("row_no")
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as transcripts, packed into sequences of 2048 tokens."""
+    return packed(table(spark, sf_dir, "documents"))

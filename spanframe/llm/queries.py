@@ -10,6 +10,7 @@ from ..catalog.registry import query
 from .common import crc_rest
 from .language import identify_language
 from .leaks import find_leaks
+from .outliers import screen_units
 from .packing import pack_transcripts
 from .rights import scan_rights
 
@@ -42,6 +43,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, as a scene unit's text of its source."""
+    units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), "text", "lang", F.col("source").alias("source_id"))
+    return screen_units(units).select(
+        F.col("unit_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("failed").alias("base_failed"), "kept", "distance",
+    )
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""

@@ -10,6 +10,7 @@ from ..catalog.registry import query
 from .common import crc_rest
 from .language import identify_language
 from .leaks import find_leaks
+from .links import judge_links
 from .outliers import screen_units
 from .packing import pack_transcripts
 from .rights import scan_rights
@@ -53,6 +54,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules of the contract.
+LINK_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("link_id"), "url")
+    return judge_links(links, LINK_RULES).select(F.col("link_id").alias("page_id"), "host", "path", "rule", "verdict", "matched", "confidence")
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""

@@ -14,6 +14,7 @@ from .links import judge_links
 from .outliers import screen_units
 from .packing import pack_transcripts
 from .rights import scan_rights
+from .wrappers import extract_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Packed pieces of documents, with a checksum of their ids."""
     pieces, places = pack_transcripts(docs.select(F.col("doc_id").alias("source_id"), "text"), public_tokenizers.path("byte_bpe_50k.json"))

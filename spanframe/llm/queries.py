@@ -10,6 +10,8 @@ from ..catalog.registry import query
 from .common import crc_rest
 from .language import identify_language
 from .leaks import find_leaks
+from .linededup import SQL as LINE_SQL
+from .linededup import dedup_lines
 from .links import judge_links
 from .outliers import screen_units
 from .packing import pack_transcripts
@@ -45,6 +47,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_line_dedup", LINE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as transcripts of sources, without line chunks that occur before."""
+    return dedup_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")).withColumnRenamed("source_id", "doc_id")
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, as a scene unit's text of its source."""

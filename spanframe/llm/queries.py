@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.registry import query
 from .common import crc_rest
+from .copies import find_near_copies
 from .language import identify_language
 from .leaks import find_leaks
 from .linededup import SQL as LINE_SQL
@@ -63,6 +64,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, as narration segments, on two-word shingles."""
+    segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
+    return find_near_copies(segments, words=2).withColumnRenamed("segment_id", "doc_id")
+
+
 # The rules of the contract.
 LINK_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),

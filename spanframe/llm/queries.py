@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import query
+from .classes import score_captions
 from .common import crc_rest
 from .copies import find_near_copies
 from .language import identify_language
@@ -84,6 +85,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_links(links, LINK_RULES).select(F.col("link_id").alias("page_id"), "host", "path", "rule", "verdict", "matched", "confidence")
 
 
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, as captions, by models of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    captions = docs.select(F.col("doc_id").alias("caption_id"), "text", (crc_rest("doc_id", 5) != 1).alias("train"))
+    return score_captions(captions).select(
+        F.col("caption_id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity",
+    )
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""

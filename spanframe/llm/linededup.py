@@ -46,7 +46,7 @@ def line_chunks(transcripts: DataFrame, divisor: int, long_words: int) -> DataFr
     return one.select("source_id", "c.chunk", "c.from_line", "c.to_line", F.array_join("c.parts", "\n").alias("text"))
 
 
-def dedup_lines(transcripts: DataFrame, divisor: int = 3, long_words: int = 50) -> DataFrame:
+def dedup_lines(transcripts: DataFrame, divisor: int = 3, long_words: int = 50, carried: list[str] | None = None) -> DataFrame:
     """Transcripts without the line chunks that occur before.
 
     transcripts(source_id, text): a source's lines, one to a line of ``text``. Chunks of
@@ -55,7 +55,7 @@ def dedup_lines(transcripts: DataFrame, divisor: int = 3, long_words: int = 50)
     inside them.
 
     Returns per transcript row: source_id, n_lines, n_removed (lines), n_left (lines with a word that
-    stay), text (the remaining lines).
+    stay), text (the remaining lines), and the columns named in ``carried``.
 
     Null text counts as empty; an empty text is one empty line. Ties cannot occur within a
     source; rows that repeat a source_id are one source, and what is removed is removed
@@ -77,10 +77,11 @@ def dedup_lines(transcripts: DataFrame, divisor: int = 3, long_words: int = 50)
             if(q = 0, 0, get(ranges, q - 1).to_line + 1) + 1,
             if(q = size(ranges), size(lines), get(ranges, q).from_line) - if(q = 0, 0, get(ranges, q - 1).to_line + 1))))))""")
     blank = r"[^\x20\x09-\x0D]".replace("\\", "\\\\")
-    found = transcripts.select("source_id", "text").join(ranges, "source_id", "left").select("source_id", F.expr(left).alias("r"))
+    found = transcripts.select("source_id", "text", *(carried or [])).join(ranges, "source_id", "left").select("source_id", F.expr(left).alias("r"), *(carried or []))
     return found.select(
         "source_id", F.col("r.n_lines").cast("long").alias("n_lines"), (F.col("r.n_lines") - F.size("r.left")).cast("long").alias("n_removed"),
         F.expr(f"size(filter(r.left, x -> x rlike '{blank}'))").cast("long").alias("n_left"), F.array_join("r.left", "\n").alias("text"),
+        *(carried or []),
     )
 
 

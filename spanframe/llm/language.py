@@ -16,36 +16,37 @@ from .common import arrow_map, blank_words, raw_text
 START, END = "\x02", "\x03"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MULT, FULL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-CACHE = 200_000  # words whose scores a task keeps at a time
+CACHE = 400_000  # words whose scores a task keeps at a time
 EVIDENCE = 25  # characters whose evidence the score counts at most
 NONE = "und"
 
 
-def letter_words(word: bytes) -> list[str]:
-    """Lower-cased letter runs of one blank-free word."""
-    return LETTERS.findall(word.decode("utf-8", "replace").lower())
+def letter_words(words: list[bytes]) -> Iterator[list[str]]:
+    """Lower-cased letter runs of each blank-free word."""
+    for w in b" ".join(words).decode("utf-8", "replace").lower().split(" "):
+        yield [w] if w.isalpha() else LETTERS.findall(w)
 
 
-def hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Hashes of the n-grams that end at each character of the bracketed words.
+def hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The n-grams that end at each character of the bracketed words.
 
-    Returns word numbers, offsets in the word, per order the hash of the last n
-    characters (0 where the word has fewer), and the mask of all but the starts.
+    Returns word numbers, offsets in the word, and per order the distinct hashes of the
+    last n characters with each character's place among them (any where the word has fewer).
     """
     text = "".join(START + w + END for w in words)
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
     sizes = np.array([len(w) + 2 for w in words])
     owner = np.repeat(np.arange(len(words)), sizes)
     offset = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grams, power, h = [], MULT, codes.copy()
-    grams.append(h)
+    power, h = MULT, codes
+    grams = [np.unique(h, return_inverse=True)]
     for n in range(2, order + 1):
         g = np.zeros(len(codes), np.uint64)
         g[n - 1 :] = h[n - 1 :] + codes[: len(codes) - n + 1] * np.uint64(power)
         g[offset < n - 1] = 0
-        grams.append(g)
+        grams.append(np.unique(g, return_inverse=True))
         h, power = g, power * MULT & FULL
-    return owner, offset, grams, offset > 0
+    return owner, offset, grams
 
 
 class Model:
@@ -109,20 +110,24 @@ class Model:
     def weights(names: list[str], back: dict[str, float]) -> np.ndarray:
         return np.log10(np.array([back.get(g, 1.0) for g in names])).astype(np.float32)
 
-    def score(self, owner: np.ndarray, grams: list[np.ndarray], offset: np.ndarray, mask: np.ndarray, n_words: int) -> np.ndarray:
-        """log10 probability of each word, its end included."""
+    def score(self, owner: np.ndarray, offset: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> np.ndarray:
+        """log10 probability of each word, its end included; each distinct n-gram is looked up once."""
         log, context = None, None
         for n, (keys, prob, weight) in enumerate(self.arrays, 1):
-            at = np.minimum(np.searchsorted(keys, grams[n - 1]), len(keys) - 1)
-            hit = (keys[at] == grams[n - 1]) & (offset >= n - 1)
+            some, place = grams[n - 1]
+            at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+            hit = keys[at] == some
+            own = np.where(hit, prob[at], np.float32(np.nan))[place]
             if n == 1:
-                log = np.where(hit, prob[at], np.float32(self.root + self.floor))
+                log = np.where(np.isnan(own), np.float32(self.root + self.floor), own)
             else:
                 back = np.zeros(len(log), np.float32)
                 back[1:] = context[:-1]
-                log = np.where(hit, prob[at], log + np.where(offset >= n - 1, back, np.float32(0)))
-            context = np.where(hit, weight[at], np.float32(0))
-        return np.bincount(owner[mask], weights=log[mask], minlength=n_words)
+                full = offset >= n - 1
+                log = np.where(full & ~np.isnan(own), own, log + np.where(full, back, np.float32(0)))
+            context = np.where(hit, weight[at], np.float32(0))[place]
+        inner = offset > 0
+        return np.bincount(owner[inner], weights=log[inner], minlength=n_words)
 
 
 def sample_rows(cues: DataFrame, rows_per_language: int) -> DataFrame:
@@ -144,8 +149,8 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
         for b in batches:
             found: dict[tuple[str, str], int] = defaultdict(int)
             for lang, raw in zip(b["lang"], b["raw"], strict=True):
-                for w in blank_words(raw):
-                    for part in letter_words(w):
+                for parts in letter_words(blank_words(raw)):
+                    for part in parts:
                         found[lang, part] += 1
             yield {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
 
@@ -174,17 +179,16 @@ class Judge:
 
     def learn(self, words: list[bytes]) -> None:
         parts, owner = [], []
-        for i, w in enumerate(words):
-            for p in letter_words(w):
-                parts.append(p)
-                owner.append(i)
+        for i, some in enumerate(letter_words(words)):
+            parts += some
+            owner += [i] * len(some)
         logs = np.zeros((len(words), len(self.langs)))
         chars = np.zeros(len(words), np.int64)
         for cut in range(0, len(parts), 50_000):
             some, own = parts[cut : cut + 50_000], np.array(owner[cut : cut + 50_000])
-            who, offset, grams, mask = hashes(some, self.order)
+            who, offset, grams = hashes(some, self.order)
             for k, lang in enumerate(self.langs):
-                logs[:, k] += np.bincount(own, weights=self.models[lang].score(who, grams, offset, mask, len(some)), minlength=len(words))
+                logs[:, k] += np.bincount(own, weights=self.models[lang].score(who, offset, grams, len(some)), minlength=len(words))
             chars += np.bincount(own, weights=[len(p) + 1 for p in some], minlength=len(words)).astype(np.int64)
         self.table, self.length = np.concatenate([self.table, logs]), np.concatenate([self.length, chars])
 

@@ -154,11 +154,13 @@ def best_fit(rest: dict[int, int], full: int) -> list[tuple[tuple[int, ...], int
     return [(p, n) for held in open_.values() for p, n in held]
 
 
-def plan_sequences(histogram: dict[int, int], full: int, per_length: int = 24, passes: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan_sequences(histogram: dict[int, int], full: int, per_length: int = 24) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, repeats) that use each length exactly as often as it occurs.
 
-    The patterns are fitted and rounded, the rest is fitted again, and what is then left
-    goes into sequences by best fit. The work depends on ``full``, not on the counts.
+    Exact pairs are fitted and rounded first, then on what is left pairs with a waste of at
+    most 1/64, then exact triples; what is left goes into sequences by best fit. Patterns
+    with the longest piece are rounded first, as long pieces have the fewest partners.
+    The work depends on ``full``, not on the counts.
     """
     rest = np.zeros(full + 1, np.int64)
     for size, n in histogram.items():
@@ -167,18 +169,18 @@ def plan_sequences(histogram: dict[int, int], full: int, per_length: int = 24, p
     if rest[full]:
         made[(full,)] = int(rest[full])
         rest[full] = 0
-    for _ in range(passes):
+    for pieces, waste in ((2, 0), (2, full // 64), (3, 0)):
         lengths = np.flatnonzero(rest)
         if len(lengths) < 2:
             break
         patterns = enumerate_patterns(lengths, full, per_length)
-        patterns = patterns[patterns.sum(1) == full]
+        patterns = patterns[(full - patterns.sum(1) <= waste) & ((patterns > 0).sum(1) <= pieces)]
         if not len(patterns):
-            break
+            continue
         x = fit_counts(patterns, rest.astype(float))
-        for k in np.argsort(-x, kind="stable"):
+        for k in np.lexsort((-x, -patterns.sum(1), -patterns.max(1))):
             if x[k] <= 0.02:
-                break
+                continue
             need = Counter(int(v) for v in patterns[k] if v)
             n = min(max(1, round(float(x[k]))), *(int(rest[v]) // m for v, m in need.items()))
             if n > 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -14,10 +15,11 @@ from .common import arrow_map, blank_words, raw_text, written
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 5  # sorted orders, hashes in each, hashes that make a region
-REGION_ROWS = 1_000  # a region with more rows is split at its full depth
-WINDOW = 32  # neighbours on one side that the scan looks at; what lies beyond is compared by region
-NEAREST = 3  # links a text that are tried first
-BITS = 96  # of 128 sketch bits that must agree: at similarity 0.8 115 do, with a deviation of 3.4
+WINDOW, STRONG = 1_024, 32  # rows on that the scan looks for a row's nearest and strongest candidate
+EDGE = 64  # rows at an end of a range that are scanned with the next range
+NEAREST = 4  # candidates a text that are confirmed one by one; the others meet in tiles
+TILE = 192
+BITS = 100  # of 128 sketch bits that must agree: at similarity 0.8 115 do, with a deviation of 3.4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = 300_000  # word hashes that a task keeps at a time
 
@@ -97,37 +99,98 @@ def forest(nodes: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(sorted_rows: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, agree): per row of a sorted order the nearest row behind it that shares a region and agrees by sketch and size."""
+def scan(rows: list[np.ndarray], fresh: int, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j and agreeing bits: each row's nearest and strongest agreeing rows behind it in its region.
+
+    ``rows`` are tree, region, node, n, bits1, bits2 in sorted order; rows before ``fresh``
+    were met before, and only pairs with a later row are looked for. The nearest is
+    looked for up to ``WINDOW`` rows on, the strongest up to ``STRONG``.
+    """
+    tree, region, _, n, one, two = rows
+    alive = np.arange(len(tree))  # rows whose region reaches on
+    near, strong = np.full(len(tree), -1, np.int64), np.full(len(tree), -1, np.int64)
+    bits = np.zeros(len(tree), np.int64)
+    first = np.zeros(len(tree), np.int64)
+    for o in range(1, WINDOW + 1):
+        alive = alive[alive + o < len(tree)]
+        alive = alive[(tree[alive] == tree[alive + o]) & (region[alive] == region[alive + o])]
+        if o > STRONG:
+            alive = alive[near[alive] < 0]
+        if not len(alive):
+            break
+        i = alive[alive + o >= fresh]
+        j = i + o
+        same = 128 - np.bitwise_count((one[i] ^ one[j]).view(np.uint64)).astype(np.int64) - np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
+        good = (same >= BITS) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        i, j, same = i[good], j[good], same[good]
+        new = near[i] < 0
+        near[i[new]], first[i[new]] = j[new], same[new]
+        more = same > bits[i]
+        strong[i[more]], bits[i[more]] = j[more], same[more]
+    i = np.concatenate([np.flatnonzero(near >= 0), np.flatnonzero((strong >= 0) & (strong != near))])
+    cut = int((near >= 0).sum())
+    return i, np.concatenate([near[i[:cut]], strong[i[cut:]]]), np.concatenate([first[i[:cut]], bits[i[cut:]]])
+
+
+ROW = ["tree", "prefix", "node", "n", "bits1", "bits2"]
+
+
+def arrays(b: dict[str, list]) -> list[np.ndarray]:
+    prefix = np.frombuffer(b"".join(b["prefix"]), np.uint8).reshape(-1, DEPTH * 4)[:, : LEAST_DEPTH * 4]
+    region = np.ascontiguousarray(prefix).view(f"V{LEAST_DEPTH * 4}").ravel()
+    return [np.array(b["tree"], np.int64), region, *(np.array(b[k], np.int64) for k in ROW[2:])]
+
+
+def found_pairs(rows: list[np.ndarray], fresh: int, similarity: int) -> dict[str, list]:
+    i, j, agree = scan(rows, fresh, similarity)
+    node = rows[2]
+    return {"a": np.minimum(node[i], node[j]).tolist(), "b": np.maximum(node[i], node[j]).tolist(), "agree": agree.tolist()}
+
+
+def neighbours(rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, agree): candidates from the sorted order of each tree.
+
+    The order is dealt out by ranges that may cut a region anywhere; the rows at both
+    ends of each range are scanned again with those of the next.
+    """
+    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(partitions, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
 
     def step(batches: Iterator[dict[str, list]]):
-        held = None
+        held, head, part = None, None, TaskContext.get().partitionId()
+        empty = {k: [] for k in ("a", "b", "agree", "seam", *ROW)}
+
+        def edge(some: dict[str, list], seam: int):
+            k = len(some["node"])
+            return {**empty, **{c: [None] * k for c in ("a", "b", "agree")}, "seam": [seam] * k, **some}
+
+        tail: dict[str, list] = {k: [] for k in ROW}
         for b in batches:
-            tree = np.array(b["tree"], np.int64)
-            prefix = np.frombuffer(b"".join(b["prefix"]), f"S{LEAST_DEPTH * 4}") if LEAST_DEPTH == DEPTH else np.frombuffer(b"".join(b["prefix"]), np.uint8).reshape(-1, DEPTH * 4)[:, : LEAST_DEPTH * 4]
-            rows = [tree, np.ascontiguousarray(prefix).view(f"V{LEAST_DEPTH * 4}").ravel(), *(np.array(b[k], np.int64) for k in ("node", "n", "bits1", "bits2"))]
-            fresh = 0
+            if not b["node"]:
+                continue
+            now, fresh = arrays(b), 0
             if held is not None:
                 fresh = len(held[0])
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            held = [x[-WINDOW:] for x in rows]
-            tree, prefix, node, n, one, two = rows
-            best = np.full(len(node), -1, np.int64)
-            agree = np.zeros(len(node), np.int64)
-            for o in range(1, min(WINDOW, len(node) - 1) + 1):
-                i = np.flatnonzero(best[:-o] < 0)
-                i = i[(i + o >= fresh)]
-                j = i + o
-                near = (tree[i] == tree[j]) & (prefix[i] == prefix[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-                i, j = i[near], j[near]
-                same = 128 - np.bitwise_count((one[i] ^ one[j]).view(np.uint64)).astype(np.int64) - np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
-                good = same >= BITS
-                best[i[good]], agree[i[good]] = j[good], same[good]
-            i = np.flatnonzero(best >= 0)
-            j = best[i]
-            yield {"a": np.minimum(node[i], node[j]).tolist(), "b": np.maximum(node[i], node[j]).tolist(), "agree": agree[i].tolist()}
-
-    return arrow_map(sorted_rows, "a bigint, b bigint, agree bigint", step)
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            held = [x[-WINDOW:] for x in now]
+            if head is None:
+                head = {k: b[k][:EDGE] for k in ROW}
+                yield edge(head, part - 1)
+            tail = {k: (tail[k] + b[k])[-EDGE:] for k in ROW}
+            out = found_pairs(now, fresh, similarity)
+            yield {**out, **{c: [None] * len(out["a"]) for c in ("seam", *ROW)}}
+        yield edge(tail, part)
+
+    schema = "a bigint, b bigint, agree bigint, seam int, tree int, prefix binary, node bigint, n bigint, bits1 bigint, bits2 bigint"
+    met = written(arrow_map(ordered.select(*ROW), schema, step), "met")
+
+    def seams(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(ROW).to_pylist(), key=lambda r: (r["tree"], r["prefix"], r["node"]))
+        out = found_pairs(arrays({k: [r[k] for r in rows] for k in ROW}), 0, similarity)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    across = met.where("seam IS NOT NULL").select("seam", *ROW).groupBy("seam").applyInArrow(seams, "a bigint, b bigint, agree bigint")
+    return met.where("a IS NOT NULL").select("a", "b", "agree").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -158,28 +221,61 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -
     return arrow_map(pairs.select("a", "b").join(left, "a").join(right, "b"), "a bigint, b bigint", step)
 
 
-def rest_pairs(rows: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """All pairs of a region in different components: rows outside its largest component against the whole region.
-
-    A region is the rows of a tree that share ``LEAST_DEPTH`` hashes, or all ``DEPTH`` of
-    them where more than ``REGION_ROWS`` share the first.
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of membership tables in slices of the hashes."""
+    every = np.unique(np.concatenate([*left, *right]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for cut in range(0, len(every), 8_192):
+        part = every[cut : cut + 8_192]
+        tables = []
+        for sets in (left, right):
+            table = np.zeros((len(sets), len(part)), np.float32)
+            for k, s in enumerate(sets):
+                table[k, np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])])] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def rest_links(candidates: DataFrame, roots: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links across the components that are left inside a cluster of candidates.
+
+    A cluster is a connected set of candidate pairs, confirmed or not. Where it holds
+    several components, all members outside the largest are compared with all members,
+    on full sets, in tiles of about ``TILE`` by ``TILE`` texts: a pair of tiles is a task's work,
+    no pair is a row, and a member gives one link to each other component at most.
     """
-    labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = labelled.withColumns({"wide": F.xxhash64("tree", F.expr(f"substring(prefix, 1, {LEAST_DEPTH * 4})")), "deep": F.xxhash64("tree", "prefix")})
-    labelled = written(labelled.select("node", "n", "bits1", "bits2", "root", "wide", "deep"), "labelled")
-    sizes = labelled.groupBy("wide").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    mixed = labelled.join(sizes.select("wide", "rows"), "wide").withColumn("region", F.when(F.col("rows") > REGION_ROWS, F.col("deep")).otherwise(F.col("wide"))).drop("wide", "deep", "rows")
-    mixed = written(mixed, "mixed")
-    by = mixed.groupBy("region", "root").agg(F.count("*").alias("n_root"))
-    top = by.groupBy("region").agg(F.max(F.struct("n_root", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("region", F.col("top.root").alias("main"))
-    some = written(mixed.join(top, "region"), "regions")
-    minor = some.where("root != main").select("region", *[F.col(c).alias("m_" + c) for c in ("node", "n", "bits1", "bits2", "root")])
-    agree = F.lit(128) - F.bit_count(F.col("bits1").bitwiseXOR(F.col("m_bits1"))) - F.bit_count(F.col("bits2").bitwiseXOR(F.col("m_bits2")))
-    # two rows outside the largest component meet twice; the one with the larger node asks
-    wanted = (F.col("root") != F.col("m_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("m_node")))
-    size = 100 * F.least("n", "m_n") >= similarity * F.greatest("n", "m_n")
-    met = minor.join(some, (minor["region"] == some["region"]) & wanted & size & (agree >= BITS))
-    return met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b")).distinct()
+    clusters = components(candidates).select("node", F.col("root").alias("cluster")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    clusters = written(clusters, "clusters")
+    by = clusters.groupBy("cluster", "root").agg(F.count("*").alias("k"))
+    mixed = by.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
+    some = clusters.join(mixed.select("cluster", F.col("top.root").alias("main"), "members", (F.col("members") - F.col("top.k")).alias("minors")), "cluster")
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("node"), tiles(c)).cast("int")
+    row = ["cluster", "node", "root"]
+    spread = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
+    asked = some.where("root != main").select(*row, F.lit(True).alias("asks"), place("minors").alias("x"), spread("members").alias("y"))
+    against = some.select(*row, F.lit(False).alias("asks"), spread("minors").alias("x"), place("members").alias("y"))
+    placed = asked.unionByName(against).join(texts, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = np.array(table["asks"].to_pylist(), bool)
+        make, out = Shingler(words), {"a": [], "b": []}
+        nodes, root = np.array(table["node"].to_pylist(), np.int64), np.array(table["root"].to_pylist(), np.int64)
+        sets = [make.shingles(t) for t in table["text"].to_pylist()]
+        i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if len(i) and len(j):
+            both = shared_counts([sets[k] for k in i], [sets[k] for k in j])
+            size = np.array([len(x) for x in sets], np.int64)
+            linked = (100 * both >= similarity * (size[i][:, None] + size[j][None, :] - both)) & (root[i][:, None] != root[j][None, :])
+            for k in np.flatnonzero(linked.any(1)):
+                there = j[linked[k]]
+                _, one = np.unique(root[there], return_index=True)
+                out["a"] += [int(nodes[i[k]])] * len(one)
+                out["b"] += nodes[there[one]].tolist()
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return placed.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint")
 
 
 def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -190,10 +286,13 @@ def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80)
     linked if 100 * intersection >= ``similarity`` * union; groups are connected
     components.
 
-    Equal sets are one node. Each node stands in ``TREES`` orders sorted by signature.
-    First each row's nearest agreeing neighbours are confirmed on the full sets; then, in
-    every region that still holds several components, all pairs across them.
-    At similarity 0.8 two texts share a region with probability 0.998.
+    Equal sets are one node. Each node stands in ``TREES`` orders sorted by signature; rows
+    that share ``LEAST_DEPTH`` hashes are a region, and within it neighbours by longer
+    common prefix come first, so that a dense region is searched deeper. Each row's nearest
+    and strongest neighbours that agree by sketch are candidates. The strongest are
+    confirmed on the full sets; then, in each cluster of candidates that holds several
+    components, all members outside the largest are compared with all others. At
+    similarity 0.8 two texts share a region with probability 0.998.
 
     Returns per segment row: segment_id, n_shingles, component_id (smallest segment_id of
     its group), kept (it is that segment).
@@ -207,16 +306,12 @@ def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80)
     nodes = full.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("segment_id").alias("least_id"), F.first("n_shingles").alias("n"),
                                        F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
-    rows = forest(nodes)
-    partitions = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(partitions, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    found = neighbours(ordered, similarity).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    found = written(neighbours(forest(nodes), similarity), "candidates")
     near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
     tried = found.withColumn("k", near).where(F.col("k") <= NEAREST).select("a", "b")
     texts = made.select(F.col("row_no").alias("node"), "text")
-    first = written(confirmed(tried, texts, words, similarity), "links")
-    roots = components(first)
-    more = written(confirmed(rest_pairs(rows, roots, similarity), texts, words, similarity), "links")
+    roots = components(written(confirmed(tried, texts, words, similarity), "links"))
+    more = written(rest_links(found, roots, texts, words, similarity), "links")
     if more.head(1):
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanframe import fixtures as fx
@@ -241,16 +242,57 @@ def frame_runs(spark, d):
     return iv.frame_runs(frames(spark, d), ["source_id"])
 
 
-@query("playback_runs")
+# Frames in milliseconds for 30 frames a second: on the grid with holes of a tick, every fourth source 34 ms apart, some shifted or short.
+GRID = """g0 AS (SELECT CAST(user_id AS VARCHAR) AS source_id, user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+ gf AS (SELECT source_id, i, CASE WHEN user_id % 4 = 0 THEN 34 * i ELSE (100 * i) // 3 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END END AS pts, 33 - CASE WHEN event_id % 13 = 0 THEN 12 ELSE 0 END AS duration FROM g0),
+ gs AS (SELECT source_id, i, (i * 1024000 + 22050) // 44100 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS pts, 1024 AS samples FROM g0)"""
+
+
+def grid_frames(spark, d):
+    e = fx.table(spark, d, "events")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return e.select(F.col("user_id").cast("string").alias("source_id"), "user_id", "event_id", i.cast("bigint").alias("i"))
+
+
+def near_sql(x, u):
+    return f"(({x}) // {u} + CASE WHEN 2 * (({x}) % {u}) > {u} OR 2 * (({x}) % {u}) = {u} AND (({x}) // {u}) % 2 = 1 THEN 1 ELSE 0 END)"
+
+
+GOOD = f"({near_sql('x.e - x.s', 1000)} >= 1 AND abs(x.e - x.s - {near_sql('x.e - x.s', 1000)} * 1000) <= 30)"
+ON = f"(abs(x.s - w.anchor - {near_sql('x.s - w.anchor', 1000)} * 1000) <= 30)"
+BREAK = f"(x.s - w.reach > 30 OR x.s > w.reach AND NOT ({GOOD} AND 2 * (x.s - w.reach) < 1000 AND {ON} AND w.clean))"
+
+
+@query(
+    "playback_runs",
+    f"""WITH RECURSIVE {GRID}, r AS (SELECT *, pts * 30 AS s, (pts + duration) * 30 AS e FROM gf),
+     w(source_id, i, pts, duration, anchor, clean, reach, run) AS (SELECT source_id, i, pts, duration, s, {GOOD}, e, 1 FROM r x WHERE i = 0
+     UNION ALL SELECT x.source_id, x.i, x.pts, x.duration, CASE WHEN {BREAK} THEN x.s ELSE w.anchor END, CASE WHEN {BREAK} THEN {GOOD} ELSE w.clean AND {ON} AND {GOOD} END, greatest(w.reach, x.e), w.run + CASE WHEN {BREAK} THEN 1 ELSE 0 END
+     FROM w JOIN r x ON x.source_id = w.source_id AND x.i = w.i + 1)
+     SELECT source_id, min(pts) AS start_pts, max(pts + duration) AS end_pts, count(*) AS n_frames FROM w GROUP BY source_id, run""",
+)
 def playback_runs(spark, d):
-    f = frames(spark, d).select("source_id", "pts", "duration", F.lit(60).alias("tb_num"), F.lit(1).alias("tb_den"), F.lit(1).alias("fps_num"), F.lit(1800).alias("fps_den"))
-    return iv.playback_runs(f, ["source_id"])
+    shift = F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    pts = F.when(F.col("user_id") % 4 == 0, 34 * F.col("i")).otherwise(F.expr("div(100 * i, 3)") + shift)
+    f = grid_frames(spark, d).select("source_id", pts.alias("pts"), (33 - F.when(F.col("event_id") % 13 == 0, 12).otherwise(0)).cast("bigint").alias("duration"))
+    return iv.playback_runs(f.select("*", F.lit(1).alias("tb_num"), F.lit(1000).alias("tb_den"), F.lit(30).alias("fps_num"), F.lit(1).alias("fps_den")), ["source_id"])
+
 
+SPLIT = f"(x.s - w.reach > 44100 OR x.s > w.reach AND x.pts <> {near_sql('w.anchor + w.so_far * 1000', 44100)})"
 
-@query("sample_runs")
+
+@query(
+    "sample_runs",
+    f"""WITH RECURSIVE {GRID}, r AS (SELECT *, pts * 44100 AS s, pts * 44100 + samples * 1000 AS e FROM gs),
+     w(source_id, i, pts, samples, e, anchor, so_far, reach, run) AS (SELECT source_id, i, pts, samples, e, s, samples, e, 1 FROM r WHERE i = 0
+     UNION ALL SELECT x.source_id, x.i, x.pts, x.samples, x.e, CASE WHEN {SPLIT} THEN x.s ELSE w.anchor END, CASE WHEN {SPLIT} THEN 0 ELSE w.so_far END + x.samples, greatest(w.reach, x.e), w.run + CASE WHEN {SPLIT} THEN 1 ELSE 0 END
+     FROM w JOIN r x ON x.source_id = w.source_id AND x.i = w.i + 1)
+     SELECT source_id, min(pts) AS start_pts, CAST(sum(samples) AS BIGINT) AS samples, max(e) AS end_units, count(*) AS n_blocks FROM w GROUP BY source_id, run""",
+)
 def sample_runs(spark, d):
-    f = frames(spark, d).select("source_id", "pts", (F.col("duration") * 60 * 50 + 1).alias("samples"), F.lit(50).alias("rate"), F.lit(60).alias("tb_num"), F.lit(1).alias("tb_den"))
-    return iv.sample_runs(f, ["source_id"])
+    pts = F.expr("div(i * 1024000 + 22050, 44100)") + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    f = grid_frames(spark, d).select("source_id", pts.alias("pts"), F.lit(1024).cast("bigint").alias("samples"))
+    return iv.sample_runs(f.select("*", F.lit(44100).alias("rate"), F.lit(1).alias("tb_num"), F.lit(1000).alias("tb_den")), ["source_id"])
 
 
 @query("stitched_windows", islands_sql("SELECT source_id, start_us, end_us FROM islands"))

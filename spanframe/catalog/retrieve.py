@@ -66,18 +66,18 @@ def exclusion_reasons(spark, d):
 @query(
     "term_idf_rank",
     sql(
-        CAND + f""", r AS (SELECT *, row_number() OVER (PARTITION BY beat_id ORDER BY score DESC, direct DESC, unit_id) AS rank FROM x WHERE reason IS NULL)
-     SELECT beat_id, unit_id, round(score, 6) AS score, direct, rank FROM r WHERE rank <= {LIMIT}""",
+        CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY beat_id ORDER BY score DESC, direct DESC, unit_id) AS rank FROM x WHERE reason IS NULL)
+     SELECT beat_id, unit_id, round(score, 6) AS score, direct, rank FROM r""",
         "units", "beats", "beat_spans",
     ),
 )
 def term_idf_rank(spark, d):
-    return rs.rank(_candidates(spark, d), LIMIT).withColumn("score", F.round("score", 6))
+    return rs.rank(_candidates(spark, d)).withColumn("score", F.round("score", 6)).select("beat_id", "unit_id", "score", "direct", "rank")
 
 
 def _ranked(spark, d):
     w = fx.beats(spark, d).select("work_id", "beat_id")
-    return rs.rank(_candidates(spark, d), LIMIT).join(w, "beat_id")
+    return rs.rank(_candidates(spark, d)).join(w, "beat_id")
 
 
 @query("retrieval_pool")

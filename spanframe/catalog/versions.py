@@ -23,7 +23,14 @@ def cand(spark, d):
 
 
 CAND = """cand AS (SELECT * REPLACE (CASE WHEN gain_db = -3 THEN end_us + 400000 ELSE end_us END AS end_us, CASE WHEN ord = 2 AND gain_db = -7 THEN 'x' ELSE source_id END AS source_id) FROM clips WHERE ord % 9 <> 8)"""
-CANON = "sha256('end_us=' || end_us || '|source_id=' || source_id || '|start_us=' || start_us)"
+
+
+def frame(*values):
+    """SQL for the framed form of values: ``length:text``, NULL as ``~``."""
+    return " || ".join(f"coalesce(length(({v})::VARCHAR) || ':' || ({v}), '~')" for v in values)
+
+
+CANON = "sha256(" + " || ".join(f"'{c}=' || {frame(c)}" for c in ("end_us", "source_id", "start_us")) + ")"
 COLS = ["start_us", "end_us", "source_id"]
 
 query("fingerprint_clips", sql(f"SELECT clip_id, {CANON} AS digest FROM clips", "clips"))(lambda s, d: vr.fingerprint(fx.clips(s, d), COLS).select("clip_id", "digest"))
@@ -195,7 +202,7 @@ query("revision_head", sql(REV + " SELECT work_id, max(seq) AS seq, arg_max(doc,
 
 @query(
     "revision_restore",
-    sql(REV + """, h AS (SELECT work_id, max(seq) AS h FROM rv GROUP BY 1) SELECT rv.work_id, h + 1 AS seq, h AS parent, doc, sha256(rv.work_id || '|' || (h + 1) || '|' || digest) AS version FROM rv JOIN h USING (work_id) WHERE rv.seq = 2""", "revisions"),
+    sql(REV + """, h AS (SELECT work_id, max(seq) AS h FROM rv GROUP BY 1) SELECT rv.work_id, h + 1 AS seq, h AS parent, doc, sha256(""" + frame("rv.work_id", "h + 1", "digest") + """) AS version FROM rv JOIN h USING (work_id) WHERE rv.seq = 2""", "revisions"),
 )
 def revision_restore(spark, d):
     r = rev(spark, d)
@@ -265,6 +272,39 @@ def budget_fold(spark, d):
     return vr.budget_fold(r, s.select(F.col("work_id").alias("budget_key")).distinct().withColumn("limit", F.lit(60_000_000).cast("bigint")))
 
 
+BOOK = "(p.reserved + p.spent + x.amount <= 60000000 AND coalesce(p.held[x.task_id], -1) < 0 AND x.amount >= 0)"
+HAS = "(coalesce(p.held[x.task_id], -1) >= 0 AND x.amount >= 0)"
+PAID = "list_contains(p.paid, x.task_id)"
+OK = f"CASE x.kind WHEN 'reserve' THEN {BOOK} WHEN 'correct' THEN {PAID} ELSE {HAS} END"
+
+
+@query(
+    "budget_ledger",
+    sql(
+        f"""e0 AS (SELECT work_id AS b, segment_id AS task_id, ord * 8 + k AS seq, CASE WHEN k IN (0, 5) THEN 'reserve' WHEN k = 6 THEN 'correct' WHEN ord % 3 = 1 THEN 'release' ELSE 'settle' END AS kind,
+       CASE WHEN k IN (0, 5) THEN planned_us WHEN k = 6 THEN -500000 ELSE planned_us * 11 // 10 END AS amount FROM segments, (VALUES (0), (3), (5), (6)) v(k) WHERE k < 5 OR ord % 2 = 0),
+     e AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY seq) AS n FROM e0),
+     p(b, n, task_id, seq, kind, accepted, reserved, spent, held, paid) AS (SELECT DISTINCT b, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), false, CAST(0 AS BIGINT), CAST(5000000 AS BIGINT), CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)), CAST([] AS VARCHAR[]) FROM e
+     UNION ALL SELECT x.b, x.n, x.task_id, x.seq, x.kind, {OK},
+       p.reserved + CASE WHEN NOT {OK} THEN 0 WHEN x.kind = 'reserve' THEN x.amount WHEN x.kind = 'correct' THEN 0 ELSE -p.held[x.task_id] END,
+       p.spent + CASE WHEN {OK} AND x.kind IN ('settle', 'correct') THEN x.amount ELSE 0 END,
+       CASE WHEN NOT {OK} OR x.kind = 'correct' THEN p.held WHEN x.kind = 'reserve' THEN map_concat(p.held, MAP {{x.task_id: CAST(x.amount AS BIGINT)}}) ELSE map_concat(p.held, MAP {{x.task_id: CAST(-1 AS BIGINT)}}) END,
+       CASE WHEN {OK} AND x.kind = 'settle' THEN list_append(p.paid, x.task_id) ELSE p.paid END
+     FROM p JOIN e x ON x.b = p.b AND x.n = p.n + 1)
+     SELECT b AS budget_key, task_id, seq, kind, accepted, reserved, spent FROM p WHERE n > 0""",
+        "segments",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def budget_ledger(spark, d):
+    s = fx.segments(spark, d)
+    k = s.select("work_id", "segment_id", "ord", "planned_us", F.explode(F.array(*[F.lit(v) for v in (0, 3, 5, 6)])).alias("k")).where("k < 5 or ord % 2 = 0")
+    kind = F.when(F.col("k").isin(0, 5), "reserve").when(F.col("k") == 6, "correct").when(F.col("ord") % 3 == 1, "release").otherwise("settle")
+    amount = F.when(F.col("k").isin(0, 5), F.col("planned_us")).when(F.col("k") == 6, -500_000).otherwise(F.expr("div(planned_us * 11, 10)"))
+    entries = k.select(F.col("work_id").alias("budget_key"), F.col("segment_id").alias("task_id"), (F.col("ord") * 8 + F.col("k")).alias("seq"), kind.alias("kind"), amount.alias("amount"))
+    budgets = s.select(F.col("work_id").alias("budget_key")).distinct().select("*", F.lit(60_000_000).alias("limit"), F.lit(5_000_000).alias("opening"))
+    return vr.budget_ledger(entries, budgets)
+
+
 @query(
     "adoption_gate",
     """WITH t AS (SELECT o_orderkey AS i, o_orderstatus AS s, o_orderkey % 6 = 0 AS cn, o_orderkey % 4 = 1 AS hc, o_orderkey % 9 AS cost, o_custkey FROM orders), r AS (SELECT l_orderkey AS i, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax)) AS d, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax)) % 3 AS h FROM lineitem GROUP BY 1)
@@ -318,7 +358,7 @@ def dirty_stages(spark, d):
 @query(
     "variant_lineage",
     """WITH RECURSIVE v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey - 1 - o_custkey % 3 END AS up FROM orders), u AS (SELECT id, CASE WHEN up >= 0 THEN up END AS up FROM v), r(id, root, d) AS (SELECT id, id, 0 FROM u WHERE up IS NULL UNION ALL SELECT u.id, root, d + 1 FROM u JOIN r ON u.up = r.id)
-     SELECT id AS variant_id, root AS root_id, CAST(d AS BIGINT) AS depth FROM r""",
+     SELECT id AS variant_id, root AS root_id, CAST(d AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS finding FROM r""",
 )
 def variant_lineage(spark, d):
     i = F.col("o_orderkey")
@@ -379,7 +419,7 @@ query("narration_findings", sql(NARR + " SELECT segment_id AS entity_id, 'NARRAT
     sql(
         """o AS (SELECT segment_id, ord, unit_id AS v, 'i' || segment_id || '-' || ord AS inst FROM visuals WHERE CAST(segment_id AS BIGINT) % 5 <> 0), n AS (SELECT work_id, segment_id, ord, CASE WHEN CAST(segment_id AS BIGINT) % 7 = 0 AND ord = 1 THEN 'zz' ELSE unit_id END AS v, CASE WHEN CAST(segment_id AS BIGINT) % 14 = 0 THEN 'x' || segment_id || ord END AS ex FROM visuals),
      oa AS (SELECT segment_id, string_agg(v, '|' ORDER BY ord, v) AS a FROM o GROUP BY 1), na AS (SELECT segment_id, string_agg(v, '|' ORDER BY ord, v) AS a FROM n GROUP BY 1)
-     SELECT n.segment_id, n.ord, coalesce(ex, CASE WHEN oa.a = na.a THEN o.inst WHEN oa.a IS NULL THEN sha256(n.work_id || '|' || n.segment_id || '|' || n.ord) END) AS instance_id FROM n JOIN na USING (segment_id) LEFT JOIN oa USING (segment_id) LEFT JOIN o ON o.segment_id = n.segment_id AND o.ord = n.ord""",
+     SELECT n.segment_id, n.ord, coalesce(ex, CASE WHEN oa.a = na.a THEN o.inst WHEN oa.a IS NULL THEN sha256(""" + frame("n.work_id", "n.segment_id", "n.ord") + """) END) AS instance_id FROM n JOIN na USING (segment_id) LEFT JOIN oa USING (segment_id) LEFT JOIN o ON o.segment_id = n.segment_id AND o.ord = n.ord""",
         "visuals",
     ),
 )

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from spanframe.functions.clock import col
 
 
-def canonical(cols, types: dict | None = None) -> Column:
-    """``name=value`` pairs in name order joined by ``|``; NULL is written as ``\\N``."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(cols)]
-    return F.concat_ws("|", *parts)
+def framed(*values) -> Column:
+    """Values one after the other, each as ``length:text``; NULL is ``~``.
+
+    The length tells where a value ends, so no two lists of values have one form.
+    """
+    text = [col(v).cast("string") for v in values]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in text])
+
+
+def canonical(cols) -> Column:
+    """``name=`` and the framed value of each column, in name order."""
+    return F.concat(*[F.concat(F.lit(f"{c}="), framed(F.col(c))) for c in sorted(cols)])
 
 
 def sha(c) -> Column:

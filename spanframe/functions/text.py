@@ -20,23 +20,46 @@ MARKUP = r"<[^>]+>|\{\\[^}]+\}"
 HIDDEN_STATE = r"(?i)早就知道|心里|内心|动机|believ|secretly knew|intends? to"
 REPLAY_LABEL = r"(?i)(\breplay\b|重放|回放)"
 SEP = "\u0001"  # never part of a caption: removed as white space or control
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]+|[0-9]+);?"
 # White space as the reference counts it: ASCII plus the Unicode separators.
 SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
 
 
 def strip(c) -> Column:
-    """Text without leading and trailing white space (``trim`` only drops blanks)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Text without leading and trailing white space of any script (``trim`` only drops blanks)."""
+    return F.regexp_replace(col(c), rf"\A{SPACE}|{SPACE}\z", "")
 
 
 def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACE, " "))
 
 
+def numeric_entities(c) -> Column:
+    """Decimal and hexadecimal character references as their characters.
+
+    The text is cut at the references; each is turned into a code point, and those out
+    of range, surrogates and 0 become U+FFFD.
+    """
+    c = col(c)
+
+    def decoded(ref):
+        body = F.lower(F.regexp_extract(ref, "[xX]?[0-9a-fA-F]+", 0))
+        hexed = body.startswith("x")
+        digits = F.regexp_replace(body, "^x?0*(?=.)", "")
+        code = F.when(F.length(digits) > 8, F.lit(0)).when(hexed, F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+
+    parts = F.split(c, NUMERIC_ENTITY)
+    refs = F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), F.lit(0))
+    whole = F.array_join(F.flatten(F.zip_with(parts, F.transform(refs, decoded), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(c.contains("&#"), whole).otherwise(c)
+
+
 def clean_text(c) -> Column:
-    """Strip tags, unescape the common entities, turn ``\\N`` into a space, squeeze."""
-    out = F.regexp_replace(col(c), MARKUP, "")
+    """Strip tags, unescape numeric and the common named entities, turn ``\\N`` into a space, squeeze."""
+    out = numeric_entities(F.regexp_replace(col(c), MARKUP, ""))
     for name, value in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(value))
     out = F.replace(F.replace(out, F.lit("\\N"), F.lit(" ")), F.lit("\\n"), F.lit(" "))

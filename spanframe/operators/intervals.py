@@ -1,19 +1,22 @@
 """Interval algebra over ``(key, start_us, end_us)`` rows.
 
-Spans are half-open.  Every operator is lazy, except the two run splitters that
-iterate to a fixpoint.  No operator collects a key into one task: ordered passes go
-through :func:`spanframe.plans.ordered.scan`, pair tests through time bins.
+Spans are half-open.  Ordered passes go through :func:`spanframe.plans.ordered.scan`
+and pair tests through time bins, so no key is collected into one task.  The two run
+splitters stream each key's rows through one task with constant memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanframe.functions.clock import half_even, overlap_us, wide
+from spanframe.functions.clock import overlap_us, wide
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join, prefixed
+from spanframe.plans.folds import fold_ordered
 from spanframe.plans.ordered import BLOCK_US, by_time, pinned, positions, scan
 from spanframe.plans.rounds import cut_lineage
 
@@ -257,40 +260,30 @@ def check_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b)
 
 
-def _split_runs(rows: DataFrame, keys: list[str], extra: dict, holds, bad, max_rounds: int) -> DataFrame:
-    """Cut ordered rows into runs where a bridge depends on the run's own anchor.
+def _nearest(x: int, unit: int) -> int:
+    """Multiple of ``unit`` nearest to ``x``, ties to the even one."""
+    q, r = divmod(x, unit)
+    return q + (2 * r > unit or 2 * r == unit and q % 2 == 1)
+
+
+def _runs(rows: DataFrame, keys: list[str], carried: list[str], start: Callable[[], dict], begins: Callable[[dict, dict], bool]) -> DataFrame:
+    """Adds ``__run``: rows in order of ``__s``, a new run wherever ``begins(state, row)``.
 
-    ``rows`` has ``__s, __e`` (start and end in integer units), ``__gap`` (distance to
-    the reach of earlier rows, NULL on the first) and ``__cut`` (true where a run must
-    begin).  Each round finds the anchor of every run, then cuts each run at its first
-    row that bridges a hole without ``holds``; rounds end when nothing is cut.
-    ``bad`` marks rows after which no later row of the same run may bridge.
+    Whether a hole is bridged depends on where the run began, so the pass is a fold.
     """
-    block = by_time("__s", 3_600_000)
-    for _ in range(max_rounds):
-        r = scan(rows, keys, ["__s"], block, sums={"__run": F.col("__cut").cast("bigint"), **{f"__x_{n}": e for n, e in extra.items()}})
-        anchor = r.where("__cut").select(
-            *keys, "__run", F.col("__s").alias("__a"), *[(F.col(f"__x_{n}") - e).alias(f"__a_{n}") for n, e in extra.items()]
-        )
-        r = r.join(anchor, [*keys, "__run"])
-        r = r.withColumn("__holds", holds(r)).withColumn("__bad", bad(r))
-        spoil = r.where("__bad").groupBy(*keys, "__run").agg(F.min("__s").alias("__spoil"))
-        r = r.join(spoil, [*keys, "__run"], "left")
-        broken = r.where(
-            (~F.col("__cut")) & (F.col("__gap") > 0) & (~F.col("__holds") | (F.col("__spoil") < F.col("__s")))
-        )
-        first = broken.groupBy(*keys, "__run").agg(F.min("__s").alias("__s")).select(*keys, "__s", F.lit(True).alias("__more"))
-        nxt = cut_lineage(
-            r.select(*rows.columns).join(first, [*keys, "__s"], "left").withColumn("__cut", F.col("__cut") | F.coalesce("__more", F.lit(False)))
-        )
-        changed = nxt.where("__more").limit(1).count()
-        rows = nxt.drop("__more")
-        if not changed:
-            return scan(rows, keys, ["__s"], block, sums={"__run": F.col("__cut").cast("bigint")})
-    raise RuntimeError(f"runs did not settle in {max_rounds} rounds")
+    kinds = dict(rows.dtypes)
+    names = [*keys, *carried]
 
+    def step(state: dict, row: dict) -> tuple:
+        if begins(state, row):
+            state["run"] += 1
+        return (*[row[c] for c in names], state["run"])
 
-def playback_runs(frames: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __run bigint"
+    return fold_ordered(rows, keys, ["__s", "__e"], schema, lambda: {"run": 0, **start()}, step)
+
+
+def playback_runs(frames: DataFrame, keys: list[str]) -> DataFrame:
     """IV15: runs for playback; a hole of at most one tick is bridged while every
     start and length of the run lies on the local frame grid (within one tick).
 
@@ -301,25 +294,29 @@ def playback_runs(frames: DataFrame, keys: list[str], max_rounds: int = 200) ->
     tick = (F.col("tb_num") * F.col("fps_num")).cast("bigint")
     nominal = (F.col("fps_den") * F.col("tb_den")).cast("bigint")
     r = frames.select(*keys, "pts", "duration", tick.alias("__tick"), nominal.alias("__nom"), (F.col("pts") * tick).alias("__s"), ((F.col("pts") + F.col("duration")) * tick).alias("__e"))
-    block = by_time("__s", 3_600_000)
-    r = scan(r, keys, ["__s"], block, maxes={"__reach": F.col("__e")})
-    r = r.withColumn("__gap", F.col("__s") - F.col("__reach"))
-    steps = half_even(F.col("__e") - F.col("__s"), F.col("__nom"))
-    r = r.withColumn("__len_ok", (steps >= 1) & (F.abs(F.col("__e") - F.col("__s") - steps * F.col("__nom")) <= F.col("__tick")))
-    hard = F.col("__gap").isNull() | (F.col("__gap") > F.col("__tick")) | ((F.col("__gap") > 0) & (~F.col("__len_ok") | (F.col("__gap") * 2 >= F.col("__nom"))))
-    r = r.withColumn("__cut", hard)
-
-    def on_grid(x):
-        off = F.col("__s") - F.col("__a")
-        return F.abs(off - half_even(off, F.col("__nom")) * F.col("__nom")) <= F.col("__tick")
-
-    out = _split_runs(r, keys, {}, on_grid, lambda x: ~(on_grid(x) & F.col("__len_ok")), max_rounds)
+
+    def begins(run: dict, f: dict) -> bool:
+        tick, nom, length = f["__tick"], f["__nom"], f["__e"] - f["__s"]
+        frames_long = _nearest(length, nom)
+        good_length = frames_long >= 1 and abs(length - frames_long * nom) <= tick
+        hole = None if run["reach"] is None else f["__s"] - run["reach"]
+        off = 0 if hole is None else f["__s"] - run["anchor"]
+        on_grid = abs(off - _nearest(off, nom) * nom) <= tick
+        small = hole is not None and hole <= tick
+        new = not small or hole > 0 and not (good_length and 2 * hole < nom and on_grid and run["clean"])
+        if new:
+            run["anchor"], run["clean"], on_grid = f["__s"], True, True
+        run["clean"] = run["clean"] and on_grid and good_length
+        run["reach"] = max(f["__e"], f["__e"] if run["reach"] is None else run["reach"])
+        return new
+
+    out = _runs(r, keys, ["pts", "duration"], lambda: {"reach": None, "anchor": None, "clean": True}, begins)
     return out.groupBy(*keys, "__run").agg(
         F.min("pts").alias("start_pts"), F.max(F.col("pts") + F.col("duration")).alias("end_pts"), F.count(F.lit(1)).alias("n_frames")
     ).drop("__run")
 
 
-def sample_runs(blocks: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def sample_runs(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """IV16: audio blocks to runs; one tick is bridged when the time stamp equals the
     run's start plus its accumulated sample count.
 
@@ -331,15 +328,18 @@ def sample_runs(blocks: DataFrame, keys: list[str], max_rounds: int = 200) -> Da
         *keys, "pts", F.col("samples").cast("bigint").alias("samples"), tick.alias("__tick"), F.col("tb_den").cast("bigint").alias("__den"),
         (F.col("pts") * tick).alias("__s"), (F.col("pts") * tick + F.col("samples") * F.col("tb_den")).alias("__e"),
     )
-    r = scan(r, keys, ["__s"], by_time("__s", 3_600_000), maxes={"__reach": F.col("__e")})
-    r = r.withColumn("__gap", F.col("__s") - F.col("__reach"))
-    r = r.withColumn("__cut", F.col("__gap").isNull() | (F.col("__gap") > F.col("__tick")))
 
-    def expected(x):
-        so_far = F.col("__x_n") - F.col("samples") - F.col("__a_n")
-        return F.col("pts") == half_even(wide(1, F.col("__a")) + wide(so_far, F.col("__den")), F.col("__tick"))
-
-    out = _split_runs(r, keys, {"n": F.col("samples")}, expected, lambda x: F.lit(False), max_rounds)
+    def begins(run: dict, b: dict) -> bool:
+        hole = None if run["reach"] is None else b["__s"] - run["reach"]
+        due = hole is not None and b["pts"] == _nearest(run["anchor"] + run["samples"] * b["__den"], b["__tick"])
+        new = hole is None or hole > b["__tick"] or hole > 0 and not due
+        if new:
+            run["anchor"], run["samples"] = b["__s"], 0
+        run["samples"] += b["samples"]
+        run["reach"] = max(b["__e"], b["__e"] if run["reach"] is None else run["reach"])
+        return new
+
+    out = _runs(r, keys, ["pts", "samples", "__e"], lambda: {"reach": None, "anchor": None, "samples": 0}, begins)
     return out.groupBy(*keys, "__run").agg(
         F.min("pts").alias("start_pts"), F.sum("samples").alias("samples"), F.max("__e").alias("end_units"), F.count(F.lit(1)).alias("n_blocks")
     ).drop("__run")
@@ -363,7 +363,7 @@ def reconcile(obs: DataFrame, key: list[str], identity: list[str]) -> tuple[Data
     return both.where("__kinds = 1").drop("__kinds"), both.where("__kinds > 1").drop("__kinds")
 
 
-def chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """IV19: maximal chains over ``edges(src, dst)`` between ``nodes(id)``.
 
     Edges that share a source or a target with another edge are dropped and returned
@@ -383,10 +383,7 @@ def chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> tuple[Da
         "dist", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint")
     ).withColumn("head", F.when(F.col("up").isNull(), F.col("id")))
     state = cut_lineage(state)
-    for _ in range(max_rounds):
-        open_rows = state.where("head is null").count()
-        if open_rows == 0:
-            break
+    while open_rows := state.where("head is null").count():
         anc = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("head").alias("h2"))
         todo = state.where("head is null").drop("head")
         step = todo.join(anc, "up").select(
@@ -426,7 +423,7 @@ def timed_rows_to_spans(rows: DataFrame, keys: list[str], block_us: int = MERGE_
     return merge_spans(spans, keys, 0, block_us)
 
 
-def chains_from(jump: DataFrame, keys: list[str], at: str, to: str, first: int, max_rounds: int = 64) -> DataFrame:
+def chains_from(jump: DataFrame, keys: list[str], at: str, to: str, first: int) -> DataFrame:
     """All positions reached from ``first`` by following ``at -> to`` (always forward).
 
     Reached sets double each round: with jumps of length 2^k from every position,
@@ -437,7 +434,7 @@ def chains_from(jump: DataFrame, keys: list[str], at: str, to: str, first: int,
     got = jump.where(F.col(at) == first).select(*keys, F.col(at).alias("a"))
     got = cut_lineage(got)
     size = got.count()
-    for _ in range(max_rounds):
+    while True:
         more = got.join(hop, [*keys, "a"]).select(*keys, F.col("b").alias("a"))
         got = cut_lineage(got.unionByName(more).distinct())
         new = got.count()

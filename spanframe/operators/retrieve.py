@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -98,57 +99,70 @@ def exclusions(scores: DataFrame, direct: DataFrame, units: DataFrame, sources:
     return c.select("beat_id", "unit_id", "score", "direct", reason.alias("reason"))
 
 
-def rank(cand: DataFrame, limit: int = 160) -> DataFrame:
-    """RS5: the first ``limit`` units per beat by score, direct evidence first, id."""
+def rank(cand: DataFrame) -> DataFrame:
+    """RS5: the units of each beat by score, direct evidence first, id; nothing is cut.
+
+    Ranks are positions: equal scores share a block however many there are, so a beat's
+    rows spread over tasks.
+    """
     kept = cand.where("reason is null").drop("reason")
-    order = [F.col("score").desc(), F.col("direct").desc(), F.col("unit_id").asc()]
-    return top_n(kept, ["beat_id"], order, limit, F.col("unit_id"))
+    # a total order as one column, so that the ordered scan can cut blocks by it
+    ranked = positions(kept.withColumn("__neg", -F.col("score")).withColumn("__late", ~F.col("direct")), ["beat_id"], ["__neg", "__late", "unit_id"], F.floor(F.col("__neg") * 4).cast("bigint"), "rank")
+    return ranked.drop("__neg", "__late")
 
 
 POOL_SCHEMA = "work_id string, beat_id string, unit_id string, pick int, direct boolean, role string"
 
 
+def front_rows(ranked: DataFrame, limit: int) -> DataFrame:
+    """Of each beat the first ``limit`` direct rows and the first ``limit`` others.
+
+    A round robin that takes at most ``limit`` units in all passes over fewer than
+    ``limit`` taken ones in a queue, so it never looks behind these rows.
+    """
+    parts = [top_n(ranked.where(F.col("direct") == d), ["beat_id"], [F.col("rank")], limit, F.col("unit_id"), name="__k").drop("__k") for d in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
 def pick_pool(ranked: DataFrame, limit: int = 160, explore: float = 0.15, budget: int | None = None, size_fn: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
     """RS6: round-robin over the beats of a work, in the order of their SHA-256.
 
     No unit twice, at most ``limit * explore`` picks without direct evidence, total
-    ``size_fn`` (UF2) within ``budget``.  The choice is sequential by definition; the
-    group is one work's ranked rows, at most ``limit`` per beat.
+    ``size_fn`` (UF2) within ``budget``.  Without a budget only each beat's front rows are
+    gathered; with one, a beat's small rows may stand anywhere, so all its rows are.
     """
     cap = int(limit * explore)
+    direct_units = ranked.where("direct").select("work_id", "unit_id").distinct().withColumn("__any", F.lit(True))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sha", "beat_id", "rank"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["sha", "beat_id", "rank"], kind="stable")
         rows["size"] = size_fn(rows) if size_fn else 0
-        direct_any = set(rows.unit_id[rows.direct])
-        queues = [list(g.itertuples()) for _, g in rows.groupby(["sha", "beat_id"], sort=True)]
-        at = [0] * len(queues)
-        out, taken, spent, explored, moved = [], set(), 0, 0, True
-        while len(out) < limit and moved:
-            moved = False
-            for i, q in enumerate(queues):
-                while at[i] < len(q) and len(out) < limit:
-                    r = q[at[i]]
-                    at[i] += 1
-                    if r.unit_id in taken or (not r.direct and explored >= cap):
-                        continue
-                    if budget is not None and spent + r.size > budget:
-                        continue
-                    taken.add(r.unit_id)
-                    spent += r.size
-                    explored += not r.direct
-                    role = "direct_evidence" if r.direct or r.unit_id in direct_any else "context"
-                    out.append((r.work_id, r.beat_id, r.unit_id, len(out) + 1, bool(r.direct), role))
-                    moved = True
-                    break
-        return pd.DataFrame(out, columns=["work_id", "beat_id", "unit_id", "pick", "direct", "role"])
-
-    rows = ranked.withColumn("sha", F.sha2(F.col("beat_id"), 256))
+        taken: dict[str, tuple] = {}
+        room = {"explore": cap, "bytes": budget}
+
+        def admits(r) -> bool:
+            return r.unit_id not in taken and (r.direct or room["explore"] > 0) and (budget is None or r.size <= room["bytes"])
+
+        waiting = deque(iter(list(g.itertuples())) for _, g in rows.groupby(["sha", "beat_id"], sort=True))
+        while waiting and len(taken) < limit:
+            queue = waiting.popleft()
+            r = next(filter(admits, queue), None)
+            if r is None:
+                continue  # this beat has nothing more to offer
+            waiting.append(queue)
+            taken[r.unit_id] = (r.work_id, r.beat_id, r.unit_id, len(taken) + 1, bool(r.direct), "direct_evidence" if r.any_direct else "context")
+            room["explore"] -= not r.direct
+            if budget is not None:
+                room["bytes"] -= r.size
+        return pd.DataFrame(list(taken.values()), columns=["work_id", "beat_id", "unit_id", "pick", "direct", "role"])
+
+    rows = (front_rows(ranked, limit) if budget is None else ranked).withColumn("sha", F.sha2(F.col("beat_id"), 256))
+    rows = rows.join(direct_units, ["work_id", "unit_id"], "left").withColumn("any_direct", F.coalesce("__any", F.lit(False))).drop("__any")
     return rows.groupBy("work_id").applyInPandas(fold, POOL_SCHEMA)
 
 
 def pool_coverage(beats: DataFrame, ranked: DataFrame, pool: DataFrame) -> DataFrame:
-    """RS7: what the pool offers each beat; beats without direct units stay unknown."""
+    """RS7: what the pool offers each beat, by the uncut ranking; beats without direct units stay unknown."""
     sel = ranked.join(pool.select("work_id", "unit_id"), ["work_id", "unit_id"], "left_semi")
     g = sel.groupBy("work_id", "beat_id").agg(F.count(F.lit(1)).alias("n_selected"), F.count_if("direct").alias("n_direct"))
     out = beats.select("work_id", "beat_id").join(g, ["work_id", "beat_id"], "left").na.fill(0, ["n_selected", "n_direct"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.functions.fingerprint import canonical, row_digest
+from spanframe.functions.fingerprint import canonical, framed, row_digest
 from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join
+from spanframe.plans.folds import fold_ordered
 from spanframe.plans.ordered import by_rows, by_time, positions, scan
 from spanframe.plans.rounds import cut_lineage
 
@@ -203,7 +204,7 @@ def preview_patch(latest: DataFrame, patch: DataFrame, keys: list[str], col: str
 
 def token(work, seq, digest):
     """Chained version token of a revision."""
-    return F.sha2(F.concat_ws("|", work, seq.cast("string"), digest), 256)
+    return F.sha2(framed(work, seq, digest), 256)
 
 
 def check_log(rev: DataFrame) -> DataFrame:
@@ -288,36 +289,66 @@ def billing(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.select("task_id", "event_key", "seq", "amount_micros", (F.col("amount_micros") - F.coalesce("__p", F.lit(0))).alias("delta_micros"), F.col("__p").isNotNull().alias("correction")), bad
 
 
-def budget_fold(requests: DataFrame, budgets: DataFrame, max_rounds: int = 200) -> DataFrame:
+def budget_fold(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """VR15: reserve requests in order; one that exceeds the rest of the budget is
     refused and does not count.
 
-    Refusals make the fold sequential, but between refusals it is a prefix sum.  Each
-    round settles, for every budget, all requests up to its first refusal at once, so
-    the rounds follow the largest number of refusals that are later answered by an
-    acceptance; requests larger than everything that is left are refused in bulk.
+    A refusal depends on all acceptances before it, so each budget is one streamed fold.
     ``requests``: budget_key, request_id, seq, amount.  ``budgets``: budget_key, limit.
     """
-    cols = ["budget_key", "request_id", "seq", "amount"]
-    todo = cut_lineage(requests.select(*cols).join(budgets.select("budget_key", F.col("limit").alias("left")), "budget_key").withColumn("used", F.lit(0).cast("bigint")))
-    done = []
-    for _ in range(max_rounds):
-        # nothing that exceeds the present rest can be accepted later: the rest only shrinks
-        over = F.col("amount") > F.col("left") - F.col("used")
-        done.append(todo.where(over).select("budget_key", "request_id", "seq", F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("reserved")))
-        live = todo.where(~over)
-        s = scan(live, ["budget_key"], ["seq"], by_rows("seq"), sums={"run": F.col("amount")})
-        s = s.withColumn("run", F.col("run") + F.col("used"))
-        stop = s.where("run > left").groupBy("budget_key").agg(F.min("seq").alias("stop"))
-        s = cut_lineage(s.join(stop, "budget_key", "left"))
-        fit = s.where("stop is null or seq < stop")
-        done.append(fit.select("budget_key", "request_id", "seq", F.lit(True).alias("accepted"), F.col("run").alias("reserved")))
-        spent = fit.groupBy("budget_key").agg(F.max("run").alias("__u"))
-        rest = s.where("seq >= stop").drop("run", "stop").join(spent, "budget_key", "left")
-        todo = cut_lineage(rest.withColumn("used", F.coalesce("__u", "used")).drop("__u"))
-        if todo.limit(1).count() == 0:
-            return fd.union(done)
-    raise RuntimeError(f"budgets did not settle in {max_rounds} rounds")
+    rows = requests.select("budget_key", "request_id", "seq", F.col("amount").cast("bigint").alias("amount")).join(budgets.select("budget_key", F.col("limit").cast("bigint").alias("limit")), "budget_key")
+
+    def step(used: list, r: dict) -> tuple:
+        fits = r["amount"] <= r["limit"] - used[0]
+        used[0] += r["amount"] if fits else 0
+        return r["budget_key"], r["request_id"], r["seq"], fits, used[0] if fits else None
+
+    kinds = dict(rows.dtypes)
+    schema = f"budget_key {kinds['budget_key']}, request_id {kinds['request_id']}, seq {kinds['seq']}, accepted boolean, reserved bigint"
+    return fold_ordered(rows, ["budget_key"], ["seq", "request_id"], schema, lambda: [0], step)
+
+
+def budget_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
+    """VR15: reservations, settlements and releases of tasks against a budget, in order.
+
+    ``entries``: budget_key, task_id, seq, kind, amount.  ``reserve`` holds an amount if it
+    fits beside what is reserved and spent; ``settle`` turns the task's reservation into
+    an actual cost, which may be smaller or larger and is paid either way; ``release``
+    gives the reservation back; ``correct`` moves what the task has cost by a signed
+    amount.  ``budgets``: budget_key, limit, opening (already spent, NULL is 0).
+
+    Returns each entry with ``accepted``, ``reserved`` and ``spent`` after it.  A settlement or
+    release of a task that holds nothing, a second reservation of one that does, and a
+    correction of one that has not been settled are refused and change nothing.
+    """
+    b = budgets.select("budget_key", F.col("limit").cast("bigint").alias("limit"), F.coalesce(F.col("opening").cast("bigint"), F.lit(0)).alias("opening"))
+    rows = entries.select("budget_key", "task_id", "seq", "kind", F.coalesce(F.col("amount").cast("bigint"), F.lit(0)).alias("amount")).join(b, "budget_key")
+
+    def step(books: dict, r: dict) -> tuple:
+        held, paid, task, amount = books["held"], books["paid"], r["task_id"], r["amount"]
+        if books["spent"] is None:
+            books["spent"] = r["opening"]
+        ok = False
+        if r["kind"] == "reserve":
+            ok = task not in held and amount >= 0 and books["reserved"] + books["spent"] + amount <= r["limit"]
+            if ok:
+                held[task] = amount
+                books["reserved"] += amount
+        elif r["kind"] in ("settle", "release"):
+            ok = task in held and amount >= 0
+            if ok:
+                books["reserved"] -= held.pop(task)
+                if r["kind"] == "settle":
+                    books["spent"] += amount
+                    paid.add(task)
+        elif r["kind"] == "correct":
+            ok = task in paid
+            books["spent"] += amount if ok else 0
+        return r["budget_key"], task, r["seq"], r["kind"], ok, books["reserved"], books["spent"]
+
+    kinds = dict(rows.dtypes)
+    schema = f"budget_key {kinds['budget_key']}, task_id {kinds['task_id']}, seq {kinds['seq']}, kind string, accepted boolean, reserved bigint, spent bigint"
+    return fold_ordered(rows, ["budget_key"], ["seq", "task_id"], schema, lambda: {"held": {}, "paid": set(), "reserved": 0, "spent": None}, step)
 
 
 def adoption_gate(tasks: DataFrame, reviews: DataFrame, heads: DataFrame) -> DataFrame:
@@ -365,46 +396,54 @@ def recompute_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("work_id", "node_id", action.alias("action"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """VR20/GR3: everything reachable over ``edges(keys, src, dst)`` from ``seeds(keys, id)``.
 
-    A frontier loop: each round joins only the newly found nodes, written to the
-    checkpoint folder; it ends when a round finds nothing.
+    A frontier loop: the edges are written once, partitioned by their source; each round
+    joins only the newly found nodes and ends the loop when it finds none.  The rounds
+    follow the depth of the graph.
     """
     on = [*keys, "id"]
+    e = cut_lineage(edges.select(*keys, F.col("src").alias("id"), "dst").distinct())
     seen = cut_lineage(seeds.select(*on).distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
-    e = edges.select(*keys, F.col("src").alias("id"), F.col("dst"))
-    while depth < max_rounds:
+    while True:
         depth += 1
         nxt = front.join(e, on).select(*keys, F.col("dst").alias("id")).distinct().join(seen.select(*on), on, "left_anti")
         front = cut_lineage(nxt.withColumn("depth", F.lit(depth)))
-        if front.limit(1).count() == 0:
+        if not front.head(1):
             return seen
         seen = seen.unionByName(front)
         if depth % 8 == 0:
             seen = cut_lineage(seen)
-    raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 
-def lineage(variants: DataFrame, max_rounds: int = 64) -> DataFrame:
+def lineage(variants: DataFrame) -> DataFrame:
     """VR21: root and depth of each variant by pointer doubling.
 
     ``variants``: variant_id, parent_id (NULL at a root).  A parent that is not listed is
-    its own root.
+    its own root.  After as many doublings as the longest possible chain needs, a row
+    that still moves is on a cycle or below one: its root_id and depth are NULL and its
+    finding is LINEAGE_CYCLE.
     """
     v = variants.select(F.col("variant_id").alias("id"), F.col("parent_id").alias("up"))
     v = v.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint")).withColumn("up", F.coalesce("up", "id"))
     v = cut_lineage(v)
-    for _ in range(max_rounds):
+    moving = F.lit(False)
+    for _ in range(v.count().bit_length() + 1):
         p = v.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        n = v.join(p, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("up2", "up") != F.col("up")).alias("__m"))
+        n = v.join(p, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("d2", F.lit(0)) > 0).alias("__m"))
         n = cut_lineage(n)
-        moved = n.where("__m").limit(1).count()
-        v = n.drop("__m")
-        if not moved:
-            return v.select(F.col("id").alias("variant_id"), F.col("up").alias("root_id"), "depth")
-    raise RuntimeError("variant lineage has a cycle")
+        v, moving = n.drop("__m"), F.col("__m")
+        if not n.where("__m").head(1):
+            break
+    else:
+        v = n
+    bad = moving if "__m" in v.columns else F.lit(False)
+    return v.select(
+        F.col("id").alias("variant_id"), F.when(~bad, F.col("up")).alias("root_id"), F.when(~bad, F.col("depth")).alias("depth"),
+        F.when(bad, F.lit("LINEAGE_CYCLE")).alias("finding"),
+    )
 
 
 CONFIRMED = ["recorded-consensus", "process-decision", "explicit-action"]
@@ -473,7 +512,7 @@ def stable_ids(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = before.join(after, at, "full").where(~F.col("v0").eqNullSafe(F.col("v1"))).select(*key).distinct().withColumn("__moved", F.lit(True))
     known = old.select(*key).distinct().withColumn("__known", F.lit(True))
     n = new.join(known, key, "left").join(moved, key, "left").join(old.select(*at, "instance_id"), at, "left")
-    fresh = F.sha2(F.concat_ws("|", "work_id", "segment_id", "ord"), 256)
+    fresh = F.sha2(framed(F.col("work_id"), F.col("segment_id"), F.col("ord")), 256)
     pick = F.coalesce("explicit_id", F.when(F.col("__known").isNull(), fresh).when(F.col("__moved").isNull(), F.col("instance_id")))
     n = n.withColumn("instance", pick)
     dup = n.where("instance is not null").groupBy("work_id", "instance").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -74,6 +74,13 @@ def test_playback_run_bridges_one_tick_only_on_the_grid(spark):
     assert strict == [("a", 0, 66), ("a", 67, 166), ("a", 167, 200), ("b", 0, 53), ("b", 54, 87)]
 
 
+def test_a_long_clip_off_the_grid_settles(spark):
+    ddl = "source_id string, pts long, duration long, tb_num int, tb_den int, fps_num int, fps_den int"
+    f = spark.createDataFrame([("a", 34 * i, 33, 1, 1000, 30, 1) for i in range(1000)], ddl)
+    runs = sorted((r.start_pts, r.n_frames) for r in iv.playback_runs(f, ["source_id"]).collect())
+    assert sum(n for _, n in runs) == 1000 and runs[:2] == [(0, 2), (68, 2)] and len(runs) == 500
+
+
 def test_sample_runs_follow_the_sample_count(spark):
     ddl = "source_id string, pts long, samples long, rate int, tb_num int, tb_den int"
     # 1024 samples at 44.1 kHz in milliseconds: starts 0, 23, 46, 70 are the rounded counts

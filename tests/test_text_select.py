@@ -12,33 +12,35 @@ from spanframe.operators import text as tx
 from spanframe.operators import versions as vr
 
 
-def units(s):
-    return len(re.sub(r"\s+", "", s))
-
-
-def pack(text, limit):
-    parts = [p.strip() for p in re.split(r"(?<=[。！？!?；;，,])", re.sub(r"\s+", " ", text).strip()) if p.strip()]
-    out, open_ = [], ""
-    for p in parts:
-        if units(open_ + p) <= limit:
-            open_ += p
-            continue
-        out.append(open_.strip())
-        while units(p) > limit:
-            out.append(p[:limit].strip())
-            p = p[limit:]
-        open_ = p
-    out.append(open_.strip())
-    return [c for c in out if c]
-
-
-def test_split_caption_model(spark):
+SPLITS = [
+    ("", 5, []),
+    ("a", 5, ["a"]),
+    ("你好，世界！再见。", 5, ["你好，", "世界！", "再见。"]),
+    ("你好，世界！再见。", 16, ["你好，世界！再见。"]),
+    (" lead  and\ttail \n", 16, ["lead and tail"]),
+    ("one, two, three.", 8, ["one,two,", "three."]),
+    ("x" * 12, 5, ["xxxxx", "xxxxx", "xx"]),
+    ("ab;cd", 2, ["ab", ";", "cd"]),
+]
+
+
+def test_split_caption_by_hand(spark):
+    for text, limit, want in SPLITS:
+        assert spark.createDataFrame([(text,)], "t string").select(tf.split_caption("t", limit).alias("c")).first().c == want, text
+
+
+def test_split_caption_keeps_all_and_fills_chunks(spark):
     rng = random.Random(2)
-    texts = ["", "a", "你好，世界！再见。", "x" * 100, " lead  and\ttail \n"] + ["".join(rng.choice("ab ,。!x ") for _ in range(rng.randint(1, 160))) for _ in range(150)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    texts = ["".join(rng.choice("ab ,。!x ") for _ in range(rng.randint(1, 160))) for _ in range(150)]
+    visible = lambda s: "".join(s.split())
     for limit in (5, 16):
-        for r in df.select("t", tf.split_caption("t", limit).alias("c")).collect():
-            assert r.c == pack(r.t, limit), r.t
+        for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tf.split_caption("t", limit).alias("c")).collect():
+            assert visible("".join(r.c)) == visible(r.t)  # nothing lost or added
+            assert all(0 < len(visible(c)) <= limit for c in r.c)
+            for one, two in zip(r.c, r.c[1:]):  # the next sentence would not have fitted
+                first = re.match(r"[^。!,]*[。!,]?", two).group()
+                whole = first[-1] in "。!,"  # else a piece of a sentence that is too long by itself
+                assert not whole or len(visible(one + first)) > limit or one[-1] not in "。!,"
 
 
 def test_group_words_breaks_on_size_time_and_punctuation(spark):
@@ -138,6 +140,37 @@ def test_budget_fold_model(spark):
             assert got[b, i] == ok
 
 
+def test_budget_ledger_settles_and_releases(spark):
+    entries = [("x", "a", 1, "reserve", 40), ("x", "b", 2, "reserve", 30), ("x", "a", 3, "settle", 45), ("x", "b", 4, "reserve", 30), ("x", "b", 5, "release", None),
+               ("x", "a", 6, "correct", -20), ("x", "b", 7, "settle", 5), ("x", "b", 8, "reserve", 60), ("x", "c", 9, "correct", 1), ("y", "a", 1, "reserve", 1)]
+    e = spark.createDataFrame(entries, "budget_key string, task_id string, seq long, kind string, amount long")
+    b = spark.createDataFrame([("x", 90, 10), ("y", 0, None)], "budget_key string, limit long, opening long")
+    got = [(r.budget_key, r.seq, r.accepted, r.reserved, r.spent) for r in vr.budget_ledger(e, b).orderBy("budget_key", "seq").collect()]
+    assert got == [("x", 1, True, 40, 10), ("x", 2, True, 70, 10), ("x", 3, True, 30, 55), ("x", 4, False, 30, 55), ("x", 5, True, 0, 55), ("x", 6, True, 0, 35),
+                   ("x", 7, False, 0, 35), ("x", 8, False, 0, 35), ("x", 9, False, 0, 35), ("y", 1, False, 0, 0)][:7] + [("x", 8, 60 + 35 <= 90, 0, 35), ("x", 9, False, 0, 35), ("y", 1, False, 0, 0)]
+
+
+def test_digests_tell_separators_and_nulls_apart(spark):
+    rows = [("x|b=y", "z"), ("x", "y|b=z"), (None, "z"), ("\\N", "z"), ("~", "z"), ("1:z", ""), ("1", ":z")]
+    d = vr.fingerprint(spark.createDataFrame(rows, "a string, b string"), ["a", "b"])
+    assert d.select("digest").distinct().count() == len(rows)
+
+
+def test_lineage_marks_cycles(spark):
+    v = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (10, 11), (11, 10), (12, 10), (20, 20)], "variant_id long, parent_id long")
+    got = {r.variant_id: (r.root_id, r.depth, r.finding) for r in vr.lineage(v).collect()}
+    bad = (None, None, "LINEAGE_CYCLE")
+    assert got == {1: (1, 0, None), 2: (1, 1, None), 3: (1, 2, None), 4: (9, 1, None), 10: bad, 11: bad, 12: bad, 20: bad}
+
+
+def test_character_references_and_wide_blanks(spark):
+    texts = ["&#8217;x &#x41;&#X42;", "&#0; &#xD800; &#1114112; &#99999999999;", "a&#39;b &#39 &# ; &#x; &#12ab;", "\u3000冲突\u3000", "a&lt;b&amp;#65;", "&#128512;!"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tf.numeric_entities("t").alias("n"), tf.strip("t").alias("s"), tf.clean_text("t").alias("c")).collect()
+    got = {r.t: r for r in rows}
+    assert [got[t].n for t in texts[:3]] == ["’x AB", "\ufffd \ufffd \ufffd \ufffd", "a'b ' &# ; &#x; \x0cab;"]
+    assert got[texts[3]].s == "冲突" and got[texts[4]].c == "a<b&#65;" and got[texts[5]].n == "😀!"
+
+
 def test_three_way_cases(spark):
     ddl = "work_id string, clip_id string, a long, b long"
     base = spark.createDataFrame([("w", "same", 1, 1), ("w", "host", 1, 1), ("w", "cur", 1, 1), ("w", "both", 1, 1), ("w", "conv", 1, 1), ("w", "lost", 1, 1)], ddl)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, blank_words, raw_text, written
 from .components import components
 
-TREES, DEPTH, LEAST_DEPTH = 16, 8, 5  # sorted orders, hashes in each, hashes that make a region
+TREES, DEPTH, LEAST_DEPTH = 16, 8, 4  # sorted orders, hashes in each, hashes that make a region
 WINDOW, STRONG = 1_024, 32  # rows on that the scan looks for a row's nearest and strongest candidate
 EDGE = 64  # rows at an end of a range that are scanned with the next range
 NEAREST = 4  # candidates a text that are confirmed one by one; the others meet in tiles
@@ -292,7 +292,7 @@ def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80)
     and strongest neighbours that agree by sketch are candidates. The strongest are
     confirmed on the full sets; then, in each cluster of candidates that holds several
     components, all members outside the largest are compared with all others. At
-    similarity 0.8 two texts share a region with probability 0.998.
+    similarity 0.8 two texts share a region with probability 0.9998.
 
     Returns per segment row: segment_id, n_shingles, component_id (smallest segment_id of
     its group), kept (it is that segment).

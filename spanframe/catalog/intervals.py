@@ -242,6 +242,22 @@ def frame_runs(spark, d):
     return iv.frame_runs(frames(spark, d), ["source_id"])
 
 
+@query(
+    "frame_findings",
+    f"""WITH {FRAMES}, x AS (SELECT source_id, pts - pts % 2 AS pts, CASE WHEN pts % 7 = 0 THEN NULL WHEN pts % 11 = 0 THEN 0 ELSE duration END AS d, CASE WHEN pts % 5 = 0 THEN duration + 1 WHEN pts % 5 = 1 THEN NULL ELSE duration END AS p FROM f)
+     SELECT source_id || '@' || pts AS entity_id, 'SOURCE_TIME_DISCONTINUOUS' AS rule_id FROM x GROUP BY source_id, pts HAVING count(*) > 1
+     UNION ALL SELECT source_id || '@' || pts, 'FRAME_DURATION_UNVERIFIED' FROM x WHERE d IS NULL OR d <= 0
+     UNION ALL SELECT source_id || '@' || pts, 'FRAME_DURATION_CONFLICT' FROM x WHERE d <> p""",
+)
+def frame_findings(spark, d):
+    p = F.col("pts")
+    f = frames(spark, d).select(
+        "source_id", (p - p % 2).alias("pts"), F.when(p % 7 == 0, None).when(p % 11 == 0, 0).otherwise(F.col("duration")).alias("duration"),
+        F.when(p % 5 == 0, F.col("duration") + 1).when(p % 5 == 1, None).otherwise(F.col("duration")).alias("pkt_duration"),
+    )
+    return iv.check_frames(f, ["source_id"]).select("entity_id", "rule_id")
+
+
 # Frames in milliseconds for 30 frames a second: on the grid with holes of a tick, every fourth source 34 ms apart, some shifted or short.
 GRID = """g0 AS (SELECT CAST(user_id AS VARCHAR) AS source_id, user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
  gf AS (SELECT source_id, i, CASE WHEN user_id % 4 = 0 THEN 34 * i ELSE (100 * i) // 3 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END END AS pts, 33 - CASE WHEN event_id % 13 = 0 THEN 12 ELSE 0 END AS duration FROM g0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanframe import fixtures as fx
@@ -12,8 +14,11 @@ from spanframe.catalog.text import WORDS, words
 from spanframe.catalog.timeline import NOMINAL, hu
 from spanframe.operators import intervals as iv
 from spanframe.operators import timeline as tl
+from spanframe.plans import findings as fd
+from spanframe.plans.rounds import shared_folder
 from spanframe.sources import readers as rd
 from spanframe.sources import sinks as sk
+from spanframe.sources.sinks import write_findings
 from spanframe.sql import register
 
 
@@ -67,16 +72,46 @@ def ass_round_trip(spark, d):
     return rd.parse_ass(t).select(F.substring_index("path", "|", 1).alias("path"), "start_us", "end_us", "text")
 
 
+LOGS = """lg AS (SELECT CAST(user_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row, CASE WHEN event_id % 17 <> 0 THEN epoch_us(ts) END AS t_us, value AS rms, CASE WHEN event_type <> 'error' THEN value / 2 END AS peak FROM events)"""
+
+
+def logs(spark, d):
+    """One measurement log per source, with all its frames."""
+    e = fx.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    sec = F.format_string("%d.%06d", F.call_function("div", F.col("t"), F.lit(1_000_000)), F.pmod("t", F.lit(1_000_000)))
+    stamp = F.when(F.col("event_id") % 17 == 0, F.lit("frame:0 pts:1\n")).otherwise(F.concat(F.lit("frame:0 pts:1 pts_time:"), sec, F.lit("\n")))
+    txt = F.concat(stamp, F.lit("lavfi.astats.Overall.rms="), F.col("value"), F.lit("\nlavfi.astats.Overall.peak="), F.when(F.col("event_type") == "error", "-inf").otherwise((F.col("value") / 2).cast("string")), F.lit("\nother=x"))
+    by = e.select(F.col("user_id").cast("string").alias("path"), "event_id", txt.alias("x")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("all"))
+    t = by.select("path", F.concat(F.lit("ignored=1\n"), F.array_join(F.transform("all", lambda v: v["x"]), "\n")).alias("value"))
+    return rd.parse_signal_log(t, ["lavfi.astats.Overall.rms", "lavfi.astats.Overall.peak"])
+
+
+@query("signal_log", f"WITH {LOGS} SELECT * FROM lg")
+def signal_log(spark, d):
+    return logs(spark, d)
+
+
 @query(
-    "signal_log",
-    """SELECT CAST(user_id AS VARCHAR) || '/' || event_id AS path, epoch_us(ts) AS t_us, value AS rms, CASE WHEN event_type <> 'error' THEN value / 2 END AS peak FROM events""",
+    "signal_log_findings",
+    f"""WITH {LOGS}, p AS (SELECT *, lag(t_us) OVER (PARTITION BY path ORDER BY row) AS p FROM lg)
+     SELECT path, CAST(row AS VARCHAR) AS entity_id, 'MEASUREMENT_TIMESTAMP_MISSING' AS rule_id FROM p WHERE t_us IS NULL UNION ALL SELECT path, CAST(row AS VARCHAR), 'MEASUREMENT_TIME_NOT_INCREASING' FROM p WHERE t_us <= p""",
 )
-def signal_log(spark, d):
-    s = fx.signals(spark, d)
-    sec = F.format_string("%d.%06d", F.call_function("div", F.col("t_us"), F.lit(1_000_000)), F.pmod("t_us", F.lit(1_000_000)))
-    txt = F.concat(F.lit("ignored=1\nframe:0 pts:1 pts_time:"), sec, F.lit("\nlavfi.astats.Overall.rms="), F.col("value"), F.lit("\nlavfi.astats.Overall.peak="), F.when(F.col("kind") == "error", "-inf").otherwise((F.col("value") / 2).cast("string")), F.lit("\nother=x"))
-    t = s.select(F.concat_ws("/", "source_id", "row_id").alias("path"), txt.alias("value"))
-    return rd.parse_signal_log(t, ["lavfi.astats.Overall.rms", "lavfi.astats.Overall.peak"]).drop("row")
+def signal_log_findings(spark, d):
+    return rd.check_signal_log(logs(spark, d)).select(F.col("work_id").alias("path"), "entity_id", "rule_id")
+
+
+@query(
+    "findings_written",
+    "SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS rule_id, CAST(c_custkey AS VARCHAR) AS entity_id FROM customer UNION ALL SELECT 'TWICE', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0",
+)
+def findings_written(spark, d):
+    """Findings appended to a folder per rule and read back."""
+    c = fx.table(spark, d, "customer").withColumn("work_id", F.lit("w"))
+    one = fd.finding(c, "EVEN", F.col("c_nationkey") % 2 == 0, F.col("c_custkey").cast("string")).unionByName(fd.finding(c, "ODD", F.col("c_nationkey") % 2 == 1, F.col("c_custkey").cast("string")))
+    path = f"{shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4().hex}"
+    write_findings(one, path)
+    write_findings(fd.finding(c, "TWICE", F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")), path)
+    return spark.read.parquet(path).select("rule_id", "entity_id")
 
 
 def tracks(spark, d):

@@ -109,6 +109,24 @@ def retrieval_requests(spark, d):
     return r.select("work_id", "beat_id", "query", F.array_join("sources", ",").alias("sources"))
 
 
+@query(
+    "known_events",
+    """WITH b AS (SELECT item_id // 10 AS w, item_id % 13 AS e, item_id AS o FROM benchmark UNION ALL SELECT item_id // 10, item_id % 7, item_id FROM benchmark)
+     SELECT CAST(w AS VARCHAR) AS work_id, CAST(e AS VARCHAR) AS event_id, min(o) AS known_from FROM b GROUP BY 1, 2""",
+)
+def known_events(spark, d):
+    i = F.col("item_id")
+    b = fx.table(spark, d, "benchmark").select(F.floor(i / 10).cast("string").alias("work_id"), i.alias("ord"), F.array((i % 13).cast("string"), (i % 7).cast("string")).alias("event_ids"))
+    return rs.allowed_events(b)
+
+
+@query("weighted_scores", sql(TERMS.replace("ln(1 + (SELECT count(*) FROM units) / df.df)", "1.0::DOUBLE / df.df") + " SELECT beat_id, unit_id, round(score, 6) AS score, n_terms FROM sc", "units", "beats", "beat_spans"))
+def weighted_scores(spark, d):
+    """Scores with a weight of the caller's own."""
+    u, t, f, src, q = _parts(spark, d)
+    return rs.score(q, t, f, scorer=lambda df, n: 1 / df, match=["source_id"]).select("beat_id", "unit_id", F.round("score", 6).alias("score"), "n_terms")
+
+
 @query(
     "support_recall",
     """WITH g AS (SELECT o_custkey % 500 AS beat, o_orderkey % 3 AS alt, o_orderkey % 40 AS u FROM orders),

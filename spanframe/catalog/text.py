@@ -8,7 +8,9 @@ from spanframe import fixtures as fx
 from spanframe.catalog.cte import sql
 from spanframe.catalog.registry import query
 from spanframe.catalog.timeline import NOMINAL, USED, he
+from spanframe.functions import fixed
 from spanframe.functions import text as tf
+from spanframe.operators import rules as qc
 from spanframe.operators import text as tx
 
 TOKEN_RE = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9]+(?:[-_.''’][A-Za-z0-9]+)*|[^\s]"
@@ -204,6 +206,19 @@ def adjacent_similarity(spark, d):
     return tx.adjacent_similarity(fx.segments(spark, d))
 
 
+@query(
+    "rule_duplication",
+    sql(
+        """b AS (SELECT *, regexp_replace(text, '\\W+', '', 'g') AS bare FROM segments), l AS (SELECT *, lag(segment_id) OVER w AS ps, lag(mode) OVER w AS pm, lag(bare) OVER w AS pb FROM b WINDOW w AS (PARTITION BY work_id ORDER BY ord)),
+     s AS (SELECT work_id, segment_id, ps AS previous, 1 - levenshtein(bare, pb) / CAST(greatest(length(bare), length(pb)) AS DOUBLE) AS sim FROM l WHERE pm <> mode AND bare <> '' AND pb <> '')
+     SELECT work_id, segment_id AS entity_id, 'warning' AS severity, previous AS evidence FROM s WHERE sim >= 0.5""",
+        "segments",
+    ),
+)
+def rule_duplication(spark, d):
+    return qc.rule_duplication(fx.segments(spark, d), 0.5).select("work_id", "entity_id", "severity", "evidence")
+
+
 @query(
     "search_terms",
     sql(
@@ -241,6 +256,15 @@ def genre_profile(spark, d):
     return tx.genre_profile(w).select("p_partkey", "profile")
 
 
+@query(
+    "preset_profile",
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'romance' WHEN p_size % 3 = 1 THEN 'general' ELSE 'drama' END AS profile FROM part""",
+)
+def preset_profile(spark, d):
+    genres = F.when(F.col("p_size") % 3 == 0, "文艺片").when(F.col("p_size") % 3 == 1, "纪录片").otherwise("Family DRAMA")
+    return tx.genre_profile(fx.table(spark, d, "part").select("p_partkey", genres.alias("genres")), default="general", table=fixed.PRESET_KEYWORDS).select("p_partkey", "profile")
+
+
 @query(
     "normalize_types",
     """WITH t AS (SELECT event_id, unnest(['Fight', event_type, CASE WHEN user_id % 2 = 0 THEN ' action ' ELSE 'Moral choice' END]) AS v, generate_subscripts([1, 2, 3], 1) AS i FROM events WHERE user_id % 5 <> 0),

@@ -265,6 +265,21 @@ def gain_windows(spark, d):
     return tl.gain_windows(g, w)[1].select("entity_id", "rule_id")
 
 
+@query(
+    "placed_tracks",
+    sql(
+        f"""w AS (SELECT work_id, max(end_us) AS duration_us FROM clips GROUP BY 1), t AS (SELECT c.*, start_us + 333 + ord AS out_us, duration_us FROM clips c JOIN w USING (work_id))
+     SELECT clip_id AS track_id, {he('(out_us * 48000)', '1000000')} AS out_start_sample, out_us + end_us - start_us > duration_us + 1 AS exceeds_picture FROM t""",
+        "clips",
+    ),
+)
+def placed_tracks(spark, d):
+    c = fx.clips(spark, d)
+    w = c.groupBy("work_id").agg(F.max("end_us").alias("duration_us"))
+    t = c.select("work_id", F.col("clip_id").alias("track_id"), "start_us", "end_us", (F.col("start_us") + 333 + F.col("ord")).alias("out_start_us"))
+    return tl.place_tracks(t, w, 48_000).select("track_id", "out_start_sample", "exceeds_picture")
+
+
 @query(
     "burn_list",
     sql(

@@ -63,6 +63,13 @@ GENRE_KEYWORDS = [  # first match wins
     ("romance", ["爱情", "恋爱", "治愈", "romance"]),
     ("drama", ["家庭", "婚恋", "复仇", "剧情", "drama"]),
 ]
+PRESET_KEYWORDS = [  # first match wins
+    ("comedy", ["喜剧", "comedy"]),
+    ("action", ["动作", "战争", "犯罪", "武侠", "action", "war"]),
+    ("suspense", ["悬疑", "惊悚", "谍战", "推理", "suspense", "thriller"]),
+    ("romance", ["爱情", "恋爱", "治愈", "文艺", "romance"]),
+    ("drama", ["家庭", "婚恋", "复仇", "剧情", "drama"]),
+]
 FORMAT_DEFAULTS = {
     "first_highlight_deadline_sec": "6", "original_ratio_range": "0.25,0.45", "original_clip_range_sec": "4,12",
     "max_original_over_15s": "2", "micro_cycle_sec": "12,25", "reset_interval_sec": "45,75", "vo_chars_per_sec": "4.2,5.2",

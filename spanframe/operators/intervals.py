@@ -251,13 +251,17 @@ def frame_runs(frames: DataFrame, keys: list[str], block: int = 65_536) -> DataF
 
 
 def check_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """IV14 findings: repeated time stamps and missing or non-positive durations."""
+    """IV14 findings: repeated time stamps, missing or non-positive durations, and, with a
+    column ``pkt_duration``, two duration fields that disagree."""
     twice = frames.groupBy(*keys, "pts").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     a = fd.finding(twice, "SOURCE_TIME_DISCONTINUOUS", F.lit(True), F.concat_ws("@", *keys, "pts"), work=keys[0])
     b = fd.finding(
         frames, "FRAME_DURATION_UNVERIFIED", F.col("duration").isNull() | (F.col("duration") <= 0), F.concat_ws("@", *keys, "pts"), work=keys[0]
     )
-    return a.unionByName(b)
+    if "pkt_duration" not in frames.columns:
+        return a.unionByName(b)
+    both = F.col("duration").isNotNull() & F.col("pkt_duration").isNotNull() & (F.col("duration") != F.col("pkt_duration"))
+    return a.unionByName(b).unionByName(fd.finding(frames, "FRAME_DURATION_CONFLICT", both, F.concat_ws("@", *keys, "pts"), work=keys[0]))
 
 
 def _nearest(x: int, unit: int) -> int:

@@ -308,11 +308,15 @@ def guard_query(requests: DataFrame) -> DataFrame:
     return requests.withColumn("query", F.when(hidden, clean).otherwise(full)).withColumn("guarded", hidden)
 
 
-def genre_profile(works: DataFrame, col: str = "genres", default: str = "drama") -> DataFrame:
-    """TX18: profile of the first keyword list that matches."""
+def genre_profile(works: DataFrame, col: str = "genres", default: str = "drama", table: list = fixed.GENRE_KEYWORDS) -> DataFrame:
+    """TX18: profile of the first keyword list that matches.
+
+    Weights use ``GENRE_KEYWORDS`` with the default ``drama``, constraint presets
+    ``PRESET_KEYWORDS`` with the default ``general``.
+    """
     t = F.lower(F.col(col))
     out = None
-    for name, words in fixed.GENRE_KEYWORDS:
+    for name, words in table:
         cond = reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return works.withColumn("profile", out.otherwise(default))

@@ -177,11 +177,10 @@ def normalize_asr(words: DataFrame, segments: DataFrame) -> tuple[DataFrame, Dat
     ``words``: source_id, seg, pos, text, start_us, end_us, confidence.  ``segments``:
     source_id, seg, text.
     """
-    w = words.withColumn("__at", F.col("seg") * 1_000_000 + F.col("pos"))
     bad_span = F.col("start_us").isNull() | F.col("end_us").isNull() | (F.col("start_us") < 0) | (F.col("end_us") <= F.col("start_us")) | F.col("confidence").isNull() | (F.col("confidence") < 0) | (F.col("confidence") > 1) | (tx.strip("text") == "")
     # only valid words move the clock forward
-    w = w.withColumn("__v", ~F.coalesce(bad_span, F.lit(True)))
-    w = scan(w, ["source_id"], ["__at"], by_rows("__at", 65_536_000_000), maxes={"__p": F.when(F.col("__v"), F.col("start_us"))})
+    w = words.withColumn("__v", ~F.coalesce(bad_span, F.lit(True)))
+    w = scan(w, ["source_id"], ["seg", "pos"], by_rows("seg", 256), maxes={"__p": F.when(F.col("__v"), F.col("start_us"))})
     wrong = ~F.col("__v") | (F.col("start_us") < F.col("__p"))
     i1 = w.where(wrong).select("source_id", "seg", F.lit("INVALID_OR_ZERO_WORD_SPAN_PROBABILITY_OR_TEXT").alias("reason"))
     joined = words.groupBy("source_id", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("__j"))
@@ -190,7 +189,7 @@ def normalize_asr(words: DataFrame, segments: DataFrame) -> tuple[DataFrame, Dat
     i2 = s.where((tx.strip("text") != "") & F.col("__j").isNull()).select("source_id", "seg", F.lit("TEXT_WITHOUT_WORD_TIMES").alias("reason"))
     i3 = s.where(flat(F.coalesce("__j", F.lit(""))) != flat(F.col("text"))).select("source_id", "seg", F.lit("SEGMENT_WORD_TEXT_MISMATCH").alias("reason"))
     issues = i1.unionByName(i2).unionByName(i3)
-    good = words.join(issues.select("source_id").distinct(), "source_id", "left_anti").drop("__at")
+    good = words.join(issues.select("source_id").distinct(), "source_id", "left_anti")
     return good.withColumn("word_id", F.format_string("w%05d-%04d", "seg", "pos")), issues
 
 
@@ -236,7 +235,8 @@ def chars_to_tokens(chars: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def parse_signal_log(texts: DataFrame, keys: list[str]) -> DataFrame:
     """SRC10: measurement logs: a ``frame:`` line with ``pts_time`` opens a row, the
-    ``key=value`` lines below fill it; values that are not finite are NULL."""
+    ``key=value`` lines below fill it; values that are not finite are NULL.  A column is
+    named by the last part of its key, or by the whole key where two end alike."""
     r = texts.select("path", F.posexplode(F.split(_unix(F.col("value")), "\n")).alias("n", "line"))
     head = F.startswith("line", F.lit("frame:"))
     r = r.where(head | F.contains("line", F.lit("="))).withColumn("__h", head.cast("bigint"))
@@ -244,9 +244,11 @@ def parse_signal_log(texts: DataFrame, keys: list[str]) -> DataFrame:
     t = F.regexp_extract("line", r"pts_time:([^\s]+)", 1)
     k, v = F.substring_index("line", "=", 1), F.expr("substring(line, instr(line, '=') + 1)").try_cast("double")
     fin = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    tails = [name.rsplit(".", 1)[-1] for name in keys]
+    names = [t if tails.count(t) == 1 else name.replace(".", "_") for t, name in zip(tails, keys, strict=True)]
     return r.groupBy("path", "row").agg(
         F.max(F.when(F.col("__h") == 1, F.round(F.nullif(t, F.lit("")).try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))).alias("t_us"),
-        *[F.max_by(F.when(k == name, fin), F.when((F.col("__h") == 0) & (k == name), F.col("n"))).alias(name.rsplit(".", 1)[-1]) for name in keys],
+        *[F.max_by(F.when(k == name, fin), F.when((F.col("__h") == 0) & (k == name), F.col("n"))).alias(out) for name, out in zip(keys, names, strict=True)],
     )
 
 

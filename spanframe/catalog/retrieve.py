@@ -48,14 +48,31 @@ CAND = TERMS + """, c AS (SELECT coalesce(sc.beat_id, di.beat_id) AS beat_id, co
   WHEN NOT direct AND score <= 0 THEN 'no_query_evidence' END AS reason FROM c JOIN units u USING (unit_id) LEFT JOIN bs ON bs.beat_id = c.beat_id AND bs.source_id = u.source_id)"""
 
 
+def _knowledge(spark, d):
+    i = F.col("unit_id").cast("bigint")
+    reveals = fx.units(spark, d).where(i % 7 == 0).select("unit_id", (i % 11).cast("string").alias("event_id"))
+    allowed = fx.beats(spark, d).select("beat_id", F.explode(F.sequence(F.lit(0), (F.col("beat_id").cast("bigint") % 11).cast("int"))).alias("e")).select("beat_id", F.col("e").cast("string").alias("event_id"))
+    return reveals, allowed
+
+
 def _candidates(spark, d):
     u, t, f, src, q = _parts(spark, d)
     sc = rs.score(q, t, f, match=["source_id"])
-    di = rs.direct_pairs(fx.beat_spans(spark, d), u)
-    i = F.col("unit_id").cast("bigint")
-    reveals = u.where(i % 7 == 0).select("unit_id", (i % 11).cast("string").alias("event_id"))
-    allowed = fx.beats(spark, d).select("beat_id", F.explode(F.sequence(F.lit(0), (F.col("beat_id").cast("bigint") % 11).cast("int"))).alias("e")).select("beat_id", F.col("e").cast("string").alias("event_id"))
-    return rs.exclusions(sc, di, u, src, reveals, allowed)
+    return rs.exclusions(sc, rs.direct_pairs(fx.beat_spans(spark, d), u), u, src, *_knowledge(spark, d))
+
+
+@query(
+    "exclusion_counts",
+    sql(
+        CAND + """, g AS (SELECT b.beat_id, u.unit_id, CASE WHEN bs.source_id IS NULL THEN 'source' WHEN CAST(u.unit_id AS BIGINT) % 7 = 0 AND CAST(u.unit_id AS BIGINT) % 11 > CAST(b.beat_id AS BIGINT) % 11 THEN 'knowledge' WHEN coalesce(c.direct, false) OR coalesce(c.score, 0) > 0 THEN 'ranked' ELSE 'evidence' END AS r
+       FROM (SELECT DISTINCT beat_id FROM bs) b CROSS JOIN units u LEFT JOIN bs ON bs.beat_id = b.beat_id AND bs.source_id = u.source_id LEFT JOIN c ON c.beat_id = b.beat_id AND c.unit_id = u.unit_id)
+     SELECT beat_id, count(*) FILTER (WHERE r = 'source') AS source_constraint, count(*) FILTER (WHERE r = 'knowledge') AS knowledge_constraint, count(*) FILTER (WHERE r = 'evidence') AS no_query_evidence, count(*) FILTER (WHERE r = 'ranked') AS n_ranked FROM g GROUP BY 1""",
+        "units", "beats", "beat_spans",
+    ),
+)
+def exclusion_counts(spark, d):
+    src = fx.beat_spans(spark, d).select("beat_id", "source_id").distinct()
+    return rs.exclusion_counts(_candidates(spark, d), fx.units(spark, d), src, *_knowledge(spark, d))
 
 
 @query("exclusion_reasons", sql(CAND + " SELECT beat_id, unit_id, direct, coalesce(reason, '') AS reason FROM x", "units", "beats", "beat_spans"))

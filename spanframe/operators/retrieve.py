@@ -99,6 +99,32 @@ def exclusions(scores: DataFrame, direct: DataFrame, units: DataFrame, sources:
     return c.select("beat_id", "unit_id", "score", "direct", reason.alias("reason"))
 
 
+def exclusion_counts(cand: DataFrame, units: DataFrame, sources: DataFrame, reveals: DataFrame, allowed: DataFrame) -> DataFrame:
+    """RS4 in numbers: of all units, how many each bound beat excludes for which reason.
+
+    ``cand`` is the result of :func:`exclusions`.  Pairs that share nothing are counted,
+    not formed: units outside a beat's sources from the sizes of sources, early ones from
+    the sizes of classes of units that reveal the same events, and those without evidence
+    as the rest.
+    """
+    bound = sources.select("beat_id", "source_id").distinct()
+    total = units.count()
+    sizes = units.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = bound.join(sizes, "source_id", "left").groupBy("beat_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_inside"))
+    shown = reveals.groupBy("unit_id").agg(F.array_sort(F.collect_set("event_id")).alias("events"))
+    classes = units.select("unit_id", "source_id").join(shown, "unit_id").groupBy("source_id", "events").agg(F.count(F.lit(1)).alias("k"))
+    known = allowed.groupBy("beat_id").agg(F.collect_set("event_id").alias("known"))
+    late = bound.join(classes, "source_id").join(known, "beat_id", "left")
+    unknown = F.size(F.array_except("events", F.coalesce("known", F.expr("cast(array() as array<string>)")))) > 0
+    late = late.where(unknown).groupBy("beat_id").agg(F.sum("k").alias("n_late"))
+    ranked = cand.where("reason is null").groupBy("beat_id").agg(F.count(F.lit(1)).alias("n_ranked"))
+    c = inside.join(late, "beat_id", "left").join(ranked, "beat_id", "left").na.fill(0, ["n_late", "n_ranked"])
+    return c.select(
+        "beat_id", (F.lit(total) - F.col("n_inside")).cast("bigint").alias("source_constraint"), F.col("n_late").cast("bigint").alias("knowledge_constraint"),
+        (F.col("n_inside") - F.col("n_late") - F.col("n_ranked")).cast("bigint").alias("no_query_evidence"), F.col("n_ranked").cast("bigint").alias("n_ranked"),
+    )
+
+
 def rank(cand: DataFrame) -> DataFrame:
     """RS5: the units of each beat by score, direct evidence first, id; nothing is cut.
 

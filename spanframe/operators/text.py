@@ -248,7 +248,7 @@ def compare_text(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     script and not a character opcode list; it is another measure on purpose.
     """
     def side(c, n):
-        t = pairs.select(key, F.posexplode(F.split(F.trim(c), r"\s+")).alias("p", "token"))
+        t = pairs.select(key, F.posexplode(F.split(tx.strip(c), r"\s+")).alias("p", "token"))
         return t.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias(n)).where("n = 1").drop("n")
 
     a = side("reference", "r").join(side("observed", "o"), [key, "token"])
@@ -265,7 +265,7 @@ def compare_text(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     g = g.where("ref_end > ref_start or obs_end > obs_start").join(pairs, key)
 
     def part(c, s, e):
-        return F.slice(F.split(F.trim(c), r"\s+"), F.col(s) + 1, F.col(e) - F.col(s))
+        return F.slice(F.split(tx.strip(c), r"\s+"), F.col(s) + 1, F.col(e) - F.col(s))
 
     ra, ob = part("reference", "ref_start", "ref_end"), part("observed", "obs_start", "obs_end")
     kind = F.when(F.col("ref_end") == F.col("ref_start"), "insert").when(F.col("obs_end") == F.col("obs_start"), "delete").otherwise("replace")

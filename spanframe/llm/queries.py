@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.registry import query
+from . import twins
 from .classes import score_captions
 from .common import crc_rest
 from .copies import find_near_copies
@@ -37,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", twins.LEAKS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document: documents as segments, items as held-out cases."""
     segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
@@ -65,7 +66,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_near_dedup")
+@query("op5_near_dedup", twins.COPIES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents, as narration segments, on two-word shingles."""
     segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")

@@ -97,12 +97,36 @@ def _ranked(spark, d):
     return rs.rank(_candidates(spark, d)).join(w, "beat_id")
 
 
-@query("retrieval_pool")
+POOL = CAND + f""", rk AS (SELECT b.work_id, x.beat_id, x.unit_id, direct, row_number() OVER (PARTITION BY x.beat_id ORDER BY score DESC, direct DESC, x.unit_id) AS rank FROM x JOIN (SELECT DISTINCT work_id, beat_id FROM beats) b ON b.beat_id = x.beat_id WHERE reason IS NULL),
+ st(work_id, n, queue, taken, explored, beat_id, unit_id, direct) AS (
+   SELECT work_id, 0, list(beat_id ORDER BY sha256(beat_id), beat_id), CAST([] AS VARCHAR[]), 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN) FROM (SELECT DISTINCT work_id, beat_id FROM rk) GROUP BY 1
+   UNION ALL SELECT s.work_id, s.n + CASE WHEN y.v IS NULL THEN 0 ELSE 1 END, CASE WHEN y.v IS NULL THEN s.queue[2:] ELSE list_append(s.queue[2:], s.queue[1]) END,
+     CASE WHEN y.v IS NULL THEN s.taken ELSE list_append(s.taken, y.v.u) END, s.explored + CASE WHEN y.v.d THEN 0 WHEN y.v IS NULL THEN 0 ELSE 1 END, s.queue[1], y.v.u, y.v.d
+   FROM st s, LATERAL (SELECT min_by({{'u': unit_id, 'd': direct}}, rank) AS v FROM rk WHERE rk.work_id = s.work_id AND rk.beat_id = s.queue[1] AND NOT list_contains(s.taken, rk.unit_id) AND (rk.direct OR s.explored < {LIMIT // 2})) y
+   WHERE len(s.queue) > 0 AND s.n < {LIMIT}),
+ pool AS (SELECT s.work_id, s.beat_id, s.unit_id, CAST(n AS INT) AS pick, s.direct, CASE WHEN (s.work_id, s.unit_id) IN (SELECT work_id, unit_id FROM rk WHERE direct) THEN 'direct_evidence' ELSE 'context' END AS role FROM st s WHERE s.unit_id IS NOT NULL)"""
+
+
+def recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("retrieval_pool", recursive(sql(POOL + " SELECT * FROM pool", "units", "beats", "beat_spans")))
 def retrieval_pool(spark, d):
     return rs.pick_pool(_ranked(spark, d), LIMIT, 0.5)
 
 
-@query("pool_coverage")
+@query(
+    "pool_coverage",
+    recursive(
+        sql(
+            POOL + """, k AS (SELECT rk.work_id, rk.beat_id, count(*) AS a, count(*) FILTER (WHERE rk.direct) AS b FROM rk WHERE (rk.work_id, rk.unit_id) IN (SELECT work_id, unit_id FROM pool) GROUP BY 1, 2)
+     SELECT b.work_id, b.beat_id, coalesce(a, 0) AS n_selected, coalesce(k.b, 0) AS n_direct, CASE WHEN k.b > 0 THEN 'candidate_evidence' ELSE 'unknown' END AS status, CASE WHEN a > 0 THEN '' ELSE 'no_evidence_or_budget_exhausted' END AS reason
+     FROM beats b LEFT JOIN k ON k.work_id = b.work_id AND k.beat_id = b.beat_id""",
+            "units", "beats", "beat_spans",
+        )
+    ),
+)
 def pool_coverage(spark, d):
     r = _ranked(spark, d)
     return rs.pool_coverage(fx.beats(spark, d), r, rs.pick_pool(r, LIMIT, 0.5))

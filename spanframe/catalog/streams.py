@@ -28,7 +28,13 @@ def stream_energy(spark, d):
     return out.select("source_id", F.unix_micros("start").alias("start_us"), "n_rows", F.round("rms", 6).alias("rms"), "peak")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) AS t, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 600000 + 1800000000 AS upto, event_id FROM events WHERE round(value * 100) > 0),
+     m AS (SELECT *, max(upto) OVER (PARTITION BY source_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+     g AS (SELECT *, sum(CASE WHEN reach IS NULL OR t >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY t, event_id) AS s FROM m)
+     SELECT source_id, min(t) AS start_us, max(upto) AS end_us, count(*) AS n_spans FROM g GROUP BY source_id, s HAVING max(upto) <= (SELECT max(t) FROM e) - 600000000""",
+)
 def stream_sessions(spark, d):
     e = _events(spark, d).select("source_id", "t", (F.round(F.col("value") * 100).cast("bigint") * 600_000).alias("length_us")).where("length_us > 0")
     out = st.drain(st.stream_sessions(e, 1_800_000_000), shared_folder(spark))

@@ -60,19 +60,62 @@ def text_units(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", tf.text_units("text").alias("text_units"), tf.visible_units("text").alias("visible_units"), F.length("text").cast("bigint").alias("code_points"))
 
 
-@query("split_caption")
+MARKS = "。！？!?；;，,"
+
+
+def split_sql(source: str, limit: int = 32) -> str:
+    """CTEs that end in chunks(k, ord, chunk) of ``source(k, text)``: sentences, their cut heads, and the packing as a recursion."""
+    return rf"""sq AS (SELECT k, trim(regexp_replace(text, '{SPACE_RE}', ' ', 'g')) AS t FROM ({source})),
+     pc AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY j) AS i, length(replace(p, ' ', '')) AS u FROM (SELECT k, trim(unnest(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'))) AS p, generate_subscripts(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'), 1) AS j FROM sq) WHERE p <> ''),
+     ct AS (SELECT *, CASE WHEN u <= {limit} THEN 0 ELSE list_min(list_filter(range(1, length(p) // {limit} + 2), lambda n: length(replace(substr(p, n * {limit} + 1), ' ', '')) <= {limit})) END AS c FROM pc),
+     pr AS (SELECT k, i, c, substr(p, c * {limit} + 1) AS r, length(replace(substr(p, c * {limit} + 1), ' ', '')) AS ru, list_transform(range(0, c), lambda n: trim(substr(p, n * {limit} + 1, {limit}))) AS heads FROM ct),
+     pk(k, i, open, n, done, heads) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM pr
+     UNION ALL SELECT pr.k, pr.i, CASE WHEN c = 0 AND n + ru <= {limit} THEN open || r ELSE r END, CASE WHEN c = 0 AND n + ru <= {limit} THEN n + ru ELSE ru END, CASE WHEN c = 0 AND n + ru <= {limit} THEN '' ELSE trim(open) END, pr.heads FROM pk JOIN pr ON pr.k = pk.k AND pr.i = pk.i + 1),
+     al AS (SELECT k, i, 0 AS j, done AS chunk FROM pk UNION ALL SELECT k, i, generate_subscripts(heads, 1), unnest(heads) FROM pk UNION ALL SELECT k, max(i) + 1, 0, trim(arg_max(open, i)) FROM pk GROUP BY 1),
+     chunks AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS ord, chunk FROM al WHERE chunk <> '')"""
+
+
+@query("split_caption", "WITH RECURSIVE " + split_sql("SELECT doc_id AS k, text FROM documents") + " SELECT k AS doc_id, CAST(ord AS INT) AS ord, chunk FROM chunks")
 def split_caption(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.posexplode(tf.split_caption("text", 32)).alias("ord", "chunk"))
 
 
-@query("group_words")
+FOLD = "(f.n + x.u > 32 OR x.s + x.d - f.s0 > 3200000 OR regexp_matches(x.text, '[。！？!?；;]$') AND x.s + x.d - f.s0 >= 900000)"
+
+
+@query(
+    "group_words",
+    sql(
+        WORDS
+        + rf""", x AS (SELECT w.cue_id, w.text, w.start_us - c.start_us AS s, greatest(w.end_us - w.start_us, 40000) AS d, c.end_us - c.start_us AS audio, row_number() OVER (PARTITION BY w.cue_id ORDER BY w.ord) AS i,
+       length(regexp_replace(w.text, '{SPACE_RE}', '', 'g')) AS u FROM words w JOIN cues c ON c.cue_id = w.cue_id WHERE trim(w.text) <> ''),
+     f(cue_id, i, text, s, d, audio, s0, n, g) AS (SELECT cue_id, i, text, s, d, audio, s, u, 1 FROM x WHERE i = 1
+     UNION ALL SELECT x.cue_id, x.i, x.text, x.s, x.d, x.audio, CASE WHEN {FOLD} THEN x.s ELSE f.s0 END, CASE WHEN {FOLD} THEN x.u ELSE f.n + x.u END, f.g + CASE WHEN {FOLD} THEN 1 ELSE 0 END FROM f JOIN x ON x.cue_id = f.cue_id AND x.i = f.i + 1),
+     y AS (SELECT cue_id, g, audio, arg_min(s, i) AS a, arg_max(s + d, i) AS e, string_agg(text, '' ORDER BY i) AS text FROM f GROUP BY 1, 2, 3),
+     z AS (SELECT *, least(least(audio, greatest(e, a + 500000)), lead(a) OVER (PARTITION BY cue_id ORDER BY g)) AS b FROM y)
+     SELECT cue_id, CAST(g - 1 AS BIGINT) AS ord, a AS start_us, b AS end_us, text FROM z WHERE b > a AND text <> ''""",
+        "cues",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def group_words(spark, d):
     c = fx.cues(spark, d).select("cue_id", F.col("start_us").alias("c0"), (F.col("end_us") - F.col("start_us")).alias("audio_us"))
     w = words(spark, d).join(c, "cue_id").select("cue_id", "ord", "text", (F.col("start_us") - F.col("c0")).alias("start_us"), (F.col("end_us") - F.col("start_us")).alias("dur_us"), "audio_us")
     return tx.group_words(w, ["cue_id"], 32)
 
 
-@query("spread_cues")
+SHARE = rf"greatest(1, length(regexp_replace(chunk, '{SPACE_RE}', '', 'g')))"
+
+
+@query(
+    "spread_cues",
+    sql(
+        split_sql("SELECT cue_id AS k, text FROM cues WHERE end_us > start_us")
+        + rf""", sz AS (SELECT k, ord, chunk, {SHARE} AS w, CAST(sum({SHARE}) OVER (PARTITION BY k ORDER BY ord) AS BIGINT) AS upto, CAST(sum({SHARE}) OVER (PARTITION BY k) AS BIGINT) AS whole FROM chunks),
+     tm AS (SELECT k, sz.ord, chunk, {he('((end_us - start_us) * (upto - w))', 'whole')} AS a, {he('((end_us - start_us) * upto)', 'whole')} AS b FROM sz JOIN cues ON cue_id = k)
+     SELECT k AS cue_id, CAST(ord AS BIGINT) AS ord, a AS start_us, b AS end_us, chunk AS text FROM tm WHERE b > a""",
+        "cues",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def spread_cues(spark, d):
     c = fx.cues(spark, d).withColumn("dur_us", F.col("end_us") - F.col("start_us"))
     return tx.spread_cues(c, ["cue_id"], 32)

@@ -63,16 +63,16 @@ def text_units(spark, d):
 MARKS = "。！？!?；;，,"
 
 
-def split_sql(source: str, limit: int = 32) -> str:
-    """CTEs that end in chunks(k, ord, chunk) of ``source(k, text)``: sentences, their cut heads, and the packing as a recursion."""
-    return rf"""sq AS (SELECT k, trim(regexp_replace(text, '{SPACE_RE}', ' ', 'g')) AS t FROM ({source})),
-     pc AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY j) AS i, length(replace(p, ' ', '')) AS u FROM (SELECT k, trim(unnest(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'))) AS p, generate_subscripts(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'), 1) AS j FROM sq) WHERE p <> ''),
-     ct AS (SELECT *, CASE WHEN u <= {limit} THEN 0 ELSE list_min(list_filter(range(1, length(p) // {limit} + 2), lambda n: length(replace(substr(p, n * {limit} + 1), ' ', '')) <= {limit})) END AS c FROM pc),
-     pr AS (SELECT k, i, c, substr(p, c * {limit} + 1) AS r, length(replace(substr(p, c * {limit} + 1), ' ', '')) AS ru, list_transform(range(0, c), lambda n: trim(substr(p, n * {limit} + 1, {limit}))) AS heads FROM ct),
-     pk(k, i, open, n, done, heads) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM pr
-     UNION ALL SELECT pr.k, pr.i, CASE WHEN c = 0 AND n + ru <= {limit} THEN open || r ELSE r END, CASE WHEN c = 0 AND n + ru <= {limit} THEN n + ru ELSE ru END, CASE WHEN c = 0 AND n + ru <= {limit} THEN '' ELSE trim(open) END, pr.heads FROM pk JOIN pr ON pr.k = pk.k AND pr.i = pk.i + 1),
-     al AS (SELECT k, i, 0 AS j, done AS chunk FROM pk UNION ALL SELECT k, i, generate_subscripts(heads, 1), unnest(heads) FROM pk UNION ALL SELECT k, max(i) + 1, 0, trim(arg_max(open, i)) FROM pk GROUP BY 1),
-     chunks AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS ord, chunk FROM al WHERE chunk <> '')"""
+def split_sql(source: str, limit: int = 32, tag: str = "") -> str:
+    """CTEs that end in {tag}chunks(k, ord, chunk) of ``source(k, text)``: sentences, their cut heads, and the packing as a recursion."""
+    return rf"""{tag}sq AS (SELECT k, trim(regexp_replace(text, '{SPACE_RE}', ' ', 'g')) AS t FROM ({source})),
+     {tag}pc AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY j) AS i, length(replace(p, ' ', '')) AS u FROM (SELECT k, trim(unnest(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'))) AS p, generate_subscripts(regexp_extract_all(t, '[^{MARKS}]*[{MARKS}]|[^{MARKS}]+'), 1) AS j FROM {tag}sq) WHERE p <> ''),
+     {tag}ct AS (SELECT *, CASE WHEN u <= {limit} THEN 0 ELSE list_min(list_filter(range(1, length(p) // {limit} + 2), lambda n: length(replace(substr(p, n * {limit} + 1), ' ', '')) <= {limit})) END AS c FROM {tag}pc),
+     {tag}pr AS (SELECT k, i, c, substr(p, c * {limit} + 1) AS r, length(replace(substr(p, c * {limit} + 1), ' ', '')) AS ru, list_transform(range(0, c), lambda n: trim(substr(p, n * {limit} + 1, {limit}))) AS heads FROM {tag}ct),
+     {tag}pk(k, i, open, n, done, heads) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM {tag}pr
+     UNION ALL SELECT pr.k, pr.i, CASE WHEN c = 0 AND n + ru <= {limit} THEN open || r ELSE r END, CASE WHEN c = 0 AND n + ru <= {limit} THEN n + ru ELSE ru END, CASE WHEN c = 0 AND n + ru <= {limit} THEN '' ELSE trim(open) END, pr.heads FROM {tag}pk pk JOIN {tag}pr pr ON pr.k = pk.k AND pr.i = pk.i + 1),
+     {tag}al AS (SELECT k, i, 0 AS j, done AS chunk FROM {tag}pk UNION ALL SELECT k, i, generate_subscripts(heads, 1), unnest(heads) FROM {tag}pk UNION ALL SELECT k, max(i) + 1, 0, trim(arg_max(open, i)) FROM {tag}pk GROUP BY 1),
+     {tag}chunks AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS ord, chunk FROM {tag}al WHERE chunk <> '')"""
 
 
 @query("split_caption", "WITH RECURSIVE " + split_sql("SELECT doc_id AS k, text FROM documents") + " SELECT k AS doc_id, CAST(ord AS INT) AS ord, chunk FROM chunks")
@@ -81,19 +81,22 @@ def split_caption(spark, d):
 
 
 FOLD = "(f.n + x.u > 32 OR x.s + x.d - f.s0 > 3200000 OR regexp_matches(x.text, '[。！？!?；;]$') AND x.s + x.d - f.s0 >= 900000)"
+# from x(k, text, s, d, audio, i, u) to grouped(k, g, a, b, text)
+GROUPED = f"""f(k, i, text, s, d, audio, s0, n, g) AS (SELECT k, i, text, s, d, audio, s, u, 1 FROM x WHERE i = 1
+     UNION ALL SELECT x.k, x.i, x.text, x.s, x.d, x.audio, CASE WHEN {FOLD} THEN x.s ELSE f.s0 END, CASE WHEN {FOLD} THEN x.u ELSE f.n + x.u END, f.g + CASE WHEN {FOLD} THEN 1 ELSE 0 END FROM f JOIN x ON x.k = f.k AND x.i = f.i + 1),
+     y AS (SELECT k, g, audio, arg_min(s, i) AS a, arg_max(s + d, i) AS e, string_agg(text, '' ORDER BY i) AS text FROM f GROUP BY 1, 2, 3),
+     z AS (SELECT *, least(least(audio, greatest(e, a + 500000)), lead(a) OVER (PARTITION BY k ORDER BY g)) AS b FROM y),
+     grouped AS (SELECT k, g, a, b, text FROM z WHERE b > a AND text <> '')"""
 
 
 @query(
     "group_words",
     sql(
         WORDS
-        + rf""", x AS (SELECT w.cue_id, w.text, w.start_us - c.start_us AS s, greatest(w.end_us - w.start_us, 40000) AS d, c.end_us - c.start_us AS audio, row_number() OVER (PARTITION BY w.cue_id ORDER BY w.ord) AS i,
-       length(regexp_replace(w.text, '{SPACE_RE}', '', 'g')) AS u FROM words w JOIN cues c ON c.cue_id = w.cue_id WHERE trim(w.text) <> ''),
-     f(cue_id, i, text, s, d, audio, s0, n, g) AS (SELECT cue_id, i, text, s, d, audio, s, u, 1 FROM x WHERE i = 1
-     UNION ALL SELECT x.cue_id, x.i, x.text, x.s, x.d, x.audio, CASE WHEN {FOLD} THEN x.s ELSE f.s0 END, CASE WHEN {FOLD} THEN x.u ELSE f.n + x.u END, f.g + CASE WHEN {FOLD} THEN 1 ELSE 0 END FROM f JOIN x ON x.cue_id = f.cue_id AND x.i = f.i + 1),
-     y AS (SELECT cue_id, g, audio, arg_min(s, i) AS a, arg_max(s + d, i) AS e, string_agg(text, '' ORDER BY i) AS text FROM f GROUP BY 1, 2, 3),
-     z AS (SELECT *, least(least(audio, greatest(e, a + 500000)), lead(a) OVER (PARTITION BY cue_id ORDER BY g)) AS b FROM y)
-     SELECT cue_id, CAST(g - 1 AS BIGINT) AS ord, a AS start_us, b AS end_us, text FROM z WHERE b > a AND text <> ''""",
+        + rf""", x AS (SELECT w.cue_id AS k, w.text, w.start_us - c.start_us AS s, greatest(w.end_us - w.start_us, 40000) AS d, c.end_us - c.start_us AS audio, row_number() OVER (PARTITION BY w.cue_id ORDER BY w.ord) AS i,
+       length(regexp_replace(w.text, '{SPACE_RE}', '', 'g')) AS u FROM words w JOIN cues c ON c.cue_id = w.cue_id WHERE trim(w.text) <> ''), """
+        + GROUPED
+        + " SELECT k AS cue_id, CAST(g - 1 AS BIGINT) AS ord, a AS start_us, b AS end_us, text FROM grouped",
         "cues",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
@@ -147,7 +150,28 @@ def original_cues(spark, d):
     return o.withColumn("text_sha", F.sha2("text", 256)).drop("text")
 
 
-@query("build_cues")
+@query(
+    "build_cues",
+    sql(
+        ORIG
+        + ", "
+        + NOMINAL
+        + rf""", vo AS (SELECT *, coalesce(CASE WHEN voice_us > 0 THEN voice_us END, planned_us) AS audio FROM nominal WHERE mode = 'voiceover'),
+     bw AS (SELECT segment_id AS k, audio, unnest(regexp_split_to_array(text, '[- ]')) AS text, generate_subscripts(regexp_split_to_array(text, '[- ]'), 1) - 1 AS o FROM vo WHERE ord % 2 = 0),
+     x AS (SELECT k, text, o * 400000 AS s, 350000 AS d, audio, row_number() OVER (PARTITION BY k ORDER BY o) AS i, length(regexp_replace(text, '{SPACE_RE}', '', 'g')) AS u FROM bw WHERE trim(text) <> ''), """
+        + GROUPED
+        + ", "
+        + split_sql("SELECT segment_id AS k, text FROM vo WHERE dur_us > 0 AND segment_id NOT IN (SELECT k FROM grouped)", 32, "s_")
+        + rf""", sz AS (SELECT k, ord, chunk, {SHARE} AS w, CAST(sum({SHARE}) OVER (PARTITION BY k ORDER BY ord) AS BIGINT) AS upto, CAST(sum({SHARE}) OVER (PARTITION BY k) AS BIGINT) AS whole FROM s_chunks),
+     tm AS (SELECT k, chunk, {he('(dur_us * (upto - w))', 'whole')} AS a, {he('(dur_us * upto)', 'whole')} AS b FROM sz JOIN vo ON vo.segment_id = sz.k),
+     every AS (SELECT row_number() OVER () AS k, * FROM (SELECT k AS segment_id, a, b, text, 'word' AS kind FROM grouped UNION ALL SELECT k, a, b, chunk, 'spread' FROM tm WHERE b > a
+       UNION ALL SELECT segment_id, local_us + greatest(0, c0 - v0), local_us + least(v1, c1) - v0, text, 'original' FROM oc WHERE trim(text) <> '')), """
+        + split_sql("SELECT k, text FROM every", 16, "w_")
+        + """, wr AS (SELECT k, string_agg(chunk, chr(10) ORDER BY ord) AS text FROM w_chunks GROUP BY 1)
+     SELECT n.work_id, n.ord AS seg_ord, e.segment_id, e.a + n.out_end_us - n.dur_us AS start_us, e.b + n.out_end_us - n.dur_us AS end_us, coalesce(wr.text, '') AS text, kind FROM every e JOIN nominal n ON n.segment_id = e.segment_id LEFT JOIN wr ON wr.k = e.k""",
+        "segments", "visuals", "cues",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def build_cues(spark, d):
     s = fx.segments(spark, d)
     b = s.where("mode = 'voiceover' and ord % 2 = 0").select("work_id", "segment_id", F.posexplode(F.split("text", "[- ]")).alias("ord", "text"))

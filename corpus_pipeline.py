@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.catalog.registry import query
-from spanframe.llm.common import written
+from spanframe.llm.common import discard, joinable, written
 from spanframe.llm.copies import find_near_copies
 from spanframe.llm.language import identify_language
 from spanframe.llm.leaks import find_leaks
@@ -17,9 +17,13 @@ from spanframe.llm.packing import pack_transcripts
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+ID_ROWS = 1_000_000  # ids that are sent to the documents; more meet them by key
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids``; few ids are sent to the documents, many meet them by key."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """The documents whose doc_id is not among ``ids``."""
+    gone = written(ids.select("doc_id").distinct(), "gone")
+    return docs.select(*COLUMNS).join(joinable(gone, ID_ROWS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +78,10 @@ ORACLE_SQL = None  # models, sketches and packing have no SQL form; tests compar
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

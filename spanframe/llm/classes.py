@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blank_words, raw_text, written
+from .common import arrow_map, blank_words, discard, raw_text, written
 
 FREQUENT, ENDINGS = 1_024, 256  # words with an item of their own; items of all others, by their last two characters
 ITEMS = FREQUENT + ENDINGS + 1  # and one for the end of a text, which also stands before the first word
@@ -257,6 +257,8 @@ def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
     joined = rare.join(counts, "word", "left").groupBy("row_no").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
+    joined = written(joined, "rare")
+    discard(counts)
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return part.drop("rare").join(joined, "row_no", "left").select(
         "caption_id", "train", "n_tokens", (F.col("held") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

@@ -56,7 +56,25 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joinable(table: DataFrame, rows: int) -> DataFrame:
+    """A written table for a join: broadcast while it has at most ``rows`` rows, else merged by key.
+
+    The count decides, not an estimate of bytes, so that small and large inputs run alike.
+    """
+    return F.broadcast(table) if table.count() <= rows else table.hint("merge")
 
 
 def crc_rest(column: str, divisor: int):
@@ -64,4 +82,4 @@ def crc_rest(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-__all__ = ["ASCII_WORD", "arrow_map", "blank_words", "crc_rest", "plain_words", "raw_text", "written"]
+__all__ = ["ASCII_WORD", "arrow_map", "blank_words", "crc_rest", "discard", "joinable", "plain_words", "raw_text", "written"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the least node of its component.
+    """(node, root), a written table, for every node of links (a, b): root is the least node of its component.
 
     Rounds go on until the edges no longer change; their number grows with the logarithm
     of the longest chain. Each round is written, so a lost executor costs one round.
@@ -37,8 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     before = state(edges)
     while True:
-        edges = written(star(star(edges, True), False), "edges")
+        last, edges = edges, written(star(star(edges, True), False), "edges")
+        discard(last)
         after = state(edges)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
         before = after
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(roots, "roots")
+    discard(edges)
+    return out

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blank_words, raw_text, written
+from .common import arrow_map, blank_words, discard, raw_text, written
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4  # sorted orders, hashes in each, hashes that make a region
@@ -190,7 +190,9 @@ def neighbours(rows: DataFrame, similarity: int) -> DataFrame:
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     across = met.where("seam IS NOT NULL").select("seam", *ROW).groupBy("seam").applyInArrow(seams, "a bigint, b bigint, agree bigint")
-    return met.where("a IS NOT NULL").select("a", "b", "agree").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    out = written(met.where("a IS NOT NULL").select("a", "b", "agree").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    discard(met)
+    return out
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -245,8 +247,10 @@ def rest_links(candidates: DataFrame, roots: DataFrame, texts: DataFrame, words:
     on full sets, in tiles of about ``TILE`` by ``TILE`` texts: a pair of tiles is a task's work,
     no pair is a row, and a member gives one link to each other component at most.
     """
-    clusters = components(candidates).select("node", F.col("root").alias("cluster")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    loose = components(candidates)
+    clusters = loose.select("node", F.col("root").alias("cluster")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     clusters = written(clusters, "clusters")
+    discard(loose)
     by = clusters.groupBy("cluster", "root").agg(F.count("*").alias("k"))
     mixed = by.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
     some = clusters.join(mixed.select("cluster", F.col("top.root").alias("main"), "members", (F.col("members") - F.col("top.k")).alias("minors")), "cluster")
@@ -275,7 +279,9 @@ def rest_links(candidates: DataFrame, roots: DataFrame, texts: DataFrame, words:
                 out["b"] += nodes[there[one]].tolist()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    return placed.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint")
+    out = written(placed.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint"), "links")
+    discard(clusters)
+    return out
 
 
 def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -306,18 +312,22 @@ def find_near_copies(segments: DataFrame, words: int = 5, similarity: int = 80)
     nodes = full.groupBy("digest").agg(F.min("row_no").alias("node"), F.min("segment_id").alias("least_id"), F.first("n_shingles").alias("n"),
                                        F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
-    found = written(neighbours(forest(nodes), similarity), "candidates")
+    found = neighbours(forest(nodes), similarity)
     near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
     tried = found.withColumn("k", near).where(F.col("k") <= NEAREST).select("a", "b")
     texts = made.select(F.col("row_no").alias("node"), "text")
-    roots = components(written(confirmed(tried, texts, words, similarity), "links"))
-    more = written(rest_links(found, roots, texts, words, similarity), "links")
+    links = written(confirmed(tried, texts, words, similarity), "links")
+    roots = components(links)
+    more = rest_links(found, roots, texts, words, similarity)
     if more.head(1):
-        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        last, roots = roots, components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(last)
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least_id")
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     class_of = grouped.join(least, "root").select("digest", "component_id")
-    return made.select("segment_id", "n_shingles", "digest").join(class_of, "digest", "left").select(
+    out = written(made.select("segment_id", "n_shingles", "digest").join(class_of, "digest", "left").select(
         "segment_id", "n_shingles", F.coalesce("component_id", "segment_id").alias("component_id"),
         F.col("segment_id").eqNullSafe(F.coalesce("component_id", "segment_id")).alias("kept"),
-    )
+    ), "copies")
+    discard(made, nodes, found, links, more, roots)
+    return out

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, joinable, written
 
 KEY_ROWS = 500_000  # chunk keys (16 bytes each) that are broadcast; beyond, chunks are joined by key
+RANGE_ROWS = 200_000  # sources with removed ranges that are broadcast; beyond, transcripts are joined by source
 MULTIPLIER = 1_000_003
 
 
@@ -65,19 +66,21 @@ def dedup_lines(transcripts: DataFrame, divisor: int = 3, long_words: int = 50,
     """
     chunks = line_chunks(transcripts.where("source_id IS NOT NULL"), divisor, long_words).withColumn("key", F.unhex(F.md5("text")))
     again = written(chunks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    repeated = chunks.join(F.broadcast(again) if again.count() <= KEY_ROWS else again, "key", "left_semi")
+    repeated = chunks.join(joinable(again, KEY_ROWS), "key", "left_semi")
     place = F.struct("source_id", "chunk")
     repeated = written(repeated, "repeated", compression="zstd")
+    discard(again)
     # the grouping compares whole texts
     first = repeated.groupBy("key", "text").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = repeated.join(first, ["key", "text"]).where(place != F.col("first")).select("source_id", "from_line", "to_line").distinct()
-    ranges = gone.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("ranges"))
+    ranges = written(gone.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("ranges")), "ranges")
+    discard(repeated)
     left = once("lines", "split(coalesce(text, ''), '\\n')", """named_struct('n_lines', size(lines), 'left', if(ranges is null, lines,
         flatten(transform(sequence(0, size(ranges)), q -> slice(lines,
             if(q = 0, 0, get(ranges, q - 1).to_line + 1) + 1,
             if(q = size(ranges), size(lines), get(ranges, q).from_line) - if(q = 0, 0, get(ranges, q - 1).to_line + 1))))))""")
     blank = r"[^\x20\x09-\x0D]".replace("\\", "\\\\")
-    found = transcripts.select("source_id", "text", *(carried or [])).join(ranges, "source_id", "left").select("source_id", F.expr(left).alias("r"), *(carried or []))
+    found = transcripts.select("source_id", "text", *(carried or [])).join(joinable(ranges, RANGE_ROWS), "source_id", "left").select("source_id", F.expr(left).alias("r"), *(carried or []))
     return found.select(
         "source_id", F.col("r.n_lines").cast("long").alias("n_lines"), (F.col("r.n_lines") - F.size("r.left")).cast("long").alias("n_removed"),
         F.expr(f"size(filter(r.left, x -> x rlike '{blank}'))").cast("long").alias("n_left"), F.array_join("r.left", "\n").alias("text"),

@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_ROWS = 50_000  # index rows that are broadcast; beyond, the index is joined by token
@@ -70,7 +70,9 @@ def mine_rules(judged: DataFrame, support: float, confidence: float, words: int,
     parts = rules.select("antecedent", "verdict", "confidence", F.explode(F.concat(ones, rest)).alias("part")).where(F.size("part") < F.size("antecedent"))
     surer = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("sure"))
     needless = parts.join(surer, ["part", "verdict"]).where("sure >= confidence").select("antecedent", "verdict")
-    return rules.join(needless, ["antecedent", "verdict"], "left_anti")
+    out = written(rules.join(needless, ["antecedent", "verdict"], "left_anti"), "mined")
+    discard(rules)
+    return out
 
 
 def judge_links(links: DataFrame, rules: list[tuple[str, str, str]], support: float = 0.005, confidence: float = 0.8, words: int = 3,
@@ -99,7 +101,6 @@ def judge_links(links: DataFrame, rules: list[tuple[str, str, str]], support: fl
     if mined is None:
         return given.select("link_id", "url", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"),
                             F.lit(None).cast("string").alias("matched"), F.when(F.col("rule").isNotNull(), 1.0).alias("confidence"))
-    mined = written(mined, "mined")
     index = mined.select(F.col("antecedent")[0].alias("token"), "antecedent", F.col("verdict").alias("mined"), "confidence", "support")
     few = mined.count() <= RULE_ROWS
     rows = given.withColumn("row_no", F.monotonically_increasing_id())

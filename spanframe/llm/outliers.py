@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -133,6 +133,7 @@ def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: f
     rows = written(marked.withColumn("__group", F.when(F.col("__big"), F.col("__own")).otherwise(name("lang"))).drop("__own", "__big"), "groups")
 
     quartiles = rows.groupBy("__group").agg(F.count("*").alias("__rows"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES])
+    discard(counted)
     p = len(FEATURES)
     start = quartiles.where(F.col("__rows") >= least_group).select(
         "__group", *[F.col(f)[1].alias(f"mean{i}") for i, f in enumerate(FEATURES)],
@@ -144,7 +145,8 @@ def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: f
         limit = near.where("d2 IS NOT NULL").groupBy("__group").agg(F.percentile_approx("d2", core, 2000).alias("limit"))
         inner = near.where("d2 IS NOT NULL")
         joined = inner.join(F.broadcast(limit), "__group") if limit.count() <= PARAMETER_ROWS else inner.join(limit, "__group")
-        parameters = written(estimate(joined.where("d2 <= limit")), "parameters")
+        last, parameters = parameters, written(estimate(joined.where("d2 <= limit")), "parameters")
+        discard(last)
     near = distances(rows, parameters)
     middle = near.where("d2 IS NOT NULL").groupBy("__group").agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / 4.351, F.lit(1.0)).alias("scale"))
     scaled = near.join(F.broadcast(middle), "__group", "left") if middle.count() <= PARAMETER_ROWS else near.join(middle, "__group", "left")

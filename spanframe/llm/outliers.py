@@ -98,7 +98,7 @@ def distances(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return out.withColumn("d2", total).drop(*[c for c in parameters.columns if c != "__group"], *[f"z{i}" for i in range(p)])
 
 
-def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: float = 60.0, least_group: int = 50,
+def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: float = 90.0, least_group: int = 50,
                  least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """Rejects scene-unit texts whose statistics are outliers among those of their language and source.
 

@@ -19,7 +19,7 @@ FREQUENT, ENDINGS = 1_024, 256  # words with an item of their own; items of all
 ITEMS = FREQUENT + ENDINGS + 1  # and one for the end of a text, which also stands before the first word
 END = ITEMS - 1
 HEAD = 200_000  # most frequent words whose counts every task holds; the counts of others are joined
-FLUSH = 500_000  # distinct words a task counts before it passes them on
+FLUSH = 250_000  # distinct words a task counts before it passes them on
 
 
 @dataclass

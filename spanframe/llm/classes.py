@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -9,25 +10,33 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, blank_words, discard, raw_text, written
 
 FREQUENT, ENDINGS = 1_024, 256  # words with an item of their own; items of all others, by their last two characters
 ITEMS = FREQUENT + ENDINGS + 1  # and one for the end of a text, which also stands before the first word
 END = ITEMS - 1
-HEAD = 200_000  # most frequent words whose counts every task holds; the counts of others are joined
+HEAD = 200_000  # most frequent words whose counts and classes every task holds; those of others are joined
 FLUSH = 250_000  # distinct words a task counts before it passes them on
+TOKENS = 2_000_000  # tokens whose pairs a task counts before it passes them on
+ENTRIES = 16_000  # neighbour counts whose moves are weighed at once
+LEAST_GAIN = 0.01  # nats a token: a round of moves that gains less is the last
+ITEM_BITS = 11  # low bits of a word's code: its item
+TOP = (HEAD + 1) << ITEM_BITS  # codes below: ranks of head words, and the end; above: hashes of all others
+END_CODE = HEAD << ITEM_BITS | END
 
 
 @dataclass
 class Model:
-    """What scoring needs: frequent words' counts and items, the items' classes, class tables in log10."""
+    """What scoring needs: frequent words' counts and classes, class tables in log10."""
 
-    head: dict[bytes, tuple[int, float]]  # word -> item, log10(count + 0.5)
-    classes: np.ndarray  # item -> class
+    head: dict[bytes, tuple[int, float]]  # word -> class, log10(count + 0.5)
+    unseen: np.ndarray  # item -> class of a word that the tasks do not hold, if training has not seen it
     move: np.ndarray  # class, class -> log10 probability
     total: np.ndarray  # class -> log10 of the emission's denominator
     end: float  # log10(count + 0.5) of the end
@@ -38,8 +47,13 @@ def item_of(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % ENDINGS
 
 
+def code_of(word: bytes) -> int:
+    """The code of a word outside the head. Words of equal code (52 bits) share their class, not their count."""
+    return (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 13 | 1 << 51) << ITEM_BITS | item_of(word)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) over all training texts, pre-aggregated in the tasks."""
+    """(word, code, n) over all training texts, pre-aggregated in the tasks; codes as of words outside the head."""
 
     def step(batches: Iterator[dict[str, list]]):
         found: Counter = Counter()
@@ -47,11 +61,11 @@ def word_counts(training: DataFrame) -> DataFrame:
             for raw in b["raw"]:
                 found.update(blank_words(raw))
                 if len(found) > FLUSH:
-                    yield {"word": list(found), "n": list(found.values())}
+                    yield {"word": list(found), "code": [code_of(w) for w in found], "n": list(found.values())}
                     found.clear()
-        yield {"word": list(found), "n": list(found.values())}
+        yield {"word": list(found), "code": [code_of(w) for w in found], "n": list(found.values())}
 
-    return arrow_map(training.select("raw"), "word binary, n bigint", step).groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(training.select("raw"), "word binary, code bigint, n bigint", step).groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
 def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -68,32 +82,50 @@ def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def item_pairs(training: DataFrame, items: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring items over all training texts: a table of fixed size, summed in tasks and by Spark."""
-    shared = training.sparkSession.sparkContext.broadcast(items)
+def head_code(rank: int, word: bytes) -> int:
+    return rank << ITEM_BITS | (rank if rank < FREQUENT else item_of(word))
+
+
+def word_pairs(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(left, right, n): codes of neighbouring words over all training texts, pre-aggregated in the tasks."""
+    shared = training.sparkSession.sparkContext.broadcast(head)
 
     def step(batches: Iterator[dict[str, list]]):
-        own, known = np.zeros(ITEMS * ITEMS, np.int64), dict(shared.value)
+        place: dict[bytes, int] = {}  # word -> place in the list of codes
+        codes, chain = [END_CODE], [0]
+
+        def pairs():
+            c, known = np.array(chain, np.int64), np.array(codes, np.int64)
+            pair, n = np.unique(c[:-1] * len(known) + c[1:], return_counts=True)
+            for at in range(0, len(pair), 50_000):
+                p = pair[at : at + 50_000]
+                yield {"left": known[p // len(known)], "right": known[p % len(known)], "n": n[at : at + 50_000]}
+
         for b in batches:
-            codes = [END]
             for raw in b["raw"]:
                 for w in blank_words(raw):
-                    k = known.get(w)
+                    k = place.get(w)
                     if k is None:
-                        if len(known) > FLUSH:
-                            known = dict(shared.value)
-                        k = known[w] = item_of(w)
-                    codes.append(k)
-                codes.append(END)
-            c = np.array(codes, np.int64)
-            own += np.bincount(c[:-1] * ITEMS + c[1:], minlength=ITEMS * ITEMS)
-        at = np.flatnonzero(own)
-        yield {"pair": at.tolist(), "n": own[at].tolist()}
-
-    out = np.zeros(ITEMS * ITEMS, np.int64)
-    for r in arrow_map(training.select("raw"), "pair bigint, n bigint", step).groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.pair] = r.n
-    return out.reshape(ITEMS, ITEMS)
+                        k = place[w] = len(codes)
+                        c = shared.value.get(w)
+                        codes.append(code_of(w) if c is None else c)
+                    chain.append(k)
+                chain.append(0)
+                if len(chain) > TOKENS or len(codes) > FLUSH:
+                    yield from pairs()
+                    place, codes, chain = {}, [END_CODE], [0]
+        yield from pairs()
+
+    return arrow_map(training.select("raw"), "left bigint, right bigint, n bigint", step)
+
+
+def item_pairs(pairs: DataFrame) -> np.ndarray:
+    """Counts of neighbouring items: a table of fixed size, from which the first classes come."""
+    low = (1 << ITEM_BITS) - 1
+    out = np.zeros((ITEMS, ITEMS), np.int64)
+    for r in pairs.groupBy(F.expr(f"left & {low}").alias("a"), F.expr(f"right & {low}").alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.a, r.b] = r.n
+    return out
 
 
 def weigh(x: np.ndarray) -> np.ndarray:
@@ -103,7 +135,7 @@ def weigh(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, n_classes: int, rounds: int = 15) -> np.ndarray:
     """Classes of items: each in turn moves to the class that raises the likelihood of class bigrams most.
 
-    The table has a fixed number of items, so the work does not grow with the corpus.
+    Gives the first classes, of a fixed number of items; ``cluster`` goes on with all words.
     The end of a text keeps the last class for itself.
     """
     counts = pairs.astype(float)
@@ -146,65 +178,167 @@ def exchange(pairs: np.ndarray, n_classes: int, rounds: int = 15) -> np.ndarray:
     return classes
 
 
-def class_tables(pairs: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """log10 class transitions: Witten-Bell, interpolated with class frequencies."""
+def neighbour_counts(pairs: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
+    """(word, class, slots, ns): every word's class and its neighbours' counts by their class.
+
+    Slot c: neighbours of class c behind the word, ``n_classes`` + c: before it, twice
+    ``n_classes``: the word itself. Classes of head words are broadcast, of others joined by code.
+    """
+    k = n_classes
+    sides = pairs.where("left != right").select(F.expr(f"inline(array(named_struct('word', left, 'near', right, 'base', 0), named_struct('word', right, 'near', left, 'base', {k})))"), "n")
+    slot = (F.col("base") + F.col("class")).alias("slot")
+    near = classes.withColumnRenamed("code", "near")
+    held = sides.where(F.col("near") < TOP).join(F.broadcast(near.where(F.col("near") < TOP)), "near").select("word", slot, "n")
+    rest = sides.where(F.col("near") >= TOP).join(near.where(F.col("near") >= TOP).hint("shuffle_hash"), "near").select("word", slot, "n")
+    loops = pairs.where("left = right").select(F.col("left").alias("word"), F.lit(2 * k).alias("slot"), "n")
+    own = classes.select(F.col("code").alias("word"), (F.col("class") + 2 * k + 1).alias("slot"), F.lit(1).cast("long").alias("n"))
+    summed = held.union(rest).union(loops).union(own).groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    by = summed.groupBy("word").agg(F.max("slot").alias("own"), F.collect_list(F.struct("slot", "n")).alias("all"))
+    counts = by.select("word", (F.col("own") - 2 * k - 1).alias("class"), F.expr(f"filter(all, x -> x.slot <= {2 * k})").alias("all"))
+    return counts.select("word", "class", F.col("all.slot").alias("slots"), F.col("all.n").alias("ns"))
+
+
+def class_counts(vectors: DataFrame, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes."""
+    one = vectors.select("class", F.explode(F.arrays_zip("slots", "ns")).alias("e")).where((F.col("e.slots") < n_classes) | (F.col("e.slots") == 2 * n_classes))
     table = np.zeros((n_classes, n_classes))
-    np.add.at(table, (classes[:, None], classes[None, :]), pairs)
-    whole = (table.sum(0) + 0.5) / (table.sum() + 0.5 * n_classes)
+    for r in one.groupBy("class", F.least(F.col("e.slots"), F.lit(n_classes)).alias("slot")).agg(F.sum("e.ns").alias("n")).collect():
+        table[r["class"], r["class"] if r.slot == n_classes else r.slot] += r.n
+    return table
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams, up to a constant."""
+    return float(weigh(table).sum() - weigh(table.sum(0)).sum() - weigh(table.sum(1)).sum())
+
+
+def best_classes(table: np.ndarray, classes: np.ndarray, after: np.ndarray, before: np.ndarray, loop: np.ndarray) -> np.ndarray:
+    """The class for each word that raises the likelihood most when all others stay; never the last."""
+    words, k = after.shape
+    every = np.arange(words)
+    gain = np.zeros((words, k))
+    for near, far, t in ((after, before, table.T), (before, after, table)):
+        r, j = np.nonzero(near)
+        if not len(r):
+            continue
+        base, n, a = t[j], near[r, j], classes[r]
+        inner = j == a  # the word's own counts are not in the table
+        base[inner] -= far[r[inner]]
+        base[np.arange(len(r)), a] -= n + inner * loop[r]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        gain[r[first]] += np.add.reduceat(weigh(base + n[:, None]) - weigh(base), first)
+    own = np.repeat(np.diagonal(table)[None, :], words, 0)
+    own[every, classes] -= after[every, classes] + before[every, classes] + loop
+    gain += weigh(own + after + before + loop[:, None]) - weigh(own + after) - weigh(own + before) + weigh(own)
+    for sums, more in ((table.sum(1), after.sum(1) + loop), (table.sum(0), before.sum(1) + loop)):
+        rest = np.repeat(sums[None, :], words, 0)
+        rest[every, classes] -= more
+        gain -= weigh(rest + more[:, None]) - weigh(rest)
+    gain[:, -1] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, classes] + 1e-9, best, classes)
+
+
+def moved(vectors: DataFrame, table: np.ndarray) -> DataFrame:
+    """(code, class) after one round, in which every word but the end takes its best class."""
+    shared, k = vectors.sparkSession.sparkContext.broadcast(table), len(table)
+
+    def step(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            word, old = b.column("word").to_numpy(), b.column("class").to_numpy().astype(np.int64)
+            slots, ns = b.column("slots"), b.column("ns")
+            ends = np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            slot, n = slots.flatten().to_numpy(), ns.flatten().to_numpy()
+            new, at = old.copy(), 0
+            while at < len(word):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, "right")) - 1)
+                to = min(to, at + ENTRIES // 8)
+                full = np.zeros((to - at, 2 * k + 1))
+                full[np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), slot[ends[at] : ends[to]]] = n[ends[at] : ends[to]]
+                new[at:to] = best_classes(shared.value, old[at:to], full[:, :k], full[:, k : 2 * k], full[:, 2 * k])
+                at = to
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.where(word == END_CODE, old, new).astype(np.int32))], ["code", "class"])
+
+    return vectors.mapInArrow(step, "code bigint, class int")
+
+
+def cluster(pairs: DataFrame, seeds: np.ndarray, n_classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes (code, class) of all words of ``pairs``, written, and the counts of neighbouring classes.
+
+    Words start in their item's class. In a round every word's neighbours are counted by
+    class, and each word takes its best class given all others' of the round before. The
+    rounds have no fixed number: they end when one gains less than ``LEAST_GAIN`` a token.
+    All words move at once, so a round may also lower the likelihood; then it is undone.
+    """
+    first = F.array(*[F.lit(int(c)) for c in seeds])[F.expr(f"cast(code & {(1 << ITEM_BITS) - 1} as int)")]
+    classes = written(pairs.select(F.col("left").alias("code")).distinct().select("code", first.alias("class")), "classes")
+    vectors = written(neighbour_counts(pairs, classes, n_classes), "neighbours", compression="zstd")
+    table = class_counts(vectors, n_classes)
+    while True:
+        tried = written(moved(vectors, table), "classes")
+        seen = written(neighbour_counts(pairs, tried, n_classes), "neighbours", compression="zstd")
+        after = class_counts(seen, n_classes)
+        gain = (likelihood(after) - likelihood(table)) / max(table.sum(), 1)
+        if gain > 0:
+            discard(classes, vectors)
+            classes, vectors, table = tried, seen, after
+        else:
+            discard(tried, seen)
+        if gain < LEAST_GAIN:
+            discard(vectors)
+            return classes, table
+
+
+def class_tables(table: np.ndarray) -> np.ndarray:
+    """log10 class transitions: Witten-Bell, interpolated with class frequencies."""
+    whole = (table.sum(0) + 0.5) / (table.sum() + 0.5 * len(table))
     rows, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
     return np.log10((table + np.maximum(kinds, 1) * whole) / (rows + np.maximum(kinds, 1)))
 
 
-def item_sizes(counts: DataFrame, items: dict[bytes, int]) -> np.ndarray:
-    """Tokens and distinct words of each item."""
-    shared = counts.sparkSession.sparkContext.broadcast(items)
-
-    def step(batches: Iterator[dict[str, list]]):
-        own = np.zeros((ITEMS, 2), np.int64)
-        for b in batches:
-            k = np.array([shared.value.get(w, -1) for w in b["word"]], np.int64)
-            k[k < 0] = [item_of(w) for w, i in zip(b["word"], k.tolist(), strict=True) if i < 0]
-            own[:, 0] += np.bincount(k, b["n"], ITEMS).astype(np.int64)
-            own[:, 1] += np.bincount(k, minlength=ITEMS)
-        yield {"item": list(range(ITEMS)), "tokens": own[:, 0].tolist(), "words": own[:, 1].tolist()}
-
-    out = np.zeros((ITEMS, 2), np.int64)
-    for r in arrow_map(counts, "item int, tokens bigint, words bigint", step).groupBy("item").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
-        out[r["item"]] = r["tokens"], r["words"]
-    return out
-
-
 def partly_scored(texts: DataFrame, shared) -> DataFrame:
-    """Scores of what is known in the task, and each text's other words with their counts, for the join."""
+    """Scores of what is known in the task, and each text's other words with their places, for the join.
+
+    ``holes`` has the classes (16 bits each, -1 for another word) of the other words and of
+    the words beside them; ``rare`` tells the places of a word among the -1.
+    """
     kind = texts.schema["caption_id"].dataType.simpleString()
 
     def step(batches: Iterator[dict[str, list]]):
         model: Model = shared.value
+        last = len(model.total) - 1
         at = TaskContext.get().partitionId() << 33
         words: dict[bytes, int] = {}  # word -> place in the two lists
-        item: list[int] = []
+        group: list[int] = []
         log: list[float] = []
         for b in batches:
-            out = {k: [] for k in ("caption_id", "train", "row_no", "n_tokens", "held", "logs", "moves", "rare")}
+            out = {k: [] for k in ("caption_id", "train", "row_no", "n_tokens", "held", "logs", "moves", "holes", "rare")}
             for key, train, raw in zip(b["caption_id"], b["train"], b["raw"], strict=True):
                 tokens = blank_words(raw)
                 if len(words) > FLUSH:
-                    words, item, log = {}, [], []
+                    words, group, log = {}, [], []
                 codes = []
                 for w in tokens:
                     k = words.get(w)
                     if k is None:
-                        k = words[w] = len(item)
-                        i, v = model.head.get(w) or (item_of(w), math.nan)
-                        item.append(i)
+                        k = words[w] = len(group)
+                        i, v = model.head.get(w) or (-1, math.nan)
+                        group.append(i)
                         log.append(v)
                     codes.append(k)
                 logs = np.array([log[k] for k in codes] or [0.0])[: len(codes)]
-                chain = model.classes[np.array([END, *[item[k] for k in codes], END])]
-                unknown = np.isnan(logs)
-                rare = Counter(tokens[i] for i in np.flatnonzero(unknown).tolist())
-                row = (key, train, at, len(tokens) + 1, len(tokens) - int(unknown.sum()), float(logs[~unknown].sum() + model.end),
-                       float(model.move[chain[:-1], chain[1:]].sum() - model.total[chain[1:]].sum()), [{"word": w, "n": n} for w, n in rare.items()])
+                chain = np.array([last, *[group[k] for k in codes], last], np.int16)
+                known = chain >= 0
+                both = known[:-1] & known[1:]
+                moves = model.move[chain[:-1], chain[1:]][both].sum() - model.total[chain[1:]][known[1:]].sum()
+                beside = ~known
+                beside[1:] |= ~known[:-1]
+                beside[:-1] |= ~known[1:]
+                spots: dict[bytes, list[int]] = {}
+                for n, i in enumerate(np.flatnonzero(~known).tolist()):
+                    spots.setdefault(tokens[i - 1], []).append(n)
+                rare = [{"word": w, "guess": int(model.unseen[item_of(w)]), "spots": x} for w, x in spots.items()]
+                row = (key, train, at, len(tokens) + 1, int(known.sum()) - 2, float(logs[known[1:-1]].sum() + model.end), float(moves), chain[beside].tobytes(), rare)
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
                 at += 1
@@ -213,19 +347,45 @@ def partly_scored(texts: DataFrame, shared) -> DataFrame:
                     out = {k: [] for k in out}
             yield out
 
-    schema = f"caption_id {kind}, train boolean, row_no bigint, n_tokens bigint, held bigint, logs double, moves double, rare array<struct<word:binary,n:bigint>>"
+    schema = (f"caption_id {kind}, train boolean, row_no bigint, n_tokens bigint, held bigint, logs double, moves double, holes binary, "
+              "rare array<struct<word:binary,guess:int,spots:array<int>>>")
     return arrow_map(texts, schema, step)
 
 
+def filled(rows: DataFrame, shared) -> DataFrame:
+    """Adds the class moves of ``holes``, whose classes are in ``found``, to ``moves``."""
+    kept = [c for c in rows.columns if c not in ("holes", "found")]
+
+    def step(batches: Iterator[dict[str, list]]):
+        model: Model = shared.value
+        for b in batches:
+            moves = []
+            for known, holes, found in zip(b["moves"], b["holes"], b["found"], strict=True):
+                if found:
+                    chain = np.frombuffer(holes, np.int16).copy()
+                    gap = chain < 0
+                    fill = np.zeros(int(gap.sum()), np.int16)
+                    for f in found:
+                        fill[f["spots"]] = f["class"]
+                    chain[gap] = fill
+                    known += float(model.move[chain[:-1], chain[1:]][gap[:-1] | gap[1:]].sum() - model.total[fill].sum())
+                moves.append(known)
+            yield {**{c: b[c] for c in kept}, "moves": moves}
+
+    return arrow_map(rows, T.StructType([rows.schema[c] for c in kept]), step)
+
+
 def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
     """Log probabilities of caption texts under a class bigram model and a unigram model.
 
     captions(caption_id, text, train): rows with ``train`` teach. Tokens are blank-free
     words, A-Z lower-cased, and one end for each text. Word counts and class bigrams are
-    taken over all training texts. The ``FREQUENT`` most frequent words and the endings of
-    all others are items; exchange clustering puts items into ``n_classes`` classes. A
-    token's probability is that of its class after the class before, times that of the
-    word in its class, (c + 0.5) / (N_class + 0.5 * (V_class + 1)).
+    taken over all training texts. All words of the training texts are put into
+    ``n_classes`` classes by exchange clustering: the ``FREQUENT`` most frequent words and
+    the endings of all others give the first classes, then every word moves by itself in
+    rounds on Spark (``cluster``). A token's probability is that of its class after the
+    class before, times that of the word in its class, (c + 0.5) / (N_class + 0.5 * (V_class + 1)).
+    Words unseen in training are in the first class of their ending.
 
     Returns per caption row: caption_id, train, n_tokens, n_known (tokens seen in
     training), train_tokens, base_score (unigram log10, add 0.5), score (class model
@@ -233,8 +393,8 @@ def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
 
     Null or empty text: one token, the end. Null ``train`` counts as false. No training row: zero
     counts, and both models give the reserve of unseen words. Repeated rows give repeated
-    rows, an empty table an empty one; other columns are ignored. Counts of all but the
-    ``HEAD`` most frequent words are joined to the texts' rare words by word.
+    rows, an empty table an empty one; other columns are ignored. Counts and classes of all
+    but the ``HEAD`` most frequent words are joined to the texts' rare words by word.
     """
     texts = captions.select("caption_id", F.coalesce("train", F.lit(False)).alias("train"), raw_text("text").alias("raw"))
     training = texts.where("train")
@@ -243,24 +403,34 @@ def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
     ends = training.count()
     tokens, kinds = sums.tokens + ends, sums.words + (ends > 0)
     head = head_words(counts)
-    items = {w: k for k, (w, _) in enumerate(head[:FREQUENT])}
-    pairs = item_pairs(training, items)
-    classes = exchange(pairs, n_classes)
-    sizes = item_sizes(counts, items)
-    sizes[END] = ends, ends > 0
-    total = np.log10(np.bincount(classes, sizes[:, 0], n_classes) + 0.5 * (np.bincount(classes, sizes[:, 1], n_classes) + 1))
-    known = {w: (items[w] if w in items else item_of(w), math.log10(n + 0.5)) for w, n in head}
-    model = Model(known, classes, class_tables(pairs, classes, n_classes), total, math.log10(ends + 0.5))
-    shared = captions.sparkSession.sparkContext.broadcast(model)
+    codes = {w: head_code(k, w) for k, (w, _) in enumerate(head)}
+    pairs = written(word_pairs(training, codes), "pairs", compression="zstd")
+    seeds = exchange(item_pairs(pairs), n_classes)
+    classes, table = cluster(pairs, seeds, n_classes)
+    discard(pairs)
+    of = {r.code: r["class"] for r in classes.where(F.col("code") < TOP).collect()}
+    known = {w: (of[codes[w]], math.log10(n + 0.5)) for w, n in head}
+    rest = counts.where(F.col("n") < head[-1][1]) if head else counts  # the head has all words of its counts
+    others = written(rest.join(classes.where(F.col("code") >= TOP), "code").select("word", "n", "class"), "classed")
+    discard(counts, classes)
+    sizes = np.zeros((n_classes, 2))
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        sizes[r["class"]] = r.n, r.words
+    for w, n in head:
+        sizes[known[w][0]] += n, 1
+    sizes[-1] = ends, ends > 0
+    total = np.log10(sizes[:, 0] + 0.5 * (sizes[:, 1] + 1))
+    shared = captions.sparkSession.sparkContext.broadcast(Model(known, seeds, class_tables(table), total, math.log10(ends + 0.5)))
     part = written(partly_scored(texts, shared), "scores", compression="zstd")
-    rare = part.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.word", F.col("r.n").alias("times"))
-    joined = rare.join(counts, "word", "left").groupBy("row_no").agg(
+    rare = part.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.word", "r.guess", "r.spots", F.size("r.spots").alias("times"))
+    joined = rare.join(others, "word", "left").groupBy("row_no").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.collect_list(F.struct(F.coalesce("class", "guess").alias("class"), "spots")).alias("found"),
     )
-    joined = written(joined, "rare")
-    discard(counts)
+    joined = written(joined, "rare", compression="zstd")
+    discard(others)
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return part.drop("rare").join(joined, "row_no", "left").select(
+    return filled(part.drop("rare").join(joined, "row_no", "left"), shared).select(
         "caption_id", "train", "n_tokens", (F.col("held") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * math.log10(tokens + 0.5 * (kinds + 1))).alias("base_score"), (logs + F.col("moves")).alias("score"),
         F.pow(F.lit(10.0), -(logs + F.col("moves")) / F.col("n_tokens")).alias("perplexity"),

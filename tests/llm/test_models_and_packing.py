@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spanframe.llm.classes import exchange, score_captions, weigh
+from spanframe.llm import classes as class_model
+from spanframe.llm.classes import best_classes, exchange, likelihood, score_captions, weigh
 from spanframe.llm.components import components
 from spanframe.llm.copies import find_near_copies
 from spanframe.llm.leaks import find_leaks
@@ -76,6 +77,45 @@ def test_exchange_does_not_lower_the_likelihood():
     assert value(after) > value(start) and after[1280] == 7 and (after[:1280] < 7).all()
 
 
+def test_each_word_takes_its_best_class():
+    rng = np.random.default_rng(5)
+    pairs, k = rng.poisson(0.4, (30, 30)).astype(float), 5
+    of = rng.integers(0, k - 1, 30)
+    of[29] = k - 1
+
+    def table(c):
+        t = np.zeros((k, k))
+        np.add.at(t, (c[:, None], c[None, :]), pairs)
+        return t
+
+    after, before = np.zeros((30, k)), np.zeros((30, k))
+    for w in range(30):
+        for v in range(30):
+            if v != w:
+                after[w, of[v]] += pairs[w, v]
+                before[w, of[v]] += pairs[v, w]
+    got = best_classes(table(of), of, after, before, np.diagonal(pairs).copy())
+    for w in range(29):
+        value = [likelihood(table(np.where(np.arange(30) == w, c, of))) for c in range(k - 1)]
+        assert math.isclose(value[got[w]], max(value), rel_tol=1e-12)
+
+
+def test_rare_words_have_classes_of_their_own(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):  # 3000 words of one ending; the kinds alternate
+        rows.append((i, " ".join(f"{'ab'[j % 2]}{min(int(1500 * rng.random() ** 1.5), 1499)}zz" for j in range(rng.randint(50, 100))), True))
+    rows += [(1000 + i, " ".join(f"{'ab'[j % 2]}{rng.randint(1200, 1499)}zz" for j in range(60)), False) for i in range(20)]
+    table = spark.createDataFrame(rows + [(2000, "new1zz a1zz new2zz b1499zz", False)], "caption_id long, text string, train boolean")
+    got = {r.caption_id: r for r in score_captions(table, n_classes=4).collect()}
+    held = [r for r in got.values() if 1000 <= r.caption_id < 2000]
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)  # of log10(2) a token
+    monkeypatch.setattr(class_model, "HEAD", 2_000)  # counts and classes of the others come by the join
+    for r in score_captions(table, n_classes=4).collect():
+        want = got[r.caption_id]
+        assert r.n_known == want.n_known and math.isclose(r.score, want.score, rel_tol=1e-9) and math.isclose(r.base_score, want.base_score, rel_tol=1e-9)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plans_use_each_length_as_often_as_it_occurs(histogram):

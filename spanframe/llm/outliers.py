@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["log_words", "word_length", "symbol_rate", "repeat_rate", "line_repeat_rate"]
-FLOORS = [0.5, 0.5, 0.06, 0.1, 0.1]  # least spread of each, so that a constant statistic does not reject its first exception
+REPEATED = 6  # words that one repeated three-word window covers
 PARAMETER_ROWS = 20_000  # groups whose parameters are broadcast; beyond, the join is salted
 SALTS = 64
 
@@ -56,6 +58,39 @@ def features() -> dict[str, Column]:
     }
 
 
+def noise() -> list[Column]:
+    """Counting noise of each statistic: the variance that single events, here or not by chance, give it.
+
+    That of log(k) is 1/k, that of k/n is k/n^2, that of sqrt(k/n) is m/4n for events of size m. A group's least
+    variance is the mean over its rows, so that a statistic that is constant in the core
+    does not reject its first exception, whatever the lengths of texts.
+    """
+    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    return [1 / words, chars / (words * words), 1 / (4 * chars), REPEATED / (4 * words), 1 / (4 * lines)]
+
+
+def chi_square(x: float, odd: int) -> float:
+    """The distribution function of chi-square with an odd number of degrees of freedom."""
+    total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, odd - 1, 2):
+        total -= term
+        term *= x / (k + 2)
+    return total
+
+
+def chi_quantile(share: float, odd: int) -> float:
+    lo, hi = 0.0, 1e3
+    for _ in range(100):
+        lo, hi = ((lo + hi) / 2, hi) if chi_square((lo + hi) / 2, odd) < share else (lo, (lo + hi) / 2)
+    return hi
+
+
+def consistency(core: float) -> float:
+    """What the covariance of the ``core`` share of normal rows nearest the mean is multiplied by to be that of all."""
+    p = len(FEATURES)
+    return core / chi_square(chi_quantile(core, p), p + 2) if core < 1 else 1.0
+
+
 def attach(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     """Joins the parameters of each row's group, ``__group``.
 
@@ -68,17 +103,17 @@ def attach(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")).join(salted, ["__group", "__salt"], "left").drop("__salt")
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Per group the mean and the inverse Cholesky factor of the covariance of its rows."""
+def estimate(rows: DataFrame, factor: float) -> DataFrame:
+    """Per group the mean and the Cholesky factor of ``factor`` times the covariance of its rows, plus counting noise."""
     p = len(FEATURES)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     sums = rows.groupBy("__group").agg(
         *[F.avg(f).alias(f"mean{i}") for i, f in enumerate(FEATURES)],
-        *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs],
+        *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs], *[F.avg(v).alias(f"noise{i}") for i, v in enumerate(noise())],
     )
     for i in range(p):  # Cholesky, row by row
         for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            rest = factor * F.col(f"c{i}_{j}") + (F.col(f"noise{i}") if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             sums = sums.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
@@ -98,16 +133,17 @@ def distances(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return out.withColumn("d2", total).drop(*[c for c in parameters.columns if c != "__group"], *[f"z{i}" for i in range(p)])
 
 
-def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: float = 90.0, least_group: int = 50,
+def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, tail: float = 0.001, least_group: int = 50,
                  least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """Rejects scene-unit texts whose statistics are outliers among those of their language and source.
 
     units(unit_id, text, lang, source_id). The statistics of each text are transformed
     (``FEATURES``). In each (lang, source_id) the covariance is estimated by
     concentration steps: from medians and quartile ranges on, the share ``core`` of rows
-    with the least distance gives the next mean and covariance, ``steps`` times. A unit
-    with a squared Mahalanobis distance over ``cutoff``, scaled so that the group's median
-    is that of five normal statistics, is an outlier. Groups of fewer than
+    with the least distance gives the next mean and covariance, ``steps`` times; the
+    covariance is made consistent for normal rows (``consistency``) and counting noise is
+    added. A unit with a squared Mahalanobis distance beyond the chi-square quantile that a
+    share ``tail`` of normal rows exceeds is an outlier. Groups of fewer than
     ``least_group`` rows are pooled by language; a pool that small rejects nothing.
 
     Returns per unit row: unit_id, lang, source_id, n_words, word_chars, n_symbols,
@@ -132,12 +168,13 @@ def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: f
         marked = lone.withColumn("__salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")).join(salted, ["__own", "__salt"], "left").drop("__salt")
     rows = written(marked.withColumn("__group", F.when(F.col("__big"), F.col("__own")).otherwise(name("lang"))).drop("__own", "__big"), "groups")
 
-    quartiles = rows.groupBy("__group").agg(F.count("*").alias("__rows"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES])
+    quartiles = rows.groupBy("__group").agg(F.count("*").alias("__rows"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES],
+                                            *[F.avg(v).alias(f"noise{i}") for i, v in enumerate(noise())])
     discard(counted)
     p = len(FEATURES)
     start = quartiles.where(F.col("__rows") >= least_group).select(
         "__group", *[F.col(f)[1].alias(f"mean{i}") for i, f in enumerate(FEATURES)],
-        *[(F.greatest((F.col(FEATURES[i])[2] - F.col(FEATURES[i])[0]) / 1.349, F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)],
+        *[(F.greatest((F.col(FEATURES[i])[2] - F.col(FEATURES[i])[0]) / 1.349, F.sqrt(f"noise{i}")) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)],
     )
     parameters = written(start, "parameters")
     for _ in range(steps):
@@ -145,14 +182,11 @@ def screen_units(units: DataFrame, core: float = 0.75, steps: int = 3, cutoff: f
         limit = near.where("d2 IS NOT NULL").groupBy("__group").agg(F.percentile_approx("d2", core, 2000).alias("limit"))
         inner = near.where("d2 IS NOT NULL")
         joined = inner.join(F.broadcast(limit), "__group") if limit.count() <= PARAMETER_ROWS else inner.join(limit, "__group")
-        last, parameters = parameters, written(estimate(joined.where("d2 <= limit")), "parameters")
+        last, parameters = parameters, written(estimate(joined.where("d2 <= limit"), consistency(core)), "parameters")
         discard(last)
-    near = distances(rows, parameters)
-    middle = near.where("d2 IS NOT NULL").groupBy("__group").agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / 4.351, F.lit(1.0)).alias("scale"))
-    scaled = near.join(F.broadcast(middle), "__group", "left") if middle.count() <= PARAMETER_ROWS else near.join(middle, "__group", "left")
-    out = scaled.withColumn("distance", F.col("d2") / F.col("scale")).withColumn(
+    out = distances(rows, parameters).withColumn("distance", F.col("d2")).withColumn(
         "failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
-    ).withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False)))
+    ).withColumn("outlier", F.coalesce(F.col("distance") > chi_quantile(1 - tail, len(FEATURES)), F.lit(False)))
     return out.select(
         "unit_id", "lang", "source_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         "distance", "failed", "outlier", (~F.col("failed") & ~F.col("outlier")).alias("kept"),

@@ -11,7 +11,7 @@ from spanframe.llm.copies import find_near_copies
 from spanframe.llm.language import identify_language
 from spanframe.llm.leaks import find_leaks
 from spanframe.llm.linededup import dedup_lines
-from spanframe.llm.outliers import screen_units, text_statistics
+from spanframe.llm.outliers import chi_quantile, consistency, screen_units, text_statistics
 from spanframe.llm.rights import NOTICES, PHRASES, scan_rights
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -150,6 +150,24 @@ def test_units_far_from_their_source_are_rejected(spark):
     assert screen_units(table.limit(0)).count() == 0
 
 
+def test_outliers_start_at_the_chi_square_quantile(spark):
+    assert abs(chi_quantile(0.999, 5) - 20.515) < 1e-3 and abs(chi_quantile(0.75, 5) - 6.6257) < 1e-4
+    assert consistency(1.0) == 1.0 and 1.3 < consistency(0.75) < 1.5
+    rng = random.Random(17)
+    rows = []
+    for i in range(400):
+        t = prose(rng, rng.randint(60, 200), VOCAB)
+        for _ in range(max(1, len(t) // 18) if i < 20 else i < 40):
+            at = rng.randrange(len(t))
+            t = t[:at] + "#" + t[at:]
+        rows.append((i, t, "en", "s"))
+    got = {r.unit_id: r for r in screen_units(spark.createDataFrame(rows, "unit_id long, text string, lang string, source_id string")).collect()}
+    assert all(got[i].outlier for i in range(20))  # 5% of symbols, where the others have none
+    assert not any(got[i].outlier for i in range(20, 40))  # a single symbol is counting noise
+    assert sum(r.outlier for i, r in got.items() if i >= 40) <= 4
+
+
+
 def brute_groups(texts, n, percent):
     sets = {}
     for i, t in texts.items():

@@ -17,6 +17,7 @@ from .linededup import SQL as LINE_SQL
 from .linededup import dedup_lines
 from .links import judge_links
 from .outliers import screen_units
+from .owners import own_texts
 from .packing import pack_transcripts
 from .rights import scan_rights
 from .wrappers import extract_pages
@@ -122,3 +123,9 @@ def packed(docs: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as transcripts, packed into sequences of 2048 tokens."""
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact_dedup", twins.OWNERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays of each group of equal texts: documents as cues."""
+    return own_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cue_id"), "text")).withColumnRenamed("cue_id", "doc_id")

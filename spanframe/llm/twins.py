@@ -31,3 +31,9 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, links
 least_of AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+OWNERS = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(bare) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
+"""

@@ -19,6 +19,7 @@ from .links import judge_links
 from .outliers import screen_units
 from .owners import own_texts
 from .packing import pack_transcripts
+from .prefixes import cue_ids, numbered, prefix_tree
 from .rights import scan_rights
 from .wrappers import extract_pages
 
@@ -129,3 +130,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that stays of each group of equal texts: documents as cues."""
     return own_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cue_id"), "text")).withColumnRenamed("cue_id", "doc_id")
+
+
+@query("op13_conversation_trie", twins.PREFIXES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree of rebuilt conversations: conversations as sources, turns as cues.
+
+    A conversation's first turns are those of the first of its twenty; how many, its id tells.
+    """
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("ord"), F.col("role").alias("speaker"), "text")
+    placed = numbered(cue_ids(turns))
+    convs = turns.where("source_id IS NOT NULL").select("source_id").distinct().select("source_id", (F.col("source_id") - F.col("source_id") % 20).alias("base"), crc_rest("source_id", 4).alias("h"))
+    own = placed.where(F.col("pos") > crc_rest("source_id", 4)).select("source_id", F.col("pos").alias("ord"), "id")
+    heads = placed.where("pos < 4 AND source_id % 20 = 0").select(F.col("source_id").alias("base"), F.col("pos").alias("ord"), "id")
+    led = convs.join(heads, "base").where("ord <= h").select("source_id", "ord", "id")
+    return prefix_tree(own.unionByName(led), convs).select(
+        F.col("source_id").alias("conv_id"), "depth", F.col("parent_source_id").alias("parent_conv_id"), F.col("n_sources").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_words").alias("saved_tokens"), "ends_sha256",
+    )

@@ -37,3 +37,27 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(c
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(bare) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
 """
+
+# CRC-32 of a list of bytes: a table of 256 remainders, then one step a byte
+CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def crc(data: str) -> str:
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+PREFIXES = rf"""
+WITH c AS (SELECT conv_id, {crc("list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), {CRC_TABLE}),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h),
+l AS (SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+p AS (SELECT conv_id, len(turns) AS size, d, turns[1:d] AS path FROM l, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(any_value(path[d].text), '[^\x20\x09-\x0D]+')) END AS saved FROM p GROUP BY 1, 2),
+k AS (SELECT n.path, n.d, count(m.path) AS n_children FROM n LEFT JOIN n m ON m.d = n.d + 1 AND m.path[1:n.d] = n.path GROUP BY 1, 2),
+s AS (SELECT n.path, n.d, sum(m.saved) AS saved, count(*) FILTER (WHERE k.n_children = 0) AS leaves FROM n JOIN n m ON m.d >= n.d AND m.path[1:n.d] = n.path JOIN k ON k.path = m.path AND k.d = m.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, k.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN k USING (path, d) JOIN s USING (path, d) LEFT JOIN n q ON q.d = n.d - 1 AND q.path = n.path[1:n.d - 1]
+"""

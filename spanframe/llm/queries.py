@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,7 @@ from .owners import own_texts
 from .packing import pack_transcripts
 from .prefixes import cue_ids, numbered, prefix_tree
 from .rights import scan_rights
+from .spelling import count_words, group_spellings
 from .wrappers import extract_pages
 
 
@@ -126,6 +131,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def slipped(doc_id: int | None, found: Counter) -> Iterator[tuple[str, int]]:
+    """The counted words of a document; one in 97 loses the letter that its checksum tells."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for word, n in found.items():
+        h = zlib.crc32(word.encode(), start)
+        yield (word if h % 97 else word[: h % len(word)] + word[h % len(word) + 1 :]), n
+
+
+@query("op11_spelling_variants", twins.SPELLINGS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, as cues."""
+    cues = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cue_id"), "text")
+    return group_spellings(count_words(cues, slipped).withColumnRenamed("word", "text"))
+
+
 @query("op12_exact_dedup", twins.OWNERS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that stays of each group of equal texts: documents as cues."""

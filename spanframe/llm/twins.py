@@ -61,3 +61,19 @@ s AS (SELECT n.path, n.d, sum(m.saved) AS saved, count(*) FILTER (WHERE k.n_chil
 SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, k.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
 FROM n JOIN k USING (path, d) JOIN s USING (path, d) LEFT JOIN n q ON q.d = n.d - 1 AND q.path = n.path[1:n.d - 1]
 """
+
+SPELLINGS = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT run, n, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END)) AS bytes FROM runs),
+h AS (SELECT run, n, {crc("bytes")} AS h FROM b, {CRC_TABLE}),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h
+  GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (SELECT x.word AS a, y.word AS b FROM x JOIN x y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.rest UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.rest),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS near, first(w.n ORDER BY w.n DESC, b) AS near_n FROM pairs JOIN w ON w.word = b GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+ups(word, ends) AS (SELECT word, word FROM f UNION ALL SELECT ups.word, f.form FROM ups JOIN f ON f.word = ups.ends WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, ups.ends AS root, f.n, f.n_near, f.form_n FROM f JOIN ups USING (word) JOIN f AS g ON g.word = ups.ends AND g.form IS NULL
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, raw_text, written
 
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the vocabulary's own split
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")  # the split's own matcher would recurse over them
 _ENCODERS: dict[str, object] = {}
 
 
@@ -26,6 +28,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def by_ranks(ranks: dict[bytes, int]):
+    """``encode(text) -> ids`` from a rank table; long runs of blanks are cut out before the split.
+
+    The split takes a run but for its last blank as one piece, and goes on at that blank,
+    or takes the whole run at the end of a text; so the ids are the same.
+    """
+    table = tiktoken.Encoding("records", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_BLANKS.finditer(text):
+            last = run.end() - (run.end() < len(text))
+            ids += table.encode_ordinary(text[at : run.start()])
+            ids += table._encode_single_piece(text[run.start() : last])
+            at = last
+        return ids + table.encode_ordinary(text[at:])
+
+    return encode
+
+
 def encoder(path: str):
     """``encode(text) -> ids`` of a byte-level BPE file, loaded once per worker.
 
@@ -41,7 +63,7 @@ def encoder(path: str):
         alphabet = byte_alphabet()
         if ids == list(range(256, 256 + len(ids))) and all(vocab.get(c, 256) < 256 for c in alphabet):
             ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if i < 256 + len(ids)}
-            _ENCODERS[path] = tiktoken.Encoding("records", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _ENCODERS[path] = by_ranks(ranks)
         else:
             from tokenizers import Tokenizer
 

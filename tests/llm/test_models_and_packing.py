@@ -130,6 +130,19 @@ def test_plans_use_each_length_as_often_as_it_occurs(histogram):
     assert sum(n for _, n in plan_sequences(histogram, 64)) <= 2 * -(-total // 64) + 1
 
 
+def test_ids_of_long_runs_equal_the_library():
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = True
+    for n in (998, 999, 1000, 1001, 2500):
+        for blank in (" ", "\n", " \n\t", "\u00a0", "\u3000 "):
+            for text in (blank * n, "a" + blank * n, blank * n + "b c", f"a,{blank * n}b{blank * n}!{blank * n}7 x"):
+                assert encoder(TOKENIZER)(text) == plain.encode(text, add_special_tokens=False).ids
+    for long in (" ", "\n", "a", "1", "!", " \n", "a b", "é"):
+        text = long * (2_000_000 // len(long))
+        ids = encoder(TOKENIZER)(text)
+        assert len(ids) > 0 and plain.decode(ids, skip_special_tokens=False) == text
+
+
 def test_packing_is_an_exact_round_trip(spark):
     rng = random.Random(4)
     plain = Tokenizer.from_file(TOKENIZER)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, plain_words, raw_text
+from .common import arrow_map, discard, plain_words, raw_text, written
 
 CHUNK = 256  # window ends that one lane of the scan visits
 
@@ -110,7 +110,7 @@ def scan(vocab: dict[bytes, int], searches: list[ShiftTable], names: list[str]):
                         out.append([s, e])
                 spans.append([{"start_word": s, "end_word": e} for s, e in out])
                 cases.append(sorted({n for _, _, n in hits.get(d, ())}))
-            yield {"segment_id": b["segment_id"], "n_words": (np.diff(begin) - 1).tolist(), "spans": spans, "case_ids": cases}
+            yield {"row_no": b["row_no"], "segment_id": b["segment_id"], "n_words": (np.diff(begin) - 1).tolist(), "spans": spans, "case_ids": cases}
 
     return step
 
@@ -126,27 +126,26 @@ def find_leaks(segments: DataFrame, cases: DataFrame, window: int = 10, block_wi
     half-open, merged: words inside any occurrence), case_ids (sorted, distinct).
 
     The cases are read in blocks of at most ``block_windows`` windows; each block's tables
-    are one broadcast of bounded size and one pass over the segments, and only with more
-    than one block are the passes merged (by segment_id, which must then be a key).
+    are one broadcast of bounded size and one pass over the segments. Beyond one block the
+    segments are written once with a row number, by which the passes are merged: rows that
+    share a segment_id, or have none, stay apart whatever the number of blocks.
 
     Null or empty text has no words: no spans. A null case id or a case without words
     is no pattern. Repeated segments give repeated rows; repeated cases change nothing.
     No cases: every segment clean. Other columns are ignored.
     """
-    texts = segments.select(F.col("segment_id"), raw_text("text").alias("raw"))
     kind = segments.schema["segment_id"].dataType.simpleString()
-    schema = f"segment_id {kind}, n_words bigint, spans array<struct<start_word:bigint,end_word:bigint>>, case_ids array<string>"
+    schema = f"row_no bigint, segment_id {kind}, n_words bigint, spans array<struct<start_word:bigint,end_word:bigint>>, case_ids array<string>"
     given = cases.where("case_id IS NOT NULL").select(F.col("case_id").cast("string").alias("case_id"), raw_text("text").alias("raw"))
-    passes, block, names, held = [], [], [], 0
+    searches, block, names, held = [], [], [], 0
 
     def add() -> None:
-        vocab, searches = tables(block, window)
-        shared = segments.sparkSession.sparkContext.broadcast((vocab, searches, list(names)))
+        shared = segments.sparkSession.sparkContext.broadcast((*tables(block, window), list(names)))
 
         def step(batches, shared=shared):
             return scan(*shared.value)(batches)
 
-        passes.append(arrow_map(texts, schema, step))
+        searches.append(step)
 
     for row in given.toLocalIterator():
         words = plain_words(row.raw)
@@ -157,19 +156,23 @@ def find_leaks(segments: DataFrame, cases: DataFrame, window: int = 10, block_wi
         if held >= block_windows:
             add()
             block, names, held = [], [], 0
-    if block or not passes:
+    if block or not searches:
         add()
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.union(p)
-    joined = every.groupBy("segment_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("parts"),
+    texts = segments.select(F.monotonically_increasing_id().alias("row_no"), F.col("segment_id"), raw_text("text").alias("raw"))
+    if len(searches) == 1:
+        return arrow_map(texts, schema, searches[0]).drop("row_no")
+    texts = written(texts, "segments", compression="zstd")
+    every = arrow_map(texts, schema, searches[0])
+    for step in searches[1:]:
+        every = every.union(arrow_map(texts, schema, step))
+    joined = every.groupBy("row_no").agg(
+        F.first("segment_id").alias("segment_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("parts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("case_ids")))).alias("case_ids"),
     )
     merged = F.expr("""aggregate(parts, cast(array() as array<struct<start_word:bigint,end_word:bigint>>), (a, s) ->
         if(size(a) > 0 and s.start_word <= a[size(a)-1].end_word,
            concat(slice(a, 1, size(a)-1), array(named_struct('start_word', a[size(a)-1].start_word, 'end_word', greatest(a[size(a)-1].end_word, s.end_word)))),
            concat(a, array(s))))""")
-    return joined.select("segment_id", "n_words", merged.alias("spans"), "case_ids")
+    out = written(joined.select("segment_id", "n_words", merged.alias("spans"), "case_ids"), "leaks")
+    discard(texts)
+    return out

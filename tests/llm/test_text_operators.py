@@ -118,6 +118,31 @@ def test_line_dedup_removes_repeated_chunks(spark):
     assert kept.columns[-1] == "lang" and kept.where("lang = 'en'").count() == len(rows)
 
 
+def test_line_dedup_leaves_nothing_of_copies(spark):
+    rng = random.Random(8)
+    line = lambda long: " ".join(rng.choice(VOCAB) for _ in range(rng.randint(50, 70) if long else rng.randint(1, 9)))
+    texts = ["\n".join([line(rng.random() < 0.3) if rng.random() < 0.9 else " " for _ in range(rng.randint(1, 25))]) for _ in range(120)]
+    texts += ["\n".join([line(True), "short", line(True)]), "alone", "first\n" + line(True), line(True) + "\nlast"]
+    copies = [(1000 + k, t) for k, t in enumerate(texts)]
+    rows = [*enumerate(texts), *copies, (3000, None), (3001, "")]
+    got = {r.source_id: r for r in dedup_lines(spark.createDataFrame(rows, "source_id long, text string")).collect()}
+    assert all(got[i].n_left == 0 for i, _ in copies)
+    once = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")).collect()
+    assert {r.source_id: r.text for r in once} == {i: got[i].text for i in range(len(texts))}
+    lines = lambda ts: {x for t in ts for x in t.split("\n") if BLANK.search(x)}
+    assert lines(texts) == lines(r.text for r in once)  # every line stays somewhere
+
+
+def test_leaks_in_many_blocks_equal_one(spark):
+    rng = random.Random(9)
+    cases = [(f"c{k}", prose(rng, rng.randint(3, 30), VOCAB)) for k in range(9)]
+    texts = [prose(rng, 60, VOCAB) + " " + rng.choice(cases)[1] for _ in range(20)]
+    rows = [(rng.choice([None, 1, 2]), t) for t in texts] + [(None, None), (1, "")]
+    segments, table = spark.createDataFrame(rows, "segment_id long, text string"), spark.createDataFrame(cases, "case_id string, text string")
+    seen = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert seen(find_leaks(segments, table)) == seen(find_leaks(segments, table, block_windows=1)) == seen(find_leaks(segments, table, block_windows=40))
+
+
 def test_unit_statistics_equal_brute_force(spark):
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(0, 120), VOCAB[: rng.randint(1, 20)]) for _ in range(80)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,35 +32,59 @@ recommendations comment comments reply replies respond discussion pagination pag
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|([^<]+|<)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NODES = 5_000  # blocks of a wrapper; beyond, those of the fewest pages are left to the rules by name
+NODES = 5_000  # blocks of a wrapper from which on rare ones are left to the pages that have them
+RARE = 20  # a block on fewer than one in so many pages is rare, so a wrapper has at most that many times a page's blocks
+CELLS = 250_000  # of two block sequences up to this product the longest common one is found, beyond it between unique blocks
 
 
 class Block:
-    """A block of a page or wrapper: signature, children, text measures, pages, whether it repeats."""
+    """A block of a page or wrapper: signature, children, text measures, pages, whether it repeats.
 
-    __slots__ = ("sig", "kids", "leaves", "chars", "links", "text", "pages", "many")
+    ``has`` and ``sums`` are filled by ``measure``.  Trees may be deeper than Python's stack:
+    whatever visits them keeps a list of its own.
+    """
+
+    __slots__ = ("sig", "kids", "leaves", "chars", "links", "text", "pages", "many", "has", "sums")
 
     def __init__(self, sig: str, kids: list[Block] | None = None, leaves=(), chars=0, links=0, text=0, pages=1, many=False):
         self.sig, self.kids, self.leaves = sig, kids if kids is not None else [], list(leaves)
         self.chars, self.links, self.text, self.pages, self.many = chars, links, text, pages, many
+        self.has, self.sums = False, ((0, 0), (0, 0))
+
+    def below(self) -> list[Block]:
+        """The block and all under it, in page order."""
+        out, todo = [], [self]
+        while todo:
+            b = todo.pop()
+            out.append(b)
+            todo.extend(reversed(b.kids))
+        return out
 
-    def pack(self) -> list:
-        return [self.sig, self.chars, self.links, self.text, self.pages, self.many, [k.pack() for k in self.kids]]
+    def pack(self) -> str:
+        rows = [(b.sig, b.chars, b.links, b.text, b.pages, b.many, len(b.kids)) for b in self.below()]
+        return json.dumps(list(zip(*rows, strict=True)))
 
     @staticmethod
-    def unpack(x: list) -> Block:
-        return Block(x[0], [Block.unpack(k) for k in x[6]], (), *x[1:6])
+    def unpack(packed: str) -> Block:
+        columns = json.loads(packed)
+        blocks = [Block(sig, None, (), *rest) for sig, *rest in zip(*columns[:6], strict=True)]
+        todo, counts = [], columns[6]
+        for b, n in zip(blocks, counts, strict=True):
+            if todo:
+                todo[-1][0].kids.append(b)
+                todo[-1][1] -= 1
+            todo.append([b, n])
+            while todo and todo[-1][1] == 0:
+                todo.pop()
+        return blocks[0]
 
     def shape(self) -> str:
-        return self.sig + ("+" if self.many else "") + ("(" + " ".join(k.shape() for k in self.kids) + ")" if self.kids else "")
-
-    def count(self) -> int:
-        return 1 + sum(k.count() for k in self.kids)
+        return "\n".join(f"{b.sig}{'+' if b.many else ''} {len(b.kids)}" for b in self.below())
 
 
 def signature(tag: str, attributes: str) -> str:
-    names = [(a.lower(), next(v for v in vs if v or v == vs[-1])) for a, *vs in NAMES.findall(attributes)]
-    return tag + "".join("." + re.sub(r"\d+", "0", " ".join(v.split())) for _, v in names)
+    values = [next(v for v in m.groups()[1:] if v is not None) for m in NAMES.finditer(attributes)]
+    return tag + "".join("." + re.sub(r"\d+", "0", " ".join(v.split())) for v in values)
 
 
 def parse(page: str) -> tuple[Block, list[str]]:
@@ -81,9 +108,12 @@ def parse(page: str) -> tuple[Block, list[str]]:
         run.clear()
         linked = 0
 
+    open_at: dict[str, list[int]] = {}
+
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            _, b = stack.pop()
+            tag, b = stack.pop()
+            open_at[tag].pop()
             b.kids = fold(b.kids)
 
     at = 0
@@ -101,9 +131,8 @@ def parse(page: str) -> tuple[Block, list[str]]:
                 link = False
             elif tag in BLOCKS:
                 close_run()
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-                if depth:
-                    pop_to(depth)
+                if open_at.get(tag):
+                    pop_to(open_at[tag][-1])
             continue
         if tag in RAW:
             close_run()
@@ -114,13 +143,14 @@ def parse(page: str) -> tuple[Block, list[str]]:
             continue
         if tag in BLOCKS or "-" in tag:
             close_run()
-            if stack[-1][0] == "p" or any(t == "p" for t, _ in stack[1:]) and tag != "svg":
-                pop_to(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p"))
+            if open_at.get("p") and (stack[-1][0] == "p" or tag != "svg"):
+                pop_to(open_at["p"][-1])
             if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1][0] in ({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}):
                 pop_to(len(stack) - 1)
             block = Block(signature(tag, m[3]))
             stack[-1][1].kids.append(block)
             if tag not in VOID and not m[3].endswith("/"):
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append((tag, block))
         elif tag == "a":
             link = True
@@ -133,11 +163,16 @@ def parse(page: str) -> tuple[Block, list[str]]:
 
 
 def join(a: Block, b: Block, same_page: bool) -> Block:
-    a.leaves += b.leaves
-    a.chars, a.links = a.chars + b.chars, a.links + b.links
-    a.text = a.text if a.text == b.text and not same_page else 0
-    a.pages, a.many = (a.pages if same_page else a.pages + b.pages), a.many or b.many
-    a.kids = align(a.kids, b.kids, same_page)
+    """Merges block ``b`` into ``a``, and what is under them by alignment."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x.leaves += y.leaves
+        x.chars, x.links = x.chars + y.chars, x.links + y.links
+        x.text = x.text if x.text == y.text and not same_page else 0
+        x.pages, x.many = (x.pages if same_page else x.pages + y.pages), x.many or y.many
+        x.kids, pairs = align(x.kids, y.kids)
+        todo += pairs
     return a
 
 
@@ -177,41 +212,98 @@ def grouped(kids: list[Block], other: list[Block]) -> list[Block]:
     return kids
 
 
-def align(a: list[Block], b: list[Block], same_page: bool = False) -> list[Block]:
-    """The union-free merge of two child sequences: common blocks join, others become optional."""
-    if [k.sig for k in a] != [k.sig for k in b]:
-        a, b = grouped(a, b), grouped(b, a)
-    out, i, j = [], 0, 0
-    if [k.sig for k in a] == [k.sig for k in b]:
-        return [join(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].sig == b[j].sig else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].sig == b[j].sig:
-            out.append(join(a[i], b[j], same_page))
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two signature sequences, the longest up to ``CELLS``.
+
+    Equal ends are matched first.  Of long sequences, signatures that are unique in both are
+    matched in order, and what lies between them likewise; without such, each takes the next equal one.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i])
-            i += 1
-        else:
-            out.append(b[j])
-            j += 1
-    return out
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= CELLS:
+            best = [[0] * (m - j + 1) for _ in range(n - i + 1)]
+            for x in range(n - 1, i - 1, -1):
+                row, under = best[x - i], best[x - i + 1]
+                for y in range(m - 1, j - 1, -1):
+                    row[y - j] = under[y - j + 1] + 1 if a[x] == b[y] else max(under[y - j], row[y - j + 1])
+            x, y = i, j
+            while x < n and y < m:
+                if a[x] == b[y]:
+                    out.append((x, y))
+                    x, y = x + 1, y + 1
+                elif best[x - i + 1][y - j] >= best[x - i][y - j + 1]:
+                    x += 1
+                else:
+                    y += 1
+            continue
+        ours, theirs = Counter(a[i:n]), Counter(b[j:m])
+        place = {b[y]: y for y in range(j, m) if theirs[b[y]] == 1}
+        anchors = ascending([(x, place[a[x]]) for x in range(i, n) if ours[a[x]] == 1 and a[x] in place])
+        if anchors:
+            out += anchors
+            ends = [(i - 1, j - 1), *anchors, (n, m)]
+            todo += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(ends, ends[1:], strict=False)]
+            continue
+        places: dict[str, list[int]] = {}
+        for y in range(j, m):
+            places.setdefault(b[y], []).append(y)
+        at = j
+        for x in range(i, n):
+            ys = places.get(a[x], ())
+            k = bisect_left(ys, at)
+            if k < len(ys):
+                out.append((x, ys[k]))
+                at = ys[k] + 1
+    return sorted(out)
+
+
+def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of ``pairs``, which ascend in the first place, that ascends in the second too."""
+    tails, last, before = [], [], []
+    for k, (_, y) in enumerate(pairs):
+        at = bisect_left(tails, y)
+        before.append(last[at - 1] if at else -1)
+        tails[at : at + 1], last[at : at + 1] = [y], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def align(a: list[Block], b: list[Block]) -> tuple[list[Block], list[tuple[Block, Block]]]:
+    """The union-free merge of two child sequences, and the pairs of it that are to be joined."""
+    if [k.sig for k in a] == [k.sig for k in b]:
+        return a, list(zip(a, b, strict=True))
+    a, b = grouped(a, b), grouped(b, a)
+    out, pairs, i, j = [], [], 0, 0
+    for x, y in [*common([k.sig for k in a], [k.sig for k in b]), (len(a), len(b))]:
+        out += [*a[i:x], *b[j:y], *a[x : x + 1]]
+        if x < len(a):
+            pairs.append((a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out, pairs
 
 
 def pruned(root: Block) -> Block:
-    """The wrapper without the optional blocks of the fewest pages, if it has over ``NODES``."""
-    least = 1
-    while root.count() > NODES and least <= root.pages:
-        def cut(b: Block, least=least) -> None:
-            b.kids = [k for k in b.kids if k.pages > least]
-            for k in b.kids:
-                cut(k)
-        cut(root)
-        least *= 2
+    """A wrapper of over ``NODES`` blocks without those on fewer than one in ``RARE`` of its pages.
+
+    Pages judge such blocks by themselves, with the same rules but for the one on words that
+    nearly all pages share, which no rare block meets.
+    """
+    blocks = root.below()
+    if len(blocks) > NODES:
+        for b in blocks:
+            b.kids = [k for k in b.kids if RARE * k.pages >= root.pages]
     return root
 
 
@@ -219,152 +311,199 @@ def tag_of(b: Block) -> str:
     return b.sig.split(".")[0]
 
 
-def holds(b: Block, tags: set[str]) -> bool:
-    return tag_of(b) in tags or any(holds(k, tags) for k in b.kids)
-
-
 def noisy(b: Block, inside: bool) -> bool:
-    """Whether a block's tag or names mark it as no article text."""
+    """Whether a measured block's tag or names mark it as no article text."""
     tag, names = tag_of(b), b.sig.split(".")[1:]
     if tag in NOISE_TAGS:
         return True
-    if tag in ("html", "body", "main", "article", "#") or b.sig.startswith("(") or holds(b, {"main", "article", "h1"}) and not inside:
+    if tag in ("html", "body", "main", "article", "#") or b.sig.startswith("(") or b.has and not inside:
         return False
     words = {w.lower() for n in names for w in WORDS.findall(n)}
     return bool(words & NOISE_WORDS) or (tag == "header" or "header" in words or "masthead" in words) and not inside
 
 
-def totals(b: Block, inside: bool) -> tuple[int, int]:
-    """Characters, and those of links, of the block without noisy parts."""
-    if noisy(b, inside):
-        return 0, 0
-    parts = [totals(k, inside or tag_of(b) in ("main", "article")) for k in b.kids]
-    return b.chars * (b.sig == "#") + sum(p[0] for p in parts), b.links * (b.sig == "#") + sum(p[1] for p in parts)
-
-
-def find_main(root: Block) -> Block:
-    """The wrapper's main region: ``main``, else what holds ``article``, else where most text meets."""
-    for tags in ({"main"}, {"article"}):
-        found: list[Block] = []
+def measure(root: Block) -> None:
+    """Fills ``has`` (an article, main or h1 is in the block) and ``sums``.
 
-        def walk(b: Block, tags=tags, found=found) -> None:
-            if tag_of(b) in tags or tags == {"main"} and ".main" in b.sig.split(" ")[0] and tag_of(b) != "body":
+    ``sums`` are the characters and those of links in the block without noisy parts, seen
+    from outside and from inside an article.
+    """
+    for b in reversed(root.below()):
+        tag = tag_of(b)
+        b.has = tag in ("main", "article", "h1") or any(k.has for k in b.kids)
+        own = (b.chars, b.links) if b.sig == "#" else (0, 0)
+        views = []
+        for inside in (False, True):
+            kids = [k.sums[inside or tag in ("main", "article")] for k in b.kids]
+            views.append((0, 0) if noisy(b, inside) else (own[0] + sum(k[0] for k in kids), own[1] + sum(k[1] for k in kids)))
+        b.sums = tuple(views)
+
+
+def regions(root: Block) -> list[Block]:
+    """The outermost ``main`` blocks of a measured tree, or its outermost ``article`` blocks."""
+    for tag in ("main", "article"):
+        found, todo = [], [root]
+        while todo:
+            b = todo.pop()
+            named = tag_of(b) == tag or tag == "main" and ".main" in b.sig.split(" ")[0] and tag_of(b) != "body"
+            if noisy(b, False):
+                continue
+            if named:
                 found.append(b)
-            elif not noisy(b, False):
-                for k in b.kids:
-                    walk(k)
-
-        walk(root)
+            else:
+                todo.extend(reversed(b.kids))
         if found:
-            return max(found, key=lambda b: (b.pages, totals(b, True)[0]))
+            return found
+    return []
+
+
+def densest(root: Block) -> Block:
+    """The innermost block that holds nearly all text of a measured tree without ``main`` or ``article``."""
     at = root
     while True:
-        whole = totals(at, False)[0]
-        inner = next((k for k in at.kids if k.sig != "#" and not noisy(k, False) and totals(k, False)[0] >= 0.8 * whole > 0), None)
+        whole = at.sums[0][0]
+        inner = next((k for k in at.kids if k.sig != "#" and not noisy(k, False) and k.sums[0][0] >= 0.8 * whole > 0), None)
         if inner is None or inner.many:
             return at
         at = inner
 
 
-def mark(root: Block) -> set[int]:
-    """Identities of the wrapper's text slots that belong to the article."""
-    main, kept, slots = find_main(root), set(), []
+def link_list(b: Block) -> bool:
+    chars, links = b.sums[1]
+    return tag_of(b) in ("ul", "ol", "div", "table") and chars > 0 and links > 0.7 * chars and any(k.many for k in b.kids)
+
 
-    def walk(b: Block, inside: bool, whole: bool) -> None:
-        if noisy(b, inside):
-            return
-        inside = inside or b is main
+def mark(region: Block) -> set[int]:
+    """Identities of the text slots of a measured region that belong to the article."""
+    slots, todo = [], [region]
+    while todo:
+        b = todo.pop()
+        if b is not region and (noisy(b, True) or link_list(b)):
+            continue
         if b.sig == "#":
-            if inside or whole:
-                slots.append(b)
-            return
-        chars, links = totals(b, True)
-        if inside and b is not main and tag_of(b) in ("ul", "ol", "div", "table") and chars and links > 0.7 * chars and any(k.many for k in b.kids):
-            return  # a list of links
-        for k in b.kids:
-            walk(k, inside, whole)
-
-    walk(root, False, False)
+            slots.append(b)
+        todo.extend(reversed(b.kids))
     varied = any(s.text == 0 for s in slots)
-    for s in slots:
-        constant = varied and s.text and not s.many and root.pages >= 5 and s.pages >= 0.8 * root.pages
-        if not constant:  # the same words on nearly all pages belong to the template
-            kept.add(id(s))
-    return kept
+    constant = lambda s: varied and s.text and not s.many and region.pages >= 5 and s.pages >= 0.8 * region.pages
+    return {id(s) for s in slots if not constant(s)}  # the same words on nearly all pages belong to the template
 
 
-def choose(page: Block, wrapper: Block, kept: set[int]) -> list[bool]:
-    """For the text slots of the page's fold, in order, whether they are article text."""
-    out: list[bool] = []
+class Wrapper:
+    """A host's wrapper with what its regions keep, found when a page asks."""
 
-    def by_name(b: Block, inside: bool) -> None:
-        ok = inside and not noisy(b, True)
-        if b.sig == "#":
-            out.append(inside)
-        for k in b.kids:
-            by_name(k, ok)
-
-    def walk(a: Block, w: Block, inside: bool) -> None:
-        if a.sig == "#":
-            out.append(id(w) in kept)
-            return
-        mine = grouped(a.kids, w.kids)
-        n, m = len(mine), len(w.kids)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if mine[i].sig == w.kids[j].sig else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        inside = inside or tag_of(w) in ("main", "article")
-        while i < n:
-            if j < m and mine[i].sig == w.kids[j].sig:
-                walk(mine[i], w.kids[j], inside)
-                i, j = i + 1, j + 1
-            elif j < m and best[i][j + 1] >= best[i + 1][j]:
-                j += 1
-            else:
-                by_name(mine[i], inside)
-                i += 1
-        a.kids = mine
+    def __init__(self, root: Block):
+        self.root, self.kept = root, {}
+        measure(root)
+        self.densest = None if regions(root) else densest(root)
 
-    walk(page, wrapper, False)
-    return out
+    def slots(self, region: Block) -> set[int]:
+        if id(region) not in self.kept:
+            self.kept[id(region)] = mark(region)
+        return self.kept[id(region)]
+
+
+def matched(page: Block, wrapper: Block) -> dict[int, Block]:
+    """The wrapper's block for each of the page's blocks that it has, by identity."""
+    found, todo = {}, [(page, wrapper)]
+    while todo:
+        a, w = todo.pop()
+        found[id(a)] = w
+        a.kids = grouped(a.kids, w.kids)
+        todo += [(a.kids[i], w.kids[j]) for i, j in common([k.sig for k in a.kids], [k.sig for k in w.kids])]
+    return found
+
+
+def choose(page: Block, wrapper: Wrapper) -> tuple[list[bool], bool]:
+    """For the text slots of the page, in order, whether they are article text; and whether the page's shape alone decided.
+
+    The region is the page's own: of its ``main`` or ``article`` blocks the one that most
+    pages have; without such, the wrapper's densest block if the host has none either, else
+    the page's.  Inside, the wrapper's slots decide; blocks that it lacks are judged as they are.
+    """
+    pairs = matched(page, wrapper.root)
+    measure(page)
+    of = lambda b: pairs.get(id(b))
+    own = regions(page)
+    if own:
+        region = max(own, key=lambda b: (of(b).pages, of(b).sums[1][0]) if of(b) else (0, b.sums[1][0]))
+        certain = len(own) == 1 or all(of(b) for b in own)
+    else:
+        region, certain = next((b for b in page.below() if wrapper.densest is not None and of(b) is wrapper.densest), None), True
+        if region is None:
+            region, certain = densest(page), False
+    if of(region) is None:
+        kept = mark(region)
+        return [id(s) in kept for s in slots_of(page)], False
+    slots, kept, todo = wrapper.slots(of(region)), set(), [region]
+    while todo:
+        b = todo.pop()
+        if of(b) is not None:
+            if b.sig == "#" and id(of(b)) in slots:
+                kept.add(id(b))
+            todo.extend(b.kids)
+        elif not noisy(b, True):
+            certain = False
+            if not link_list(b):
+                kept.update([id(b)] if b.sig == "#" else [])
+                todo.extend(b.kids)
+    return [id(s) in kept for s in slots_of(page)], certain
 
 
 def slots_of(b: Block) -> list[Block]:
-    return [b] if b.sig == "#" else [s for k in b.kids for s in slots_of(k)]
+    return [x for x in b.below() if x.sig == "#"]
+
+
+def merged(packed: list[str]) -> str:
+    """The wrapper of some layouts, merged in the order given."""
+    whole = None
+    for text in packed:
+        one = Block.unpack(text)
+        whole = one if whole is None else pruned(join(whole, one, False))
+    return whole.pack()
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): pages are merged in their tasks, then the tasks' wrappers by host and salt, then by host."""
+    """(host, wrapper): sums of equally built pages, then the layouts of a slot of the host, then its slots.
 
-    def infer(batches: Iterator[dict[str, list]]):
-        found: dict[str, Block] = {}
+    Equally built pages add up whatever their order; layouts are merged in the order of
+    their digests, so wrappers do not depend on how pages are dealt out.
+    """
 
-        def flush():
-            return {"host": list(found), "salt": [zlib.crc32(x.encode()) % 64 for x in map(str, found.values())], "wrapper": [json.dumps(pruned(b).pack()) for b in found.values()]}
+    def add(found: dict, key: tuple, root: Block) -> None:
+        found[key] = join(found[key], root, False) if key in found else root
 
+    def table(found: dict) -> dict[str, list]:
+        return {"host": [h for h, _ in found], "layout": [x for _, x in found], "wrapper": [b.pack() for b in found.values()]}
+
+    def infer(batches: Iterator[dict[str, list]]):
+        found: dict[tuple, Block] = {}
+        held = 0
         for b in batches:
             for host, page in zip(b["host"], b["html"], strict=True):
                 root, _ = parse(page or "")
                 for s in slots_of(root):
                     s.leaves = []
-                found[host] = join(found[host], root, False) if host in found else root
-            if len(found) > 5_000:
-                yield flush()
-                found.clear()
-        yield flush()
+                key = host, hashlib.sha256(root.shape().encode("utf-8", "replace")).hexdigest()
+                held += 0 if key in found else len(root.below())
+                add(found, key, root)
+                if held > 200_000:
+                    yield table(found)
+                    found, held = {}, 0
+        yield table(found)
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        return pd.DataFrame({"host": [first["host"]], "layout": [first["layout"]], "wrapper": [merged(list(rows["wrapper"]))]})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for text in rows["wrapper"]:
-            one = Block.unpack(json.loads(text))
-            whole = one if whole is None else join(whole, one, False)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(pruned(whole).pack())]})
+        rows = rows.sort_values("layout")
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "layout": [rows["layout"].iloc[0]], "wrapper": [merged(list(rows["wrapper"]))]})
 
-    parts = arrow_map(pages.select("host", "html"), "host string, salt int, wrapper string", infer)
-    salted = parts.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
-    return salted.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    schema = "host string, layout string, wrapper string"
+    parts = arrow_map(pages.select("host", "html"), schema, infer)
+    layouts = parts.groupBy("host", "layout").applyInPandas(total, schema)
+    slot = F.substring("layout", 1, 2)
+    return layouts.groupBy("host", slot.alias("slot")).applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema).drop("layout")
 
 
 def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -372,9 +511,10 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFram
 
     pages(page_id, url, html). Pages of a host are aligned block by block: equal blocks
     join, mismatches become optional or repeated groups, texts that differ become slots.
-    The wrapper's slots in its main region, outside blocks that are menus, headers,
+    The wrapper's slots in the page's main region, outside blocks that are menus, headers,
     footers, sidebars, notices, adverts, forms, link lists or reader comments, and not the same on
-    nearly all pages, are the article.
+    nearly all pages with that region, are the article. Pages of one host may have regions of
+    their own; what the wrapper lacks is judged by the page alone.
 
     Returns per page row: page_id, url, text (blocks in page order joined by one space,
     character references decoded; empty if none), blocks (array of the texts).
@@ -402,16 +542,18 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFram
                 if host not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    root = Block.unpack(json.loads(shared.value[host] if shared else b["wrapper"][k]))
-                    known[host] = (root, mark(root), {})
-                wrapper, kept, seen = known[host]
+                    known[host] = (Wrapper(Block.unpack(shared.value[host] if shared else b["wrapper"][k])), {})
+                wrapper, seen = known[host]
                 tree, texts = parse(page or "")
                 shape = tree.shape()
-                if shape not in seen:
+                chosen = seen.get(shape)
+                if chosen is None:
+                    chosen, certain = choose(tree, wrapper)
                     if len(seen) > 2_000:
                         seen.clear()
-                    seen[shape] = choose(tree, wrapper, kept)
-                ours = sorted(leaf for s, ok in zip(slots_of(tree), seen[shape], strict=True) if ok for leaf in s.leaves)
+                    if certain:
+                        seen[shape] = chosen
+                ours = sorted(leaf for s, ok in zip(slots_of(tree), chosen, strict=True) if ok for leaf in s.leaves)
                 blocks = [texts[i] for i in ours]
                 out["text"].append(" ".join(blocks))
                 out["blocks"].append(blocks)

@@ -21,7 +21,7 @@ from spanframe.llm.copies import find_near_copies
 from spanframe.llm.leaks import find_leaks
 from spanframe.llm.links import judge_links
 from spanframe.llm.packing import best_fit, encoder, pack_transcripts, plan_sequences
-from spanframe.llm.wrappers import extract_pages, host_wrappers, parse
+from spanframe.llm.wrappers import Block, common, extract_pages, host_wrappers, parse
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -235,11 +235,79 @@ def test_wrappers_extract_the_article(spark):
 
 
 def test_wrappers_find_repeats_and_optional_groups(spark):
-    shape = parse("<ul><li>a<li>b</ul><dl><dt>a<dd>b<dt>c<dd>d</dl><p>x</p>")[0].shape()
-    assert shape == "(ul(li+(#)) dl((dt dd)+(dt(#) dd(#))) p(#))"
+    blocks = parse("<ul><li>a<li>b</ul><dl><dt>a<dd>b<dt>c<dd>d</dl><p>x</p>")[0].shape().split("\n")
+    assert blocks == [" 3", "ul 1", "li+ 1", "# 0", "dl 1", "(dt dd)+ 2", "dt 1", "# 0", "dd 1", "# 0", "p 1", "# 0"]
     pages = spark.createDataFrame([("h", "<p>a</p>"), ("h", "<h1>t</h1><p>b</p><p>c</p>"), ("g", "<p>z</p>")], "host string, html string")
     found = {r.host: r.wrapper for r in host_wrappers(pages).collect()}
     assert set(found) == {"h", "g"} and '"h1", ' in found["h"]
+    tree = parse("<ul><li>a<p>b</p></ul><h2>c</h2>" * 3)[0]
+    assert Block.unpack(tree.pack()).shape() == tree.shape()
+
+
+def labelled_page(rng, template, words):
+    """A page of a template and its article, built side by side from labelled blocks."""
+    quote = rng.choice(["'{}'", '"{}"', "{}"])
+    block = lambda tag, name, inner: f"<{tag}{f' class={quote.format(name)}' if name else ''}>{inner}</{tag}>"
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    kept, out = [], []
+
+    def add(tag, name="", n=8, keep=True):
+        t = text(n)
+        out.append(block(tag, name, t))
+        if keep:
+            kept.append(t)
+
+    add("h1", "", 4)
+    for _ in range(rng.randint(1, 6)):
+        add(rng.choice(["p", "p", "h2", "blockquote", "pre"]), rng.choice(["", "", "lead"]))
+        if rng.random() < 0.4:
+            add("div", rng.choice(["ad", "share", "comments", "related"]), 5, False)
+    body = block(*template["region"], "".join(out))
+    around = block("nav", "", f"<ul><li><a href=/>{text(1)}</a></li></ul>") + block("div", "cookie-notice", text(5))
+    foot = block("section", "comment-list", text(9)) * rng.randint(0, 1) + block("footer", "", text(3))
+    return f"<html><body>{around}{block('div', template['wrap'], body)}{foot}</body></html>", " ".join(kept)
+
+
+TEMPLATES = [
+    {"region": ("article", "news"), "wrap": "page"}, {"region": ("article", "blog"), "wrap": "page"}, {"region": ("main", ""), "wrap": "outer"},
+    {"region": ("div", "story"), "wrap": "outer"}, {"region": ("article", ""), "wrap": "left"},
+]
+
+
+def test_each_template_of_a_host_keeps_its_articles(spark):
+    rng, words = random.Random(12), "ka lo mi nu pre stra tion be".split()
+    rows = []
+    for k in range(160):
+        html, text = labelled_page(rng, TEMPLATES[k % 5 if k % 4 else 0], words)
+        rows.append((k, f"http://h{k % 2}.example.org/{k}", html, text))
+    table = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in extract_pages(table.coalesce(1)).collect()}
+    assert one == {r[0]: r[3] for r in rows}
+    wrappers = lambda parts: {r.host: r.wrapper for r in host_wrappers(table.repartition(parts).select(F.split("url", "/")[2].alias("host"), "html")).collect()}
+    assert wrappers(1) == wrappers(7)  # however pages are dealt out
+
+
+def test_deep_wide_and_oddly_quoted_pages(spark):
+    rng = random.Random(3)
+    wide = lambda: "<main>" + "".join(f"<p class={rng.choice('efghijkl')}{rng.choice('qrtuvwxz')}>x</p><div>y</div>" for _ in range(2500))
+    rows = [
+        (1, "<main>" + "<div>" * 100_000 + "deep"), (2, "<main>" + "<div>" * 1_200 + "less deep"), (3, "<main><p>flat</p>"), (4, "</div>" * 50_000 + "<main>ends</main>"),
+        (5, "<article>a<div class='ad'>b</div><div id = 'comments'>c</div><div class=ads>d</div><div class=''>e</div><div class=\"x\" id='sidebar'>f</div></article>"),
+        (6, wide()), (7, wide()),
+    ]
+    table = spark.createDataFrame([(i, "http://d.org/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_pages(table).collect()}
+    assert [got[k] for k in range(1, 6)] == ["deep", "less deep", "flat", "ends", "a e"]
+    assert got[6].split() == got[7].split() == ["x", "y"] * 2500
+
+
+def test_common_subsequences_are_in_order():
+    rng = random.Random(4)
+    for n in (0, 1, 5, 40, 700):
+        a, b = [[rng.choice("abcdef") + rng.choice(["", str(rng.randrange(n + 1))]) for _ in range(n)] for _ in range(2)]
+        pairs = common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert common(list("xabcy"), list("zabcw")) == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_components_equal_union_find(spark):

@@ -1,4 +1,10 @@
-"""LM scoring: Brown class-based bigrams, classes by exchange clustering, word counts over the whole corpus."""
+"""LM scoring: Brown class-based bigrams, classes by exchange clustering, word counts over the whole corpus.
+
+Every word but the most frequent has one row with all its neighbours (``contexts``), built
+by one shuffle.  Neighbours of the head are named by rank, so their classes are an array in
+every task and a round of moves shuffles nothing; neighbours outside the head are named by
+their ending, and for the last table also by their code.
+"""
 
 from __future__ import annotations
 
@@ -28,6 +34,7 @@ ENTRIES = 16_000  # neighbour counts whose moves are weighed at once
 LEAST_GAIN = 0.01  # nats a token: a round of moves that gains less is the last
 ITEM_BITS = 11  # low bits of a word's code: its item
 TOP = (HEAD + 1) << ITEM_BITS  # codes below: ranks of head words, and the end; above: hashes of all others
+NEARS = HEAD + 1 + ENDINGS  # names of neighbours: ranks of the head, the end, endings of all others
 END_CODE = HEAD << ITEM_BITS | END
 
 
@@ -68,13 +75,13 @@ def word_counts(training: DataFrame) -> DataFrame:
     return arrow_map(training.select("raw"), "word binary, code bigint, n bigint", step).groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
-def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``HEAD``: all above a count that a histogram of counts gives."""
+def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``: all above a count that a histogram of counts gives."""
     level = F.floor(F.log2("n") * 16).cast("int")
     levels = sorted(((r.level, r.words) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, held = None, 0
     for at, words in levels:
-        if held + words > HEAD:
+        if held + words > most:
             break
         least, held = at, held + words
     if least is None:
@@ -86,20 +93,35 @@ def head_code(rank: int, word: bytes) -> int:
     return rank << ITEM_BITS | (rank if rank < FREQUENT else item_of(word))
 
 
-def word_pairs(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(left, right, n): codes of neighbouring words over all training texts, pre-aggregated in the tasks."""
+def neighbours(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(code, near, n, other): neighbours of words over all training texts, pre-aggregated in the tasks.
+
+    ``near`` is twice the neighbour's name, plus one if it stands before the word. ``other`` is
+    the code of the word behind, if that and the word are both outside the head. The most
+    frequent words and the end list only each other, and only behind them.
+    """
     shared = training.sparkSession.sparkContext.broadcast(head)
 
     def step(batches: Iterator[dict[str, list]]):
         place: dict[bytes, int] = {}  # word -> place in the list of codes
         codes, chain = [END_CODE], [0]
 
-        def pairs():
+        def rows():
             c, known = np.array(chain, np.int64), np.array(codes, np.int64)
             pair, n = np.unique(c[:-1] * len(known) + c[1:], return_counts=True)
-            for at in range(0, len(pair), 50_000):
-                p = pair[at : at + 50_000]
-                yield {"left": known[p // len(known)], "right": known[p % len(known)], "n": n[at : at + 50_000]}
+            a, b = pair // len(known), pair % len(known)
+            rank, rare = known >> ITEM_BITS, known >= TOP
+            name = np.where(rare, HEAD + 1 + (known & ((1 << ITEM_BITS) - 1)) - FREQUENT, rank)
+            first = ~rare & ((rank < FREQUENT) | (rank == HEAD))
+            behind, before = ~first[a] | first[b], ~first[b]
+            out = {
+                "code": np.concatenate([known[a][behind], known[b][before]]),
+                "near": np.concatenate([2 * name[b][behind], 2 * name[a][before] + 1]),
+                "n": np.concatenate([n[behind], n[before]]),
+                "other": np.concatenate([np.where(rare[a] & rare[b], known[b], 0)[behind], np.zeros(int(before.sum()), np.int64)]),
+            }
+            for at in range(0, len(out["code"]), 100_000):
+                yield {k: v[at : at + 100_000] for k, v in out.items()}
 
         for b in batches:
             for raw in b["raw"]:
@@ -112,20 +134,116 @@ def word_pairs(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
                     chain.append(k)
                 chain.append(0)
                 if len(chain) > TOKENS or len(codes) > FLUSH:
-                    yield from pairs()
+                    yield from rows()
                     place, codes, chain = {}, [END_CODE], [0]
-        yield from pairs()
+        yield from rows()
+
+    return arrow_map(training.select("raw"), "code bigint, near int, n int, other bigint", step)
+
+
+def contexts(rows: DataFrame) -> DataFrame:
+    """(code, near, n, other, other_n): one row of lists per word, summed by neighbour.
+
+    A word's list has at most twice ``NEARS`` entries besides its neighbours outside the head;
+    words with a share of the tokens that could burden a task list only each other.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]):
+        held = None
+
+        def lists(code, near, n, other):
+            new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(near, prepend=-1) != 0) | (other != 0) | (np.concatenate([[0], other[:-1]]) != 0))
+            n, code, near, other = np.add.reduceat(n, new), code[new], near[new], other[new]
+            return code, near, n, other
+
+        def packed(code, near, n, other):
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            far = other != 0
+            offsets, others = np.append(starts, len(code)), np.append(0, np.cumsum(far))
+            of = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
+            return pa.RecordBatch.from_arrays([
+                pa.array(code[starts]), of(offsets, pa.array(near, pa.int32())), of(offsets, pa.array(n, pa.int64())),
+                of(others[offsets], pa.array(other[far])), of(others[offsets], pa.array(n[far], pa.int64())),
+            ], ["code", "near", "n", "other", "other_n"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = [b.column(k).to_numpy().astype(np.int64) for k in range(4)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            part = lists(*part)
+            cut = int(np.searchsorted(part[0], part[0][-1]))
+            held = [x[cut:] for x in part]
+            if cut:
+                yield packed(*[x[:cut] for x in part])
+        if held is not None:
+            yield packed(*held)
+
+    dealt = rows.repartition("code").sortWithinPartitions("code", "near")
+    return dealt.mapInArrow(step, "code bigint, near array<int>, n array<bigint>, other array<bigint>, other_n array<bigint>")
+
+
+def cells(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """A table of fixed size from its tasks' sums (cell, n)."""
+    out = np.zeros(rows * columns, np.int64)
+    for r in parts.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.cell] = r.n
+    return out.reshape(rows, columns)
+
+
+def summed(df: DataFrame, size: int, add) -> DataFrame:
+    """(cell, n): what ``add(batch, sums)`` gathers in a task's array of ``size`` cells."""
+
+    def step(batches: Iterator[pa.RecordBatch]):
+        sums = np.zeros(size, np.int64)
+        for b in batches:
+            add(b, sums)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], ["cell", "n"])
+
+    return df.mapInArrow(step, "cell bigint, n bigint")
+
 
-    return arrow_map(training.select("raw"), "left bigint, right bigint, n bigint", step)
+def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of contexts: the row, neighbour and count of every entry."""
+    near, n = b.column("near"), b.column("n")
+    sizes = near.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), near.flatten().to_numpy(), n.flatten().to_numpy()
 
 
-def item_pairs(pairs: DataFrame) -> np.ndarray:
+def counted(near: np.ndarray) -> np.ndarray:
+    """Entries that tell of a pair: words behind, and of those before only such as list no other words."""
+    name = near >> 1
+    return (near & 1 == 0) | (name < FREQUENT) | (name == HEAD)
+
+
+def add_pairs(sums: np.ndarray, own: np.ndarray, near: np.ndarray, n: np.ndarray, groups: np.ndarray, k: int) -> None:
+    """Adds entries of words of groups ``own`` to a table of ``k`` by ``k`` groups."""
+    other, before = groups[near >> 1], near & 1 == 1
+    cell = np.where(before, other * k + own, own * k + other)
+    sums += np.bincount(cell, n, k * k).astype(np.int64)
+
+
+def item_pairs(table: DataFrame) -> np.ndarray:
     """Counts of neighbouring items: a table of fixed size, from which the first classes come."""
     low = (1 << ITEM_BITS) - 1
-    out = np.zeros((ITEMS, ITEMS), np.int64)
-    for r in pairs.groupBy(F.expr(f"left & {low}").alias("a"), F.expr(f"right & {low}").alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.a, r.b] = r.n
-    return out
+    ranks = np.arange(HEAD)
+    item_of_rank = np.full(HEAD, -1)
+    item_of_rank[:FREQUENT] = ranks[:FREQUENT]
+    names = {int(r.code) >> ITEM_BITS: int(r.code) & low for r in table.where(f"code < {HEAD << ITEM_BITS}").select("code").collect()}
+    for rank, item in names.items():
+        item_of_rank[rank] = item
+    items = np.concatenate([np.maximum(item_of_rank, 0), [END], FREQUENT + np.arange(ENDINGS)])
+    shared = table.sparkSession.sparkContext.broadcast(items)
+
+    def add(b: pa.RecordBatch, sums: np.ndarray) -> None:
+        row, near, n = entries(b)
+        own = b.column("code").to_numpy() & low
+        keep = counted(near)
+        add_pairs(sums, own[row[keep]], near[keep], n[keep], shared.value, ITEMS)
+
+    return cells(summed(table, ITEMS * ITEMS, add), ITEMS, ITEMS)
 
 
 def weigh(x: np.ndarray) -> np.ndarray:
@@ -135,7 +253,8 @@ def weigh(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, n_classes: int, rounds: int = 15) -> np.ndarray:
     """Classes of items: each in turn moves to the class that raises the likelihood of class bigrams most.
 
-    Gives the first classes, of a fixed number of items; ``cluster`` goes on with all words.
+    Settles the most frequent words, and gives the first classes of all others by their
+    endings; ``settle_head`` and ``settle_rest`` go on with these.
     The end of a text keeps the last class for itself.
     """
     counts = pairs.astype(float)
@@ -178,35 +297,6 @@ def exchange(pairs: np.ndarray, n_classes: int, rounds: int = 15) -> np.ndarray:
     return classes
 
 
-def neighbour_counts(pairs: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
-    """(word, class, slots, ns): every word's class and its neighbours' counts by their class.
-
-    Slot c: neighbours of class c behind the word, ``n_classes`` + c: before it, twice
-    ``n_classes``: the word itself. Classes of head words are broadcast, of others joined by code.
-    """
-    k = n_classes
-    sides = pairs.where("left != right").select(F.expr(f"inline(array(named_struct('word', left, 'near', right, 'base', 0), named_struct('word', right, 'near', left, 'base', {k})))"), "n")
-    slot = (F.col("base") + F.col("class")).alias("slot")
-    near = classes.withColumnRenamed("code", "near")
-    held = sides.where(F.col("near") < TOP).join(F.broadcast(near.where(F.col("near") < TOP)), "near").select("word", slot, "n")
-    rest = sides.where(F.col("near") >= TOP).join(near.where(F.col("near") >= TOP).hint("shuffle_hash"), "near").select("word", slot, "n")
-    loops = pairs.where("left = right").select(F.col("left").alias("word"), F.lit(2 * k).alias("slot"), "n")
-    own = classes.select(F.col("code").alias("word"), (F.col("class") + 2 * k + 1).alias("slot"), F.lit(1).cast("long").alias("n"))
-    summed = held.union(rest).union(loops).union(own).groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    by = summed.groupBy("word").agg(F.max("slot").alias("own"), F.collect_list(F.struct("slot", "n")).alias("all"))
-    counts = by.select("word", (F.col("own") - 2 * k - 1).alias("class"), F.expr(f"filter(all, x -> x.slot <= {2 * k})").alias("all"))
-    return counts.select("word", "class", F.col("all.slot").alias("slots"), F.col("all.n").alias("ns"))
-
-
-def class_counts(vectors: DataFrame, n_classes: int) -> np.ndarray:
-    """Counts of neighbouring classes."""
-    one = vectors.select("class", F.explode(F.arrays_zip("slots", "ns")).alias("e")).where((F.col("e.slots") < n_classes) | (F.col("e.slots") == 2 * n_classes))
-    table = np.zeros((n_classes, n_classes))
-    for r in one.groupBy("class", F.least(F.col("e.slots"), F.lit(n_classes)).alias("slot")).agg(F.sum("e.ns").alias("n")).collect():
-        table[r["class"], r["class"] if r.slot == n_classes else r.slot] += r.n
-    return table
-
-
 def likelihood(table: np.ndarray) -> float:
     """Log likelihood of class bigrams, up to a constant."""
     return float(weigh(table).sum() - weigh(table.sum(0)).sum() - weigh(table.sum(1)).sum())
@@ -239,54 +329,150 @@ def best_classes(table: np.ndarray, classes: np.ndarray, after: np.ndarray, befo
     return np.where(gain[every, best] > gain[every, classes] + 1e-9, best, classes)
 
 
-def moved(vectors: DataFrame, table: np.ndarray) -> DataFrame:
-    """(code, class) after one round, in which every word but the end takes its best class."""
-    shared, k = vectors.sparkSession.sparkContext.broadcast(table), len(table)
+def moves(table: np.ndarray, old: np.ndarray, row: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """New classes of the words of a batch, a bounded number of entries at a time; slots as classes behind, before, and the word itself."""
+    k, new, at = len(table), old.copy(), 0
+    ends = np.searchsorted(row, np.arange(len(old) + 1))
+    while at < len(old):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, "right")) - 1)
+        to = min(to, at + ENTRIES // 8)
+        part = slice(ends[at], ends[to])
+        full = np.bincount((row[part] - at) * (2 * k + 1) + slot[part], n[part], (to - at) * (2 * k + 1)).reshape(to - at, 2 * k + 1)
+        new[at:to] = best_classes(table, old[at:to], full[:, :k], full[:, k : 2 * k], full[:, 2 * k] / 2)
+        at = to
+    return new
 
-    def step(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            word, old = b.column("word").to_numpy(), b.column("class").to_numpy().astype(np.int64)
-            slots, ns = b.column("slots"), b.column("ns")
-            ends = np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            slot, n = slots.flatten().to_numpy(), ns.flatten().to_numpy()
-            new, at = old.copy(), 0
-            while at < len(word):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, "right")) - 1)
-                to = min(to, at + ENTRIES // 8)
-                full = np.zeros((to - at, 2 * k + 1))
-                full[np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), slot[ends[at] : ends[to]]] = n[ends[at] : ends[to]]
-                new[at:to] = best_classes(shared.value, old[at:to], full[:, :k], full[:, k : 2 * k], full[:, 2 * k])
-                at = to
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.where(word == END_CODE, old, new).astype(np.int32))], ["code", "class"])
-
-    return vectors.mapInArrow(step, "code bigint, class int")
-
-
-def cluster(pairs: DataFrame, seeds: np.ndarray, n_classes: int) -> tuple[DataFrame, np.ndarray]:
-    """Classes (code, class) of all words of ``pairs``, written, and the counts of neighbouring classes.
-
-    Words start in their item's class. In a round every word's neighbours are counted by
-    class, and each word takes its best class given all others' of the round before. The
-    rounds have no fixed number: they end when one gains less than ``LEAST_GAIN`` a token.
-    All words move at once, so a round may also lower the likelihood; then it is undone.
+
+def settle_head(table: DataFrame, endings: DataFrame, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by neighbour name once the head's words have moved, and the counts of neighbouring classes.
+
+    In a round each half of the words, by rank, takes its best class given all others'; words
+    outside the head stand in their ending's class. Rounds have no fixed number: they end
+    when one gains less than ``LEAST_GAIN`` a token. A half that loses is undone.
     """
-    first = F.array(*[F.lit(int(c)) for c in seeds])[F.expr(f"cast(code & {(1 << ITEM_BITS) - 1} as int)")]
-    classes = written(pairs.select(F.col("left").alias("code")).distinct().select("code", first.alias("class")), "classes")
-    vectors = written(neighbour_counts(pairs, classes, n_classes), "neighbours", compression="zstd")
-    table = class_counts(vectors, n_classes)
+    spark, head = table.sparkSession, table.where(f"code < {TOP}")
+
+    def counts(of: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(of)
+
+        def words(b: pa.RecordBatch, sums: np.ndarray) -> None:
+            row, near, n = entries(b)
+            own = shared.value[b.column("code").to_numpy() >> ITEM_BITS]
+            keep = counted(near)
+            add_pairs(sums, own[row[keep]], near[keep], n[keep], shared.value, k)
+
+        def others(b: pa.RecordBatch, sums: np.ndarray) -> None:
+            near, n = b.column("near").to_numpy(), b.column("n").to_numpy()
+            add_pairs(sums, shared.value[b.column("name").to_numpy()], near, n, shared.value, k)
+
+        return cells(summed(head, k * k, words).union(summed(endings, k * k, others)), k, k).astype(float)
+
+    def round_of(of: np.ndarray, now: np.ndarray, half: int) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((of, now))
+
+        def step(batches: Iterator[pa.RecordBatch]):
+            of, now = shared.value
+            for b in batches:
+                rank = b.column("code").to_numpy() >> ITEM_BITS
+                row, near, n = entries(b)
+                slot = of[near >> 1] + k * (near & 1)
+                slot[near >> 1 == rank[row]] = 2 * k
+                old = of[rank]
+                new = moves(now, old, row, slot, n)
+                gone = new != old
+                yield pa.RecordBatch.from_arrays([pa.array(rank[gone]), pa.array(new[gone].astype(np.int64))], ["rank", "class"])
+
+        some = head.where(f"code >= {FREQUENT << ITEM_BITS} AND code < {HEAD << ITEM_BITS} AND (code >> {ITEM_BITS}) % 2 = {half}")
+        new = of.copy()
+        for r in some.mapInArrow(step, "rank bigint, class bigint").collect():  # at most the head
+            new[r.rank] = r["class"]
+        return new
+
+    now = counts(groups)
     while True:
-        tried = written(moved(vectors, table), "classes")
-        seen = written(neighbour_counts(pairs, tried, n_classes), "neighbours", compression="zstd")
-        after = class_counts(seen, n_classes)
-        gain = (likelihood(after) - likelihood(table)) / max(table.sum(), 1)
-        if gain > 0:
-            discard(classes, vectors)
-            classes, vectors, table = tried, seen, after
-        else:
-            discard(tried, seen)
-        if gain < LEAST_GAIN:
-            discard(vectors)
-            return classes, table
+        start = likelihood(now)
+        for half in (0, 1):
+            tried = round_of(groups, now, half)
+            after = counts(tried)
+            if likelihood(after) > likelihood(now):
+                groups, now = tried, after
+        if likelihood(now) - start < LEAST_GAIN * max(now.sum(), 1):
+            return groups, now
+
+
+def settle_rest(table: DataFrame, groups: np.ndarray, now: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Classes (code, class) of all words outside the head, written, and the final counts of neighbouring classes.
+
+    Each word moves from its ending's class to the best one for its own neighbours. The
+    counts are exact for the final classes: pairs with the head from a word's own row, pairs
+    outside it joined by code.
+    """
+    spark, k = table.sparkSession, len(now)
+    shared = spark.sparkContext.broadcast((groups, now))
+
+    def choose(batches: Iterator[pa.RecordBatch]):
+        of, now = shared.value
+        sums = np.zeros(k * k, np.int64)
+        for b in batches:
+            code = b.column("code").to_numpy()
+            row, near, n = entries(b)
+            old = of[HEAD + 1 + (code & ((1 << ITEM_BITS) - 1)) - FREQUENT]
+            new = moves(now, old, row, of[near >> 1] + k * (near & 1), n)
+            known = near >> 1 <= HEAD
+            add_pairs(sums, new[row[known]], near[known], n[known], of, k)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(new.astype(np.int32)), pa.nulls(len(code), pa.int64())], ["code", "class", "n"])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.nulls(len(at), pa.int32()), pa.array(sums[at])], ["code", "class", "n"])
+
+    found = written(table.where(f"code >= {TOP}").mapInArrow(choose, "code bigint, class int, n bigint"), "classes")
+    classes = found.where("class IS NOT NULL").select("code", "class")
+    with_head = cells(found.where("class IS NULL").select((-1 - F.col("code")).alias("cell"), "n"), k, k)
+
+    def words(b: pa.RecordBatch, sums: np.ndarray) -> None:
+        of, _ = shared.value
+        row, near, n = entries(b)
+        own = of[b.column("code").to_numpy() >> ITEM_BITS]
+        keep = counted(near) & (near >> 1 <= HEAD)
+        add_pairs(sums, own[row[keep]], near[keep], n[keep], of, k)
+
+    inside = cells(summed(table.where(f"code < {TOP}"), k * k, words), k, k)
+    pairs = table.where("size(other) > 0").select("code", F.explode(F.arrays_zip("other", "other_n")).alias("e")).select("code", "e.other", F.col("e.other_n").alias("n"))
+    left = pairs.join(classes.withColumnRenamed("class", "left"), "code").select("left", "other", "n")
+    both = left.join(classes.select(F.col("code").alias("other"), F.col("class").alias("right")), "other")
+    outside = cells(both.select((F.col("left") * k + F.col("right")).cast("long").alias("cell"), "n"), k, k)
+    classes.written_path = found.written_path
+    return classes, (inside + with_head + outside).astype(float)
+
+
+def ending_sums(table: DataFrame) -> DataFrame:
+    """(name, near, n): what words outside the head tell of pairs, summed by their endings."""
+    low = (1 << ITEM_BITS) - 1
+
+    def step(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            row, near, n = entries(b)
+            keep = counted(near)
+            name = HEAD + 1 + (b.column("code").to_numpy() & low) - FREQUENT
+            pair, at = np.unique(name[row[keep]] * (2 * NEARS) + near[keep], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, n[keep], len(pair)).astype(np.int64))], ["pair", "n"])
+
+    pairs = table.where(f"code >= {TOP}").mapInArrow(step, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.select(F.expr(f"pair div {2 * NEARS}").alias("name"), F.expr(f"pair % {2 * NEARS}").alias("near"), "n")
+
+
+def cluster(table: DataFrame, n_classes: int) -> tuple[np.ndarray, np.ndarray, DataFrame, np.ndarray]:
+    """Classes of items and of neighbour names, of the words outside the head, and the counts of neighbouring classes."""
+    seeds = exchange(item_pairs(table), n_classes)
+    low = (1 << ITEM_BITS) - 1
+    groups = np.concatenate([np.zeros(HEAD, np.int64), [n_classes - 1], seeds[FREQUENT : FREQUENT + ENDINGS]])
+    groups[:FREQUENT] = seeds[:FREQUENT]
+    for r in table.where(f"code < {HEAD << ITEM_BITS}").select("code").collect():
+        groups[r.code >> ITEM_BITS] = seeds[r.code & low]
+    endings = written(ending_sums(table), "endings", compression="zstd")
+    groups, now = settle_head(table, endings, groups, n_classes)
+    discard(endings)
+    classes, counts = settle_rest(table, groups, now)
+    return seeds, groups, classes, counts
 
 
 def class_tables(table: np.ndarray) -> np.ndarray:
@@ -375,15 +561,16 @@ def filled(rows: DataFrame, shared) -> DataFrame:
     return arrow_map(rows, T.StructType([rows.schema[c] for c in kept]), step)
 
 
-def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
+def score_captions(captions: DataFrame, n_classes: int = 64, head_words_most: int = HEAD) -> DataFrame:
     """Log probabilities of caption texts under a class bigram model and a unigram model.
 
     captions(caption_id, text, train): rows with ``train`` teach. Tokens are blank-free
     words, A-Z lower-cased, and one end for each text. Word counts and class bigrams are
     taken over all training texts. All words of the training texts are put into
-    ``n_classes`` classes by exchange clustering: the ``FREQUENT`` most frequent words and
-    the endings of all others give the first classes, then every word moves by itself in
-    rounds on Spark (``cluster``). A token's probability is that of its class after the
+    ``n_classes`` classes by exchange clustering: the ``FREQUENT`` most frequent words, with
+    the endings of all others, one after another; then the rest of the ``head_words_most`` (at most ``HEAD``) most frequent by
+    themselves, in rounds on Spark that move half of them at a time; then every other
+    word by its own neighbours. A token's probability is that of its class after the
     class before, times that of the word in its class, (c + 0.5) / (N_class + 0.5 * (V_class + 1)).
     Words unseen in training are in the first class of their ending.
 
@@ -402,16 +589,14 @@ def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     ends = training.count()
     tokens, kinds = sums.tokens + ends, sums.words + (ends > 0)
-    head = head_words(counts)
+    head = head_words(counts, head_words_most)
     codes = {w: head_code(k, w) for k, (w, _) in enumerate(head)}
-    pairs = written(word_pairs(training, codes), "pairs", compression="zstd")
-    seeds = exchange(item_pairs(pairs), n_classes)
-    classes, table = cluster(pairs, seeds, n_classes)
-    discard(pairs)
-    of = {r.code: r["class"] for r in classes.where(F.col("code") < TOP).collect()}
-    known = {w: (of[codes[w]], math.log10(n + 0.5)) for w, n in head}
+    table = written(contexts(neighbours(training, codes)), "contexts", compression="zstd")
+    seeds, groups, classes, pairs = cluster(table, n_classes)
+    discard(table)
+    known = {w: (int(groups[codes[w] >> ITEM_BITS]), math.log10(n + 0.5)) for w, n in head}
     rest = counts.where(F.col("n") < head[-1][1]) if head else counts  # the head has all words of its counts
-    others = written(rest.join(classes.where(F.col("code") >= TOP), "code").select("word", "n", "class"), "classed")
+    others = written(rest.join(classes, "code").select("word", "n", "class"), "classed")
     discard(counts, classes)
     sizes = np.zeros((n_classes, 2))
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
@@ -420,7 +605,7 @@ def score_captions(captions: DataFrame, n_classes: int = 64) -> DataFrame:
         sizes[known[w][0]] += n, 1
     sizes[-1] = ends, ends > 0
     total = np.log10(sizes[:, 0] + 0.5 * (sizes[:, 1] + 1))
-    shared = captions.sparkSession.sparkContext.broadcast(Model(known, seeds, class_tables(table), total, math.log10(ends + 0.5)))
+    shared = captions.sparkSession.sparkContext.broadcast(Model(known, seeds, class_tables(pairs), total, math.log10(ends + 0.5)))
     part = written(partly_scored(texts, shared), "scores", compression="zstd")
     rare = part.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.word", "r.guess", "r.spots", F.size("r.spots").alias("times"))
     joined = rare.join(others, "word", "left").groupBy("row_no").agg(

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -100,20 +101,63 @@ def test_each_word_takes_its_best_class():
         assert math.isclose(value[got[w]], max(value), rel_tol=1e-12)
 
 
-def test_rare_words_have_classes_of_their_own(spark, monkeypatch):
+def test_rare_words_have_classes_of_their_own(spark):
     rng = random.Random(6)
     rows = []
     for i in range(600):  # 3000 words of one ending; the kinds alternate
         rows.append((i, " ".join(f"{'ab'[j % 2]}{min(int(1500 * rng.random() ** 1.5), 1499)}zz" for j in range(rng.randint(50, 100))), True))
     rows += [(1000 + i, " ".join(f"{'ab'[j % 2]}{rng.randint(1200, 1499)}zz" for j in range(60)), False) for i in range(20)]
     table = spark.createDataFrame(rows + [(2000, "new1zz a1zz new2zz b1499zz", False)], "caption_id long, text string, train boolean")
-    got = {r.caption_id: r for r in score_captions(table, n_classes=4).collect()}
-    held = [r for r in got.values() if 1000 <= r.caption_id < 2000]
-    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)  # of log10(2) a token
-    monkeypatch.setattr(class_model, "HEAD", 2_000)  # counts and classes of the others come by the join
-    for r in score_captions(table, n_classes=4).collect():
-        want = got[r.caption_id]
-        assert r.n_known == want.n_known and math.isclose(r.score, want.score, rel_tol=1e-9) and math.isclose(r.base_score, want.base_score, rel_tol=1e-9)
+    got = {}
+    for most in (class_model.HEAD, 2_000, 0):  # fewer in the head: counts and classes of the others come by the join
+        got[most] = {r.caption_id: r for r in score_captions(table, n_classes=4, head_words_most=most).collect()}
+        held = [r for r in got[most].values() if 1000 <= r.caption_id < 2000]
+        if most:
+            assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)  # of log10(2) a token
+    for r in table.collect():
+        a, b, c = (got[m][r.caption_id] for m in got)
+        assert a.n_known == b.n_known == c.n_known
+        assert math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.base_score, c.base_score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [class_model.HEAD, 1_300, 0])
+def test_scores_equal_brute_force_given_the_classes(spark, most):
+    """Class counts over all pairs of words, emissions and scores, from the classes that clustering gives."""
+    rng, k = random.Random(15), 6
+    words = [f"{a}{i}{e}" for i in range(300) for a in "xyz" for e in ("a", "bé", "c!")]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([40, 2700])]) for _ in range(rng.randint(0, 60))), i % 4 != 1) for i in range(300)]
+    rows += [(900, None, True), (901, "", True), (902, "same same same", True)]
+    table = spark.createDataFrame(rows, "caption_id long, text string, train boolean")
+    training = table.where("train").select(F.col("text").cast("binary").alias("raw"))
+    head = class_model.head_words(class_model.word_counts(training), most)
+    codes = {w: class_model.head_code(r, w) for r, (w, _) in enumerate(head)}
+    seeds, groups, classes, counts = class_model.cluster(class_model.contexts(class_model.neighbours(training, codes)), k)
+    far = {r.code: r["class"] for r in classes.collect()}
+
+    def group(w):
+        w = w.encode()
+        return groups[codes[w] >> class_model.ITEM_BITS] if w in codes else far.get(class_model.code_of(w), seeds[class_model.item_of(w)])
+
+    chain, count, pairs = [None], Counter(), np.zeros((k, k))
+    for _, x, train in rows:
+        if train:
+            chain += [*BLANK.findall(x or ""), None]
+    count.update(chain[1:])
+    of = lambda w: k - 1 if w is None else int(group(w))
+    for a, b in zip(chain, chain[1:], strict=False):
+        pairs[of(a), of(b)] += 1
+    texts_end = lambda c: c.sum()
+    assert texts_end(counts) >= texts_end(pairs) and np.abs(counts - pairs).sum() <= 16  # tasks start at an end of their own
+    move, tokens, kinds = class_model.class_tables(counts), np.zeros(k), np.zeros(k)
+    for w, n in count.items():
+        tokens[of(w)] += n
+        kinds[of(w)] += 1
+    got = {r.caption_id: r.score for r in score_captions(table, n_classes=k, head_words_most=most).collect()}
+    for i, x, _ in rows:
+        line, want = [None, *BLANK.findall(x or ""), None], 0.0
+        for a, b in zip(line, line[1:], strict=False):
+            want += move[of(a), of(b)] + math.log10((count[b] + 0.5) / (tokens[of(b)] + 0.5 * (kinds[of(b)] + 1)))
+        assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
 
 
 @settings(max_examples=60, deadline=None)

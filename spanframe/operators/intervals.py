@@ -19,6 +19,7 @@ from spanframe.plans.bins import BIN_US, interval_join, prefixed
 from spanframe.plans.folds import fold_ordered
 from spanframe.plans.ordered import BLOCK_US, by_time, pinned, positions, scan
 from spanframe.plans.rounds import cut_lineage
+from spanframe.plans.skew import cut_blocks
 
 MERGE_BLOCK_US = 12 * 3_600_000_000
 
@@ -68,7 +69,7 @@ def merge_spans(spans: DataFrame, keys: list[str], tol_us: int = 0, block_us: in
     4. islands cut by block borders are put together by one aggregation.
     """
     starts = spans.groupBy(*keys, "start_us").agg(F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n_spans"))
-    starts = starts.withColumn("__b", by_time("start_us", block_us))
+    starts = cut_blocks(starts.withColumn("__b", by_time("start_us", block_us)), keys, "__b", "start_us")
     w = Window.partitionBy(*keys, "__b").orderBy("start_us")
     prev = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = prev.isNull() | (F.col("start_us") > prev + tol_us)

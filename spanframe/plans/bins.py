@@ -6,8 +6,10 @@ predicate is a residual.  A pair is kept only in the bin that holds the later of
 the two starts, so no ``distinct`` is needed.
 
 Spans longer than ``FAN`` bins live on a coarser level (width ``FAN`` times larger),
-so no span is copied more than ``FAN + 1`` times on its own level.  A pair meets on
-the coarser of the two levels.
+so no span is copied more than ``FAN + 1`` times on a level but the last.  A pair meets on
+the coarser of the two levels.  Where skew is measured (``plans.skew``), there are as many
+levels as the longest span asks for, so that holds on the last one too, and hot bins are
+dealt over salts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.clock import floor_div
+from spanframe.plans.skew import measures, salted
 
 BIN_US = 30_000_000
 FAN = 64
@@ -64,12 +67,16 @@ def interval_join(
     Half-open spans that only touch do not overlap; with ``closed=True`` they do.
     ``how`` is ``inner``, ``left_semi`` or ``left_anti`` (row-preserving variants
     need a row id on ``a``; use :func:`overlap_flag`).  Column names other than the
-    keys must differ between the sides.  ``salt`` > 1 spreads a hot bin: ``a`` is
-    dealt over ``salt`` slots and ``b`` is copied to each.
+    keys must differ between the sides.  ``salt`` > 1 spreads every bin without measuring: ``a``
+    is dealt over ``salt`` slots and ``b`` is copied to each.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     (a0, a1), (b0, b1) = a_span, b_span
+    if measures(a.sparkSession):
+        longest = max(df.agg(F.max(F.col(hi) - F.col(lo)).alias("n")).first().n or 0 for df, lo, hi in ((a, a0, a1), (b, b0, b1)))
+        while longest > bin_us * FAN**levels:
+            levels += 1
     la = _laid(a, a0, a1, bin_us, levels, closed, "a")
     lb = _laid(b, b0, b1, bin_us, levels, closed, "b")
     on = [*keys, "__level", "__bin"]
@@ -77,6 +84,8 @@ def interval_join(
         la = la.withColumn("__salt", F.pmod(F.xxhash64(*a.columns), F.lit(salt)).cast("int"))
         lb = lb.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         on.append("__salt")
+    else:
+        la, lb, on = salted(la, lb, on, [F.col(c) for c in a.columns], [F.col(c) for c in b.columns])
     pairs = la.join(lb, on, "inner")
     width = F.lit(bin_us).cast("bigint")
     for i in range(1, levels):

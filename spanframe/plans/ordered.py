@@ -5,7 +5,7 @@ fails when one key holds a large share of the table.  ``scan`` splits each key i
 ordered *blocks*, runs the window inside ``(key, block)`` and adds what the blocks
 before (or after) contribute.  Rows are shuffled once by ``(key, block)``; the block
 summary (one row per block) is aggregated from that same shuffle, and only its ordered
-pass is per key.
+pass is per key.  Blocks that hold too many rows are cut further (``plans.skew``).
 
 ``block`` must be a column that never decreases in the scan order, for example
 ``pos div 4096`` or ``start_us div 3600000000``.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanframe.functions.clock import col, floor_div
+from spanframe.plans.skew import cut_blocks
 
 BLOCK_ROWS = 65_536
 BLOCK_US = 6 * 3_600_000_000
@@ -64,7 +65,7 @@ def scan(
     sums, maxes, mins_after = sums or {}, maxes or {}, mins_after or {}
     lags, leads = lags or {}, leads or {}
     blk = "__block"
-    src = df.withColumn(blk, block).repartition(*keys, blk)
+    src = cut_blocks(df.withColumn(blk, block), keys, blk, order[0]).repartition(*keys, blk)
     inner = Window.partitionBy(*keys, blk).orderBy(*order)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)

@@ -2,23 +2,21 @@
 
 Spans are half-open.  Ordered passes go through :func:`spanframe.plans.ordered.scan`
 and pair tests through time bins, so no key is collected into one task.  The two run
-splitters stream each key's rows through one task with constant memory.
+splitters label blocks of a key side by side (:mod:`spanframe.plans.runs`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanframe.functions.clock import overlap_us, wide
+from spanframe.functions.clock import floor_div, overlap_us, wide
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join, prefixed
-from spanframe.plans.folds import fold_ordered
 from spanframe.plans.ordered import BLOCK_US, by_time, pinned, positions, scan
 from spanframe.plans.rounds import cut_lineage
+from spanframe.plans.runs import ROWS, label_runs
 from spanframe.plans.skew import cut_blocks
 
 MERGE_BLOCK_US = 12 * 3_600_000_000
@@ -265,87 +263,70 @@ def check_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b).unionByName(fd.finding(frames, "FRAME_DURATION_CONFLICT", both, F.concat_ws("@", *keys, "pts"), work=keys[0]))
 
 
-def _nearest(x: int, unit: int) -> int:
-    """Multiple of ``unit`` nearest to ``x``, ties to the even one."""
-    q, r = divmod(x, unit)
-    return q + (2 * r > unit or 2 * r == unit and q % 2 == 1)
-
-
-def _runs(rows: DataFrame, keys: list[str], carried: list[str], start: Callable[[], dict], begins: Callable[[dict, dict], bool]) -> DataFrame:
-    """Adds ``__run``: rows in order of ``__s``, a new run wherever ``begins(state, row)``.
-
-    Whether a hole is bridged depends on where the run began, so the pass is a fold.
-    """
-    kinds = dict(rows.dtypes)
-    names = [*keys, *carried]
+def _nearest(x, unit):
+    """Number of ``unit`` in ``x``, rounded, ties to the even number."""
+    q = floor_div(x, unit)
+    r = x - q * unit
+    return q + F.when((2 * r > unit) | ((2 * r == unit) & (q % 2 != 0)), 1).otherwise(0)
 
-    def step(state: dict, row: dict) -> tuple:
-        if begins(state, row):
-            state["run"] += 1
-        return (*[row[c] for c in names], state["run"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __run bigint"
-    return fold_ordered(rows, keys, ["__s", "__e"], schema, lambda: {"run": 0, **start()}, step)
+def _placed(rows: DataFrame, keys: list[str], block, **sums) -> DataFrame:
+    """Rows with their place ``__pos``, the hole ``__hole`` before them (NULL on the first) and running sums."""
+    r = scan(rows, keys, ["__s", "__e"], block, sums={"__pos": F.lit(1).cast("bigint"), **sums}, maxes={"__reach": F.col("__e")})
+    return r.withColumn("__hole", F.col("__s") - F.col("__reach"))
 
 
-def playback_runs(frames: DataFrame, keys: list[str]) -> DataFrame:
+def playback_runs(frames: DataFrame, keys: list[str], block_rows: int = ROWS) -> DataFrame:
     """IV15: runs for playback; a hole of at most one tick is bridged while every
     start and length of the run lies on the local frame grid (within one tick).
 
     ``frames`` has ``pts, duration`` in ticks, ``tb_num/tb_den`` (seconds per tick) and
-    the nominal rate ``fps_num/fps_den``.
+    the nominal rate ``fps_num/fps_den``, the same for all frames of a key.
     """
     # unit: 1 / (tb_den * fps_num) second -> tick and nominal frame are integers
     tick = (F.col("tb_num") * F.col("fps_num")).cast("bigint")
     nominal = (F.col("fps_den") * F.col("tb_den")).cast("bigint")
-    r = frames.select(*keys, "pts", "duration", tick.alias("__tick"), nominal.alias("__nom"), (F.col("pts") * tick).alias("__s"), ((F.col("pts") + F.col("duration")) * tick).alias("__e"))
-
-    def begins(run: dict, f: dict) -> bool:
-        tick, nom, length = f["__tick"], f["__nom"], f["__e"] - f["__s"]
-        frames_long = _nearest(length, nom)
-        good_length = frames_long >= 1 and abs(length - frames_long * nom) <= tick
-        hole = None if run["reach"] is None else f["__s"] - run["reach"]
-        off = 0 if hole is None else f["__s"] - run["anchor"]
-        on_grid = abs(off - _nearest(off, nom) * nom) <= tick
-        small = hole is not None and hole <= tick
-        new = not small or hole > 0 and not (good_length and 2 * hole < nom and on_grid and run["clean"])
-        if new:
-            run["anchor"], run["clean"], on_grid = f["__s"], True, True
-        run["clean"] = run["clean"] and on_grid and good_length
-        run["reach"] = max(f["__e"], f["__e"] if run["reach"] is None else run["reach"])
-        return new
-
-    out = _runs(r, keys, ["pts", "duration"], lambda: {"reach": None, "anchor": None, "clean": True}, begins)
-    return out.groupBy(*keys, "__run").agg(
+    r = frames.select(*keys, "pts", "duration", tick.alias("__tick"), nominal.alias("__mod"), (F.col("pts") * tick).alias("__s"), ((F.col("pts") + F.col("duration")) * tick).alias("__e"))
+    r = _placed(r, keys, floor_div("__s", F.col("__mod") * ROWS))
+    length, tick, nom, hole = F.col("__e") - F.col("__s"), F.col("__tick"), F.col("__mod"), F.col("__hole")
+    long = _nearest(length, nom)
+    clean = (long >= 1) & (F.abs(length - long * nom) <= tick)
+    phase = F.pmod("__s", nom)
+    kind = F.when(hole.isNull() | (hole > tick) | (hole > 0) & (2 * hole >= nom), 2).when(hole > 0, 1).otherwise(0)
+    r = r.select(
+        *keys, "pts", "duration", "__pos", "__mod", kind.alias("__kind"), phase.alias("__number"), clean.alias("__clean"),
+        F.when(clean, phase - tick).otherwise(1).alias("__lo"), F.when(clean, phase + tick).otherwise(0).alias("__hi"),
+    )
+    return label_runs(r, keys, ["pts", "duration"], block_rows).groupBy(*keys, "__run").agg(
         F.min("pts").alias("start_pts"), F.max(F.col("pts") + F.col("duration")).alias("end_pts"), F.count(F.lit(1)).alias("n_frames")
     ).drop("__run")
 
 
-def sample_runs(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def sample_runs(blocks: DataFrame, keys: list[str], block_rows: int = ROWS) -> DataFrame:
     """IV16: audio blocks to runs; one tick is bridged when the time stamp equals the
     run's start plus its accumulated sample count.
 
-    ``blocks`` has ``pts`` in ticks, ``samples``, ``rate``, ``tb_num/tb_den``.
+    ``blocks`` has ``pts`` in ticks, ``samples``, and the key's ``rate``, ``tb_num/tb_den``.
     """
     # unit: 1 / (tb_den * rate) second
     tick = (F.col("tb_num") * F.col("rate")).cast("bigint")
     r = blocks.select(
-        *keys, "pts", F.col("samples").cast("bigint").alias("samples"), tick.alias("__tick"), F.col("tb_den").cast("bigint").alias("__den"),
+        *keys, "pts", F.col("samples").cast("bigint").alias("samples"), tick.alias("__tick"), F.col("tb_den").cast("bigint").alias("__den"), F.col("rate").cast("bigint").alias("__rate"),
         (F.col("pts") * tick).alias("__s"), (F.col("pts") * tick + F.col("samples") * F.col("tb_den")).alias("__e"),
     )
-
-    def begins(run: dict, b: dict) -> bool:
-        hole = None if run["reach"] is None else b["__s"] - run["reach"]
-        due = hole is not None and b["pts"] == _nearest(run["anchor"] + run["samples"] * b["__den"], b["__tick"])
-        new = hole is None or hole > b["__tick"] or hole > 0 and not due
-        if new:
-            run["anchor"], run["samples"] = b["__s"], 0
-        run["samples"] += b["samples"]
-        run["reach"] = max(b["__e"], b["__e"] if run["reach"] is None else run["reach"])
-        return new
-
-    out = _runs(r, keys, ["pts", "samples", "__e"], lambda: {"reach": None, "anchor": None, "samples": 0}, begins)
-    return out.groupBy(*keys, "__run").agg(
+    r = _placed(r, keys, floor_div("__s", F.col("__den") * F.col("__rate") * 1200), __upto=F.col("samples"))
+    hole, tick = F.col("__hole"), F.col("__tick")
+    before = (F.col("__upto") - F.col("samples")) * F.col("__den")  # a run keeps start - before; then its due time is that + before
+    kind = F.when(hole.isNull() | (hole > tick), 2).when(hole > 0, 1).otherwise(0)
+    # due rounds to pts: twice the distance is at most one tick, or less if pts is odd
+    odd = F.when(F.col("pts") % 2 == 0, 0).otherwise(1)
+    low, high = 2 * F.col("__s") - tick + odd, 2 * F.col("__s") + tick - odd
+    soft = kind == 1
+    r = r.select(
+        *keys, "pts", "samples", "__e", "__pos", kind.alias("__kind"), (F.col("__s") - before).alias("__number"), F.lit(True).alias("__clean"), F.lit(0).cast("bigint").alias("__mod"),
+        F.when(soft, -floor_div(-low, F.lit(2)) - before).alias("__lo"), F.when(soft, floor_div(high, F.lit(2)) - before).alias("__hi"),
+    )
+    return label_runs(r, keys, ["pts", "samples", "__e"], block_rows).groupBy(*keys, "__run").agg(
         F.min("pts").alias("start_pts"), F.sum("samples").alias("samples"), F.max("__e").alias("end_units"), F.count(F.lit(1)).alias("n_blocks")
     ).drop("__run")
 

@@ -9,6 +9,7 @@ from spanframe.functions.fingerprint import canonical, framed, row_digest
 from spanframe.functions import text as tx
 from spanframe.plans import findings as fd
 from spanframe.plans.bins import BIN_US, interval_join
+from spanframe.plans.budgets import ROWS, settle
 from spanframe.plans.folds import fold_ordered
 from spanframe.plans.ordered import by_rows, by_time, positions, scan
 from spanframe.plans.rounds import cut_lineage
@@ -289,23 +290,19 @@ def billing(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.select("task_id", "event_key", "seq", "amount_micros", (F.col("amount_micros") - F.coalesce("__p", F.lit(0))).alias("delta_micros"), F.col("__p").isNotNull().alias("correction")), bad
 
 
-def budget_fold(requests: DataFrame, budgets: DataFrame) -> DataFrame:
+def budget_fold(requests: DataFrame, budgets: DataFrame, block_rows: int = ROWS) -> DataFrame:
     """VR15: reserve requests in order; one that exceeds the rest of the budget is
     refused and does not count.
 
-    A refusal depends on all acceptances before it, so each budget is one streamed fold.
-    ``requests``: budget_key, request_id, seq, amount.  ``budgets``: budget_key, limit.
+    Blocks of a budget's requests are settled side by side (:mod:`spanframe.plans.budgets`).
+    ``requests``: budget_key, request_id, seq, amount (negative or NULL: refused).
+    ``budgets``: budget_key, limit.
     """
-    rows = requests.select("budget_key", "request_id", "seq", F.col("amount").cast("bigint").alias("amount")).join(budgets.select("budget_key", F.col("limit").cast("bigint").alias("limit")), "budget_key")
-
-    def step(used: list, r: dict) -> tuple:
-        fits = r["amount"] <= r["limit"] - used[0]
-        used[0] += r["amount"] if fits else 0
-        return r["budget_key"], r["request_id"], r["seq"], fits, used[0] if fits else None
-
-    kinds = dict(rows.dtypes)
-    schema = f"budget_key {kinds['budget_key']}, request_id {kinds['request_id']}, seq {kinds['seq']}, accepted boolean, reserved bigint"
-    return fold_ordered(rows, ["budget_key"], ["seq", "request_id"], schema, lambda: [0], step)
+    amount = F.coalesce(F.col("amount").cast("bigint"), F.lit(-1))
+    limits = budgets.select("budget_key", F.col("limit").cast("bigint").alias("limit"))
+    rows = requests.select("budget_key", "request_id", "seq", amount.alias("amount")).join(limits, "budget_key")
+    done = settle(rows, "budget_key", ["seq", "request_id"], block_rows)
+    return done.select("budget_key", "request_id", "seq", "accepted", F.when(F.col("accepted"), F.col("limit") - F.col("left")).alias("reserved"))
 
 
 def budget_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -317,12 +314,16 @@ def budget_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
     gives the reservation back; ``correct`` moves what the task has cost by a signed
     amount.  ``budgets``: budget_key, limit, opening (already spent, NULL is 0).
 
+    A budget's rest may rise again, so its entries are one streamed fold; its state is the
+    amounts of tasks that have later entries, however many tasks came before.
+
     Returns each entry with ``accepted``, ``reserved`` and ``spent`` after it.  A settlement or
     release of a task that holds nothing, a second reservation of one that does, and a
     correction of one that has not been settled are refused and change nothing.
     """
     b = budgets.select("budget_key", F.col("limit").cast("bigint").alias("limit"), F.coalesce(F.col("opening").cast("bigint"), F.lit(0)).alias("opening"))
-    rows = entries.select("budget_key", "task_id", "seq", "kind", F.coalesce(F.col("amount").cast("bigint"), F.lit(0)).alias("amount")).join(b, "budget_key")
+    rows = entries.select("budget_key", "task_id", "seq", "kind", F.coalesce(F.col("amount").cast("bigint"), F.lit(0)).alias("amount"))
+    rows = scan(rows, ["budget_key", "task_id"], ["seq"], by_rows("seq"), lags={"__before": F.col("seq")}, leads={"__next": F.col("seq")}).join(b, "budget_key")
 
     def step(books: dict, r: dict) -> tuple:
         held, paid, task, amount = books["held"], books["paid"], r["task_id"], r["amount"]
@@ -344,6 +345,9 @@ def budget_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
         elif r["kind"] == "correct":
             ok = task in paid
             books["spent"] += amount if ok else 0
+        if r["__next"] is None and r["__before"] != r["seq"]:  # the task's last entry, alone at its seq
+            held.pop(task, None)
+            paid.discard(task)
         return r["budget_key"], task, r["seq"], r["kind"], ok, books["reserved"], books["spent"]
 
     kinds = dict(rows.dtypes)

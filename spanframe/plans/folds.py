@@ -1,4 +1,4 @@
-"""Sequential folds over the ordered rows of a key, streamed with constant memory."""
+"""Sequential folds over the ordered rows of a key, streamed: a state and a batch in memory."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def fold_ordered(rows: DataFrame, keys: list[str], order: list[str], schema: str
 
     For folds whose next state depends on all earlier decisions, so that no prefix sum
     or jump table exists.  Keys are spread by hash and their rows sorted by Spark; a task
-    holds one state and one batch, whatever the length of a key.
+    holds one batch and one state, whose size is the step's concern.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

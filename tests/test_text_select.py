@@ -1,6 +1,8 @@
 """Caption folds, literal search, selection and ledgers against plain models."""
 
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
@@ -140,6 +142,26 @@ def test_budget_fold_model(spark):
             assert got[b, i] == ok
 
 
+@pytest.mark.parametrize("block", [4, 64])
+def test_hot_budgets_are_settled_in_blocks(spark, block):
+    rng = random.Random(block)
+    limits = {"hot": 3_000, "wide": 2**61, "none": 0, "debt": -5, "one": 40, "slow": 5_000}
+    rows = [("hot", f"h{i}", i, rng.choice([0, 1, 2, 9, 17, 64, 300, 900, None, -3])) for i in range(900)]
+    rows += [("wide", f"w{i}", i, rng.choice([1, 2**40, 2**58, 2**60, 2**61, 2**62])) for i in range(90)]
+    rows += [(k, f"{k}{i}", i, rng.choice([0, 1, 30])) for k in ("none", "debt", "one") for i in range(9)]
+    rows += [("slow", f"s{i}", i, [1, 4_990 - i][i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "budget_key string, request_id string, seq long, amount long").repartition(5)
+    done = vr.budget_fold(df, spark.createDataFrame(list(limits.items()), "budget_key string, limit long"), block).collect()
+    got = {(r.budget_key, r.seq): (r.accepted, r.reserved) for r in done}
+    assert len(done) == len(rows)
+    for k, limit in limits.items():
+        used = 0
+        for _, _, i, a in [r for r in rows if r[0] == k]:
+            ok = a is not None and 0 <= a <= limit - used
+            used += a if ok else 0
+            assert got[k, i] == (ok, used if ok else None), (k, i)
+
+
 def test_budget_ledger_settles_and_releases(spark):
     entries = [("x", "a", 1, "reserve", 40), ("x", "b", 2, "reserve", 30), ("x", "a", 3, "settle", 45), ("x", "b", 4, "reserve", 30), ("x", "b", 5, "release", None),
                ("x", "a", 6, "correct", -20), ("x", "b", 7, "settle", 5), ("x", "b", 8, "reserve", 60), ("x", "c", 9, "correct", 1), ("y", "a", 1, "reserve", 1)]

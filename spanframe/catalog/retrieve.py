@@ -11,6 +11,7 @@ from spanframe.functions import text as tf
 from spanframe.operators import retrieve as rs
 from spanframe.operators import select as sel
 from spanframe.operators import text as tx
+from spanframe.plans.rounds import cut_lineage
 
 LIMIT = 20
 TERMS = """t AS (SELECT DISTINCT unit_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM units),
@@ -92,9 +93,37 @@ def term_idf_rank(spark, d):
     return rs.rank(_candidates(spark, d)).withColumn("score", F.round("score", 6)).select("beat_id", "unit_id", "score", "direct", "rank")
 
 
-def _ranked(spark, d):
-    w = fx.beats(spark, d).select("work_id", "beat_id")
-    return rs.rank(_candidates(spark, d)).join(w, "beat_id")
+def _top(spark, d, k):
+    u, t, f, src, q = _parts(spark, d)
+    return rs.top_ranked(q, t, f, rs.direct_pairs(fx.beat_spans(spark, d), u), u, src, *_knowledge(spark, d), k, match=["source_id"])
+
+
+@query(
+    "term_top_rank",
+    sql(
+        CAND + f""", r AS (SELECT *, row_number() OVER (PARTITION BY beat_id ORDER BY score DESC, direct DESC, unit_id) AS rank FROM x WHERE reason IS NULL)
+     SELECT beat_id, unit_id, round(score, 6) AS score, direct, rank FROM r WHERE rank <= {LIMIT}""",
+        "units", "beats", "beat_spans",
+    ),
+)
+def term_top_rank(spark, d):
+    """The first ranks of each beat, by pruned retrieval."""
+    return _top(spark, d, LIMIT).where(F.col("rank") <= LIMIT).withColumn("score", F.round("score", 6)).select("beat_id", "unit_id", "score", "direct", "rank")
+
+
+def _front(spark, d):
+    """What a pool of ``LIMIT`` units may look at: each beat's direct units and first others."""
+    return _top(spark, d, LIMIT).join(fx.beats(spark, d).select("work_id", "beat_id"), "beat_id")
+
+
+def _in_pool(spark, d, pool):
+    """The admissible (beat, unit) pairs of units in a pool; no others are scored."""
+    only = pool.select("unit_id").distinct()
+    u, t, f, src, q = _parts(spark, d)
+    u, t = u.join(only, "unit_id", "left_semi"), t.join(only, "unit_id", "left_semi")
+    sc = rs.score(q, t, f, match=["source_id"])
+    kept = rs.exclusions(sc, rs.direct_pairs(fx.beat_spans(spark, d), u), u, src, *_knowledge(spark, d)).where("reason is null")
+    return kept.join(fx.beats(spark, d).select("work_id", "beat_id"), "beat_id")
 
 
 POOL = CAND + f""", rk AS (SELECT b.work_id, x.beat_id, x.unit_id, direct, row_number() OVER (PARTITION BY x.beat_id ORDER BY score DESC, direct DESC, x.unit_id) AS rank FROM x JOIN (SELECT DISTINCT work_id, beat_id FROM beats) b ON b.beat_id = x.beat_id WHERE reason IS NULL),
@@ -113,7 +142,7 @@ def recursive(text):
 
 @query("retrieval_pool", recursive(sql(POOL + " SELECT * FROM pool", "units", "beats", "beat_spans")))
 def retrieval_pool(spark, d):
-    return rs.pick_pool(_ranked(spark, d), LIMIT, 0.5)
+    return rs.pick_pool(_front(spark, d), LIMIT, 0.5)
 
 
 @query(
@@ -128,8 +157,8 @@ def retrieval_pool(spark, d):
     ),
 )
 def pool_coverage(spark, d):
-    r = _ranked(spark, d)
-    return rs.pool_coverage(fx.beats(spark, d), r, rs.pick_pool(r, LIMIT, 0.5))
+    pool = cut_lineage(rs.pick_pool(_front(spark, d), LIMIT, 0.5))
+    return rs.pool_coverage(fx.beats(spark, d), _in_pool(spark, d, pool), pool)
 
 
 @query(

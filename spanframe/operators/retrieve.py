@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from spanframe.functions import text as tx
 from spanframe.plans.bins import BIN_US, interval_join
 from spanframe.plans.ordered import by_rows, positions, scan, top_n
+from spanframe.plans.rounds import cut_lineage
 
 
 def build_requests(beats: DataFrame, events: DataFrame, spans: DataFrame, characters: DataFrame) -> DataFrame:
@@ -58,9 +59,9 @@ def score(query_terms: DataFrame, terms: DataFrame, freq: DataFrame, scorer: Cal
     """RS3: summed weight of shared terms per (beat, unit), rounded to 8 places.
 
     ``match`` may add join columns, such as the source a beat is bound to, so that
-    only allowed pairs are formed.  All terms of a unit are in one place, so the
-    map-side aggregate leaves one row per pair before the shuffle.  ``scorer`` maps
-    (df, n_units) columns to a weight (UF1).
+    only allowed pairs are formed.  Every pair with a shared term is a row: for a ranking
+    up to some place use :func:`top_ranked`.  ``scorer`` maps (df, n_units) columns to a
+    weight (UF1).
     """
     on = ["term", *(match or [])]
     q = query_terms.join(freq, "term").withColumn("w", scorer(F.col("df"), F.col("n_units")))
@@ -137,6 +138,52 @@ def rank(cand: DataFrame) -> DataFrame:
     return ranked.drop("__neg", "__late")
 
 
+def pair_scores(pairs: DataFrame, weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """The scores of given (beat, unit) pairs, each computed in its row from the unit's terms.
+
+    ``weights(beat_id, term, w)``: one map per beat; only the terms of units in ``pairs`` are gathered.
+    """
+    by_beat = weights.groupBy("beat_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("__w"))
+    held = terms.join(pairs.select("unit_id").distinct(), "unit_id", "left_semi").groupBy("unit_id").agg(F.array_sort(F.collect_set("term")).alias("__terms"))
+    rows = pairs.select("beat_id", "unit_id").join(by_beat, "beat_id").join(held, "unit_id", "left")
+    shared = F.filter(F.coalesce("__terms", F.expr("cast(array() as array<string>)")), lambda t: F.map_contains_key("__w", t))
+    total = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.element_at("__w", t))
+    return rows.select("beat_id", "unit_id", F.round(total, 8).alias("score"), F.size(shared).cast("bigint").alias("n_terms"))
+
+
+def top_ranked(
+    query_terms: DataFrame, terms: DataFrame, freq: DataFrame, direct: DataFrame, units: DataFrame, sources: DataFrame, reveals: DataFrame, allowed: DataFrame,
+    k: int, scorer: Callable = idf, match: list[str] | None = None,
+) -> DataFrame:
+    """RS3 to RS5 up to a place: the ranking of each beat, exact for its first ``k`` ranks.
+
+    Rare terms are looked up first.  The k-th best score among some units that hold them is
+    a threshold; terms whose weights together stay below it cannot lift a unit over it, so only
+    units with one of the other, rarer terms are scored, in their rows.  Common terms are
+    never expanded to pairs unless a beat has no others.  Besides the first ``k`` without
+    direct evidence all direct pairs are returned, so a pool finds its front rows here.
+    """
+    on = ["term", *(match or [])]
+    q = query_terms.select("beat_id", *on).distinct().join(freq, "term").withColumn("w", scorer(F.col("df"), F.col("n_units")))
+    weights = q.select("beat_id", "term", "df", "w").distinct()
+    rarest = Window.partitionBy("beat_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = weights.withColumn("__before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("__before") < 4 * k).select("beat_id", "term")
+    some = terms.join(q.join(first, ["beat_id", "term"]).select("beat_id", *on), on).select("beat_id", "term", "unit_id")
+    some = top_n(some, ["beat_id", "term"], [F.col("unit_id")], 4 * k, F.col("unit_id")).select("beat_id", "unit_id").distinct()
+    tried = exclusions(pair_scores(some, weights, terms), direct, units, sources, reveals, allowed).where("reason is null AND NOT direct")
+    best = top_n(tried, ["beat_id"], [F.col("score").desc(), F.col("unit_id")], k, F.col("unit_id"))
+    least = cut_lineage(best.groupBy("beat_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("beat_id", "least"))
+    # terms by rising weight: together below the threshold they need a rarer one beside them
+    rising = Window.partitionBy("beat_id").orderBy("w", F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
+    needed = weights.withColumn("__sum", F.sum(F.greatest("w", F.lit(0.0))).over(rising)).join(least, "beat_id", "left")
+    needed = needed.where(F.col("least").isNull() | (F.col("__sum") >= F.col("least") - 1e-6)).select("beat_id", "term")
+    found = terms.join(q.join(needed, ["beat_id", "term"]).select("beat_id", *on), on).select("beat_id", "unit_id")
+    pairs = found.unionByName(direct.select("beat_id", "unit_id")).distinct()
+    kept = exclusions(pair_scores(pairs, weights, terms), direct, units, sources, reveals, allowed).where("reason is null")
+    others = top_n(kept.where("NOT direct"), ["beat_id"], [F.col("score").desc(), F.col("unit_id")], k, F.col("unit_id"), name="__k").drop("__k")
+    return rank(kept.where("direct").unionByName(others))
+
+
 POOL_SCHEMA = "work_id string, beat_id string, unit_id string, pick int, direct boolean, role string"
 
 

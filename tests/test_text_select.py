@@ -122,6 +122,27 @@ def test_pool_is_round_robin_with_bounded_exploration(spark):
     assert len(small) == 2
 
 
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_top_ranks_equal_the_whole_ranking(spark, k):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)]
+    held = {f"u{i:03d}": {w for j, w in enumerate(words) if rng.random() < 0.9 / (1 + j / 2)} for i in range(200)}
+    asks = {"b1": set(rng.sample(words, 12)), "b2": set(words[:3]), "b3": {"w59", "w0"}, "b4": {"absent"}, "b5": set(words[40:])}
+    units = spark.createDataFrame([(u, f"s{i % 2}", i * 10, i * 10 + 9) for i, u in enumerate(held)], "unit_id string, source_id string, start_us long, end_us long")
+    terms = spark.createDataFrame([(u, t) for u, ts in held.items() for t in ts], "unit_id string, term string").join(units.select("unit_id", "source_id"), "unit_id")
+    sources = spark.createDataFrame([(b, s) for b in asks for s in (["s0"] if b == "b3" else ["s0", "s1"])], "beat_id string, source_id string")
+    query = spark.createDataFrame([(b, t) for b, ts in asks.items() for t in ts], "beat_id string, term string").join(sources, "beat_id")
+    direct = spark.createDataFrame([("b1", "u003"), ("b2", "u150"), ("b4", "u007"), ("b3", "u001")], "beat_id string, unit_id string")
+    reveals = spark.createDataFrame([(u, "e") for u in list(held)[::9]], "unit_id string, event_id string")
+    allowed = spark.createDataFrame([("b1", "e"), ("b4", "e")], "beat_id string, event_id string")
+    freq = rs.doc_freq(terms, units)
+    whole = rs.rank(rs.exclusions(rs.score(query, terms, freq, match=["source_id"]), direct, units, sources, reveals, allowed))
+    seen = lambda df: sorted((r.beat_id, r["rank"], r.unit_id, round(r.score, 6), r.direct) for r in df.where(F.col("rank") <= k).collect())
+    top = rs.top_ranked(query, terms, freq, direct, units, sources, reveals, allowed, k, match=["source_id"])
+    assert seen(top) == seen(whole)
+    assert top.where("direct").count() == whole.where("direct").count()
+
+
 def test_even_sample_positions(spark):
     df = spark.range(1, 23).select(F.lit("k").alias("k"), F.col("id"))
     for k in (1, 2, 5, 22, 40):

@@ -21,6 +21,26 @@ def links(spark, d):
 query("page_links", f"WITH {LINKS} SELECT page_id, ref FROM links")(lambda s, d: links(s, d).where("kind = 'attribute'").select("page_id", "ref").distinct())
 
 
+def _scripted(spark, d):
+    """Pages with a script of their own: literal and computed loads, by page."""
+    lines = ["fetch('/api/", F.col("page_id"), "', {a: 1}); import( \"./m", F.col("page_id") % 9, ".js\" ); new URL('img/", F.col("page_id") % 5, ".png', base);",
+             F.when(F.col("page_id") % 3 == 0, "fetch(root + name, opts); import(pick());").otherwise(""), F.when(F.col("page_id") % 4 == 0, "new URL(`x${i}`)").otherwise("")]
+    script = F.concat(F.lit("<script>"), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in lines], F.lit("</script>"))
+    return fx.table(spark, d, "pages").select("page_id", F.concat("html", script).alias("html"))
+
+
+query(
+    "call_links",
+    """SELECT page_id, unnest(['/api/' || page_id, './m' || page_id % 9 || '.js', 'img/' || page_id % 5 || '.png']) AS ref FROM pages""",
+)(lambda s, d: gr.extract_links(_scripted(s, d)).where("kind = 'call'").select("page_id", "ref"))
+query(
+    "dynamic_links",
+    r"""WITH s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'fetch(root + name, opts); import(pick());' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN 'new URL(`x${i}`)' ELSE '' END AS js FROM pages),
+     e AS (SELECT page_id, unnest(list_concat(regexp_extract_all(js, '\b(?:fetch|import)\s*\(\s*([^)]*)\)', 1), regexp_extract_all(js, '\bnew\s+URL\s*\(\s*([^,)]*)', 1))) AS x FROM s)
+     SELECT DISTINCT CAST(page_id AS VARCHAR) AS entity_id, trim(split_part(x, ',', 1)) AS evidence FROM e""",
+)(lambda s, d: gr.dynamic_links(_scripted(s, d)).select("entity_id", "evidence"))
+
+
 def _declared(spark, d):
     m = F.pmod(F.col("page_id") + F.length("ref"), F.lit(5))
     l0 = links(spark, d).select("page_id", "ref").distinct()

@@ -43,7 +43,8 @@ def stream_sessions(spark, d):
 
 @query(
     "stream_budget",
-    """WITH RECURSIVE r AS (SELECT o_custkey AS b, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS seq, CAST(round(o_totalprice) AS BIGINT) AS amt FROM orders),
+    """WITH RECURSIVE r AS (SELECT o_custkey AS b, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS seq, CAST(round(o_totalprice) AS BIGINT) AS amt
+      FROM orders WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY),
      w(b, seq, used, id, ok) AS (SELECT DISTINCT b, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM r UNION ALL SELECT w.b, r.seq, CASE WHEN used + amt <= 900000 THEN used + amt ELSE used END, r.id, used + amt <= 900000 FROM w JOIN r ON r.b = w.b AND r.seq = w.seq + 1)
      SELECT CAST(b AS VARCHAR) AS budget_key, CAST(id AS VARCHAR) AS request_id, ok AS accepted, used AS reserved FROM w WHERE id IS NOT NULL""",
 )

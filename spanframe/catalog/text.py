@@ -34,6 +34,31 @@ query("spread_words", sql(WORDS + " SELECT cue_id, ord, start_us, end_us, text,
 )
 
 
+def _short(spark, d):
+    """Cues too short for their words: a fifth of a millisecond to 1.3 ms a character."""
+    c = fx.cues(spark, d)
+    return c.withColumn("end_us", F.col("start_us") + F.length("text") * (200 + F.pmod(F.length("text"), F.lit(7)) * 150) + 1)
+
+
+@query(
+    "spread_words_floor",
+    sql(
+        TOKENS.replace("FROM cues", "FROM (SELECT * REPLACE (start_us + length(text) * (200 + length(text) % 7 * 150) + 1 AS end_us) FROM cues)")
+        + """, l AS (SELECT cue_id, start_us, end_us, list(token ORDER BY pos) AS ts, list(CASE WHEN regexp_matches(token, '^[，。！？；：、,.!?;:]$') THEN 1 ELSE 4 END ORDER BY pos) AS ws FROM tk GROUP BY ALL),
+      w(cue_id, k, s, e, base, rest, upto, f) AS (
+        SELECT cue_id, CAST(0 AS BIGINT), start_us, start_us, start_us, CAST(list_sum(ws) AS BIGINT), CAST(0 AS BIGINT), false FROM l
+        UNION ALL SELECT cue_id, k + 1, e, CASE WHEN m - e < 1000 THEN e + 1000 ELSE m END, CASE WHEN m - e < 1000 THEN e + 1000 ELSE base END,
+          CASE WHEN m - e < 1000 THEN rest - upto - x ELSE rest END, CASE WHEN m - e < 1000 THEN 0 ELSE upto + x END, m - e < 1000
+        FROM (SELECT w.*, ws[k + 1] AS x, base + CAST(round_even(CAST((end_us - base) * (upto + ws[k + 1]) AS DOUBLE) / rest, 0) AS BIGINT) AS m FROM w JOIN l USING (cue_id) WHERE k < len(ws)))
+      SELECT cue_id, k - 1 AS ord, s AS start_us, e AS end_us, ts[k] AS text, f AS below_floor FROM w JOIN l USING (cue_id) WHERE k > 0""",
+        "cues",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def spread_words_floor(spark, d):
+    """Word times where the floor moves most words."""
+    return tx.spread_words(_short(spark, d)).select("cue_id", "ord", "start_us", "end_us", "text", "below_floor")
+
+
 def words(spark, d):
     """Word rows; every other cue counts as reliably aligned."""
     w = tx.spread_words(fx.cues(spark, d))

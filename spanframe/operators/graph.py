@@ -17,14 +17,36 @@ STYLE = r"(?is)<style[^>]*>(.*?)</style>"
 CSS = r"""(?i)url\(\s*['"]?([^'")\s]+)['"]?\s*\)|@import\s+['"]([^'"\n]+)['"]"""
 JS_STATIC = r"""\b(?:import|export)\s+(?:[^;\n]*?\s+from\s+)?['"]([^'"\n]+)['"]"""
 
+JS_CALL = r"""\b(?:fetch|import)\s*\(\s*([^)]*)\)|\bnew\s+URL\s*\(\s*([^,)]*)"""
+LITERAL = r"""^['"]([^'"\n]+)['"](?:\s*,|\s*$)"""
+
 
 def _found(text, pattern, groups):
     out = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
     return F.filter(F.flatten(F.array(*out)), lambda x: x != "")
 
 
+def _calls(scripts):
+    """The argument texts of loading calls; both groups of the pattern in one list, an empty argument too."""
+
+    def of(script):
+        first, second = (F.regexp_extract_all(script, F.lit(JS_CALL), F.lit(g)) for g in (1, 2))
+        return F.zip_with(first, second, lambda a, b: tx.strip(F.when(a != "", a).otherwise(b)))
+
+    return F.flatten(F.transform(scripts, of))
+
+
+def dynamic_links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """GR1 findings: loading calls whose target is computed, so that a reader has to look at them."""
+    scripts = F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))
+    targets = F.transform(_calls(scripts), lambda e: tx.strip(F.split(e, ",", 2)[0]))
+    rows = pages.select(F.col(id_col), F.explode(F.array_distinct(F.filter(targets, lambda t: ~t.rlike(LITERAL)))).alias("expression"))
+    return fd.finding(rows, "DYNAMIC_RESOURCE_NEEDS_REVIEW", F.lit(True), F.col(id_col).cast("string"), work=id_col, evidence=F.col("expression"))
+
+
 def extract_links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """GR1: distinct references of each page: attributes, srcset, CSS and static imports.
+    """GR1: distinct references of each page: attributes, srcset, CSS, static imports, and the
+    literal arguments of ``fetch()``, ``import()`` and ``new URL()``.
 
     References that start with ``#`` or ``data:`` are dropped, and everything inside
     script and style bodies counts only through their own patterns.
@@ -39,7 +61,8 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     sets = F.flatten(F.transform(F.filter(pairs, lambda p: p["n"] == "srcset"), lambda p: F.transform(F.split(p["v"], ","), lambda s: F.regexp_extract(tx.strip(s), r"^\S+", 0))))
     css = F.flatten(F.transform(styles, lambda s: _found(s, CSS, 2)))
     js = F.flatten(F.transform(scripts, lambda s: _found(s, JS_STATIC, 1)))
-    kinds = [("attribute", plain), ("srcset", sets), ("css", css), ("import", js)]
+    calls = F.filter(F.transform(_calls(scripts), lambda e: F.regexp_extract(e, LITERAL, 1)), lambda x: x != "")
+    kinds = [("attribute", plain), ("srcset", sets), ("css", css), ("import", js), ("call", calls)]
 
     def tagged(kind, refs):
         return F.transform(refs, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("ref")))

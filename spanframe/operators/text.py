@@ -27,21 +27,22 @@ def tokenize(cues: DataFrame) -> DataFrame:
 def spread_words(cues: DataFrame, floor_us: int = 1000) -> DataFrame:
     """TX2: estimated word times, proportional to token weight inside each cue.
 
-    The group is the token list of one cue, that is of one input row.
+    No word is shorter than ``floor_us``: one that would be is stretched (``below_floor``), the
+    words behind it share what is left of the cue, and where nothing is left they follow
+    past its end.  A cue's tokens stay in its row, so nothing is shuffled.
     """
-    t = tokenize(cues.where("end_us > start_us")).withColumn("w", tx.token_weight("token"))
-    by_cue = Window.partitionBy("source_id", "cue_id")
-    upto = F.sum("w").over(by_cue.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("__upto", upto).withColumn("__all", F.sum("w").over(by_cue))
-    length = F.col("end_us") - F.col("start_us")
-
-    def at(w):
-        return F.col("start_us") + half_even(wide(length, w), "__all")
-
-    a, b = at(F.col("__upto") - F.col("w")), at(F.col("__upto"))
+    t = cues.where("end_us > start_us").withColumn("__t", tx.tokens("text")).withColumn("__w", F.transform("__t", tx.token_weight))
+    natural = "2 * (end_us - a.base) * (a.upto + w) + a.left"
+    at = f"a.base + ({natural}) div (2 * a.left) - if(({natural}) % (2 * a.left) = 0 AND (({natural}) div (2 * a.left)) % 2 <> 0, 1L, 0L)"  # ties to even
+    state = "named_struct('at', {0}, 'base', {1}, 'left', {2}, 'upto', {3}, 'out', concat(a.out, array(named_struct('s', a.at, 'e', {0}, 'f', {4}))))"
+    pushed, plain = f"(a.at + {floor_us}L)", "m"
+    step = f"if(m - a.at < {floor_us}L, {state.format(pushed, pushed, 'a.left - a.upto - w', '0L', 'true')}, {state.format(plain, 'a.base', 'a.left', 'a.upto + w', 'false')})"
+    start = "named_struct('at', start_us, 'base', start_us, 'left', aggregate(__w, 0L, (x, y) -> x + y), 'upto', 0L, 'out', cast(array() as array<struct<s:bigint,e:bigint,f:boolean>>))"
+    times = F.expr(f"aggregate(__w, {start}, (a, w) -> transform(array({at}), m -> {step})[0]).out")
+    t = t.select("source_id", "cue_id", F.posexplode(F.arrays_zip(F.col("__t").alias("text"), times.alias("at"))).alias("pos", "x"))
     return t.select(
-        "source_id", "cue_id", F.col("pos").cast("bigint").alias("ord"), a.alias("start_us"), b.alias("end_us"), F.col("token").alias("text"),
-        F.lit("estimated").alias("timing"), (b - a < floor_us).alias("below_floor"),
+        "source_id", "cue_id", F.col("pos").cast("bigint").alias("ord"), F.col("x.at.s").alias("start_us"), F.col("x.at.e").alias("end_us"), F.col("x.text").alias("text"),
+        F.lit("estimated").alias("timing"), F.col("x.at.f").alias("below_floor"),
     )
 
 
@@ -88,18 +89,17 @@ def spread_cues(segments: DataFrame, keys: list[str], max_chars: int, dur: str =
     """TX7: caption chunks of a text, timed by their visible units."""
     chunks = segments.withColumn("c", tx.split_caption("text", max_chars)).where(F.col(dur) > 0)
     sizes = F.transform("c", lambda s: F.greatest(F.lit(1).cast("bigint"), tx.visible_units(s)))
-    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    rows = chunks.select(*keys, F.col(dur), total.alias("__all"), F.posexplode("c").alias("n", "text"))
-    rows = rows.withColumn("__w", F.greatest(F.lit(1).cast("bigint"), tx.visible_units("text")))
-    upto = F.sum("__w").over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__upto", upto)
+    none = F.array().cast("array<bigint>")
+    # a text's chunks stay in its row: running sums, then one row a chunk
+    upto = F.aggregate(sizes, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, F.when(F.size(a) > 0, F.size(a)).otherwise(F.lit(None))), F.lit(0).cast("bigint")) + x)))
+    rows = chunks.withColumn("__u", upto).withColumn("__all", F.element_at("__u", F.when(F.size("__u") > 0, F.lit(-1))))
+    rows = rows.select(*keys, F.col(dur), "__all", "__u", F.posexplode("c").alias("n", "text"))
 
     def at(w):
         return half_even(wide(F.col(dur), w), "__all")
 
-    return rows.select(
-        *keys, F.col("n").cast("bigint").alias("ord"), at(F.col("__upto") - F.col("__w")).alias("start_us"), at("__upto").alias("end_us"), "text"
-    ).where("end_us > start_us")
+    before = F.coalesce(F.get("__u", F.col("n") - 1), F.lit(0).cast("bigint"))
+    return rows.select(*keys, F.col("n").cast("bigint").alias("ord"), at(before).alias("start_us"), at(F.get("__u", F.col("n"))).alias("end_us"), "text").where("end_us > start_us")
 
 
 def original_cues(segments: DataFrame, visuals: DataFrame, cues: DataFrame, words: DataFrame, slack_us: int = 1000, bin_us: int = BIN_US) -> DataFrame:

@@ -40,30 +40,40 @@ def stream_sessions(spans: DataFrame, gap_us: int, delay: str = "10 minutes") ->
 
 
 BUDGET_ROWS = "budget_key string, request_id string, accepted boolean, reserved bigint"
-BUDGET_STATE = "used bigint"
+BUDGET_STATE = "used bigint, t array<bigint>, id array<string>, amount array<bigint>"
 
 
 def stream_budget(requests: DataFrame, limit: int, delay: str = "1 day") -> DataFrame:
-    """ST3: reservations against a budget in order of time inside each micro-batch.
+    """ST3: reservations against a budget in order of event time, then request id.
 
-    ``requests``: budget_key, request_id, t (timestamp), amount.  A request id repeated
-    within the watermark counts once; a request over the rest of the budget is refused
-    and changes nothing.  The state of a budget is one number.
+    ``requests``: budget_key, request_id, t (timestamp), amount.  A request waits until the
+    watermark passes its time, so the order of files and the cut of micro-batches change
+    nothing; what is still open at the end waits on.  A request id repeated within the
+    watermark counts once; a request over the rest of the budget is refused
+    and changes nothing.  The state of a budget is what it has used and the requests of one delay.
     """
     once = requests.withWatermark("t", delay).dropDuplicatesWithinWatermark(["budget_key", "request_id"])
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t", "request_id"], kind="stable")
-        out = []
-        for r in rows.itertuples():
-            ok = used + r.amount <= limit
-            used += r.amount if ok else 0
-            out.append((key[0], r.request_id, ok, used))
-        state.update((int(used),))
+        used, *kept = state.get if state.exists else (0, [], [], [])
+        waiting = list(zip(*kept, strict=True))
+        for rows in batches:
+            waiting += zip(rows["t"].astype("datetime64[us]").astype("int64"), rows["request_id"], rows["amount"], strict=True)
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        due = [r for r in waiting if r[0] <= passed]
+        for _, request, amount in due:
+            ok = used + amount <= limit
+            used += int(amount) if ok else 0
+            out.append((key[0], request, ok, used))
+        waiting = waiting[len(due) :]
+        columns = [list(c) for c in zip(*waiting, strict=True)] or [[], [], []]
+        state.update((int(used), [int(t) for t in columns[0]], columns[1], [int(a) for a in columns[2]]))
+        if waiting:
+            state.setTimeoutTimestamp(max(-(-int(waiting[0][0]) // 1000), passed // 1000 + 1))
         yield pd.DataFrame(out, columns=["budget_key", "request_id", "accepted", "reserved"])
 
-    return once.groupBy("budget_key").applyInPandasWithState(fold, BUDGET_ROWS, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout)
+    return once.groupBy("budget_key").applyInPandasWithState(fold, BUDGET_ROWS, BUDGET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_map_cues(cues: DataFrame, timeline: DataFrame, bin_us: int = BIN_US) -> DataFrame:

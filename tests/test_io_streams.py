@@ -1,5 +1,8 @@
 """Readers and sinks on files, streams against their batch twins."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from spanframe import fixtures as fx
@@ -63,6 +66,30 @@ def test_stream_sessions_equal_batch_merge(spark, tmp_path):
     assert want and want <= rows
 
 
+def test_stream_budget_equals_batch_whatever_the_files(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), f"r{i}", 1_000_000_000 + i * 3600, rng.choice([1, 5, 20])) for i in range(60)]
+    rows += [(b, f"z{b}", 1_000_000_000 + 100 * 86_400, 1) for b in "ab"]  # far behind: only moves the watermark
+    schema = "budget_key string, request_id string, s long, amount long"
+    want, used = {}, {"a": 0, "b": 0}
+    for b, r, _, a in rows[:60]:
+        ok = used[b] + a <= 90
+        used[b] += a if ok else 0
+        want[b, r] = (ok, used[b])
+    for cut, seed in ((1, 0), (9, 1), (20, 2)):  # rows per file; the files of a day in any order
+        folder, out = str(tmp_path / f"in{cut}"), str(tmp_path / f"out{cut}")
+        parts = [rows[i : i + cut] for i in range(0, 60, cut)] if cut > 1 else [rows[:60]]
+        if cut == 9:
+            parts[0], parts[1] = parts[1], parts[0]
+        for part in [*parts, rows[60:]]:
+            mixed = random.Random(seed).sample(part, len(part))
+            spark.createDataFrame(mixed, schema).coalesce(1).write.mode("append").parquet(folder)
+            time.sleep(0.05)  # files are read by their times
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).select("budget_key", "request_id", F.timestamp_seconds("s").alias("t"), "amount")
+        got = {(r.budget_key, r.request_id): (r.accepted, r.reserved) for r in st.drain(st.stream_budget(stream, 90), out).collect()}
+        assert got == want
+
+
 def test_register_view(spark):
     s = spark.createDataFrame([("a", 0, 5), ("a", 4, 9)], "source_id string, start_us long, end_us long")
     register(spark, "isl", iv.merge_spans, s, keys=["source_id"])

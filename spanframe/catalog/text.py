@@ -66,16 +66,38 @@ def words(spark, d):
     return w.withColumn("timing", F.when(even, "aligned").otherwise("estimated"))
 
 
-@query(
-    "clean_text",
-    rf"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
-     regexp_replace(html, '<[^>]+>|\{{\\[^}}]+\}}', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\N', ' '), '\n', ' '),
-     '{SPACE_RE}', ' ', 'g'))) AS clean_sha FROM pages""",
-)
+def _quoted(texts) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+# One pass over the references, as in the operator; the names come from Python's table there too.
+UNESCAPED = rf"""nm AS (SELECT MAP({_quoted(tf.NAMED)}, {_quoted(tf.NAMED.values())}) AS names, MAP({list(tf.WINDOWS)}, {_quoted(tf.WINDOWS.values())}) AS windows),
+ cut AS (SELECT page_id, regexp_split_to_array(bare, '{tf.REFERENCE}') AS parts, regexp_extract_all(bare, '{tf.REFERENCE}') AS refs FROM (SELECT page_id, regexp_replace(html, '<[^>]+>|\{{\\[^}}]+\}}', '', 'g') AS bare FROM raw)),
+ num AS (SELECT page_id, parts, list_transform(refs, lambda r: {{'b': substr(r, 2), 'u': regexp_extract(substr(r, 2), '{tf.UNCLOSED}'),
+   'c': CASE WHEN r[2] <> '#' THEN NULL WHEN lower(r[3]) = 'x' THEN try_cast('0x' || regexp_extract(r, '[xX]([0-9a-fA-F]+)', 1) AS BIGINT) ELSE try_cast(regexp_extract(r, '[0-9]+') AS BIGINT) END}}) AS refs FROM cut),
+ clean AS (SELECT page_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(refs) THEN '' WHEN refs[i].b[1] = '#' THEN
+   coalesce(windows[CAST(refs[i].c AS INT)], CASE WHEN refs[i].c > 1114111 OR refs[i].c BETWEEN 55296 AND 57343 THEN chr(65533)
+     WHEN refs[i].c BETWEEN 1 AND 8 OR refs[i].c = 11 OR refs[i].c BETWEEN 14 AND 31 OR refs[i].c = 127 OR refs[i].c BETWEEN 64976 AND 65007 OR refs[i].c % 65536 >= 65534 THEN '' ELSE chr(CAST(refs[i].c AS INT)) END)
+   ELSE coalesce(names[refs[i].b], names[refs[i].u] || substr(refs[i].b, length(refs[i].u) + 1), '&' || refs[i].b) END), '') AS t FROM num, nm)
+ SELECT page_id, sha256(trim(regexp_replace(replace(replace(t, '\N', ' '), '\n', ' '), '{SPACE_RE}', ' ', 'g'))) AS clean_sha FROM clean"""
+
+
+@query("clean_text", "WITH raw AS (SELECT page_id, html FROM pages), " + UNESCAPED)
 def clean_text(spark, d):
     return fx.table(spark, d, "pages").select("page_id", F.sha2(tf.clean_text("html"), 256).alias("clean_sha"))
 
 
+@query(
+    "clean_references",
+    "WITH raw AS (SELECT page_id, html || ' caf&eacute; &mdash; &#' || (128 + page_id % 40) || '; &#x' || page_id % 10 || '; &#38;lt; &amp;lt; &notit; &copy' || page_id || ' &x;' AS html FROM pages), " + UNESCAPED,
+)
+def clean_references(spark, d):
+    """Pages with references of all kinds behind them."""
+    more = [" caf&eacute; &mdash; &#", 128 + F.col("page_id") % 40, "; &#x", F.col("page_id") % 10, "; &#38;lt; &amp;lt; &notit; &copy", F.col("page_id"), " &x;"]
+    html = F.concat("html", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in more])
+    return fx.table(spark, d, "pages").select("page_id", F.sha2(tf.clean_text(html), 256).alias("clean_sha"))
+
+
 MEASURES = rf"""len(regexp_extract_all(text, '[\x{{3400}}-\x{{9fff}}]')) + len(regexp_extract_all(text, '[A-Za-z0-9]+')) + len(regexp_extract_all(text, '[，。！？；：,.!?;:]')) // 3 AS text_units,
  length(regexp_replace(text, '{SPACE_RE}', '', 'g')) AS visible_units, length(text) AS code_points"""
 

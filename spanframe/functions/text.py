@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +23,13 @@ MARKUP = r"<[^>]+>|\{\\[^}]+\}"
 HIDDEN_STATE = r"(?i)早就知道|心里|内心|动机|believ|secretly knew|intends? to"
 REPLAY_LABEL = r"(?i)(\breplay\b|重放|回放)"
 SEP = "\u0001"  # never part of a caption: removed as white space or control
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]+|[0-9]+);?"
+# A character reference: numeric, or a name with or without its semicolon.
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[^\t\n\f <&#;]{1,32};?)"
+# The standard's names, from Python's own table; those that need no semicolon, longest first.
+NAMED = html5
+UNCLOSED = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+# Numbers that stand for another character: 0, carriage return, and the bytes of Windows-1252.
+WINDOWS = {0: "\ufffd", 13: "\r"} | {c: bytes([c]).decode("cp1252", "replace").replace("\ufffd", chr(c)) for c in range(0x80, 0xA0)}
 # White space as the reference counts it: ASCII plus the Unicode separators.
 SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
 
@@ -35,33 +43,44 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACE, " "))
 
 
-def numeric_entities(c) -> Column:
-    """Decimal and hexadecimal character references as their characters.
+def _numbered(ref) -> Column:
+    """The character of a numeric reference ``#...``: none for those that are no characters, U+FFFD out of range."""
+    body = F.lower(F.regexp_extract(ref, "[xX]?[0-9a-fA-F]+", 0))
+    digits = F.regexp_replace(body, "^x?0*(?=.)", "")
+    read = F.when(body.startswith("x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+    code = F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(read)
+    windows = F.create_map(*[F.lit(x) for c, v in WINDOWS.items() for x in (c, v)])
+    void = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
+    valid = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(windows, code.cast("int")), F.when(void & valid, "").otherwise(char))
+
+
+def unescape(c) -> Column:
+    """Character references as their characters, each once: names of the whole standard, decimal and hexadecimal ones.
 
-    The text is cut at the references; each is turned into a code point, and those out
-    of range, surrogates and 0 become U+FFFD.
+    The text is cut at the references, so what a reference yields is never read as one
+    again.  A name without semicolon counts if the standard lets it, also before more letters.
     """
     c = col(c)
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
-    def decoded(ref):
-        body = F.lower(F.regexp_extract(ref, "[xX]?[0-9a-fA-F]+", 0))
-        hexed = body.startswith("x")
-        digits = F.regexp_replace(body, "^x?0*(?=.)", "")
-        code = F.when(F.length(digits) > 8, F.lit(0)).when(hexed, F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    def named(body):
+        start = F.regexp_extract(body, UNCLOSED, 0)
+        rest = F.substring(body, F.length(start) + 1, F.length(body))
+        partly = F.when(start != "", F.concat(F.try_element_at(names, start), rest))
+        return F.coalesce(F.try_element_at(names, body), partly, F.concat(F.lit("&"), body))
 
-    parts = F.split(c, NUMERIC_ENTITY)
-    refs = F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), F.lit(0))
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.transform(refs, decoded), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return F.when(c.contains("&#"), whole).otherwise(c)
+    parts = F.split(c, REFERENCE, -1)
+    bodies = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), lambda r: F.substring(r, 2, F.length(r)))
+    chars = F.transform(bodies, lambda b: F.when(b.startswith("#"), _numbered(b)).otherwise(named(b)))
+    whole = F.array_join(F.flatten(F.zip_with(parts, chars, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def clean_text(c) -> Column:
-    """Strip tags, unescape numeric and the common named entities, turn ``\\N`` into a space, squeeze."""
-    out = numeric_entities(F.regexp_replace(col(c), MARKUP, ""))
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
+    """Strip tags, decode character references once, turn ``\\N`` into a space, squeeze."""
+    out = unescape(F.regexp_replace(col(c), MARKUP, ""))
     out = F.replace(F.replace(out, F.lit("\\N"), F.lit(" ")), F.lit("\\n"), F.lit(" "))
     return squeeze(out)
 

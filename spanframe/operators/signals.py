@@ -203,15 +203,30 @@ def correlate_fft(pairs: DataFrame, exclusion: int = 1) -> DataFrame:
     return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id string, best_lag int, correlation double, peak_margin double, at_edge boolean")
 
 
+def exact_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median of an integer column per key, from counts of its values.
+
+    Equal values are counted map-side, and running counts in order of value are cut into
+    blocks, so no key's values meet in one place.  NULL values do not count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("bigint").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    run = scan(counts, keys, ["__v"], by_time("__v", 2**20), sums={"__upto": F.col("__n")})
+    every = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    half = lambda k: F.call_function("div", F.col("__all") + k, F.lit(2))
+    mid = run.join(every, keys).where((F.col("__upto") >= half(1)) & (F.col("__upto") - F.col("__n") < half(2)))  # one value or two
+    return mid.groupBy(*keys).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
+
+
 def offset_consensus(meas: DataFrame, max_spread_us: int, min_span_us: int) -> DataFrame:
     """SG11: median, spread and covered time of the offsets of a follower, with issues.
 
     ``meas``: source_id, follower_us, offset_us (NULL when unusable), issues (array).
     """
     g = meas.groupBy("source_id").agg(
-        F.median("offset_us").alias("offset_us"), (F.max("offset_us") - F.min("offset_us")).alias("spread_us"), (F.max("follower_us") - F.min("follower_us")).alias("span_us"),
+        (F.max("offset_us") - F.min("offset_us")).alias("spread_us"), (F.max("follower_us") - F.min("follower_us")).alias("span_us"),
         F.count(F.lit(1)).alias("n"), F.count("offset_us").alias("n_usable"), F.sum(F.size("issues")).alias("n_issues"),
     )
+    g = g.join(exact_median(meas, ["source_id"], "offset_us", "offset_us"), "source_id", "left")
     issues = F.array_compact(
         F.array(
             F.when(F.col("n_issues") > 0, "WINDOW_ISSUES"), F.when(F.col("span_us") < min_span_us, "INSUFFICIENT_TIME_COVERAGE"),
@@ -226,7 +241,9 @@ def marker_offsets(markers: DataFrame) -> DataFrame:
     """SG12: offsets of declared marker pairs; at least three, rising on both sides."""
     m = scan(markers, ["source_id"], ["ord"], by_rows("ord"), lags={"__r": F.col("reference_us"), "__f": F.col("follower_us")})
     ok = F.col("__r").isNull() | ((F.col("reference_us") > F.col("__r")) & (F.col("follower_us") > F.col("__f")))
-    g = m.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_markers"), F.bool_and(ok).alias("rising"), F.median(F.col("reference_us") - F.col("follower_us")).alias("offset_us"))
+    g = m.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_markers"), F.bool_and(ok).alias("rising"))
+    apart = markers.select("source_id", (F.col("reference_us") - F.col("follower_us")).alias("__apart"))
+    g = g.join(exact_median(apart, ["source_id"], "__apart", "offset_us"), "source_id", "left").select("source_id", "n_markers", "rising", "offset_us")
     return g.withColumn("state", F.when(F.col("n_markers") < 3, "THREE_MARKERS_REQUIRED").when(~F.col("rising"), "MARKERS_NOT_STRICTLY_CHRONOLOGICAL").otherwise("OK"))
 
 

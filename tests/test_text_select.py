@@ -1,5 +1,7 @@
 """Caption folds, literal search, selection and ledgers against plain models."""
 
+import html
+import html.entities
 import random
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import text as tf
 from spanframe.operators import retrieve as rs
+from spanframe.operators import signals as sg
 from spanframe.operators import select as sel
 from spanframe.operators import text as tx
 from spanframe.operators import versions as vr
@@ -208,12 +211,29 @@ def test_lineage_marks_cycles(spark):
 
 def test_character_references_and_wide_blanks(spark):
     texts = ["&#8217;x &#x41;&#X42;", "&#0; &#xD800; &#1114112; &#99999999999;", "a&#39;b &#39 &# ; &#x; &#12ab;", "\u3000冲突\u3000", "a&lt;b&amp;#65;", "&#128512;!"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tf.numeric_entities("t").alias("n"), tf.strip("t").alias("s"), tf.clean_text("t").alias("c")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tf.unescape("t").alias("n"), tf.strip("t").alias("s"), tf.clean_text("t").alias("c")).collect()
     got = {r.t: r for r in rows}
     assert [got[t].n for t in texts[:3]] == ["’x AB", "\ufffd \ufffd \ufffd \ufffd", "a'b ' &# ; &#x; \x0cab;"]
     assert got[texts[3]].s == "冲突" and got[texts[4]].c == "a<b&#65;" and got[texts[5]].n == "😀!"
 
 
+def test_references_read_as_the_standard_says(spark):
+    rng = random.Random(1)
+    texts = ["caf&eacute; &mdash;", "&#146; &#38;lt; &amp;lt; &notit; &not &notin; &x; & &;", "&#13; &#11; &#x80; &#x81; &ampx &AMP &Amp; &#xfffe; &#x1ffff; a&b=c&copy=1"]
+    for _ in range(300):
+        names = rng.sample(sorted(html.entities.html5), 2)
+        texts.append("".join(rng.choice(["&" + names[0], "&" + names[1][:-1], f"&#{rng.randint(0, 300)};", f"&#x{rng.randint(0, 0x11FFFF):x};", " ", "x", "&", ";", "é<b"]) for _ in range(8)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tf.unescape("t").alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_median_of_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [("hot", rng.randint(-10**9, 10**9)) for _ in range(1001)] + [("even", v) for v in (5, 1, 9, 1)] + [("one", 7), ("none", None)]
+    got = {r.k: r.m for r in sg.exact_median(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", "m").collect()}
+    assert got == {"hot": sorted(v for k, v in rows if k == "hot")[500], "even": 3.0, "one": 7.0}
+
+
 def test_three_way_cases(spark):
     ddl = "work_id string, clip_id string, a long, b long"
     base = spark.createDataFrame([("w", "same", 1, 1), ("w", "host", 1, 1), ("w", "cur", 1, 1), ("w", "both", 1, 1), ("w", "conv", 1, 1), ("w", "lost", 1, 1)], ddl)

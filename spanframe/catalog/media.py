@@ -75,15 +75,23 @@ def ass_round_trip(spark, d):
 LOGS = """lg AS (SELECT CAST(user_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row, CASE WHEN event_id % 17 <> 0 THEN epoch_us(ts) END AS t_us, value AS rms, CASE WHEN event_type <> 'error' THEN value / 2 END AS peak FROM events)"""
 
 
-def logs(spark, d):
-    """One measurement log per source, with all its frames."""
+KEYS = ["lavfi.astats.Overall.rms", "lavfi.astats.Overall.peak"]
+
+
+def _log_lines(spark, d):
+    """The log lines of each event, by source."""
     e = fx.table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     sec = F.format_string("%d.%06d", F.call_function("div", F.col("t"), F.lit(1_000_000)), F.pmod("t", F.lit(1_000_000)))
     stamp = F.when(F.col("event_id") % 17 == 0, F.lit("frame:0 pts:1\n")).otherwise(F.concat(F.lit("frame:0 pts:1 pts_time:"), sec, F.lit("\n")))
     txt = F.concat(stamp, F.lit("lavfi.astats.Overall.rms="), F.col("value"), F.lit("\nlavfi.astats.Overall.peak="), F.when(F.col("event_type") == "error", "-inf").otherwise((F.col("value") / 2).cast("string")), F.lit("\nother=x"))
-    by = e.select(F.col("user_id").cast("string").alias("path"), "event_id", txt.alias("x")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("all"))
+    return e.select(F.col("user_id").cast("string").alias("path"), "event_id", txt.alias("x"))
+
+
+def logs(spark, d):
+    """One measurement log per source, with all its frames."""
+    by = _log_lines(spark, d).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("all"))
     t = by.select("path", F.concat(F.lit("ignored=1\n"), F.array_join(F.transform("all", lambda v: v["x"]), "\n")).alias("value"))
-    return rd.parse_signal_log(t, ["lavfi.astats.Overall.rms", "lavfi.astats.Overall.peak"])
+    return rd.parse_signal_log(t, KEYS)
 
 
 @query("signal_log", f"WITH {LOGS} SELECT * FROM lg")
@@ -91,6 +99,16 @@ def signal_log(spark, d):
     return logs(spark, d)
 
 
+@query("signal_log_files", f"WITH {LOGS} SELECT * FROM lg")
+def signal_log_files(spark, d):
+    """The same logs from one file a path, read by lines."""
+    folder = f"{shared_folder(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    lines = _log_lines(spark, d).repartition("path").sortWithinPartitions("path", "event_id")
+    lines.select("path", F.col("x").alias("value")).write.partitionBy("path").text(folder)
+    r = rd.read_signal_log(spark, f"{folder}/path=*/*.txt", KEYS)
+    return r.withColumn("path", F.regexp_extract("path", "path=([^/]+)/", 1))
+
+
 @query(
     "signal_log_findings",
     f"""WITH {LOGS}, p AS (SELECT *, lag(t_us) OVER (PARTITION BY path ORDER BY row) AS p FROM lg)
@@ -250,6 +268,19 @@ def edl_lines(spark, d):
     return r.select("work_id", "seg_ord", F.get_json_object("line", "$.segment_id").alias("segment_id"), F.coalesce(F.json_array_length(F.get_json_object("line", "$.source_spans")), F.lit(0)).cast("bigint").alias("n_spans"))
 
 
+@query(
+    "source_files",
+    "SELECT CAST(c_nationkey AS VARCHAR) AS source_id, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS bytes, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer GROUP BY c_nationkey",
+)
+def source_files(spark, d):
+    """A registry of files, which hold the customer names of a nation each."""
+    c = fx.table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name")
+    path = f"{shared_folder(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(path)
+    r = rd.register_sources(spark, f"{path}/c_nationkey=*/*.txt")
+    return r.select(F.regexp_extract("path", "c_nationkey=(\\d+)", 1).alias("source_id"), "bytes", "sha256")
+
+
 @query("source_registry", "SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CASE WHEN c_nationkey % 5 = 0 THEN 'SOURCE_NOT_FOUND' WHEN c_nationkey % 5 = 1 THEN 'SOURCE_HASH_MISMATCH' ELSE 'SOURCE_SIZE_MISMATCH' END AS rule_id FROM customer WHERE c_nationkey % 5 < 3")
 def source_registry(spark, d):
     """Declared references against a registry built from the customer rows."""

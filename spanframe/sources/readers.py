@@ -2,11 +2,18 @@
 
 Each ``read_*`` scans files and calls a ``parse_*`` that works on a table of whole file
 texts (``path``, ``value``), so texts from any other source can be parsed too.  One
-file is one row; files are parsed independently.
+file is one row; files are parsed independently.  Measurement logs are read by lines, so a
+long one is cut over many tasks, and files are hashed piece by piece.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +49,45 @@ def clock_us(c):
 # -- SRC1 -------------------------------------------------------------------------
 
 
+PIECE = 1 << 20  # bytes of a file that are hashed at once
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a file and its name there."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 def register_sources(spark: SparkSession, glob: str) -> DataFrame:
-    """SRC1: path, size and SHA-256 of files."""
-    b = spark.read.format("binaryFile").load(glob)
-    return b.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """SRC1: path, size and SHA-256 of files.
+
+    Spark lists the files, but for empty ones; a task streams its own ones through the hash in pieces of
+    ``PIECE`` bytes, whatever their size.  On a store that only Spark's readers can open, a
+    file is one value of theirs, at most 2 GB.
+    """
+    files = spark.read.format("binaryFile").load(glob)
+    first = files.select("path").first()
+    try:
+        if first is not None:
+            _store(first.path)
+    except (pa.ArrowInvalid, OSError):
+        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path in b.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                store, name = _store(path)
+                with store.open_input_stream(name, compression=None) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                rows.append({"path": path, "bytes": size, "sha256": digest.hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+
+    return files.select("path").mapInArrow(hashed, "path string, bytes bigint, sha256 string")
 
 
 def verify_sources(sources: DataFrame, declared: DataFrame) -> DataFrame:
@@ -233,27 +275,38 @@ def chars_to_tokens(chars: DataFrame, tokens: DataFrame) -> DataFrame:
 # -- SRC10 ------------------------------------------------------------------------
 
 
-def parse_signal_log(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """SRC10: measurement logs: a ``frame:`` line with ``pts_time`` opens a row, the
-    ``key=value`` lines below fill it; values that are not finite are NULL.  A column is
-    named by the last part of its key, or by the whole key where two end alike."""
-    r = texts.select("path", F.posexplode(F.split(_unix(F.col("value")), "\n")).alias("n", "line"))
+def _signal_rows(lines: DataFrame, order: list[str], block, keys: list[str]) -> DataFrame:
+    """Rows of lines (``path``, ``line``) in ``order``: an open row runs on across blocks of lines."""
     head = F.startswith("line", F.lit("frame:"))
-    r = r.where(head | F.contains("line", F.lit("="))).withColumn("__h", head.cast("bigint"))
-    r = scan(r, ["path"], ["n"], by_rows("n"), sums={"row": F.col("__h")}).where("row > 0")
+    r = lines.where(head | F.contains("line", F.lit("="))).withColumn("__h", head.cast("bigint"))
+    r = scan(r, ["path"], order, block, sums={"row": F.col("__h")}).where("row > 0")
     t = F.regexp_extract("line", r"pts_time:([^\s]+)", 1)
     k, v = F.substring_index("line", "=", 1), F.expr("substring(line, instr(line, '=') + 1)").try_cast("double")
     fin = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     tails = [name.rsplit(".", 1)[-1] for name in keys]
     names = [t if tails.count(t) == 1 else name.replace(".", "_") for t, name in zip(tails, keys, strict=True)]
+    last = F.struct(*order)
     return r.groupBy("path", "row").agg(
         F.max(F.when(F.col("__h") == 1, F.round(F.nullif(t, F.lit("")).try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))).alias("t_us"),
-        *[F.max_by(F.when(k == name, fin), F.when((F.col("__h") == 0) & (k == name), F.col("n"))).alias(out) for name, out in zip(keys, names, strict=True)],
+        *[F.max_by(F.when(k == name, fin), F.when((F.col("__h") == 0) & (k == name), last)).alias(out) for name, out in zip(keys, names, strict=True)],
     )
 
 
+def parse_signal_log(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """SRC10: measurement logs: a ``frame:`` line with ``pts_time`` opens a row, the
+    ``key=value`` lines below fill it; values that are not finite are NULL.  A column is
+    named by the last part of its key, or by the whole key where two end alike."""
+    r = texts.select("path", F.posexplode(F.split(_unix(F.col("value")), "\n")).alias("n", "line"))
+    return _signal_rows(r, ["n"], by_rows("n"), keys)
+
+
 def read_signal_log(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return parse_signal_log(_texts(spark, path), keys)
+    """SRC10 from files of any size: Spark cuts them at lines, and the place of a cut and
+    the order of reading behind it put the lines of a file in order again."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "^\ufeff", "").alias("line"),
+    )
+    return _signal_rows(lines, ["at", "n"], by_rows("at", 1 << 26), keys)
 
 
 def check_signal_log(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers and sinks on files, streams against their batch twins."""
 
+import hashlib
 import random
 import time
 
@@ -66,6 +67,33 @@ def test_stream_sessions_equal_batch_merge(spark, tmp_path):
     assert want and want <= rows
 
 
+def test_long_logs_are_read_in_parts(spark, tmp_path):
+    rng = random.Random(1)
+    for name, n in (("a", 400), ("b", 3)):
+        rows = []
+        for i in range(n):
+            rows += [f"frame:{i} pts:1" + (f" pts_time:{i / 8}" if i % 7 else ""), f"k.x={rng.choice(['1.5', '-inf', 'nan', '2', 'bad'])}"] + [f"noise line {j}" for j in range(i % 3)] + [f"k.y={i}"] * (i % 2)
+        (tmp_path / f"{name}.log").write_text("\ufeff" + "\r\n".join(rows) + "\r\n", encoding="utf-8")
+    whole = rd.parse_signal_log(rd._texts(spark, str(tmp_path / "*.log")), ["k.x", "k.y"])
+    want = sorted((r.path[-5], r.row, r.t_us, r.x, r.y) for r in whole.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = spark.read.text(str(tmp_path / "a.log"))
+        assert lines.rdd.getNumPartitions() > 10
+        got = sorted((r.path[-5], r.row, r.t_us, r.x, r.y) for r in rd.read_signal_log(spark, str(tmp_path / "*.log"), ["k.x", "k.y"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(want) == 403 and got == want
+
+
+def test_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
+    body = bytes(range(256)) * 20_000
+    for name, data in (("big", body), ("empty", b""), ("odd name%20", b"x")):
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in rd.register_sources(spark, str(tmp_path / "*.bin")).collect()}
+    assert got == {"big.bin": (len(body), hashlib.sha256(body).hexdigest()), "odd name%20.bin": (1, hashlib.sha256(b"x").hexdigest())}  # Spark lists no empty files
+
+
 def test_stream_budget_equals_batch_whatever_the_files(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), f"r{i}", 1_000_000_000 + i * 3600, rng.choice([1, 5, 20])) for i in range(60)]

@@ -8,7 +8,6 @@ their ending, and for the last table also by their code.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from collections import Counter
@@ -17,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import arrow_map, blank_words, discard, raw_text, written
 
@@ -35,6 +36,9 @@ LEAST_GAIN = 0.01  # nats a token: a round of moves that gains less is the last
 ITEM_BITS = 11  # low bits of a word's code: its item
 TOP = (HEAD + 1) << ITEM_BITS  # codes below: ranks of head words, and the end; above: hashes of all others
 NEARS = HEAD + 1 + ENDINGS  # names of neighbours: ranks of the head, the end, endings of all others
+N_BITS = 13  # low bits of an entry: a count; above: twice the neighbour's name, plus one if it stands before the word
+MOST = (1 << N_BITS) - 1
+LONG = 1 << 22  # bytes of entries from which on a word's are summed by neighbour
 END_CODE = HEAD << ITEM_BITS | END
 
 
@@ -56,7 +60,7 @@ def item_of(word: bytes) -> int:
 
 def code_of(word: bytes) -> int:
     """The code of a word outside the head. Words of equal code (52 bits) share their class, not their count."""
-    return (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 13 | 1 << 51) << ITEM_BITS | item_of(word)
+    return (xxhash.xxh64_intdigest(word) >> 13 | 1 << 51) << ITEM_BITS | item_of(word)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -68,11 +72,16 @@ def word_counts(training: DataFrame) -> DataFrame:
             for raw in b["raw"]:
                 found.update(blank_words(raw))
                 if len(found) > FLUSH:
-                    yield {"word": list(found), "code": [code_of(w) for w in found], "n": list(found.values())}
+                    yield {"word": list(found), "n": list(found.values())}
                     found.clear()
-        yield {"word": list(found), "code": [code_of(w) for w in found], "n": list(found.values())}
+        yield {"word": list(found), "n": list(found.values())}
 
-    return arrow_map(training.select("raw"), "word binary, code bigint, n bigint", step).groupBy("word", "code").agg(F.sum("n").alias("n"))
+    def name(batches: Iterator[dict[str, list]]):
+        for b in batches:
+            yield {**b, "code": [code_of(w) for w in b["word"]]}
+
+    sums = arrow_map(training.select("raw"), "word binary, n bigint", step).groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(sums, "word binary, code bigint, n bigint", name)
 
 
 def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -93,16 +102,40 @@ def head_code(rank: int, word: bytes) -> int:
     return rank << ITEM_BITS | (rank if rank < FREQUENT else item_of(word))
 
 
+def binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary column of slices of ``values``, which start at ``offsets`` (in values)."""
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def slices(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets (in values) and values of a binary column."""
+    size, (_, at, data) = np.dtype(kind).itemsize, column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1] // size if len(column) else np.zeros(1, np.int32)
+    values = np.frombuffer(data, kind, offsets[-1]) if data is not None and offsets[-1] else np.zeros(0, kind)
+    return offsets - offsets[0], values[offsets[0] :]
+
+
+def entries_of(near: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed entries and the entry each comes from; counts over ``MOST`` make several."""
+    parts = (n + MOST - 1) // MOST
+    of = np.repeat(np.arange(len(n)), parts)
+    last = np.cumsum(parts) - 1
+    held = np.full(len(of), MOST)
+    held[last] = n - MOST * (parts - 1)
+    return (near[of] << N_BITS | held).astype("<u4"), of
+
+
 def neighbours(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(code, near, n, other): neighbours of words over all training texts, pre-aggregated in the tasks.
+    """(code, entries, others): neighbours of words over all training texts, a row per word and part of a task.
 
-    ``near`` is twice the neighbour's name, plus one if it stands before the word. ``other`` is
-    the code of the word behind, if that and the word are both outside the head. The most
+    ``entries`` are packed neighbours and counts. ``others`` are the codes of neighbours behind a
+    word, where that and the word are both outside the head, in the order of their entries. The most
     frequent words and the end list only each other, and only behind them.
     """
     shared = training.sparkSession.sparkContext.broadcast(head)
 
-    def step(batches: Iterator[dict[str, list]]):
+    def step(batches: Iterator[pa.RecordBatch]):
         place: dict[bytes, int] = {}  # word -> place in the list of codes
         codes, chain = [END_CODE], [0]
 
@@ -114,17 +147,25 @@ def neighbours(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
             name = np.where(rare, HEAD + 1 + (known & ((1 << ITEM_BITS) - 1)) - FREQUENT, rank)
             first = ~rare & ((rank < FREQUENT) | (rank == HEAD))
             behind, before = ~first[a] | first[b], ~first[b]
-            out = {
-                "code": np.concatenate([known[a][behind], known[b][before]]),
-                "near": np.concatenate([2 * name[b][behind], 2 * name[a][before] + 1]),
-                "n": np.concatenate([n[behind], n[before]]),
-                "other": np.concatenate([np.where(rare[a] & rare[b], known[b], 0)[behind], np.zeros(int(before.sum()), np.int64)]),
-            }
-            for at in range(0, len(out["code"]), 100_000):
-                yield {k: v[at : at + 100_000] for k, v in out.items()}
+            code = np.concatenate([known[a][behind], known[b][before]])
+            near = np.concatenate([2 * name[b][behind], 2 * name[a][before] + 1])
+            other = np.concatenate([np.where(rare[a] & rare[b], known[b], 0)[behind], np.zeros(int(before.sum()), np.int64)])
+            packed, of = entries_of(near, np.concatenate([n[behind], n[before]]))
+            code, other = code[of], other[of]
+            order = np.argsort(code, kind="stable")
+            code, packed, other = code[order], packed[order], other[order]
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            far = other != 0
+            upto = np.append(0, np.cumsum(far))
+            for at in range(0, len(starts), 20_000):
+                cut = np.append(starts, len(code))[at : at + 20_001]
+                part = slice(cut[0], cut[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code[cut[:-1]]), binary(cut - cut[0], packed[part]), binary(upto[cut] - upto[cut[0]], other[part][far[part]])], ["code", "entries", "others"],
+                )
 
         for b in batches:
-            for raw in b["raw"]:
+            for raw in b.column("raw").to_pylist():
                 for w in blank_words(raw):
                     k = place.get(w)
                     if k is None:
@@ -138,50 +179,57 @@ def neighbours(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
                     place, codes, chain = {}, [END_CODE], [0]
         yield from rows()
 
-    return arrow_map(training.select("raw"), "code bigint, near int, n int, other bigint", step)
+    return training.select("raw").mapInArrow(step, "code bigint, entries binary, others binary")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(code, near, n, other, other_n): one row of lists per word, summed by neighbour.
+    """(code, entries, others): one row per word, from its rows side by side.
 
-    A word's list has at most twice ``NEARS`` entries besides its neighbours outside the head;
-    words with a share of the tokens that could burden a task list only each other.
+    A word's entries that grow long are summed by neighbour, so they have at most twice
+    ``NEARS`` neighbours besides those outside the head; words with a share of the tokens that could
+    burden a task list only each other.
     """
 
-    def step(batches: Iterator[pa.RecordBatch]):
-        held = None
+    def short(code: int, packed: np.ndarray) -> np.ndarray:
+        if packed.nbytes < LONG or code >= TOP:
+            return packed
+        sums = np.bincount(packed >> N_BITS, packed & MOST, 2 * NEARS).astype(np.int64)
+        near = np.flatnonzero(sums)
+        return entries_of(near, sums[near])[0]
 
-        def lists(code, near, n, other):
-            new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(near, prepend=-1) != 0) | (other != 0) | (np.concatenate([[0], other[:-1]]) != 0))
-            n, code, near, other = np.add.reduceat(n, new), code[new], near[new], other[new]
-            return code, near, n, other
+    def step(batches: Iterator[pa.RecordBatch]):
+        at, parts, others = None, [], []  # the last word of the batches so far
 
-        def packed(code, near, n, other):
-            starts = np.flatnonzero(np.diff(code, prepend=-1))
-            far = other != 0
-            offsets, others = np.append(starts, len(code)), np.append(0, np.cumsum(far))
-            of = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
-            return pa.RecordBatch.from_arrays([
-                pa.array(code[starts]), of(offsets, pa.array(near, pa.int32())), of(offsets, pa.array(n, pa.int64())),
-                of(others[offsets], pa.array(other[far])), of(others[offsets], pa.array(n[far], pa.int64())),
-            ], ["code", "near", "n", "other", "other_n"])
+        def open_word():
+            packed, far = short(at, np.concatenate(parts)), np.concatenate(others)
+            return pa.RecordBatch.from_arrays([pa.array([at]), binary(np.array([0, len(packed)]), packed), binary(np.array([0, len(far)]), far)], ["code", "entries", "others"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(k).to_numpy().astype(np.int64) for k in range(4)]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            part = lists(*part)
-            cut = int(np.searchsorted(part[0], part[0][-1]))
-            held = [x[cut:] for x in part]
-            if cut:
-                yield packed(*[x[:cut] for x in part])
-        if held is not None:
-            yield packed(*held)
-
-    dealt = rows.repartition("code").sortWithinPartitions("code", "near")
-    return dealt.mapInArrow(step, "code bigint, near array<int>, n array<bigint>, other array<bigint>, other_n array<bigint>")
+            code = b.column("code").to_numpy()
+            (e_at, e), (o_at, o) = slices(b.column("entries"), "<u4"), slices(b.column("others"), "<i8")
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            ends = np.append(starts, len(code))
+            first, last = 0, len(starts) - 1
+            if at is not None and code[0] == at:
+                parts.append(e[: e_at[ends[1]]])
+                others.append(o[: o_at[ends[1]]])
+                parts, others = [short(at, np.concatenate(parts))], [np.concatenate(others)]
+                first = 1
+            if first <= last:
+                if at is not None:
+                    yield open_word()
+                if first < last:
+                    cut = ends[first : last + 1]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(code[cut[:-1]]), binary(e_at[cut] - e_at[cut[0]], e[e_at[cut[0]] : e_at[cut[-1]]]), binary(o_at[cut] - o_at[cut[0]], o[o_at[cut[0]] : o_at[cut[-1]]]),
+                    ], ["code", "entries", "others"])
+                at, parts, others = int(code[ends[last]]), [e[e_at[ends[last]] : e_at[-1]].copy()], [o[o_at[ends[last]] : o_at[-1]].copy()]
+        if at is not None:
+            yield open_word()
+
+    return rows.repartition("code").sortWithinPartitions("code").mapInArrow(step, "code bigint, entries binary, others binary")
 
 
 def cells(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
@@ -207,9 +255,8 @@ def summed(df: DataFrame, size: int, add) -> DataFrame:
 
 def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of contexts: the row, neighbour and count of every entry."""
-    near, n = b.column("near"), b.column("n")
-    sizes = near.value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(sizes)), sizes), near.flatten().to_numpy(), n.flatten().to_numpy()
+    at, packed = slices(b.column("entries"), "<u4")
+    return np.repeat(np.arange(b.num_rows), np.diff(at)), (packed >> N_BITS).astype(np.int64), (packed & MOST).astype(np.int64)
 
 
 def counted(near: np.ndarray) -> np.ndarray:
@@ -436,7 +483,14 @@ def settle_rest(table: DataFrame, groups: np.ndarray, now: np.ndarray) -> tuple[
         add_pairs(sums, own[row[keep]], near[keep], n[keep], of, k)
 
     inside = cells(summed(table.where(f"code < {TOP}"), k * k, words), k, k)
-    pairs = table.where("size(other) > 0").select("code", F.explode(F.arrays_zip("other", "other_n")).alias("e")).select("code", "e.other", F.col("e.other_n").alias("n"))
+
+    def far_pairs(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            row, near, n = entries(b)
+            far = (near & 1 == 0) & (near >> 1 > HEAD)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("code").to_numpy()[row[far]]), pa.array(slices(b.column("others"), "<i8")[1]), pa.array(n[far])], ["code", "other", "n"])
+
+    pairs = table.where(f"code >= {TOP} AND length(others) > 0").mapInArrow(far_pairs, "code bigint, other bigint, n bigint")
     left = pairs.join(classes.withColumnRenamed("class", "left"), "code").select("left", "other", "n")
     both = left.join(classes.select(F.col("code").alias("other"), F.col("class").alias("right")), "other")
     outside = cells(both.select((F.col("left") * k + F.col("right")).cast("long").alias("cell"), "n"), k, k)
@@ -490,16 +544,25 @@ def partly_scored(texts: DataFrame, shared) -> DataFrame:
     """
     kind = texts.schema["caption_id"].dataType.simpleString()
 
-    def step(batches: Iterator[dict[str, list]]):
+    def step(batches: Iterator[pa.RecordBatch]):
         model: Model = shared.value
         last = len(model.total) - 1
         at = TaskContext.get().partitionId() << 33
         words: dict[bytes, int] = {}  # word -> place in the two lists
         group: list[int] = []
         log: list[float] = []
+        fresh = lambda: ({k: [] for k in plain}, {k: [] for k in ("word", "guess", "spots")}, [0], [0])
+
+        def table():
+            struct = pa.StructArray.from_arrays([
+                pa.array(rare["word"], pa.binary()), pa.array(rare["guess"], pa.int32()), pa.ListArray.from_arrays(pa.array(spot_ends, pa.int32()), pa.array(rare["spots"], pa.int32())),
+            ], ["word", "guess", "spots"])
+            held = [pa.array(out[k], arrow.field(k).type) for k in plain]
+            return pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), struct)], [*plain, "rare"])
+
+        out, rare, rare_ends, spot_ends = fresh()
         for b in batches:
-            out = {k: [] for k in ("caption_id", "train", "row_no", "n_tokens", "held", "logs", "moves", "holes", "rare")}
-            for key, train, raw in zip(b["caption_id"], b["train"], b["raw"], strict=True):
+            for key, train, raw in zip(*[b.column(c).to_pylist() for c in ("caption_id", "train", "raw")], strict=True):
                 tokens = blank_words(raw)
                 if len(words) > FLUSH:
                     words, group, log = {}, [], []
@@ -508,57 +571,72 @@ def partly_scored(texts: DataFrame, shared) -> DataFrame:
                     k = words.get(w)
                     if k is None:
                         k = words[w] = len(group)
-                        i, v = model.head.get(w) or (-1, math.nan)
+                        i, v = model.head.get(w) or (-1 - int(model.unseen[item_of(w)]), 0.0)  # below 0: another word, and its guess
                         group.append(i)
                         log.append(v)
                     codes.append(k)
-                logs = np.array([log[k] for k in codes] or [0.0])[: len(codes)]
+                logs = sum([log[k] for k in codes])
                 chain = np.array([last, *[group[k] for k in codes], last], np.int16)
                 known = chain >= 0
                 both = known[:-1] & known[1:]
-                moves = model.move[chain[:-1], chain[1:]][both].sum() - model.total[chain[1:]][known[1:]].sum()
+                moves = model.move[chain[:-1][both], chain[1:][both]].sum() - model.total[chain[1:][known[1:]]].sum()
                 beside = ~known
                 beside[1:] |= ~known[:-1]
                 beside[:-1] |= ~known[1:]
-                spots: dict[bytes, list[int]] = {}
+                spots: dict[int, list[int]] = {}
                 for n, i in enumerate(np.flatnonzero(~known).tolist()):
-                    spots.setdefault(tokens[i - 1], []).append(n)
-                rare = [{"word": w, "guess": int(model.unseen[item_of(w)]), "spots": x} for w, x in spots.items()]
-                row = (key, train, at, len(tokens) + 1, int(known.sum()) - 2, float(logs[known[1:-1]].sum() + model.end), float(moves), chain[beside].tobytes(), rare)
-                for k, v in zip(out, row, strict=True):
+                    spots.setdefault(codes[i - 1], []).append(n)
+                if spots:
+                    names = {codes[i - 1]: tokens[i - 1] for i in np.flatnonzero(~known).tolist()}
+                    for k, x in spots.items():
+                        rare["word"].append(names[k])
+                        rare["guess"].append(-1 - group[k])
+                        rare["spots"] += x
+                        spot_ends.append(len(rare["spots"]))
+                rare_ends.append(len(rare["word"]))
+                row = (key, train, at, len(tokens) + 1, int(known.sum()) - 2, float(logs + model.end), float(moves), np.maximum(chain[beside], -1).tobytes())
+                for k, v in zip(plain, row, strict=True):
                     out[k].append(v)
                 at += 1
-                if len(out["row_no"]) >= 500:
-                    yield out
-                    out = {k: [] for k in out}
-            yield out
+                if len(rare_ends) > 500:
+                    yield table()
+                    out, rare, rare_ends, spot_ends = fresh()
+        yield table()
 
+    plain = ["caption_id", "train", "row_no", "n_tokens", "held", "logs", "moves", "holes"]
     schema = (f"caption_id {kind}, train boolean, row_no bigint, n_tokens bigint, held bigint, logs double, moves double, holes binary, "
               "rare array<struct<word:binary,guess:int,spots:array<int>>>")
-    return arrow_map(texts, schema, step)
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    return texts.select("caption_id", "train", "raw").mapInArrow(step, schema)
 
 
 def filled(rows: DataFrame, shared) -> DataFrame:
     """Adds the class moves of ``holes``, whose classes are in ``found``, to ``moves``."""
     kept = [c for c in rows.columns if c not in ("holes", "found")]
 
-    def step(batches: Iterator[dict[str, list]]):
+    def step(batches: Iterator[pa.RecordBatch]):
         model: Model = shared.value
         for b in batches:
-            moves = []
-            for known, holes, found in zip(b["moves"], b["holes"], b["found"], strict=True):
-                if found:
-                    chain = np.frombuffer(holes, np.int16).copy()
-                    gap = chain < 0
-                    fill = np.zeros(int(gap.sum()), np.int16)
-                    for f in found:
-                        fill[f["spots"]] = f["class"]
-                    chain[gap] = fill
-                    known += float(model.move[chain[:-1], chain[1:]][gap[:-1] | gap[1:]].sum() - model.total[fill].sum())
-                moves.append(known)
-            yield {**{c: b[c] for c in kept}, "moves": moves}
-
-    return arrow_map(rows, T.StructType([rows.schema[c] for c in kept]), step)
+            at, chain = slices(b.column("holes"), "<i2")
+            found, moves = b.column("found"), b.column("moves").to_numpy()
+            chain = chain.copy()
+            gap = np.flatnonzero(chain < 0)
+            first = np.searchsorted(gap, at[:-1])  # of each row, its first gap
+            size = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = found.flatten()
+            spots = flat.field("spots")
+            times = spots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            base = np.repeat(first, size) if len(size) else first
+            chain[gap[np.repeat(base, times) + spots.flatten().to_numpy()]] = np.repeat(flat.field("class").to_numpy(), times)
+            open_ = np.zeros(len(chain), bool)
+            open_[gap] = True
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            pair = (open_[:-1] | open_[1:]) & (row[:-1] == row[1:])
+            more = np.bincount(row[:-1][pair], model.move[chain[:-1][pair], chain[1:][pair]], b.num_rows) - np.bincount(row[gap], model.total[chain[gap]], b.num_rows)
+            columns = [pa.array(moves + more) if c == "moves" else b.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(columns, kept)
+
+    return rows.mapInArrow(step, T.StructType([rows.schema[c] for c in kept]))
 
 
 def score_captions(captions: DataFrame, n_classes: int = 64, head_words_most: int = HEAD) -> DataFrame:

@@ -145,6 +145,27 @@ def retrieval_pool(spark, d):
     return rs.pick_pool(_front(spark, d), LIMIT, 0.5)
 
 
+SIZE = "(100 + CAST({0} AS BIGINT) % 13 * 37)"  # bytes of a unit, by its id
+
+
+@query(
+    "retrieval_pool_bytes",
+    recursive(
+        sql(
+            POOL.replace("taken, explored,", "taken, explored, room,", 1).replace("CAST([] AS VARCHAR[]), 0,", "CAST([] AS VARCHAR[]), 0, CAST(2200 AS BIGINT),", 1)
+            .replace("s.queue[1], y.v.u, y.v.d\n", "s.room - CASE WHEN y.v IS NULL THEN 0 ELSE " + SIZE.format("y.v.u") + " END, s.queue[1], y.v.u, y.v.d\n", 1)
+            .replace("AND (rk.direct OR", "AND " + SIZE.format("rk.unit_id") + " <= s.room AND (rk.direct OR", 1)
+            + " SELECT * FROM pool",
+            "units", "beats", "beat_spans",
+        )
+    ),
+)
+def retrieval_pool_bytes(spark, d):
+    """Pools with a size function of the caller's own and a budget that fills before the limit."""
+    ranked = rs.rank(_candidates(spark, d)).join(fx.beats(spark, d).select("work_id", "beat_id"), "beat_id")
+    return rs.pick_pool(ranked, LIMIT, 0.5, budget=2200, size_fn=lambda rows: 100 + rows["unit_id"].astype("int64") % 13 * 37)
+
+
 @query(
     "pool_coverage",
     recursive(

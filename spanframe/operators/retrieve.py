@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -184,16 +184,16 @@ def top_ranked(
     return rank(kept.where("direct").unionByName(others))
 
 
-POOL_SCHEMA = "work_id string, beat_id string, unit_id string, pick int, direct boolean, role string"
+STATE = ["work_id", "queue", "picks", "room", "free", "done"]  # of a pool between rounds
 
 
-def front_rows(ranked: DataFrame, limit: int) -> DataFrame:
+def front_rows(ranked: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     """Of each beat the first ``limit`` direct rows and the first ``limit`` others.
 
     A round robin that takes at most ``limit`` units in all passes over fewer than
     ``limit`` taken ones in a queue, so it never looks behind these rows.
     """
-    parts = [top_n(ranked.where(F.col("direct") == d), ["beat_id"], [F.col("rank")], limit, F.col("unit_id"), name="__k").drop("__k") for d in (True, False)]
+    parts = [top_n(ranked.where(F.col("direct") == d), keys, [F.col("rank")], limit, F.col("unit_id"), name="__k").drop("__k") for d in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
@@ -201,37 +201,66 @@ def pick_pool(ranked: DataFrame, limit: int = 160, explore: float = 0.15, budget
     """RS6: round-robin over the beats of a work, in the order of their SHA-256.
 
     No unit twice, at most ``limit * explore`` picks without direct evidence, total
-    ``size_fn`` (UF2) within ``budget``.  Without a budget only each beat's front rows are
-    gathered; with one, a beat's small rows may stand anywhere, so all its rows are.
+    ``size_fn`` (UF2, of a table of rows) within ``budget``.  A work's group holds each beat's front rows: the
+    first that still fit.  With a budget, small rows may stand far behind; when a beat has
+    used up its front, the work goes on in another round with the first rows that fit what
+    is then left.
     """
-    cap = int(limit * explore)
-    direct_units = ranked.where("direct").select("work_id", "unit_id").distinct().withColumn("__any", F.lit(True))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sha", "beat_id", "rank"], kind="stable")
-        rows["size"] = size_fn(rows) if size_fn else 0
-        taken: dict[str, tuple] = {}
-        room = {"explore": cap, "bytes": budget}
-
-        def admits(r) -> bool:
-            return r.unit_id not in taken and (r.direct or room["explore"] > 0) and (budget is None or r.size <= room["bytes"])
-
-        waiting = deque(iter(list(g.itertuples())) for _, g in rows.groupby(["sha", "beat_id"], sort=True))
-        while waiting and len(taken) < limit:
-            queue = waiting.popleft()
-            r = next(filter(admits, queue), None)
+    rows = ranked.select("work_id", "beat_id", "unit_id", "direct", "rank")
+    if size_fn is None:
+        rows = rows.withColumn("size", F.lit(0).cast("bigint"))
+    else:
+        rows = rows.mapInPandas(lambda parts: (p.assign(size=size_fn(p).astype("int64")) for p in parts), "work_id string, beat_id string, unit_id string, direct boolean, rank bigint, size bigint")
+    rows = cut_lineage(rows)
+    direct_units = rows.where("direct").select("work_id", "unit_id").distinct().withColumn("__any", F.lit(True))
+    none = 2**62
+
+    def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        state = right.iloc[0]
+        queue, picks, room, free = json.loads(state["queue"]), json.loads(state["picks"]), int(state["room"]), int(state["free"])
+        taken = {p[1] for p in picks}
+        fronts = {b: list(g.sort_values("rank").itertuples(index=False)) for b, g in left.groupby("beat_id")}
+        ends = {  # the last rank of a front that was cut off: what comes next may stand behind it
+            (b, bool(d)): int(g["rank"].max()) for (b, d), g in left.groupby(["beat_id", "direct"]) if len(g) >= limit
+        }
+        while queue and len(picks) < limit:
+            beat = queue[0]
+            fits = lambda r: r.unit_id not in taken and (r.direct or free > 0) and r.size <= room
+            r = next(filter(fits, fronts.get(beat, ())), None)
+            seen = min(ends.get((beat, d), none) for d in ((True, False) if free > 0 else (True,)))
+            if (none - 1 if r is None else r.rank) > seen:
+                break  # an earlier row may fit behind a front
+            queue.pop(0)
             if r is None:
                 continue  # this beat has nothing more to offer
-            waiting.append(queue)
-            taken[r.unit_id] = (r.work_id, r.beat_id, r.unit_id, len(taken) + 1, bool(r.direct), "direct_evidence" if r.any_direct else "context")
-            room["explore"] -= not r.direct
-            if budget is not None:
-                room["bytes"] -= r.size
-        return pd.DataFrame(list(taken.values()), columns=["work_id", "beat_id", "unit_id", "pick", "direct", "role"])
-
-    rows = (front_rows(ranked, limit) if budget is None else ranked).withColumn("sha", F.sha2(F.col("beat_id"), 256))
-    rows = rows.join(direct_units, ["work_id", "unit_id"], "left").withColumn("any_direct", F.coalesce("__any", F.lit(False))).drop("__any")
-    return rows.groupBy("work_id").applyInPandas(fold, POOL_SCHEMA)
+            queue.append(beat)
+            taken.add(r.unit_id)
+            picks.append([beat, r.unit_id, bool(r.direct)])
+            free -= not r.direct
+            room -= int(r.size)
+        done = not queue or len(picks) >= limit
+        return pd.DataFrame([[state["of_work"], json.dumps(queue), json.dumps(picks), room, free, done]], columns=STATE)
+
+    beats = rows.select("work_id", "beat_id").distinct().groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct(F.sha2("beat_id", 256).alias("s"), F.col("beat_id").alias("b")))).alias("q"))
+    state = beats.select(
+        "work_id", F.to_json(F.transform("q", lambda x: x["b"])).alias("queue"), F.lit("[]").alias("picks"), F.lit(none if budget is None else budget).cast("bigint").alias("room"),
+        F.lit(int(limit * explore)).cast("bigint").alias("free"), F.lit(False).alias("done"),
+    )
+    ended = None
+    while True:
+        taken = F.transform(F.from_json("picks", "array<array<string>>"), lambda p: p[1])
+        open_ = state.select("work_id", "room", "free", taken.alias("taken"))
+        fit = rows.join(open_, "work_id").where((F.col("size") <= F.col("room")) & (F.col("direct") | (F.col("free") > 0)) & ~F.array_contains("taken", F.col("unit_id")))
+        front = front_rows(fit.drop("room", "free", "taken"), limit, ["work_id", "beat_id"])
+        after = cut_lineage(front.groupBy("work_id").cogroup(state.withColumnRenamed("work_id", "of_work").groupBy("of_work")).applyInPandas(step, "work_id string, queue string, picks string, room bigint, free bigint, done boolean"))
+        ended = after.where("done") if ended is None else ended.unionByName(after.where("done"))
+        state = after.where("NOT done")
+        if state.isEmpty():
+            break
+    picks = ended.select("work_id", F.posexplode(F.from_json("picks", "array<array<string>>")).alias("n", "p"))
+    out = picks.select("work_id", F.col("p")[0].alias("beat_id"), F.col("p")[1].alias("unit_id"), (F.col("n") + 1).alias("pick"), (F.col("p")[2] == "true").alias("direct"))
+    role = F.when(F.coalesce("__any", F.lit(False)), "direct_evidence").otherwise("context")
+    return out.join(direct_units, ["work_id", "unit_id"], "left").select("work_id", "beat_id", "unit_id", "pick", "direct", role.alias("role"))
 
 
 def pool_coverage(beats: DataFrame, ranked: DataFrame, pool: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Caption folds, literal search, selection and ledgers against plain models."""
 
+import hashlib
 import html
 import html.entities
 import random
@@ -125,6 +126,33 @@ def test_pool_is_round_robin_with_bounded_exploration(spark):
     assert len(small) == 2
 
 
+def test_pool_with_a_budget_looks_behind_its_front(spark):
+    rng = random.Random(3)
+    rows = []
+    for w in ("w1", "w2"):
+        for b in range(4):
+            for i in range(60):
+                rows.append((w, f"{w}b{b}", f"u{rng.randint(0, 150):03d}-{max(1, 400 - 7 * i)}", rng.random() < 0.3, i + 1))
+    size = lambda u: int(u.split("-")[1])
+    for limit, budget in ((6, 900), (5, 2500), (8, 3)):
+        want = []
+        for w in ("w1", "w2"):
+            by = {b: [r for r in rows if r[0] == w and r[1] == b] for b in {r[1] for r in rows if r[0] == w}}
+            queue, taken, room, free = sorted(by, key=lambda b: hashlib.sha256(b.encode()).hexdigest()), [], budget, limit // 2
+            while queue and len(taken) < limit:
+                b = queue.pop(0)
+                r = next((r for r in by[b] if r[2] not in taken and (r[3] or free > 0) and size(r[2]) <= room), None)
+                if r is not None:
+                    queue.append(b)
+                    taken.append(r[2])
+                    room -= size(r[2])
+                    free -= not r[3]
+                    want.append((w, b, r[2], len(taken), r[3]))
+        df = spark.createDataFrame(rows, "work_id string, beat_id string, unit_id string, direct boolean, rank long")
+        got = rs.pick_pool(df, limit, 0.5, budget=budget, size_fn=lambda p: p.unit_id.str.split("-").str[1].astype(int)).collect()
+        assert sorted((r.work_id, r.beat_id, r.unit_id, r.pick, r.direct) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("k", [1, 5, 40])
 def test_top_ranks_equal_the_whole_ranking(spark, k):
     rng = random.Random(k)

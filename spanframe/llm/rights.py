@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import arrow_map, plain_words, raw_text
 
@@ -16,15 +16,26 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# The public notices of common licences, from their published texts.
+_NOTICE = ("this program is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by "
+           "the free software foundation either version {} of the license or at your option any later version")
+_COMMONS = "this work is licensed under {} creative commons attribution {} international license"
+# The short notices of common licences, from their published texts; variants are templates of their own.
 NOTICES = [
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    *[(label, _NOTICE.format(name, version)) for label, name, versions in (("gpl", "general", "23"), ("lgpl", "lesser general", "3"), ("agpl", "affero general", "3")) for version in versions],
+    ("lgpl", _NOTICE.format("lesser general", "2 1").replace("program", "library")),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    *[("cc-by" + "".join("-" + short for short, _ in terms), _COMMONS.format(article, " ".join([*[long for _, long in terms], "4 0"])))
+      for terms in ([], [("sa", "sharealike")], [("nd", "noderivatives")], [("nc", "noncommercial")], [("nc", "noncommercial"), ("sa", "sharealike")], [("nc", "noncommercial"), ("nd", "noderivatives")])
+      for article in ("a", "the")],
 ]
+ENOUGH = 20  # words of a template that count as found, however long it is
+
+
+def licence_texts() -> list[tuple[str, str]]:
+    """(licence, words) of the whole published texts beside this module, one file to a version."""
+    folder = Path(__file__).with_name("licences")
+    return [(f.name.split(".")[0], b" ".join(plain_words(f.read_bytes())).decode()) for f in sorted(folder.glob("*.txt"))]
 
 
 class Automaton:
@@ -113,8 +124,8 @@ class Scanner:
             if length > 1:
                 yield i, state, length
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int, float]]]:
-        """Phrase places (phrase, first word) and, by notice, the best chain's first word, end and cover."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+        """Phrase places (phrase, first word), and chains of matches (template, first word, end, words covered)."""
         places, matches, last = [], [], None
         for i, state, length in self.statistics(words):
             places += [(n, i - m + 1) for n, m in self.ends[state] if length >= m]
@@ -125,35 +136,49 @@ class Scanner:
             matches.append(last)
         return places, self.chain(matches)
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, float]]:
-        """Chains long matches that follow each other in text and notice into covered spans."""
-        best: dict[int, tuple[int, int, float]] = {}
+    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Chains long matches that follow each other in text and template; all chains that nothing follows any more."""
+        done: list[tuple[int, int, int, int]] = []
         open_: dict[int, list[tuple[int, int, int, int]]] = {}
         for i, state, length in matches:
             for n, end in self.automaton.places[state]:
                 if n < len(self.phrases):
                     continue
                 start, first, covered = end - length, i - length + 1, length
-                lively = [c for c in open_.get(n, ()) if first - c[0] <= self.gap]
+                lively = []
+                for c in open_.get(n, ()):
+                    (lively if first - c[0] <= self.gap else done).append(c if first - c[0] <= self.gap else (n, c[2], c[0], c[3]))
                 for stop, upto, begin, had in lively:
                     if stop <= i and upto < end:
                         fresh = length - max(0, upto - start, stop - (i - length + 1))
                         if fresh > 0 and had + fresh > covered:
                             first, covered = begin, had + fresh
                 open_[n] = [c for c in lively if not (c[1] >= end and c[3] <= covered)] + [(i + 1, end, first, covered)]
-                cover = covered / self.lengths[n]
-                if n not in best or cover > best[n][2]:
-                    best[n] = (first, i + 1, cover)
-        return best
+        return done + [(n, c[2], c[0], c[3]) for n, chains in open_.items() for c in chains]
+
+    def spans(self, chains: list[tuple[int, int, int, int]], cover: float) -> list[tuple[int, int, int, float]]:
+        """The chains that count, most words first; of those that share half a span the first stays."""
+        share = lambda c: c[3] / self.lengths[c[0]]
+        kept: list[tuple[int, int, int, float]] = []
+        for c in sorted((c for c in chains if c[3] >= ENOUGH or share(c) >= cover), key=lambda c: (-c[3], -share(c), c[0], c[1])):
+            if all(2 * (min(c[2], k[2]) - max(c[1], k[1])) < c[2] - c[1] for k in kept):
+                kept.append((c[0], c[1], c[2], share(c)))
+        return sorted(kept, key=lambda k: (k[1], k[0]))
 
 
 def scan_rights(sources: DataFrame, phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None,
-                least: int = 3, gap: int = 60, cover: float = 0.5) -> DataFrame:
+                least: int = 4, gap: int = 60, cover: float = 0.8) -> DataFrame:
     """Licence statements in the rights texts of sources.
 
     sources(source_id, text). ``phrases`` maps a phrase to its licence; ``notices`` are
-    (licence, notice text). A notice counts if a chain of matches of at least ``least``
-    words, with at most ``gap`` words between two, covers the share ``cover`` of it.
+    (licence, template text), by default short notices and the whole published texts. A
+    template counts where a chain of matches of at least ``least`` words, with at most ``gap``
+    words between two, covers ``ENOUGH`` words or the share ``cover`` of it; so a later
+    clause alone is found too. Of templates that match one place the one with
+    the most words there stays, then the one covered most, then the first.
+
+    The library's sources have no rights text of their own: the text of their captions or
+    of a file beside them goes in under the source's id.
 
     Returns per source row: source_id, n_words, places (array of phrase, start_word),
     notices (array of label, start_word, end_word, cover), labels (sorted, distinct: of
@@ -166,7 +191,7 @@ def scan_rights(sources: DataFrame, phrases: dict[str, str] | None = None, notic
     """
     texts = sources.select("source_id", raw_text("text").alias("raw"))
     kind = sources.schema["source_id"].dataType.simpleString()
-    scanner = Scanner(phrases or PHRASES, NOTICES if notices is None else notices, least, gap)
+    scanner = Scanner(phrases or PHRASES, NOTICES + licence_texts() if notices is None else notices, least, gap)
     schema = (f"source_id {kind}, n_words bigint, places array<struct<phrase:string,start_word:bigint>>, "
               "notices array<struct<label:string,start_word:bigint,end_word:bigint,cover:double>>, labels array<string>, phrase_labels array<string>, cover double")
 
@@ -178,17 +203,14 @@ def scan_rights(sources: DataFrame, phrases: dict[str, str] | None = None, notic
                 words = plain_words(raw)
                 places, chains = scanner.scan(words)
                 by = {names[n][1] for n, _ in places}
-                held = [(scanner.notices[n - len(names)][0], *c) for n, c in sorted(chains.items()) if c[2] >= cover]
+                held = [(scanner.notices[n - len(names)][0], *c) for n, *c in scanner.spans(chains, cover)]
                 out["n_words"].append(len(words))
                 out["places"].append([{"phrase": names[n][0], "start_word": at} for n, at in places])
                 out["notices"].append([dict(zip(("label", "start_word", "end_word", "cover"), c, strict=True)) for c in held])
                 out["labels"].append(sorted(by | {c[0] for c in held}))
                 out["phrase_labels"].append(sorted(by))
-                out["cover"].append(1.0 if places else max([c[2] for c in chains.values()], default=0.0))
+                out["cover"].append(1.0 if places else max([c[3] / scanner.lengths[c[0]] for c in chains], default=0.0))
             yield out
 
     return arrow_map(texts, schema, step)
 
-
-def joined(column: str):
-    return F.array_join(F.col(column), ",")

@@ -261,6 +261,17 @@ def literal_cover(spark, d):
     return tx.literal_pairs(n, fx.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
+@query(
+    "literal_short",
+    """SELECT DISTINCT doc_id AS text_id, n.k AS needle_id FROM documents d JOIN (SELECT item_id * 3 + j AS k, array_to_string(string_split(text, ' ')[:j + 1], ' ') AS t FROM benchmark, range(3) r(j)) n ON contains(d.text, n.t)""",
+)
+def literal_short(spark, d):
+    """Needles of one to three words, common ones among them."""
+    j = F.explode(F.array(*[F.struct(F.lit(k).alias("j"), F.array_join(F.slice(F.split("text", " "), 1, k + 1), " ").alias("t")) for k in range(3)]))
+    n = fx.table(spark, d, "benchmark").select("item_id", j.alias("x")).select((F.col("item_id") * 3 + F.col("x.j")).alias("needle_id"), F.col("x.t").alias("text"))
+    return tx.literal_pairs(n, fx.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
 @query("select_text", "SELECT doc_id, lang || chr(10) || text AS text, CAST(length(lang) + 1 AS BIGINT) AS second_start, CAST(length(lang) + 1 + length(text) AS BIGINT) AS second_end FROM documents")
 def select_text(spark, d):
     j = fx.table(spark, d, "documents").select("doc_id", F.to_json(F.struct("lang", F.struct(F.array("text", "source").alias("parts")).alias("body"))).alias("body"))

@@ -252,6 +252,17 @@ def billing_delta(spark, d):
     return vr.billing(fx.ledger(spark, d))[0]
 
 
+@query(
+    "billing_opening",
+    sql(BILL + """, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 1000 END AS actual FROM orders WHERE o_orderkey % 3 = 0)
+     SELECT f.task_id, event_key, seq, amount_micros, amount_micros - coalesce(lag(amount_micros) OVER (PARTITION BY f.task_id ORDER BY seq), actual, 0) AS delta_micros, lag(seq) OVER (PARTITION BY f.task_id ORDER BY seq) IS NOT NULL AS correction FROM f LEFT JOIN o ON o.task_id = f.task_id""", "ledger"),
+)
+def billing_opening(spark, d):
+    """Deltas of tasks some of which have cost something before."""
+    o = fx.table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    return vr.billing(fx.ledger(spark, d), o.select(F.col("o_orderkey").cast("string").alias("task_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") * 1000).alias("actual_micros")))[0]
+
+
 @query("billing_conflicts", sql(BILL + " SELECT l.event_key || '@' || l.seq AS entity_id FROM ledger l JOIN f USING (event_key) WHERE l.seq <> f.seq AND (l.amount_micros <> f.amount_micros OR l.body_sha <> f.body_sha OR l.task_id <> f.task_id)", "ledger"))
 def billing_conflicts(spark, d):
     return vr.billing(fx.ledger(spark, d))[1].select("entity_id")

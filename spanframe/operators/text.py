@@ -175,9 +175,9 @@ def literal_pairs(needles: DataFrame, texts: DataFrame, shingle: int = 4) -> Dat
     """All (text_id, needle_id) where the text holds the needle literally.
 
     No cross join.  A needle is found by something the text must hold whole: a run of
-    ``shingle`` inner words, else one inner word, else its first two code points.
-    Each kind is an equi join of its own (a kind without needles costs nothing under
-    adaptive execution); candidates are then tested with ``contains``.
+    ``shingle`` inner words, else the rarest of its inner words, else the rarest of its
+    parts of three code points (a shorter needle is its own).  How many texts hold a part is
+    counted first, for the parts of needles only.  Candidates are then tested with ``contains``.
     """
     parts = F.split("text", r"\s+", -1)
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
@@ -188,13 +188,34 @@ def literal_pairs(needles: DataFrame, texts: DataFrame, shingle: int = 4) -> Dat
     )
     a = w.where(F.size("w") >= shingle).select("text_id", F.explode(runs).alias("h"))
     na = n.where(F.size("in") >= shingle).select("needle_id", F.xxhash64(*[F.get("in", F.lit(j)) for j in range(shingle)]).alias("h"))
+
+    def grams(text):
+        """Parts of k code points; the list of code points is bound once, as a lambda's argument."""
+
+        def of(k):
+            def parts(chars):
+                at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 1, F.lit(0)))
+                return F.transform(at, lambda i: F.when(i + k <= F.size(chars), F.concat(*[F.get(chars, i + j) for j in range(k)])))
+
+            return F.transform(F.array(F.split(text, "")), parts)[0]
+
+        return of
+
+    def rarest(held: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Texts' parts that some needle has, and each needle's part that the fewest texts hold."""
+        held = held.join(wanted.select("h").distinct(), "h", "left_semi")
+        counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("__n"))
+        best = wanted.join(counts, "h", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "h")).alias("b"))
+        return held, best.select("needle_id", F.col("b.h").alias("h"))
+
     b = w.select("text_id", F.explode(F.array_distinct("w")).alias("h"))
-    nb = n.where((F.size("in") > 0) & (F.size("in") < shingle)).select("needle_id", F.get("in", F.lit(0)).alias("h"))
-    chars = F.split("text", "")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - 2, F.lit(0))), lambda i: F.concat(F.get(chars, i), F.coalesce(F.get(chars, i + 1), F.lit(""))))
-    c = texts.select("text_id", F.explode(F.array_distinct(F.concat(chars, pairs))).alias("h"))
-    nc = n.where(F.size("in") == 0).select("needle_id", F.substring("needle", 1, 2).alias("h"))
-    ids = fd.union([x.join(y, "h").select("text_id", "needle_id") for x, y in ((a, na), (b, nb), (c, nc))]).distinct()
+    nb = n.where((F.size("in") > 0) & (F.size("in") < shingle)).select("needle_id", F.explode(F.array_distinct("in")).alias("h"))
+    of, mine = grams("text"), grams("needle")
+    c = texts.select("text_id", F.explode(F.array_distinct(F.array_compact(F.concat(of(1), of(2), of(3))))).alias("h"))
+    size = F.length("needle")
+    own = F.when(size == 1, mine(1)).when(size == 2, mine(2)).otherwise(mine(3))
+    nc = n.where(F.size("in") == 0).select("needle_id", F.explode(F.array_distinct(F.array_compact(own))).alias("h"))
+    ids = fd.union([x.join(y, "h").select("text_id", "needle_id") for x, y in ((a, na), rarest(b, nb), rarest(c, nc))]).distinct()
     full = ids.join(texts.select("text_id", F.col("text").alias("__t")), "text_id").join(needles.select("needle_id", F.col("text").alias("__n")), "needle_id")
     return full.where(F.contains("__t", "__n")).select("text_id", "needle_id")
 

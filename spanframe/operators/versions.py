@@ -276,18 +276,24 @@ def batch_state(jobs: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFr
     return g.select("batch_id", "n_jobs", state.alias("state")), fd.finding(j, "BATCH_ATTEMPT_INDEX_MISMATCH", bad, F.col("job_id"), work="batch_id")
 
 
-def billing(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def billing(events: DataFrame, opening: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """VR16: idempotent billing events with the delta against the task's last amount.
 
     ``events``: task_id, event_key, seq, amount_micros, body_sha.  A key repeated with the
     same body counts once; with another body or amount the later row is a conflict.
+    ``opening``: task_id, actual_micros, what a task has cost before its first event (no row or NULL:
+    nothing); the first event's delta is against it, and is no correction.
     """
     first = events.groupBy("event_key").agg(F.min_by(F.struct("task_id", "seq", "amount_micros", "body_sha"), "seq").alias("f")).select("event_key", "f.*")
     j = events.join(first.select("event_key", F.col("seq").alias("s1"), F.col("task_id").alias("t1"), F.col("amount_micros").alias("a1"), F.col("body_sha").alias("b1")), "event_key")
     clash = (F.col("seq") != F.col("s1")) & ((F.col("task_id") != F.col("t1")) | (F.col("amount_micros") != F.col("a1")) | (F.col("body_sha") != F.col("b1")))
     bad = fd.finding(j, "BILLING_EVENT_KEY_CONFLICT", clash, F.concat_ws("@", "event_key", "seq"), work="task_id")
     r = scan(first, ["task_id"], ["seq"], by_rows("seq"), lags={"__p": F.col("amount_micros")})
-    return r.select("task_id", "event_key", "seq", "amount_micros", (F.col("amount_micros") - F.coalesce("__p", F.lit(0))).alias("delta_micros"), F.col("__p").isNotNull().alias("correction")), bad
+    before = F.lit(0).cast("bigint")
+    if opening is not None:
+        r = r.join(opening.select("task_id", F.col("actual_micros").cast("bigint").alias("__open")), "task_id", "left")
+        before = F.coalesce("__open", before)
+    return r.select("task_id", "event_key", "seq", "amount_micros", (F.col("amount_micros") - F.coalesce("__p", before)).alias("delta_micros"), F.col("__p").isNotNull().alias("correction")), bad
 
 
 def budget_fold(requests: DataFrame, budgets: DataFrame, block_rows: int = ROWS) -> DataFrame:

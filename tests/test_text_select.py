@@ -255,6 +255,17 @@ def test_references_read_as_the_standard_says(spark):
     assert {r.i: r.u for r in rows} == {i: html.unescape(t) for i, t in enumerate(texts)}
 
 
+def test_literals_of_every_length_equal_contains(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aé ") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    needles = [t[k : k + rng.randint(1, 14)] for t in texts[:40] for k in [rng.randint(0, max(0, len(t) - 2))]] + ["a", "é a", "zz", " ", "aéaé"]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    n = spark.createDataFrame(list(enumerate(needles)), "needle_id int, text string")
+    got = sorted((r.text_id, r.needle_id) for r in tx.literal_pairs(n, t).collect())
+    assert got == sorted((i, k) for i, x in enumerate(texts) for k, y in enumerate(needles) if y and y in x)
+
+
 def test_median_of_a_hot_key(spark):
     rng = random.Random(2)
     rows = [("hot", rng.randint(-10**9, 10**9)) for _ in range(1001)] + [("even", v) for v in (5, 1, 9, 1)] + [("one", 7), ("none", None)]

@@ -215,7 +215,8 @@ def literal_pairs(needles: DataFrame, texts: DataFrame, shingle: int = 4) -> Dat
     size = F.length("needle")
     own = F.when(size == 1, mine(1)).when(size == 2, mine(2)).otherwise(mine(3))
     nc = n.where(F.size("in") == 0).select("needle_id", F.explode(F.array_distinct(F.array_compact(own))).alias("h"))
-    ids = fd.union([x.join(y, "h").select("text_id", "needle_id") for x, y in ((a, na), rarest(b, nb), rarest(c, nc))]).distinct()
+    found = [(a, na), *[rarest(x, y) for x, y in ((b, nb), (c, nc)) if not y.isEmpty()]]  # no pass over texts for a kind that no needle has
+    ids = fd.union([x.join(y, "h").select("text_id", "needle_id") for x, y in found]).distinct()
     full = ids.join(texts.select("text_id", F.col("text").alias("__t")), "text_id").join(needles.select("needle_id", F.col("text").alias("__n")), "needle_id")
     return full.where(F.contains("__t", "__n")).select("text_id", "needle_id")
 
